@@ -1,0 +1 @@
+"""Part of tidewater; see README.md."""
