@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tidewater.llm import mixing, packing
+from tidewater.llm import chat, mixing, packing, transport, urls
 
 QUERIES = {
+    "op1_chat_formatting": chat.query,
     "op2_packing": packing.query,
+    "op3_url_filters": urls.query,
+    "op9_media_columns": transport.query,
     "op10_mixing": mixing.query,
 }
-ORACLES = {"op10_mixing": mixing.SQL}
+ORACLES = {"op1_chat_formatting": chat.SQL, "op3_url_filters": urls.oracle(), "op10_mixing": mixing.SQL}
