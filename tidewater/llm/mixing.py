@@ -45,18 +45,18 @@ def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3),
     return levels.select("rank", "source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents with ``size``, ``source_size``, ``target`` and ``taken`` (words taken, repeats counted).
 
-    ``docs`` needs doc_id, text and source; other columns are kept (those named like ours are replaced). Null text has
+    ``docs`` needs doc_id, text and source. The result has doc_id, source, the columns named in ``keep`` (the texts,
+    say, which then go through the shuffles) and ours; other columns, with whatever names, are not read. Null text has
     size 0; null source is a source of its own; a source of size 0 has target 0 and its documents are taken 0 words.
     Ties and repeated rows are ordered by (hash, doc_id, size), so reruns agree. An empty table gives an empty one.
     """
-    ours = ["size", "source_size", "target", "taken", "rank", "_h", "_b", "_cum", "_before", "weight"]
-    rest = docs.drop(*[c for c in docs.columns if c.lower() in ours])
+    kept = [c for c in keep if c not in ("doc_id", "source")]
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    base = written(rest.withColumn("size", size).withColumn("_h", key), "mix-sizes")
+    base = written(docs.select("doc_id", "source", *kept, size.alias("size"), key.alias("_h")), "mix-sizes")
     rows = base.count()
     digits = max(1, math.ceil(math.log(max(rows, 1) / ROWS_PER_BUCKET, 16)) if rows > ROWS_PER_BUCKET else 1)
     targets = written(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, most=most), "mix-targets")
