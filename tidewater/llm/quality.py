@@ -32,22 +32,23 @@ class Network:
     offsets: np.ndarray  # (f,)
     combine: np.ndarray  # (f,)
     bias: float
-    chunk: int = 12
+    chunk: int = 32
     stride: int = 4
 
-    def layout(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All rows' bytes, each row padded so that whole chunks cover it, and each row's first chunk (and the end)."""
+    def layout(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All rows' bytes, each row padded so that whole chunks cover it; each row's first chunk place (and the end of
+        all places), and its number of chunks. Places after a row's last chunk are not its own and must be left out."""
         lengths = np.diff(offsets)
         chunks = np.maximum(1, -(-(lengths - self.chunk) // self.stride) + 1)
         room = (chunks - 1) * self.stride + self.chunk
-        room += -room % self.stride
+        room += -room % self.stride + self.stride
         begin = np.concatenate(([0], np.cumsum(room)))
         padded = np.zeros(begin[-1] + self.chunk, np.uint8)
         padded[np.arange(len(data)) + np.repeat(begin[:-1] - offsets[:-1], lengths)] = data
-        return padded, begin // self.stride
+        return padded, begin // self.stride, chunks
 
     def answers(self, padded: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Chunk matrix and filter answers at every chunk place (places past a row's last chunk read padding only)."""
+        """Chunk matrix and filter answers at every chunk place."""
         d = self.vectors.shape[1]
         vectors = np.take(self.vectors, padded, axis=0).reshape(-1)
         places = int(first[-1])
@@ -59,12 +60,13 @@ class Network:
         """Probability of the good class for each row."""
         if len(offsets) < 2:
             return np.zeros(0)
-        padded, first = self.layout(data, offsets)
-        top = np.maximum(np.maximum.reduceat(self.answers(padded, first)[1], first[:-1], axis=0), 0)
+        padded, first, chunks = self.layout(data, offsets)
+        bounds = np.stack([first[:-1], first[:-1] + chunks], axis=1).reshape(-1)
+        top = np.maximum(np.maximum.reduceat(self.answers(padded, first)[1], bounds, axis=0)[::2], 0)
         return 1 / (1 + np.exp(-np.clip(top @ self.combine + self.bias, -30, 30).astype(np.float64)))
 
 
-def fit(texts: list[bytes], good: np.ndarray, *, width: int = 8, filters: int = 24, steps: int = 500, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
+def fit(texts: list[bytes], good: np.ndarray, *, width: int = 8, filters: int = 16, steps: int = 500, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
     """Train on whole texts by Adam on logistic loss; both classes weigh alike in each batch."""
     rng = np.random.default_rng(seed)
     chunk, stride = Network.chunk, Network.stride
@@ -88,9 +90,9 @@ def fit(texts: list[bytes], good: np.ndarray, *, width: int = 8, filters: int =
         picked = np.concatenate([rng.choice(s, batch // 2) for s in sides])
         sizes = np.array([len(texts[i]) for i in picked])
         data = np.frombuffer(b"".join(texts[i] for i in picked), np.uint8)
-        padded, first = net.layout(data, np.concatenate(([0], np.cumsum(sizes))))
+        padded, first, count = net.layout(data, np.concatenate(([0], np.cumsum(sizes))))
         chunks, z = net.answers(padded, first)
-        best = np.stack([first[r] + z[first[r] : first[r + 1]].argmax(0) for r in range(len(picked))])
+        best = np.stack([first[r] + z[first[r] : first[r] + count[r]].argmax(0) for r in range(len(picked))])
         top = np.maximum(np.take_along_axis(z, best, 0), 0)
         p = 1 / (1 + np.exp(-np.clip(top @ net.combine + net.bias, -30, 30)))
         slope = ((p - good[picked]) / len(picked)).astype(np.float32)
@@ -128,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = TRAIN_ROW
         share = F.when(F.col("quality") == side, F.lit(min(1.0, rows_per_class / n))).otherwise(share)
     chosen = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality sample")), F.lit(1 << 20)) < share * (1 << 20))
     rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(chosen, "doc_id")
-    found = sorted(((r["doc_id"], r["text"].encode(), r["quality"]) for r in rows.toLocalIterator()), key=lambda r: (r[0], r[1]))
+    found = sorted(((r["doc_id"], r["text"].encode(), r["quality"]) for r in rows.collect()), key=lambda r: (r[0], r[1]))
     return fit([t for _, t, _ in found], np.array([q for *_, q in found], np.float32))
 
 
