@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tidewater.llm import chat, mixing, packing, transport, urls
+from tidewater.llm import chat, html, mixing, packing, pii, quality, transport, urls
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
     "op2_packing": packing.query,
     "op3_url_filters": urls.query,
+    "op4_quality_classifier": quality.query,
+    "op5_html_extraction": html.query,
+    "op7_pii": pii.query,
     "op9_media_columns": transport.query,
     "op10_mixing": mixing.query,
 }
