@@ -355,6 +355,26 @@ def detect(docs: DataFrame, *, field: Field | None = None, with_redacted: bool =
     return docs.select("doc_id", "text").mapInArrow(label, schema)
 
 
+def redacted(docs: DataFrame, *, field: Field | None = None) -> DataFrame:
+    """``docs`` with every span in ``text`` replaced by its kind in angle brackets; ``n_chars``, where there is one, is
+    the new text's. Other columns and null texts stay as they are."""
+    field = field or trained()
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                given = part.column("text").to_pylist()
+                found = find([t or "" for t in given], field)
+                texts = [t if t is None else redact(t, base + more) for t, (base, more) in zip(given, found, strict=True)]
+                new = {"text": pa.array(texts, part.schema.field("text").type)}
+                if "n_chars" in part.schema.names:
+                    new["n_chars"] = pa.array([t if t is None else len(t) for t in texts]).cast(part.schema.field("n_chars").type)
+                yield pa.RecordBatch.from_arrays([new.get(n, c) for n, c in zip(part.schema.names, part.columns, strict=True)], schema=part.schema)
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: every document's personal data."""
     return detect(spark.read.parquet(f"{sf_dir}/documents.parquet"))
