@@ -121,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = TRAIN_ROW
     """A network fitted on at most about ``rows_per_class`` rows of each class, chosen by a hash of the id, whose texts
     have at most ``max_bytes`` bytes; rows of the held-out fold, null labels and null texts are left out.
 
-    This bound is the only sampling in the operator; every document is scored whole.
+    This bound is the only sampling in the operator; every document is scored whole. It also bounds what is broadcast:
+    the chosen ids, so that texts are filtered where they are read and not shuffled.
     """
     usable = labels.filter(F.col("quality").isin(0, 1) & ~held_out("doc_id")).select("doc_id", "quality").dropDuplicates(["doc_id"])
     counts = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
@@ -129,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = TRAIN_ROW
     for side, n in counts.items():
         share = F.when(F.col("quality") == side, F.lit(min(1.0, rows_per_class / n))).otherwise(share)
     chosen = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality sample")), F.lit(1 << 20)) < share * (1 << 20))
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(chosen, "doc_id")
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id")
     found = sorted(((r["doc_id"], r["text"].encode(), r["quality"]) for r in rows.collect()), key=lambda r: (r[0], r[1]))
     return fit([t for _, t, _ in found], np.array([q for *_, q in found], np.float32))
 
