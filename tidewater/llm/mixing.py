@@ -37,11 +37,14 @@ def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3),
     rising = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
     before = rising.rowsBetween(Window.unboundedPreceding, -1)
     onward = rising.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.partitionBy(F.lit(1)))
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(onward)
-    levels = ranked.withColumn("level", level).withColumn("capped", F.col("cap") <= F.col("level") * F.col("weight"))
-    first_free = F.min(F.when(~F.col("capped"), F.col("level"))).over(Window.partitionBy(F.lit(1)))
-    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(first_free * F.col("weight"))
+    every = Window.partitionBy(F.lit(1))
+    level = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(onward)
+    levels = ranked.withColumn("level", level).withColumn("place", F.row_number().over(rising))
+    # Up to the first source whose cap is above its share at the level, all are at their caps; from there on, none is.
+    free = F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.struct("place", "level"))).over(every)
+    levels = levels.withColumn("free", free)
+    at_cap = F.col("free").isNull() | (F.col("place") < F.col("free.place"))
+    target = F.when(at_cap, F.col("cap").cast("double")).otherwise(F.col("free.level") * F.col("weight"))
     return levels.select("rank", "source", "source_size", "weight", target.alias("target"))
 
 
@@ -72,7 +75,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), most: int =
     timed = written(timed, "mix-times")
 
     passes = F.array(*[F.lit(p) for p in range(most)])
-    time = lambda p: (p * F.col("source_size") + F.col("_cum")) / F.col("target")
+    time = lambda p: F.try_divide(p * F.col("source_size") + F.col("_cum"), F.col("target"))
     entries = timed.filter("target > 0 and size > 0").select("size", "rank", "_h", "doc_id", "source_size", "_cum", "target", F.explode(passes).alias("p"))
     entries = entries.withColumn("time", time(F.col("p")))
     slots = max(1, rows // ROWS_PER_BUCKET)
@@ -118,10 +121,11 @@ WITH d AS (
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rnk FROM s0),
 s2 AS (SELECT *, CAST(rnk % 3 + 1 AS DOUBLE) AS weight, 3 * source_size AS cap FROM s1),
-s3 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-             / sum(weight) OVER (ORDER BY cap / weight, rnk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM s2),
-s4 AS (SELECT *, cap <= lvl * weight AS capped FROM s3),
-s AS (SELECT source, rnk, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE min(CASE WHEN NOT capped THEN lvl END) OVER () * weight END AS target FROM s4),
+s3 AS (SELECT *, row_number() OVER (ORDER BY cap / weight, rnk) AS place,
+              (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+              / sum(weight) OVER (ORDER BY cap / weight, rnk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM s2),
+s4 AS (SELECT min(place) AS fp, arg_min(lvl, place) AS fl FROM s3 WHERE cap > lvl * weight),
+s AS (SELECT source, rnk, source_size, CASE WHEN fp IS NULL OR place < fp THEN CAST(cap AS DOUBLE) ELSE fl * weight END AS target FROM s3, s4),
 t AS (SELECT d.doc_id, d.size, d.h, s.rnk, s.source_size, s.target,
              CAST(sum(d.size) OVER (PARTITION BY s.rnk ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum, row_number() OVER () AS r
       FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
