@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.components import components
 from tidewater.llm.storage import written
+from tidewater.llm.tasks import whole_groups
 from tidewater.llm.textkit import mix64, pieces, shingle_sets
 
 BAND_GROWTH = 1.75
@@ -195,19 +196,8 @@ def _near(rows: DataFrame, *, percent: int) -> DataFrame:
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            ids = [np.asarray(table.column(c)) for c in ("key", "b1", "b2")]
-            changes = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
-            cut = int(changes[-1]) if len(changes) else 0
-            held = table.slice(cut)
-            if cut:
-                yield _block_pairs(table.slice(0, cut), np.r_[0, changes], percent)
-        if held is not None and len(held):
-            yield _block_pairs(held, np.array([0, len(held)]), percent)
+        for table, bounds in whole_groups(batches, ("key", "b1", "b2")):
+            yield _block_pairs(table, bounds, percent)
 
     return rows.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2").mapInArrow(compare, "a long, b long")
 

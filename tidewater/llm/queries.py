@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import chat, html, jaccard, mixing, packing, pii, quality, transport, urls
+from tidewater.llm import chat, html, jaccard, mixing, neighbours, packing, pii, quality, transport, urls
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_html_extraction": html.query,
     "op6_ngram_jaccard_join": jaccard.query,
     "op7_pii": pii.query,
+    "op8_embedding_near_dedup": neighbours.query,
     "op9_media_columns": transport.query,
     "op10_mixing": mixing.query,
 }
