@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.storage import written
+from tidewater.llm.storage import discard, written
 
 
 def _large(pairs: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def components(links: DataFrame) -> DataFrame:
     pairs = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = _state(pairs)
     while before[0]:
-        pairs = written(_small(_large(pairs)), "stars")
+        older, pairs = pairs, written(_small(_large(pairs)), "stars")
+        discard(older)
         after = _state(pairs)
         if after == before:
             break

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.components import components
-from tidewater.llm.storage import written
+from tidewater.llm.storage import discard, written
 from tidewater.llm.tasks import whole_groups
 from tidewater.llm.textkit import mix64, pieces, shingle_sets
 
@@ -178,7 +178,9 @@ def verified(pairs: DataFrame, docs: DataFrame, *, width: int, percent: int) ->
                 fine = (100 * common >= percent * (size_a + size_b - common)) & (size_a > 0) & (size_b > 0)
                 yield part.select(["a", "b"]).filter(pa.array(fine))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    links = written(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "links")
+    discard(texts)
+    return links
 
 
 def _distinct_texts(column: pa.Array, width: int):
@@ -230,30 +232,36 @@ def join(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     smallest doc_id that links reach. Without words (null, empty, blank) a document links with nothing, not even its
     like. Rows that share a doc_id count as one document in links. Other columns are not read.
     """
-    sets = written(described(docs.withColumn("doc_id", F.col("doc_id").cast("long")), width=width, percent=percent), "sets")
-    groups = sets.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "keys", "sketch")).alias("r"))
-    reps = written(groups.select("n", "h1", "h2", F.col("r.doc_id").alias("doc"), F.col("r.keys").alias("keys"), F.col("r.sketch").alias("sketch")), "representatives")
+    full = written(described(docs.withColumn("doc_id", F.col("doc_id").cast("long")), width=width, percent=percent), "keyed-sets")
+    sets = written(full.select("doc_id", "n", "h1", "h2"), "sets")
+    groups = full.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "keys", "sketch")).alias("r"))
+    keyed = written(groups.select("n", "h1", "h2", F.col("r.doc_id").alias("doc"), F.col("r.keys").alias("keys"), F.col("r.sketch").alias("sketch")), "keyed-representatives")
+    discard(full)
+    reps = written(keyed.drop("keys"), "representatives")
+    shared = written(_shared(keyed.select(F.explode("keys").alias("key"), "doc")), "shared-keys")
+    discard(keyed)
 
-    shared = written(_shared(reps.select(F.explode("keys").alias("key"), "doc")), "shared-keys")
     popular = shared.groupBy("doc").agg(F.count("*").alias("keys_shared"))
     by_key = Window.partitionBy("key").orderBy(F.desc("keys_shared"), "doc")
     centred = shared.join(popular, "doc").withColumn("centre", F.first("doc").over(by_key))
     pairs = written(centred.filter("centre <> doc").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct(), "centre-pairs")
-    links = written(verified(pairs, docs, width=width, percent=percent), "centre-links")
+    links = verified(pairs, docs, width=width, percent=percent)
     labels = written(components(links), "centre-components")
 
     placed = shared.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("rows")).filter("least <> most")
-    open_rows = placed.join(mixed.select("key", "rows"), "key").join(reps.select("doc", "n", "sketch"), "doc")
+    unsettled = placed.join(mixed.select("key", "rows"), "key").join(reps.select("doc", "n", "sketch"), "doc")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-    spread = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = unsettled.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     spread = spread.select("key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "comp", "n", "sketch")
     more = _near(spread, percent=percent).distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(more.join(done, ["a", "b"], "left_anti"), "sketch-pairs")
+    discard(shared, pairs)
     late = verified(rest, docs, width=width, percent=percent)
     final = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(late))
+    discard(rest)
 
     named = reps.select("n", "h1", "h2", "doc").join(final.withColumnRenamed("node", "doc"), "doc", "left")
     named = named.select("n", "h1", "h2", F.coalesce("component", "doc").alias("component_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -12,14 +13,35 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; only where it is unset (tests, one machine) a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+        folder = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
     return folder
 
 
+_OWN: dict[str, str] = {}
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
-    """The frame, stored as Parquet in the shared folder and read again: lost executors do not lose it, lineage ends."""
+    """The frame, stored as Parquet in the shared folder and read again: lost executors do not lose it, lineage ends.
+
+    Then the driver is asked to collect its garbage, which is when Spark removes the shuffle files of what has ended.
+    """
     spark = frame.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    schema = frame.schema
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    del frame
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    stored = spark.read.schema(schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove stored tables whose dependants have been stored in their turn."""
+    for frame in frames:
+        path = getattr(frame, "stored_at", None)
+        if isinstance(path, str):
+            spark = frame.sparkSession
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
