@@ -1 +1,243 @@
-"""Queries to come."""
+"""Anomaly detector queries (D)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidewater.operators import baseline as B
+from tidewater.operators import detect as D
+from tidewater.plans.bindings import bound, table
+from tidewater.plans.registry import query
+from tidewater.plans.seasonal import ALL, BASE, LOOKUP, seen
+
+R = lambda c, n=6: F.round(c, n)
+SCORED = f"""{BASE},
+{LOOKUP},
+scored AS (SELECT *, CASE WHEN mean IS NOT NULL AND status = 'usable' THEN (mean - median) / greatest(sigma, 0.01) END AS z FROM seen)"""
+
+
+def flagged_readings(spark, d) -> DataFrame:
+    scored = D.temporal_scores(seen(spark, d)).filter("flagged")
+    return scored.select("zone_id", "indicator", "observed_at", "scene_id", "line", R("mean").alias("mean"), R("median").alias("median"), R("p10").alias("p10"), R("p90").alias("p90"), R("z").alias("z"), "direction")
+
+
+@query("D1_temporal_score", SCORED + """
+---
+SELECT scene_id, line, zone_id, indicator, round(z, 6) AS z, coalesce(abs(z) > 3, false) AS flagged, CASE WHEN abs(z) > 3 THEN CASE WHEN z > 0 THEN 'high' ELSE 'low' END END AS direction,
+CASE WHEN mean IS NULL THEN 'no value' WHEN status <> 'usable' THEN 'baseline ' || status END AS reason FROM scored""", uses=ALL)
+def d1(spark, d):
+    return D.temporal_scores(seen(spark, d)).select("scene_id", "line", "zone_id", "indicator", R("z").alias("z"), "flagged", "direction", "reason")
+
+
+ROLLUP = """roll AS (SELECT zone_id, observed_at, coalesce(string_agg(DISTINCT indicator, ',' ORDER BY indicator) FILTER (abs(z) > 3), '') AS anomalous, max(abs(z)) AS max_abs_z, bool_or(status = 'usable') AS any_usable FROM scored GROUP BY 1, 2)"""
+
+
+def rollup(spark, d) -> DataFrame:
+    return D.temporal_rollup(D.temporal_scores(seen(spark, d)), ["zone_id", "observed_at"], ("A", "N", "R"))
+
+
+@query("D2_temporal_rollup", f"{SCORED},\n{ROLLUP}\n---\nSELECT zone_id, observed_at, anomalous, round(max_abs_z, 6) AS max_abs_z, any_usable FROM roll", uses=ALL)
+def d2(spark, d):
+    return rollup(spark, d).select("zone_id", "observed_at", "anomalous", R("max_abs_z").alias("max_abs_z"), "any_usable")
+
+
+PIXEL_Z = """m AS (SELECT scene_id, quantile_cont(b04, 0.5) AS med, 1.4826 * mad(b04) AS sig, count(*) AS n FROM pixels GROUP BY 1),
+pz AS (SELECT p.scene_id, p.px, CASE WHEN n >= 2 THEN (b04 - med) / greatest(sig, 0.01) END AS z FROM pixels p JOIN m USING (scene_id))"""
+
+
+@query("D3_pixel_z", PIXEL_Z + "\n---\nSELECT scene_id, px, round(z, 6) AS z FROM pz", uses=("pixels",))
+def d3(spark, d):
+    return D.scene_z(bound(spark, d, "pixels"), "b04", ["scene_id"]).select("scene_id", "px", R("z").alias("z"))
+
+
+@query("D4_hot_pixel_gate", PIXEL_Z + """,
+c AS (SELECT scene_id, count(z) AS n_pixels, count(*) FILTER (z > 1.5) AS n_hot FROM pz GROUP BY 1)
+---
+SELECT *, CASE WHEN n_pixels = 0 THEN 'no water' WHEN n_hot < 10 THEN NULL WHEN n_hot / n_pixels > 0.05 THEN 'shift of the whole body' WHEN n_hot > 200000 THEN 'too many hot pixels' END AS reason,
+n_pixels > 0 AND n_hot >= 10 AND n_hot / n_pixels <= 0.05 AND n_hot <= 200000 AS clustered FROM c""", uses=("pixels",))
+def d4(spark, d):
+    return D.hot_gate(D.scene_z(bound(spark, d, "pixels"), "b04", ["scene_id"]), ["scene_id"], threshold=1.5, most_share=0.05)
+
+
+GRID = "g0 AS (SELECT vec_id AS scene_id, unnest(embedding) AS v, unnest(range(0, 64)) AS i FROM embeddings), g AS (SELECT scene_id, CAST(i // 8 AS BIGINT) AS row, CAST(i % 8 AS BIGINT) AS col, v FROM g0)"
+
+
+def grid(spark, d) -> DataFrame:
+    """Each embedding as an 8 by 8 tile of values."""
+    cells = table(spark, d, "embeddings").select(F.col("vec_id").alias("scene_id"), F.posexplode("embedding").alias("i", "v"))
+    return cells.select("scene_id", F.floor(F.col("i") / 8).cast("long").alias("row"), (F.col("i") % 8).cast("long").alias("col"), "v")
+
+
+@query("D5_dbscan_core_points", f"{GRID}, h AS (SELECT scene_id, row, col FROM g WHERE v > 0)\n---\nSELECT a.scene_id, a.row, a.col, count(*) AS n_near, count(*) >= 10 AS core FROM h a JOIN h b ON a.scene_id = b.scene_id AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 9 GROUP BY 1, 2, 3")
+def d5(spark, d):
+    return D.core_points(grid(spark, d).filter("v > 0"), "scene_id")
+
+
+def clusters_of(spark, d) -> DataFrame:
+    from tidewater.operators.pixels import dbscan
+
+    return dbscan(grid(spark, d).filter("v > 0.05"), "scene_id", eps=2, min_points=7)
+
+
+CLUSTERS = GRID + """,
+h AS (SELECT scene_id, row, col, v FROM g WHERE v > 0.05),
+n AS (SELECT a.scene_id, a.row AS r1, a.col AS c1, b.row AS r2, b.col AS c2 FROM h a JOIN h b ON a.scene_id = b.scene_id AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 4),
+k AS (SELECT scene_id, r1 AS row, c1 AS col, r1 * 8 + c1 AS id FROM n GROUP BY 1, 2, 3 HAVING count(*) >= 7),
+e AS (SELECT n.scene_id, a.id AS a, b.id AS b FROM n JOIN k a ON a.scene_id = n.scene_id AND a.row = r1 AND a.col = c1 JOIN k b ON b.scene_id = n.scene_id AND b.row = r2 AND b.col = c2),
+reach AS (SELECT scene_id, id AS a, id AS b FROM k UNION SELECT r.scene_id, r.a, e.b FROM reach r JOIN e ON e.scene_id = r.scene_id AND e.a = r.b),
+lab AS (SELECT scene_id, a AS id, min(b) AS cluster FROM reach GROUP BY 1, 2),
+cl AS (SELECT n.scene_id, r1 AS row, c1 AS col, min(cluster) FILTER (r1 = r2 AND c1 = c2) AS own, min(cluster) AS cluster FROM n JOIN lab ON lab.scene_id = n.scene_id AND lab.id = r2 * 8 + c2 GROUP BY 1, 2, 3),
+clusters AS (SELECT scene_id, row, col, CAST(coalesce(own, cluster) AS BIGINT) AS cluster FROM cl)"""
+
+
+@query("D5_dbscan_clusters", CLUSTERS + "\n---\nSELECT scene_id, row, col, cluster FROM clusters")
+def d5b(spark, d):
+    return clusters_of(spark, d).select("scene_id", "row", "col", "cluster")
+
+
+@query("D6_cluster_stats", CLUSTERS + "\n---\nSELECT scene_id, cluster, count(*) AS n, count(*) * 1e-4 AS area_km2, round(avg(CAST(v AS DOUBLE)), 6) AS mean_z, round(CAST(max(v) AS DOUBLE), 6) AS max_z FROM clusters JOIN h USING (scene_id, row, col) GROUP BY 1, 2 HAVING count(*) >= 12")
+def d6(spark, d):
+    r = clusters_of(spark, d).join(grid(spark, d), ["scene_id", "row", "col"]).groupBy("scene_id", "cluster")
+    r = r.agg(F.count("*").alias("n"), R(F.avg("v")).alias("mean_z"), R(F.max("v").cast("double")).alias("max_z")).filter("n >= 12")
+    return r.withColumn("area_km2", F.col("n") * 1e-4)
+
+
+@query("D7_majority_zone", CLUSTERS + """,
+z AS (SELECT scene_id, cluster, CAST(row // 4 * 2 + col // 4 AS BIGINT) AS zone, count(*) AS n FROM clusters GROUP BY 1, 2, 3)
+---
+SELECT scene_id, cluster, zone, n, round(n / sum(n) OVER (PARTITION BY scene_id, cluster), 6) AS share FROM z QUALIFY row_number() OVER (PARTITION BY scene_id, cluster ORDER BY n DESC, zone) = 1""")
+def d7(spark, d):
+    zone = (F.floor(F.col("row") / 4) * 2 + F.floor(F.col("col") / 4)).cast("long")
+    z = clusters_of(spark, d).withColumn("zone", zone).groupBy("scene_id", "cluster", "zone").agg(F.count("*").alias("n"))
+    z = z.withColumn("share", R(F.col("n") / F.sum("n").over(Window.partitionBy("scene_id", "cluster"))))
+    return B.first_rows(z, ["scene_id", "cluster"], [F.col("n").desc(), F.col("zone")])
+
+
+@query("D9_cluster_outline", CLUSTERS + """,
+ed AS (SELECT scene_id, cluster, 'h' AS kind, row AS r, col AS c FROM clusters UNION ALL SELECT scene_id, cluster, 'h', row + 1, col FROM clusters UNION ALL SELECT scene_id, cluster, 'v', row, col FROM clusters UNION ALL SELECT scene_id, cluster, 'v', row, col + 1 FROM clusters)
+---
+SELECT scene_id, cluster, kind, r, c FROM ed GROUP BY ALL HAVING count(*) = 1""")
+def d9(spark, d):
+    from tidewater.operators.pixels import outline
+
+    return outline(clusters_of(spark, d), ["scene_id", "cluster"])
+
+
+def features(spark, d) -> DataFrame:
+    obs = bound(spark, d, "obs").join(bound(spark, d, "zones").select("zone_id", (F.col("body_id") % 5).alias("body_id")), "zone_id")
+    return D.scene_features(obs, bound(spark, d, "rain"), ("A", "N", "R"))
+
+
+FEATURES = """f AS (SELECT o.zone_id, z.body_id % 5 AS body_id, observed_at, avg(mean) FILTER (indicator = 'A') AS A, avg(mean) FILTER (indicator = 'N') AS N, avg(mean) FILTER (indicator = 'R') AS R, min(water_fraction_pct) AS water_fraction_pct
+FROM obs o JOIN zones z USING (zone_id) GROUP BY 1, 2, 3), ff AS (SELECT f.*, r.mm_24h FROM f LEFT JOIN rain r ON r.body_id = f.body_id AND r.date = CAST(f.observed_at AS DATE))"""
+
+
+@query("D10_scene_feature_history", FEATURES + "\n---\nSELECT zone_id, observed_at, round(A, 6) AS A, round(N, 6) AS N, round(R, 6) AS R, water_fraction_pct, round(mm_24h, 6) AS mm_24h FROM ff WHERE observed_at < TIMESTAMP '2001-01-01'", uses=("obs", "zones", "rain"))
+def d10(spark, d):
+    r = features(spark, d).filter("observed_at < '2001-01-01'")
+    return r.select("zone_id", "observed_at", *[R(c).alias(c) for c in "ANR"], "water_fraction_pct", R("mm_24h").alias("mm_24h"))
+
+
+@query("D11_water_extent_delta", """w AS (SELECT zone_id, observed_at, dayofyear(observed_at) AS doy, water_fraction_pct AS v FROM obs)
+---
+SELECT a.zone_id, a.observed_at, round(a.v - quantile_cont(b.v, 0.5), 6) AS delta, count(*) AS n FROM (SELECT DISTINCT zone_id, observed_at, doy, v FROM w WHERE year(observed_at) = 2000) a
+JOIN w b ON a.zone_id = b.zone_id AND b.observed_at < a.observed_at AND least(abs(a.doy - b.doy), 366 - abs(a.doy - b.doy)) <= 15 GROUP BY a.zone_id, a.observed_at, a.v""", uses=("obs",))
+def d11(spark, d):
+    w = bound(spark, d, "obs").select("zone_id", "observed_at", F.dayofyear("observed_at").alias("doy"), F.col("water_fraction_pct").alias("v"))
+    past = w.select("zone_id", F.col("observed_at").alias("at2"), F.explode(B.nearby_doys(F.col("doy"), 15)).alias("doy"), F.col("v").alias("v2"))
+    now = w.filter("year(observed_at) = 2000").distinct()
+    r = now.join(past, ["zone_id", "doy"]).filter("at2 < observed_at").groupBy("zone_id", "observed_at", "v").agg(F.percentile("v2", 0.5).alias("m"), F.count("*").alias("n"))
+    return r.select("zone_id", "observed_at", R(F.col("v") - F.col("m")).alias("delta"), "n")
+
+
+@query("D12_median_imputation", FEATURES + """,
+md AS (SELECT zone_id, coalesce(quantile_cont(A, 0.5), 0) AS ma, coalesce(quantile_cont(N, 0.5), 0) AS mn, coalesce(quantile_cont(R, 0.5), 0) AS mr FROM ff GROUP BY 1)
+---
+SELECT zone_id, observed_at, round(coalesce(A, ma), 6) AS A, round(coalesce(N, mn), 6) AS N, round(coalesce(R, mr), 6) AS R, concat_ws(',', CASE WHEN A IS NULL THEN 'A' END, CASE WHEN N IS NULL THEN 'N' END, CASE WHEN R IS NULL THEN 'R' END) AS imputed FROM ff JOIN md USING (zone_id)""", uses=("obs", "zones", "rain"))
+def d12(spark, d):
+    r = D.impute(features(spark, d), ["zone_id"], ("A", "N", "R"))
+    return r.select("zone_id", "observed_at", *[R(c).alias(c) for c in "ANR"], "imputed")
+
+
+@query("D13_isolation_forest")
+def d13(spark, d):
+    r = bound(spark, d, "obs").select(F.col("indicator"), (F.col("scene_id") * 10 + F.col("line")).alias("row_id"), F.col("mean"), F.col("p90"), F.col("water_fraction_pct"))
+    r = r.join(r.groupBy("row_id").agg(F.count("*").alias("k")).filter("k = 1"), "row_id", "left_semi")
+    return D.isolation_forest(r, ["indicator"], ("mean", "p90", "water_fraction_pct"), trees=8, sample=64).select("indicator", "row_id", R("score").alias("score"), "outlier")
+
+
+@query("D14_vote_severity", "SELECT candidate_id, CASE WHEN votes >= 3 THEN 'high' WHEN votes = 2 THEN CASE WHEN abs(z) >= 5 THEN 'high' ELSE 'medium' END WHEN votes = 1 THEN CASE WHEN abs(z) >= 5 THEN 'medium' ELSE 'low' END END AS severity FROM candidates", uses=("candidates",))
+def d14(spark, d):
+    return bound(spark, d, "candidates").select("candidate_id", D.vote_severity(F.col("votes"), F.abs("z")).alias("severity"))
+
+
+GATED = f"""{SCORED},
+{ROLLUP},
+c2 AS (SELECT body_id, date, CASE WHEN count(*) OVER w = 3 THEN sum(mm_24h) OVER w END AS mm_72h FROM rain WINDOW w AS (PARTITION BY body_id ORDER BY date RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW)),
+r2 AS (SELECT roll.zone_id, z.body_id % 5 AS body_id, observed_at, anomalous, max_abs_z, dayofyear(observed_at) AS doy FROM roll JOIN zones z USING (zone_id)),
+p9 AS (SELECT body_id, doy, quantile_cont(mm_24h, 0.9) * 2 AS p90, count(*) AS n FROM rain, (SELECT unnest(range(1, 367)) AS doy) WHERE least(abs(doy - dayofyear(date)), 366 - abs(doy - dayofyear(date))) <= 15 GROUP BY 1, 2),
+gi AS (SELECT r2.*, c2.mm_72h, p9.p90, p9.n FROM r2 LEFT JOIN c2 ON c2.body_id = r2.body_id AND c2.date = CAST(observed_at AS DATE) LEFT JOIN p9 ON p9.body_id = r2.body_id AND p9.doy = r2.doy),
+gated AS (SELECT *, CASE WHEN anomalous = '' THEN 'no anomaly' WHEN mm_72h IS NULL THEN 'no rainfall' WHEN coalesce(n, 0) < 30 THEN 'thin history' WHEN mm_72h > p90 AND len(list_filter(string_split(anomalous, ','), lambda x: x NOT IN ('A', 'N'))) = 0 THEN 'applied' WHEN mm_72h > p90 THEN 'other indicators' ELSE 'within p90' END AS outcome FROM gi)"""
+
+
+def gated(spark, d) -> DataFrame:
+    from tidewater.operators import rainfall as C
+
+    rain = bound(spark, d, "rain")
+    zones = bound(spark, d, "zones").select("zone_id", (F.col("body_id") % 5).alias("body_id"))
+    r = rollup(spark, d).join(zones, "zone_id").withColumn("date", F.to_date("observed_at")).withColumn("doy", F.dayofyear("observed_at"))
+    r = r.join(C.trailing(rain, 3, "mm_72h").select("body_id", "date", "mm_72h"), ["body_id", "date"], "left")
+    r = r.join(C.seasonal_p90(rain).withColumn("p90", F.col("p90") * 2), ["body_id", "doy"], "left")
+    anomalous = F.filter(F.split("anomalous", ","), lambda x: x != "")
+    return r.withColumn("gate", D.rainfall_gate(anomalous, F.col("mm_72h"), F.col("p90"), F.col("n"), ("A", "N"))).withColumn("outcome", F.col("gate.outcome"))
+
+
+@query("D15_rainfall_gate", GATED + "\n---\nSELECT zone_id, observed_at, anomalous, outcome FROM gated", uses=(*ALL, "rain"))
+def d15(spark, d):
+    return gated(spark, d).select("zone_id", "observed_at", "anomalous", "outcome")
+
+
+@query("D16_severity_cap", "s AS (SELECT candidate_id, CASE WHEN votes >= 3 THEN 'high' WHEN votes = 2 THEN 'medium' WHEN votes = 1 THEN 'low' END AS sev, rain_percentile > 0.9 AS nat FROM candidates)\n---\nSELECT candidate_id, CASE WHEN nat AND sev = 'high' THEN 'medium' ELSE sev END AS severity, CASE WHEN nat AND sev = 'high' THEN 'high' END AS capped_from FROM s", uses=("candidates",))
+def d16(spark, d):
+    severity, capped = D.cap_severity(D.vote_severity(F.col("votes"), F.lit(0.0)), F.col("rain_percentile") > 0.9)
+    return bound(spark, d, "candidates").select("candidate_id", severity.alias("severity"), capped.alias("capped_from"))
+
+
+VERDICT = f"""{GATED},
+v AS (SELECT zone_id, body_id, observed_at, anomalous, outcome, CAST(anomalous <> '' AS BIGINT) + CAST(coalesce(max_abs_z >= 5, false) AS BIGINT) AS votes, max_abs_z FROM gated),
+verdict AS (SELECT *, CASE WHEN votes = 2 THEN CASE WHEN max_abs_z >= 5 THEN 'high' ELSE 'medium' END WHEN votes = 1 THEN CASE WHEN max_abs_z >= 5 THEN 'medium' ELSE 'low' END END AS raw FROM v)"""
+
+
+def verdicts(spark, d) -> DataFrame:
+    g = gated(spark, d)
+    votes = (F.col("anomalous") != "").cast("long") + F.coalesce(F.col("max_abs_z") >= 5, F.lit(False)).cast("long")
+    g = g.withColumn("votes", votes).withColumn("raw", D.vote_severity(F.col("votes"), F.col("max_abs_z")))
+    severity, _ = D.cap_severity(F.col("raw"), F.col("outcome") == "applied")
+    return g.withColumn("severity", severity).withColumn("alertable", (F.col("votes") > 0) & (F.col("outcome") != "applied"))
+
+
+@query("D17_zone_verdict", VERDICT + """
+---
+SELECT zone_id, observed_at, votes, CASE WHEN outcome = 'applied' AND raw = 'high' THEN 'medium' ELSE raw END AS severity, votes > 0 AND outcome <> 'applied' AS alertable, CASE WHEN votes > 0 AND outcome = 'applied' THEN 'rain explains it' END AS suppressed_reason FROM verdict""", uses=(*ALL, "rain"))
+def d17(spark, d):
+    return verdicts(spark, d).select("zone_id", "observed_at", "votes", "severity", "alertable", F.when((F.col("votes") > 0) & (F.col("outcome") == "applied"), "rain explains it").alias("suppressed_reason"))
+
+
+@query("D18_geometry_kind", "SELECT candidate_id, CASE WHEN area_km2 > 3 THEN 'plume' WHEN votes > 1 THEN 'localised' ELSE 'zone' END AS geom_kind FROM candidates", uses=("candidates",))
+def d18(spark, d):
+    return bound(spark, d, "candidates").select("candidate_id", D.geometry_kind(F.col("area_km2") > 3, F.col("votes") > 1).alias("geom_kind"))
+
+
+@query("D19_run_summary", VERDICT + """
+---
+SELECT body_id, observed_at, count(*) AS n_zones, count(*) FILTER (anomalous <> '') AS n_flagged, count(*) FILTER (votes > 0 AND outcome <> 'applied') AS n_alertable, count(*) FILTER (outcome = 'applied') AS n_gated FROM verdict GROUP BY 1, 2""", uses=(*ALL, "rain"))
+def d19(spark, d):
+    return verdicts(spark, d).groupBy("body_id", "observed_at").agg(F.count("*").alias("n_zones"), F.count_if(F.col("anomalous") != "").alias("n_flagged"), F.count_if("alertable").alias("n_alertable"), F.count_if(F.col("outcome") == "applied").alias("n_gated"))
+
+
+@query("D20_json_safe", "SELECT event_id, to_json({'value': CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id END}) AS safe FROM events")
+def d20(spark, d):
+    odd = F.when(F.col("event_id") % 14 == 0, F.lit(float("nan"))).when(F.col("event_id") % 7 == 0, F.lit(float("inf"))).otherwise(F.col("event_id").cast("double"))
+    e = table(spark, d, "events").select("event_id", D.json_safe(odd).cast("long").alias("value"))
+    return e.select("event_id", F.to_json(F.struct("value"), {"ignoreNullFields": "false"}).alias("safe"))
