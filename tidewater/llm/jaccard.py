@@ -2,8 +2,9 @@
 
 A document is the set of its distinct word shingles. Adding or removing one shingle flips one bit of a parity sketch,
 so the Hamming distance of two sketches is at most the size of the sets' symmetric difference, and sets that are similar
-enough differ in few shingles. In a band of set sizes that difference is at most D, so of D + 1 segments into which
-shingles fall at least one is equal in both sets: equal segments are the join keys. What meets there is compared by
+enough differ in few shingles. In a band of set sizes that difference is at most D, so of D + 1 + s segments into which
+shingles fall at least s + 1 are equal in both sets: equal segments that are not empty are the join keys, and a set with
+more than s empty segments has its empty ones refined, so that no pair goes without a key. What meets there is compared by
 sketch distance, and what passes is verified on the sets themselves. No link is lost and none is made up.
 
 Large groups: equal sets are one representative from the start. First, each key's most popular member (the one with most
@@ -25,7 +26,7 @@ from tidewater.llm.storage import discard, written
 from tidewater.llm.tasks import whole_groups
 from tidewater.llm.textkit import mix64, pieces, shingle_sets
 
-BAND_GROWTH = 1.75
+BAND_GROWTH = 1.6
 SKETCH_BITS = 1024
 BLOCK = 2048
 _U = np.uint64
@@ -41,7 +42,9 @@ class Bands:
         while bounds[-1] <= largest:
             bounds.append(max(bounds[-1] + 1, int(bounds[-1] * BAND_GROWTH)))
         self.bounds = np.array(bounds, np.int64)
-        self.segments = (100 - percent) * (self.bounds[1:] - 1) // percent + 1
+        most = (100 - percent) * (self.bounds[1:] - 1) // percent
+        self.slack = most // 10 + 2
+        self.segments = most + 1 + self.slack
 
     def roles(self, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(rows, bands) at home, and as guests one band lower where a smaller set there could be similar enough.
@@ -63,9 +66,9 @@ def _segments(values: np.ndarray, group: np.ndarray, total: int) -> np.ndarray:
     return acc
 
 
-def _role_keys(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray, bands: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _role_keys(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray, bands: np.ndarray, sized: Bands) -> tuple[np.ndarray, np.ndarray]:
     """Segment keys of the given rows in the given bands, and the row of each key."""
-    m = counts[bands]
+    m = sized.segments[bands]
     sizes = offsets[rows + 1] - offsets[rows]
     base = np.cumsum(m) - m
     places = np.arange(int(sizes.sum())) + np.repeat(offsets[rows] - (np.cumsum(sizes) - sizes), sizes)
@@ -81,8 +84,11 @@ def _role_keys(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray, bands:
     filled = np.bincount(group, minlength=total) > 0
     keys, of = [mix64(acc[filled] ^ tag[filled])], [rows[owner[filled]]]
     empty = np.flatnonzero(~filled)
+    many = np.bincount(owner[empty], minlength=len(rows)) > sized.slack[bands]
+    empty = empty[many[owner[empty]]]
     if len(empty):
-        # An empty segment says little, so it is refined: the same pigeonhole on the lower half of the hashes.
+        # Too many to rely on the others: each empty segment is refined by the same pigeonhole on the lower half of the
+        # hashes.
         holders = np.unique(owner[empty])
         chosen = np.isin(per, holders)
         low = base[per[chosen]] + ((v[chosen] & _U(0xFFFFFFFF)) * width[chosen] >> _U(32)).astype(np.int64)
@@ -106,7 +112,7 @@ def described(docs: DataFrame, *, width: int, percent: int) -> DataFrame:
                 sizes = np.diff(offsets)
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 bands = Bands(percent, int(sizes.max(initial=0)))
-                keys, of = zip(*[_role_keys(values, offsets, r, b, bands.segments) for r, b in bands.roles(sizes)], strict=True)
+                keys, of = zip(*[_role_keys(values, offsets, r, b, bands) for r, b in bands.roles(sizes)], strict=True)
                 keys, of = np.concatenate(keys), np.concatenate(of)
                 order = np.argsort(of, kind="stable")
                 where = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(sizes))))).astype(np.int32)
@@ -154,6 +160,26 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(runs, "key long, doc long")
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hamming distances of sketches, row by row or of many to one."""
+    return np.bitwise_count(x ^ y).sum(-1)
+
+
+def _allowed(pairs: DataFrame, reps: DataFrame, *, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    one = reps.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = reps.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+
+    def allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = np.asarray(batch.column("na")), np.asarray(batch.column("nb"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(na), -1) for c in ("sa", "sb"))
+            fine = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (_apart(x, y) <= (100 - percent) * (na + nb) // (100 + percent))
+            yield batch.select(["a", "b"]).filter(pa.array(fine))
+
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(allow, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, *, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets, made again from the texts, are similar enough."""
     involved = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
@@ -215,7 +241,7 @@ def _block_pairs(table: pa.Table, bounds: np.ndarray, percent: int) -> pa.Record
             others = two[two > i] if one is two else two
             others = others[(comp[others] != comp[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
             if len(others):
-                apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1)
+                apart = _apart(sketch[others], sketch[i])
                 others = others[apart <= (100 - percent) * (n[others] + n[i]) // (100 + percent)]
                 if len(others):
                     found.append((np.full(len(others), doc[i]), doc[others]))
@@ -245,7 +271,9 @@ def join(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     by_key = Window.partitionBy("key").orderBy(F.desc("keys_shared"), "doc")
     centred = shared.join(popular, "doc").withColumn("centre", F.first("doc").over(by_key))
     pairs = written(centred.filter("centre <> doc").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct(), "centre-pairs")
-    links = verified(pairs, docs, width=width, percent=percent)
+    close = written(_allowed(pairs, reps, percent=percent), "close-pairs")
+    links = verified(close, docs, width=width, percent=percent)
+    discard(close)
     labels = written(components(links), "centre-components")
 
     placed = shared.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
