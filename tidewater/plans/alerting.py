@@ -1 +1,189 @@
-"""Queries to come."""
+"""Alert, delivery and validation queries (A, P, V)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewater.operators import alerts as A
+from tidewater.plans.bindings import bound, table
+from tidewater.plans.registry import query
+
+R = lambda c, n=6: F.round(c, n)
+SEV = "CASE WHEN priority >= 70 THEN 'high' WHEN priority >= 40 THEN 'medium' ELSE 'low' END"
+RANK = "coalesce(list_position(['low', 'medium', 'high'], severity), 0)"
+EPISODES = f"""al AS (SELECT *, {SEV} AS severity FROM candidates WHERE votes > 0),
+fr AS (SELECT *, coalesce(date_diff('day', lag(observed_at) OVER w, observed_at) > 14, true) AS fresh FROM al WINDOW w AS (PARTITION BY zone_id, indicator ORDER BY observed_at, candidate_id)),
+ep AS (SELECT *, CAST(sum(CAST(fresh AS BIGINT)) OVER (PARTITION BY zone_id, indicator ORDER BY observed_at, candidate_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode FROM fr),
+ef AS (SELECT zone_id, indicator, episode, min(observed_at) AS first_at, max(observed_at) AS last_at, count(*) AS n_observations, arg_max(priority, (observed_at, candidate_id)) AS priority, max(priority) AS peak_priority, max({RANK}) AS peak_rank, arg_min(candidate_id, (observed_at, candidate_id)) AS first_candidate FROM ep GROUP BY 1, 2, 3)"""
+
+
+def alertable(spark, d) -> DataFrame:
+    severity = F.when(F.col("priority") >= 70, "high").when(F.col("priority") >= 40, "medium").otherwise("low")
+    return bound(spark, d, "candidates").filter("votes > 0").withColumn("severity", severity)
+
+
+def episodes(spark, d) -> DataFrame:
+    return A.episodes(alertable(spark, d))
+
+
+def fields(spark, d) -> DataFrame:
+    return A.episode_fields(episodes(spark, d))
+
+
+@query("A1_alert_ids", EPISODES + """,
+i AS (SELECT *, 'alr_' || strftime(first_at, '%Y_%m%d') || '_' || zone_id % 5 || '_z' || zone_id AS b FROM ef)
+---
+SELECT zone_id, indicator, episode, CASE WHEN row_number() OVER (PARTITION BY b ORDER BY indicator, first_candidate) > 1 THEN b || '_' || trim(regexp_replace(lower(indicator), '[^a-z0-9]+', '_', 'g'), '_') ELSE b END AS alert_id FROM i""", uses=("candidates",))
+def a1(spark, d):
+    return A.alert_ids(fields(spark, d).withColumn("body_id", F.col("zone_id") % 5)).select("zone_id", "indicator", "episode", "alert_id")
+
+
+@query("A2_episodes", EPISODES + "\n---\nSELECT candidate_id, episode FROM ep", uses=("candidates",))
+def a2(spark, d):
+    return episodes(spark, d).select("candidate_id", "episode")
+
+
+@query("A3_episode_fields", EPISODES + "\n---\nSELECT * FROM ef", uses=("candidates",))
+def a3(spark, d):
+    return fields(spark, d)
+
+
+@query("A4_follow_ups", EPISODES + """,
+fu AS (SELECT c.candidate_id, e.last_at, e.indicator, e.episode FROM candidates c JOIN ef e ON e.zone_id = c.zone_id AND e.last_at >= CAST(c.observed_at AS DATE) - 14 WHERE c.votes = 0)
+---
+SELECT * FROM fu QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY last_at DESC, indicator DESC, episode DESC) = 1""", uses=("candidates",))
+def a4(spark, d):
+    return A.attach_follow_ups(bound(spark, d, "candidates").filter("votes = 0"), fields(spark, d))
+
+
+@query("A5_timelines", EPISODES + "\n---\nSELECT zone_id, indicator, episode, string_agg(CAST(candidate_id AS VARCHAR), ',' ORDER BY observed_at, candidate_id) AS timeline FROM ep GROUP BY 1, 2, 3", uses=("candidates",))
+def a5(spark, d):
+    t = A.timelines(episodes(spark, d))
+    return t.withColumn("timeline", F.array_join(F.transform("timeline", lambda e: e["candidate_id"].cast("string")), ","))
+
+
+@query("A6_reference_scene", """p AS (SELECT a.scene_id AS current_id, b.scene_id, b.sensed_at, year(b.sensed_at) < year(a.sensed_at) AS older, least(abs(dayofyear(a.sensed_at) - dayofyear(b.sensed_at)), 366 - abs(dayofyear(a.sensed_at) - dayofyear(b.sensed_at))) AS gap
+FROM scenes a JOIN scenes b ON a.body_id = b.body_id AND b.sensed_at < a.sensed_at - INTERVAL 1 DAY WHERE a.scene_id % 20 = 0 AND a.cloud_pct < 10)
+---
+SELECT current_id, scene_id, CAST(gap AS BIGINT) AS gap, older AND gap <= 45 AS same_season FROM p QUALIFY row_number() OVER (PARTITION BY current_id ORDER BY older AND gap <= 45 DESC, gap, sensed_at DESC, scene_id) = 1""", uses=("scenes",))
+def a6(spark, d):
+    scenes = bound(spark, d, "scenes").select("body_id", "scene_id", "sensed_at", "cloud_pct")
+    r = A.reference_scene(scenes.filter("scene_id % 20 = 0 AND cloud_pct < 10"), scenes.drop("cloud_pct"))
+    return r.select("current_id", "scene_id", F.col("gap").cast("long").alias("gap"), "same_season")
+
+
+@query("A7_status_log", "SELECT user_id AS alert_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n_changes FROM events WHERE event_type IN ('view', 'click', 'signup') GROUP BY 1")
+def a7(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("alert_id"), F.col("event_type").alias("status"), F.col("ts").alias("at"), "event_id")
+    return A.latest_status(e, ("view", "click", "signup"))
+
+
+@query("A8_alert_feed", EPISODES + "\n---\nSELECT e.zone_id, indicator, episode, priority, last_at FROM ef e WHERE peak_rank >= 2 AND priority >= 50 ORDER BY priority DESC, last_at DESC, zone_id, indicator, episode LIMIT 50 OFFSET 10", uses=("candidates",))
+def a8(spark, d):
+    order = [F.desc("priority"), F.desc("last_at"), F.col("zone_id"), F.col("indicator"), F.col("episode")]
+    return fields(spark, d).filter("peak_rank >= 2 AND priority >= 50").orderBy(*order).offset(10).limit(50).select("zone_id", "indicator", "episode", "priority", "last_at")
+
+
+@query("A9_alert_payload", EPISODES + "\n---\nSELECT e.zone_id, e.indicator, e.episode, b.name AS body_name, b.district, e.peak_priority, e.n_observations FROM ef e JOIN bodies b ON b.body_id = e.zone_id", uses=("candidates", "bodies"))
+def a9(spark, d):
+    f = fields(spark, d).join(bound(spark, d, "bodies").select(F.col("body_id").alias("zone_id"), F.struct("name", "district").alias("body")), "zone_id")
+    payload = f.select(F.struct("zone_id", "indicator", "episode").alias("key"), "body", F.struct("peak_priority", "n_observations").alias("facts"))
+    return payload.select("key.*", F.col("body.name").alias("body_name"), "body.district", "facts.*")
+
+
+RECIPIENTS = "re AS (SELECT c_custkey AS recipient_id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE r_name END AS district, CASE c_custkey % 2 WHEN 0 THEN 'high' ELSE 'medium' END AS min_severity, c_acctbal > 5000 AS active FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 25 = 0)"
+ALERTS = f"aa AS (SELECT candidate_id AS alert_id, district, severity FROM al JOIN bodies b ON b.body_id = al.zone_id WHERE candidate_id % 10 = 1)"
+PAIRS = f"""{EPISODES},
+{RECIPIENTS},
+{ALERTS},
+pr AS (SELECT alert_id, recipient_id, severity FROM aa JOIN re ON (re.district IS NULL OR re.district = aa.district) WHERE active AND {RANK} >= list_position(['low', 'medium', 'high'], min_severity))"""
+
+
+def pairs(spark, d) -> DataFrame:
+    places = bound(spark, d, "bodies").select(F.col("body_id").alias("c_nationkey"), "district")
+    c = table(spark, d, "customer").filter("c_custkey % 25 = 0").join(places, "c_nationkey")
+    recipients = c.select(F.col("c_custkey").alias("recipient_id"), F.when(F.col("c_custkey") % 3 != 0, F.col("district")).alias("district"), F.when(F.col("c_custkey") % 2 == 0, "high").otherwise("medium").alias("min_severity"), (F.col("c_acctbal") > 5000).alias("active"))
+    alerts = alertable(spark, d).filter("candidate_id % 10 = 1").join(places.withColumnRenamed("c_nationkey", "zone_id"), "zone_id").select(F.col("candidate_id").alias("alert_id"), "district", "severity")
+    return A.matching_recipients(alerts, recipients).select("alert_id", "recipient_id", "severity")
+
+
+@query("P1_recipients", PAIRS + "\n---\nSELECT * FROM pr", uses=("candidates", "bodies"))
+def p1(spark, d):
+    return pairs(spark, d)
+
+
+@query("P2_send_decisions", PAIRS + """
+---
+SELECT *, CASE WHEN (alert_id + recipient_id) % 4 = 0 AND 2 >= list_position(['low', 'medium', 'high'], severity) THEN 'already sent' ELSE 'send' END AS decision FROM pr""", uses=("candidates", "bodies"))
+def p2(spark, d):
+    p = pairs(spark, d)
+    sent = p.filter("(alert_id + recipient_id) % 4 = 0").select("alert_id", "recipient_id", F.lit("medium").alias("severity"))
+    return A.send_decisions(p, sent)
+
+
+LABS = """lb AS (SELECT candidate_id, CASE candidate_id % 5 WHEN 0 THEN 'ndti' WHEN 1 THEN 'sediment' WHEN 2 THEN 'ndci' WHEN 3 THEN 'fai' ELSE 'mndwi' END AS ind, CAST(observed_at AS DATE) AS obs_on, CAST(observed_at AS DATE) + CAST(candidate_id % 17 - 8 AS INTEGER) AS smp_on,
+CASE WHEN candidate_id % 7 = 0 THEN 'n/a' ELSE CAST(priority AS VARCHAR) END AS turb, CASE WHEN candidate_id % 3 = 0 THEN CAST(valid_pct AS VARCHAR) END AS tss, CAST(area_km2 * 8 AS VARCHAR) AS chl FROM candidates),
+vd AS (SELECT *, date_diff('day', obs_on, smp_on) AS lag, CASE WHEN ind = 'ndti' THEN CASE WHEN TRY_CAST(turb AS DOUBLE) IS NOT NULL THEN 'turbidity' WHEN TRY_CAST(tss AS DOUBLE) IS NOT NULL THEN 'tss' END
+ WHEN ind = 'sediment' THEN CASE WHEN TRY_CAST(tss AS DOUBLE) IS NOT NULL THEN 'tss' WHEN TRY_CAST(turb AS DOUBLE) IS NOT NULL THEN 'turbidity' END WHEN ind IN ('ndci', 'fai') AND TRY_CAST(chl AS DOUBLE) IS NOT NULL THEN 'chlorophyll' END AS fld FROM lb),
+vv AS (SELECT *, CASE fld WHEN 'turbidity' THEN TRY_CAST(turb AS DOUBLE) WHEN 'tss' THEN TRY_CAST(tss AS DOUBLE) WHEN 'chlorophyll' THEN TRY_CAST(chl AS DOUBLE) END AS val FROM vd),
+ver AS (SELECT *, CASE WHEN abs(lag) > 5 OR val IS NULL THEN 'inconclusive' WHEN val >= CASE fld WHEN 'turbidity' THEN 10 WHEN 'tss' THEN 30 ELSE 20 END THEN 'matched' ELSE 'not_matched' END AS verdict FROM vv)"""
+
+
+def verdicts(spark, d) -> DataFrame:
+    c = bound(spark, d, "candidates")
+    k = F.col("candidate_id")
+    ind = F.element_at(F.array(*[F.lit(x) for x in ("ndti", "sediment", "ndci", "fai", "mndwi")]), (k % 5 + 1).cast("int"))
+    lab = F.map_from_arrays(F.array(F.lit("turbidity"), F.lit("tss"), F.lit("chlorophyll")), F.array(F.when(k % 7 == 0, "n/a").otherwise(F.col("priority").cast("string")), F.when(k % 3 == 0, F.col("valid_pct").cast("string")), (F.col("area_km2") * 8).cast("string")))
+    day = F.to_date("observed_at")
+    v = A.verdict(ind, day, F.date_add(day, (k % 17 - 8).cast("int")), lab)
+    return c.withColumn("ind", ind).withColumn("v", v).select("*", "v.verdict", "v.field", "v.value", F.col("v.lag").cast("long").alias("lag"))
+
+
+@query("V1_verdict", LABS + "\n---\nSELECT candidate_id, verdict, CASE WHEN abs(lag) <= 5 THEN fld END AS field, CASE WHEN abs(lag) <= 5 THEN round(val, 6) END AS value, lag FROM ver", uses=("candidates",))
+def v1(spark, d):
+    return verdicts(spark, d).select("candidate_id", "verdict", "field", R("value").alias("value"), "lag")
+
+
+@query("V2_verdict_status", LABS + "\n---\nSELECT candidate_id, CASE verdict WHEN 'matched' THEN 'validated' WHEN 'not_matched' THEN 'dismissed' ELSE 'investigating' END AS status FROM ver", uses=("candidates",))
+def v2(spark, d):
+    return verdicts(spark, d).select("candidate_id", A.status_of(F.col("verdict")).alias("status"))
+
+
+@query("V3_confirmed_normal", LABS + ", fb AS (SELECT v.candidate_id, c.zone_id, c.observed_at, unnest(['ndti', 'ndci']) AS indicator, unnest([c.z, CASE WHEN c.votes > 1 THEN c.area_km2 END]) AS value FROM ver v JOIN candidates c USING (candidate_id) WHERE verdict = 'not_matched')\n---\nSELECT candidate_id, zone_id, observed_at, indicator, round(value, 6) AS value FROM fb WHERE value IS NOT NULL", uses=("candidates",))
+def v3(spark, d):
+    values = F.map_from_arrays(F.array(F.lit("ndti"), F.lit("ndci")), F.array(F.col("z").cast("double"), F.when(F.col("votes") > 1, F.col("area_km2").cast("double"))))
+    r = verdicts(spark, d).filter("verdict = 'not_matched'").select("candidate_id", "zone_id", "observed_at", F.explode(values).alias("indicator", "value"))
+    return r.filter("value IS NOT NULL").withColumn("value", R("value"))
+
+
+VALID = "vl AS (SELECT doc_id, lang, source, CASE WHEN toxic = 1 THEN 'inconclusive' WHEN quality = 1 THEN 'matched' ELSE 'not_matched' END AS verdict, doc_id % 100 AS score FROM labels JOIN documents USING (doc_id))"
+
+
+def validations(spark, d) -> DataFrame:
+    r = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
+    return r.select("doc_id", "lang", "source", F.when(F.col("toxic") == 1, "inconclusive").when(F.col("quality") == 1, "matched").otherwise("not_matched").alias("verdict"), (F.col("doc_id") % 100).alias("score"))
+
+
+@query("V4_precision", VALID + """
+---
+SELECT lang, source, count(*) AS n, count(*) FILTER (verdict <> 'inconclusive') AS conclusive, round(count(*) FILTER (verdict = 'matched') / nullif(count(*) FILTER (verdict <> 'inconclusive'), 0), 6) AS precision, CAST(grouping(lang, source) AS BIGINT) AS level FROM vl GROUP BY GROUPING SETS ((), (lang), (source))""")
+def v4(spark, d):
+    return A.precision(validations(spark, d), "lang", "source")
+
+
+@query("V5_labelled_examples", VALID + "\n---\nSELECT doc_id, score, CASE verdict WHEN 'matched' THEN 90.0 ELSE 10.0 END AS target FROM vl WHERE verdict <> 'inconclusive'")
+def v5(spark, d):
+    return validations(spark, d).filter("verdict <> 'inconclusive'").select("doc_id", "score", F.when(F.col("verdict") == "matched", 90.0).otherwise(10.0).alias("target"))
+
+
+@query("V6_precision_at_threshold", VALID + "\n---\nSELECT source, count(*) FILTER (score >= 40) AS n, round(avg(CASE WHEN score >= 40 THEN CAST(verdict = 'matched' AS DOUBLE) END), 6) AS precision FROM vl WHERE verdict <> 'inconclusive' GROUP BY 1")
+def v6(spark, d):
+    over = F.col("score") >= 40
+    r = validations(spark, d).filter("verdict <> 'inconclusive'").groupBy("source")
+    return r.agg(F.count_if(over).alias("n"), R(F.avg(F.when(over, (F.col("verdict") == "matched").cast("double")))).alias("precision"))
+
+
+@query("V8_validation_list", VALID + "\n---\nSELECT doc_id, verdict FROM vl WHERE verdict = 'matched' AND doc_id < 500 ORDER BY doc_id DESC LIMIT 21")
+def v8(spark, d):
+    return validations(spark, d).filter("verdict = 'matched' AND doc_id < 500").orderBy(F.desc("doc_id")).limit(21).select("doc_id", "verdict")
