@@ -47,7 +47,7 @@ def attach_follow_ups(follow_ups: DataFrame, alerts: DataFrame, *, days: int = D
 
     There is no upper bound: a late row may attach to a later alert.
     """
-    near = follow_ups.join(alerts.select("zone_id", "indicator", "episode", "last_at"), "zone_id").filter(F.col("last_at") >= F.date_sub("observed_at", days))
+    near = follow_ups.select("candidate_id", "zone_id", "observed_at").join(alerts.select("zone_id", "indicator", "episode", "last_at"), "zone_id").filter(F.col("last_at") >= F.date_sub("observed_at", days))
     return near.groupBy("candidate_id").agg(F.max(F.struct("last_at", "indicator", "episode")).alias("a")).select("candidate_id", "a.last_at", "a.indicator", "a.episode")
 
 

@@ -23,13 +23,13 @@ BINDINGS: dict[str, str] = {
     "rain_rows": """SELECT CAST(n_regionkey AS BIGINT) AS body_id, CAST(o_orderdate AS DATE) AS date, o_totalprice * 1.414213562e-5 AS mm_24h,
         CASE WHEN o_orderkey % 3 = 0 THEN 'archive' ELSE 'forecast' END AS source, o_orderkey AS fetched_at
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
-    "scenes": """SELECT o_orderkey AS scene_id, CAST(c_nationkey AS BIGINT) AS body_id, o_orderdate AS sensed_at, floor(o_totalprice) % 100 AS cloud_pct,
+    "scenes": """SELECT o_orderkey AS scene_id, CAST(c_nationkey AS BIGINT) AS body_id, o_orderdate AS sensed_at, CAST(floor(o_totalprice) AS BIGINT) % 100 AS cloud_pct,
         o_orderstatus AS state FROM orders JOIN customer ON o_custkey = c_custkey""",
     "pixels": """SELECT l_suppkey AS scene_id, l_orderkey * 10 + l_linenumber AS px, l_partkey % 5 AS zone_id, l_quantity * 30 AS b03, l_extendedprice / 60 AS b04,
         l_extendedprice / 80 + l_quantity AS b05, l_discount * 9000 AS b08, l_tax * 9000 AS b11, CAST(l_orderkey % 12 AS BIGINT) AS scl FROM lineitem""",
     "candidates": """SELECT o_orderkey AS candidate_id, CAST(c_nationkey AS BIGINT) AS zone_id, o_orderdate AS observed_at, o_orderpriority AS indicator,
-        floor(o_totalprice) % 101 AS priority, CAST(o_orderkey % 4 AS BIGINT) AS votes, (floor(o_totalprice) % 1300) / 100 - 4 AS z, floor(o_totalprice / 7) % 50 / 10 AS area_km2,
-        floor(o_totalprice / 3) % 101 AS valid_pct, (floor(o_totalprice / 11) % 101) / 100 AS rain_percentile, o_orderstatus AS state FROM orders JOIN customer ON o_custkey = c_custkey""",
+        CAST(floor(o_totalprice) AS BIGINT) % 101 AS priority, CAST(o_orderkey % 4 AS BIGINT) AS votes, (CAST(floor(o_totalprice) AS BIGINT) % 1300) / 100 - 4 AS z, CAST(floor(o_totalprice / 7) AS BIGINT) % 50 / 10 AS area_km2,
+        CAST(floor(o_totalprice / 3) AS BIGINT) % 101 AS valid_pct, (CAST(floor(o_totalprice / 11) AS BIGINT) % 101) / 100 AS rain_percentile, o_orderstatus AS state FROM orders JOIN customer ON o_custkey = c_custkey""",
 }
 
 _USED = re.compile(r"\b(" + "|".join(TABLES) + r")\b")

@@ -1 +1,231 @@
-"""Queries to come."""
+"""Read model, report, job and monitoring queries (Q, J, O)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewater.operators import readmodels as M
+from tidewater.operators.baseline import first_rows
+from tidewater.plans.alerting import EPISODES, fields
+from tidewater.plans.bindings import bound, table
+from tidewater.plans.detection import SCORED
+from tidewater.plans.registry import query
+from tidewater.plans.seasonal import ALL, seen
+
+R = lambda c, n=6: F.round(c, n)
+STAGE = "st AS (SELECT body_id, scene_id % 500 AS scene_id, list_extract(['ingested', 'masked', 'indicators', 'anomalies', 'scored', 'alerted'], CAST(scene_id % 7 % 6 + 1 AS INTEGER)) AS stage, CAST(scene_id % 7 % 6 AS BIGINT) AS k, sensed_at, cloud_pct, state FROM scenes)"
+
+
+def stages(spark, d) -> DataFrame:
+    k = F.col("scene_id") % 7 % 6
+    return bound(spark, d, "scenes").select("body_id", (F.col("scene_id") % 500).alias("scene_id"), F.element_at(F.array(*[F.lit(s) for s in M.STAGES]), (k + 1).cast("int")).alias("stage"), k.alias("k"), "sensed_at", "cloud_pct", "state")
+
+
+@query("Q1_deepest_stage", STAGE + "\n---\nSELECT body_id, scene_id, arg_max(stage, k) AS stage FROM st GROUP BY 1, 2", uses=("scenes",))
+def q1(spark, d):
+    return M.deepest_stage(stages(spark, d))
+
+
+@query("Q2_body_status", EPISODES + """,
+o AS (SELECT zone_id AS body_id, count(*) AS n_open, max(peak_rank) AS mr FROM ef WHERE last_at > TIMESTAMP '2001-06-01' AND zone_id % 3 > 0 GROUP BY 1), nz AS (SELECT body_id, count(*) AS n FROM zones GROUP BY 1), lm AS (SELECT body_id, max(sensed_at) AS m FROM scenes WHERE body_id <> 7 AND cloud_pct < 50 GROUP BY 1)
+---
+SELECT b.body_id, b.name, coalesce(nz.n, 0) AS n_zones, coalesce(n_open, 0) AS n_open, coalesce(mr, 0) AS max_rank, lm.m AS latest_mask,
+CASE WHEN lm.m IS NULL THEN 'no_data' WHEN coalesce(mr, 0) >= 2 THEN 'alert' WHEN coalesce(n_open, 0) > 0 THEN 'watch' WHEN b.body_id % 2 = 1 OR nz.n IS NULL THEN 'baseline_building' ELSE 'normal' END AS status
+FROM bodies b LEFT JOIN nz USING (body_id) LEFT JOIN o USING (body_id) LEFT JOIN lm USING (body_id)""", uses=("bodies", "zones", "candidates", "scenes"))
+def q2(spark, d):
+    alerts = fields(spark, d).filter("last_at > '2001-06-01' AND zone_id % 3 > 0").select(F.col("zone_id").alias("body_id"), F.col("peak_rank").alias("rank"))
+    zones = bound(spark, d, "zones")
+    baselines = zones.select("body_id", (F.col("body_id") % 2 == 0).alias("usable"))
+    masks = bound(spark, d, "scenes").filter("body_id <> 7 AND cloud_pct < 50")
+    return M.body_status(bound(spark, d, "bodies"), zones, alerts, baselines, masks)
+
+
+@query("Q3_zone_cards", EPISODES + "\n---\nSELECT z.zone_id, CASE WHEN z.zone_id % 4 = 0 THEN 'none' WHEN z.zone_id % 4 = 1 THEN 'building' ELSE 'usable' END AS baseline, max(e.episode) AS open_alert FROM zones z LEFT JOIN ef e ON e.zone_id = z.zone_id AND e.last_at > TIMESTAMP '2001-06-01' GROUP BY 1", uses=("zones", "candidates"))
+def q3(spark, d):
+    opened = fields(spark, d).filter("last_at > '2001-06-01'").groupBy("zone_id").agg(F.max("episode").alias("open_alert"))
+    k = F.col("zone_id") % 4
+    return bound(spark, d, "zones").join(opened, "zone_id", "left").select("zone_id", F.when(k == 0, "none").when(k == 1, "building").otherwise("usable").alias("baseline"), "open_alert")
+
+
+@query("Q4_observations", STAGE + "\n---\nSELECT s.scene_id, s.body_id, s.sensed_at, i.n AS bytes_read, CASE WHEN s.state = 'F' THEN s.cloud_pct < 40 ELSE s.cloud_pct <= 60 END AS usable FROM scenes s JOIN (SELECT l_orderkey AS scene_id, count(*) AS n FROM lineitem GROUP BY 1) i USING (scene_id)", uses=("scenes",))
+def q4(spark, d):
+    i = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("scene_id")).agg(F.count("*").alias("bytes_read"))
+    return bound(spark, d, "scenes").join(i, "scene_id").select("scene_id", "body_id", "sensed_at", "bytes_read", F.when(F.col("state") == "F", F.col("cloud_pct") < 40).otherwise(F.col("cloud_pct") <= 60).alias("usable"))
+
+
+@query("Q5_latest_scene", "SELECT body_id, arg_max(scene_id, (sensed_at, scene_id)) AS scene_id, max(sensed_at) AS sensed_at FROM scenes WHERE sensed_at <= TIMESTAMP '1999-06-30' GROUP BY 1", uses=("scenes",))
+def q5(spark, d):
+    return bound(spark, d, "scenes").filter("sensed_at <= '1999-06-30'").groupBy("body_id").agg(F.max_by("scene_id", F.struct("sensed_at", "scene_id")).alias("scene_id"), F.max("sensed_at").alias("sensed_at"))
+
+
+PANEL = SCORED + """,
+la AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY zone_id, indicator ORDER BY observed_at DESC, scene_id, line) = 1)"""
+
+
+def latest_readings(spark, d) -> DataFrame:
+    from tidewater.operators.detect import temporal_scores
+
+    return first_rows(temporal_scores(seen(spark, d)), ["zone_id", "indicator"], [F.col("observed_at").desc(), F.col("scene_id"), F.col("line")])
+
+
+@query("Q6_zone_panel", PANEL + """
+---
+SELECT z.zone_id, i.indicator, round(la.mean, 6) AS mean, round(la.z, 6) AS z, round(CASE WHEN abs(median) > 1e-6 THEN 100 * (la.mean - median) / median END, 6) AS deviation_pct, la.mean IS NULL AS missing
+FROM zones z CROSS JOIN (SELECT unnest(['A', 'N', 'R', 'X']) AS indicator) i LEFT JOIN la ON la.zone_id = z.zone_id AND la.indicator = i.indicator""", uses=ALL)
+def q6(spark, d):
+    grid = bound(spark, d, "zones").select("zone_id", F.explode(F.array(*[F.lit(x) for x in "ANRX"])).alias("indicator"))
+    r = grid.join(latest_readings(spark, d), ["zone_id", "indicator"], "left")
+    deviation = F.when(F.abs("median") > 1e-6, 100 * (F.col("mean") - F.col("median")) / F.col("median"))
+    return r.select("zone_id", "indicator", R("mean").alias("mean"), R("z").alias("z"), R(deviation).alias("deviation_pct"), F.col("mean").isNull().alias("missing"))
+
+
+@query("Q7_series_payload", SCORED + "\n---\nSELECT zone_id, indicator, CAST(date_trunc('week', observed_at) AS TIMESTAMP) AS week, count(*) AS n, round(max(z), 6) AS max_z, round(avg(mean), 6) AS avg_mean FROM scored WHERE zone_id % 5 = 0 GROUP BY 1, 2, 3", uses=ALL)
+def q7(spark, d):
+    from tidewater.operators.detect import temporal_scores
+
+    r = temporal_scores(seen(spark, d)).filter("zone_id % 5 = 0").groupBy("zone_id", "indicator", F.date_trunc("week", "observed_at").alias("week"))
+    return r.agg(F.count("*").alias("n"), R(F.max("z")).alias("max_z"), R(F.avg("mean")).alias("avg_mean"))
+
+
+@query("Q8_scene_marker", "SELECT s.body_id, arg_max(scene_id, (sensed_at, scene_id)) AS marker, z.first_zone FROM scenes s LEFT JOIN (SELECT body_id, min(zone_id) AS first_zone FROM zones GROUP BY 1) z ON z.body_id = s.body_id GROUP BY 1, 3", uses=("scenes", "zones"))
+def q8(spark, d):
+    first = bound(spark, d, "zones").groupBy("body_id").agg(F.min("zone_id").alias("first_zone"))
+    return bound(spark, d, "scenes").groupBy("body_id").agg(F.max_by("scene_id", F.struct("sensed_at", "scene_id")).alias("marker")).join(first, "body_id", "left")
+
+
+@query("Q9_keyset_page", "SELECT scene_id, sensed_at FROM scenes WHERE sensed_at < TIMESTAMP '2000-01-05' OR (sensed_at = TIMESTAMP '2000-01-05' AND scene_id > 5000) ORDER BY sensed_at DESC, scene_id LIMIT 51", uses=("scenes",))
+def q9(spark, d):
+    at = F.lit("2000-01-05").cast("timestamp_ntz")
+    return M.page_after(bound(spark, d, "scenes").select("scene_id", "sensed_at"), [("sensed_at", True), ("scene_id", False)], (at, 5000), 50)
+
+
+@query("Q11_worst_reading", PANEL + """
+---
+SELECT z.body_id, indicator, la.zone_id, round(z, 6) AS z, CASE WHEN status <> 'usable' THEN 'Building' WHEN abs(z) > 5 THEN 'Elevated' WHEN abs(z) > 3 THEN 'Watch' ELSE 'Normal' END AS status
+FROM la JOIN zones z USING (zone_id) QUALIFY row_number() OVER (PARTITION BY z.body_id, indicator ORDER BY abs(coalesce(la.z, 0)) DESC, la.zone_id) = 1""", uses=ALL)
+def q11(spark, d):
+    r = latest_readings(spark, d).join(bound(spark, d, "zones").select("zone_id", "body_id"), "zone_id")
+    r = first_rows(r, ["body_id", "indicator"], [F.abs(F.coalesce("z", F.lit(0.0))).desc(), F.col("zone_id")])
+    return r.select("body_id", "indicator", "zone_id", R("z").alias("z"), M.reading_status(F.col("z"), F.col("status") == "usable").alias("status"))
+
+
+@query("Q12_body_ranking", EPISODES + "\n---\nSELECT b.body_id, b.name, b.tier, count(e.episode) AS n_alerts FROM bodies b LEFT JOIN ef e ON e.zone_id = b.body_id AND e.peak_rank = 3 GROUP BY 1, 2, 3 ORDER BY n_alerts DESC, tier, name LIMIT 10", uses=("bodies", "candidates"))
+def q12(spark, d):
+    n = fields(spark, d).filter("peak_rank = 3").groupBy(F.col("zone_id").alias("body_id")).agg(F.count("*").alias("n_alerts"))
+    r = bound(spark, d, "bodies").join(n, "body_id", "left").select("body_id", "name", "tier", F.coalesce("n_alerts", F.lit(0)).alias("n_alerts"))
+    return r.orderBy(F.desc("n_alerts"), "tier", "name").limit(10)
+
+
+@query("Q13_name_lookup", "q AS (SELECT unnest(['nation_3', 'Nation_1', 'tion_2', 'nowhere']) AS asked)\n---\nSELECT asked, name FROM q JOIN bodies ON contains(lower(name), lower(asked)) QUALIFY row_number() OVER (PARTITION BY asked ORDER BY lower(name) = lower(asked) DESC, name) = 1", uses=("bodies",))
+def q13(spark, d):
+    names = bound(spark, d, "bodies").select("name", F.lower("name").alias("low"))
+    asked = F.explode(F.array(*[F.lit(x) for x in ("nation_3", "Nation_1", "tion_2", "nowhere")]))
+    r = names.withColumn("asked", asked).filter(F.contains("low", F.lower("asked")))
+    return first_rows(r, ["asked"], [(F.col("low") == F.lower("asked")).desc(), F.col("name")]).select("asked", "name")
+
+
+@query("Q14_peak_z", SCORED + "\n---\nSELECT zone_id, indicator, round(arg_max(z, (abs(z), scene_id, line)), 6) AS peak_z, count(*) FILTER (abs(z) > 3) AS n_flagged FROM scored GROUP BY 1, 2", uses=ALL)
+def q14(spark, d):
+    from tidewater.operators.detect import temporal_scores
+
+    r = temporal_scores(seen(spark, d)).groupBy("zone_id", "indicator")
+    peak = F.max(F.when(F.col("z").isNotNull(), F.struct(F.abs("z").alias("a"), F.col("scene_id"), F.col("line"), F.col("z"))))["z"]
+    return r.agg(R(peak).alias("peak_z"), F.count_if("flagged").alias("n_flagged"))
+
+
+DAYS = "dy AS (SELECT *, CAST(sensed_at AS DATE) AS day FROM scenes QUALIFY row_number() OVER (PARTITION BY body_id, CAST(sensed_at AS DATE) ORDER BY state = 'F' DESC, cloud_pct <= 60 DESC, cloud_pct, sensed_at, scene_id) = 1)"
+
+
+def days(spark, d) -> DataFrame:
+    s = bound(spark, d, "scenes").withColumn("day", F.to_date("sensed_at"))
+    return first_rows(s, ["body_id", "day"], [(F.col("state") == "F").desc(), (F.col("cloud_pct") <= 60).desc(), F.col("cloud_pct"), F.col("sensed_at"), F.col("scene_id")])
+
+
+@query("J1_scene_per_day", DAYS + "\n---\nSELECT body_id, day, scene_id FROM dy", uses=("scenes",))
+def j1(spark, d):
+    return days(spark, d).select("body_id", "day", "scene_id")
+
+
+@query("J2_day_report", DAYS + """
+---
+SELECT dy.body_id, dy.day, dy.scene_id, dy.cloud_pct, round(r.mm_24h, 6) AS mm_24h, c.n_candidates, c.priority FROM dy LEFT JOIN rain r ON r.body_id = dy.body_id AND r.date = dy.day
+LEFT JOIN (SELECT zone_id, CAST(observed_at AS DATE) AS day, count(*) AS n_candidates, max(priority) AS priority FROM candidates GROUP BY 1, 2) c ON c.zone_id = dy.body_id AND c.day = dy.day""", uses=("scenes", "rain", "candidates"))
+def j2(spark, d):
+    rain = bound(spark, d, "rain").select("body_id", F.col("date").alias("day"), R("mm_24h").alias("mm_24h"))
+    c = bound(spark, d, "candidates").groupBy(F.col("zone_id").alias("body_id"), F.to_date("observed_at").alias("day")).agg(F.count("*").alias("n_candidates"), F.max("priority").alias("priority"))
+    return days(spark, d).select("body_id", "day", "scene_id", "cloud_pct").join(rain, ["body_id", "day"], "left").join(c, ["body_id", "day"], "left")
+
+
+@query("J3_day_status", DAYS + "\n---\nSELECT body_id, day, CASE WHEN scene_id % 11 = 0 THEN 'no scene' WHEN scene_id % 7 = 0 THEN 'not processed' WHEN scene_id % 5 = 0 THEN 'mask failed' WHEN cloud_pct > 60 THEN 'too cloudy' WHEN state = 'O' THEN 'masked only' WHEN state = 'P' THEN 'indicators running' ELSE 'observed' END AS status FROM dy", uses=("scenes",))
+def j3(spark, d):
+    s = F.col("scene_id")
+    status = M.day_status(F.when(s % 11 != 0, s), s % 7 != 0, F.when(s % 5 == 0, "failed").otherwise("done"), F.col("cloud_pct") > 60, F.when(F.col("state") == "P", "running").when(F.col("state") == "F", "done"))
+    return days(spark, d).select("body_id", "day", status.alias("status"))
+
+
+@query("J4_area_weighted_means", "SELECT z.body_id, o.observed_at, o.indicator, round(sum(mean * z.area_km2) / sum(z.area_km2), 6) AS mean, count(*) FILTER (mean > 500) AS n_high, round(max(mean), 6) AS max_mean FROM obs o JOIN zones z USING (zone_id) GROUP BY 1, 2, 3", uses=("obs", "zones"))
+def j4(spark, d):
+    r = bound(spark, d, "obs").join(bound(spark, d, "zones").select("zone_id", "body_id", "area_km2"), "zone_id").groupBy("body_id", "observed_at", "indicator")
+    return r.agg(R(M.weighted_mean(F.col("mean"), F.col("area_km2"))).alias("mean"), F.count_if(F.col("mean") > 500).alias("n_high"), R(F.max("mean")).alias("max_mean"))
+
+
+@query("J5_brief_series", EPISODES + """,
+bs AS (SELECT zone_id, indicator, episode, last_at FROM ef WHERE episode % 7 = 0)
+---
+SELECT bs.zone_id, bs.episode, bs.indicator, count(*) AS n, round(avg(c.priority), 6) AS mean, round(quantile_cont(c.priority, 0.9), 6) AS p90 FROM bs JOIN candidates c ON c.zone_id = bs.zone_id AND c.indicator = bs.indicator AND c.observed_at <= bs.last_at AND c.observed_at > bs.last_at - INTERVAL 360 DAY GROUP BY 1, 2, 3""", uses=("candidates",))
+def j5(spark, d):
+    b = fields(spark, d).filter("episode % 7 = 0").select("zone_id", "indicator", "episode", "last_at")
+    c = bound(spark, d, "candidates").select("zone_id", "indicator", "observed_at", F.col("priority").alias("p"))
+    r = b.join(c, ["zone_id", "indicator"]).filter("observed_at <= last_at AND observed_at > last_at - INTERVAL 360 DAY")
+    return r.groupBy("zone_id", "episode", "indicator").agg(F.count("*").alias("n"), R(F.avg("p")).alias("mean"), R(F.percentile("p", 0.9)).alias("p90"))
+
+
+JOBS = STAGE + """,
+jc AS (SELECT body_id, year(sensed_at) AS yr, count(DISTINCT scene_id) AS n_scenes, """ + ", ".join(f"count(DISTINCT CASE WHEN k >= {i} OR state = 'P' THEN scene_id END) AS {n}" for i, n in enumerate(M.STAGES[:5])) + " FROM st WHERE cloud_pct <= 60 GROUP BY 1, 2)"
+
+
+def jobs(spark, d) -> DataFrame:
+    s = stages(spark, d).filter("cloud_pct <= 60").groupBy("body_id", F.year("sensed_at").cast("long").alias("yr"))
+    return s.agg(F.countDistinct("scene_id").alias("n_scenes"), *[F.countDistinct(F.when((F.col("k") >= i) | (F.col("state") == "P"), F.col("scene_id"))).alias(n) for i, n in enumerate(M.STAGES[:5])])
+
+
+@query("J6_stage_counts", JOBS + "\n---\nSELECT * FROM jc", uses=("scenes",))
+def j6(spark, d):
+    return jobs(spark, d)
+
+
+@query("J7_job_progress", JOBS + """
+---
+SELECT body_id, yr, round((least(ingested / n_scenes, 1) + least(masked / n_scenes, 1) + least(indicators / n_scenes, 1) + least(anomalies / n_scenes, 1) + least(scored / n_scenes, 1)) / 5 * 100, 4) AS progress,
+CASE WHEN ingested < n_scenes THEN 'ingested' WHEN masked < n_scenes THEN 'masked' WHEN indicators < n_scenes THEN 'indicators' WHEN anomalies < n_scenes THEN 'anomalies' WHEN scored < n_scenes THEN 'scored' END AS current_stage,
+CASE WHEN least(ingested, masked, indicators, anomalies, scored) >= n_scenes THEN 'done' ELSE 'running' END AS status FROM jc""", uses=("scenes",))
+def j7(spark, d):
+    return M.progress(jobs(spark, d)).select("body_id", "yr", "progress", "current_stage", "status")
+
+
+@query("J8_active_jobs", "SELECT body_id, sensed_at, scene_id FROM scenes WHERE state IN ('O', 'P') QUALIFY row_number() OVER (PARTITION BY body_id, sensed_at ORDER BY scene_id DESC) = 1", uses=("scenes",))
+def j8(spark, d):
+    return M.newest(bound(spark, d, "scenes").filter("state IN ('O', 'P')"), ["body_id", "sensed_at"], "scene_id", "body_id").select("body_id", "sensed_at", "scene_id")
+
+
+@query("O1_staleness", "SELECT b.body_id, coalesce(round((epoch(TIMESTAMP '2001-08-10') - epoch(max(s.sensed_at))) / 86400, 2), 9999.0) AS days, coalesce(round((epoch(TIMESTAMP '2001-08-10') - epoch(max(s.sensed_at))) / 86400, 2), 9999.0) > 10 AS page FROM bodies b LEFT JOIN scenes s ON s.body_id = b.body_id AND cloud_pct < 20 AND b.body_id <> 3 GROUP BY 1", uses=("bodies", "scenes"))
+def o1(spark, d):
+    return M.staleness(bound(spark, d, "bodies"), bound(spark, d, "scenes").filter("cloud_pct < 20 AND body_id <> 3"), now="2001-08-10")
+
+
+@query("O2_open_alerts", EPISODES + "\n---\nSELECT s.severity, count(ef.episode) AS n FROM (SELECT unnest(['low', 'medium', 'high']) AS severity, unnest([1, 2, 3]) AS r) s LEFT JOIN ef ON ef.peak_rank = s.r AND last_at > TIMESTAMP '2001-07-20' GROUP BY 1", uses=("candidates",))
+def o2(spark, d):
+    every = spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in ("low", "medium", "high")])).alias("severity"))
+    n = fields(spark, d).filter("last_at > '2001-07-20'").groupBy(F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("peak_rank").cast("int")).alias("severity")).agg(F.count("*").alias("n"))
+    return every.join(n, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("O3_event_counters", "SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
+def o3(spark, d):
+    return table(spark, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"))
+
+
+@query("O4_stage_p95", "SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) AS start, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS n, quantile_cont(value, 0.95) > 20 AS alarm FROM events GROUP BY 1, 2")
+def o4(spark, d):
+    return M.hourly_p95(table(spark, d, "events"), alarm=20).withColumn("p95", R("p95"))
