@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import jaccard, mixing, packing, pii, quality
-from tidewater.llm.storage import written
+from tidewater.llm.storage import small_side, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,8 +24,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without words link with nothing and stay.
     """
     groups = jaccard.join(docs, width=5, percent=80)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    copies = written(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    return docs.join(small_side(copies), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.storage import small_side, written
 from tidewater.llm.urls import host_and_path
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*(?:>|\Z))", re.DOTALL)
@@ -179,12 +180,14 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``, which needs page_id, url and html.
 
     Null html or html without an article gives an empty text; a null url has no host. Repeated rows are extracted
-    alike, other columns are not read. A host with a third of all pages is one key of the join of pages with winning
-    paths; adaptive execution splits it, as nothing after the join needs a host's pages together.
+    alike, other columns are not read. The winning paths, one row a host, are broadcast while they are few; beyond that
+    the pages are joined by a shuffle, in which adaptive execution splits a host with a third of all pages, as nothing
+    after the join needs a host's pages together.
     """
     host, _ = host_and_path(F.col("url"))
     given = pages.select("page_id", "url", "html", host.alias("host"))
-    joined = given.join(host_paths(given).withColumnRenamed("path", "winner"), "host", "left").select("page_id", "url", "html", "winner")
+    winners = written(host_paths(given), "host-paths").withColumnRenamed("path", "winner")
+    joined = given.join(small_side(winners), "host", "left").select("page_id", "url", "html", "winner")
     key, kind = pages.schema["page_id"].name, pages.schema["page_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.components import components
-from tidewater.llm.storage import discard, written
+from tidewater.llm.storage import discard, small_side, written
 from tidewater.llm.tasks import whole_groups
 from tidewater.llm.textkit import mix64, pieces, shingle_sets
 
@@ -182,8 +182,9 @@ def _allowed(pairs: DataFrame, reps: DataFrame, *, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, *, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets, made again from the texts, are similar enough."""
-    involved = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    texts = written(docs.select("doc_id", "text").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    involved = written(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "involved")
+    texts = written(docs.select("doc_id", "text").join(small_side(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    discard(involved)
     second = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     both = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
@@ -267,18 +268,19 @@ def join(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     shared = written(_shared(keyed.select(F.explode("keys").alias("key"), "doc")), "shared-keys")
     discard(keyed)
 
-    popular = shared.groupBy("doc").agg(F.count("*").alias("keys_shared"))
+    popular = written(shared.groupBy("doc").agg(F.count("*").alias("keys_shared")), "popular")
     by_key = Window.partitionBy("key").orderBy(F.desc("keys_shared"), "doc")
-    centred = shared.join(popular, "doc").withColumn("centre", F.first("doc").over(by_key))
+    centred = shared.join(small_side(popular), "doc").withColumn("centre", F.first("doc").over(by_key))
     pairs = written(centred.filter("centre <> doc").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct(), "centre-pairs")
     close = written(_allowed(pairs, reps, percent=percent), "close-pairs")
     links = verified(close, docs, width=width, percent=percent)
     discard(close)
     labels = written(components(links), "centre-components")
 
-    placed = shared.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("rows")).filter("least <> most")
-    unsettled = placed.join(mixed.select("key", "rows"), "key").join(reps.select("doc", "n", "sketch"), "doc")
+    placed = shared.join(small_side(labels).withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+    key = Window.partitionBy("key")
+    mixed = placed.withColumn("least", F.min("comp").over(key)).withColumn("most", F.max("comp").over(key)).withColumn("rows", F.count("*").over(key)).filter("least <> most")
+    unsettled = mixed.select("key", "doc", "comp", "rows").join(reps.select("doc", "n", "sketch"), "doc")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
     spread = unsettled.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -286,7 +288,7 @@ def join(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     more = _near(spread, percent=percent).distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(more.join(done, ["a", "b"], "left_anti"), "sketch-pairs")
-    discard(shared, pairs)
+    discard(shared, pairs, popular)
     late = verified(rest, docs, width=width, percent=percent)
     final = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(late))
     discard(rest)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,3 +46,13 @@ def discard(*frames: DataFrame) -> None:
             spark = frame.sparkSession
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Rows of numbers or short strings that a join may broadcast: some tens of MB.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(stored: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The stored table, to be broadcast in a join if it has at most ``most`` rows; beyond that the join is left to
+    shuffle both sides, which adaptive execution splits where a key is large."""
+    return F.broadcast(stored) if stored.count() <= most else stored
