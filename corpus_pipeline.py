@@ -19,11 +19,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group that links of five-word shingles at 0.8 connect.
+    """One document, that with the smallest id, of each group that links of five-word shingles at 0.85 connect.
 
     Documents without words link with nothing and stay.
     """
-    groups = jaccard.join(docs, width=5, percent=80)
+    groups = jaccard.join(docs, width=5, percent=85)
     copies = written(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return docs.join(small_side(copies), "doc_id", "left_anti").select(*COLUMNS)
 

@@ -14,6 +14,7 @@ then in different components are compared in full, by sketches inside tasks, in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,9 +44,19 @@ class Bands:
             bounds.append(max(bounds[-1] + 1, int(bounds[-1] * BAND_GROWTH)))
         self.bounds = np.array(bounds, np.int64)
         most = (100 - percent) * (self.bounds[1:] - 1) // percent
-        self.slack = most // 10 + 2
+        self.slack = np.array([self._spare(int(d), int(n)) for d, n in zip(most, self.bounds[:-1], strict=True)], np.int64)
         self.segments = most + 1 + self.slack
 
+    @staticmethod
+    def _spare(most: int, smallest: int) -> int:
+        """Segments to spare so that a set of the band's smallest size seldom leaves more than these empty."""
+        spare = most // 10 + 2
+        while True:
+            empty = (most + 1 + spare) * math.exp(-smallest / (most + 1 + spare))
+            if spare >= empty + 2 * math.sqrt(empty) or spare > most:
+                return spare
+            spare += 1 + spare // 20
+
     def roles(self, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(rows, bands) at home, and as guests one band lower where a smaller set there could be similar enough.
 
