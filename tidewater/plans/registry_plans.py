@@ -1 +1,123 @@
-"""Queries to come."""
+"""Geometry and registry queries (G)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidewater.operators import geometry as G
+from tidewater.plans.bindings import bound, table
+from tidewater.plans.registry import query
+
+R = lambda c, n=6: F.round(c, n)
+POLY = """po AS (SELECT s_suppkey AS id, unnest(range(0, 5)) AS seq, s_suppkey % 17 * 1000e0 AS ox, s_suppkey % 13 * 900e0 AS oy, 300 + abs(s_acctbal) / 10 AS w, 200 + s_suppkey * 3e0 AS h FROM supplier),
+vx AS (SELECT id, seq, ox + list_extract([0, w, w * 1.2e0, w * 0.6e0, 0], seq + 1) AS x, oy + list_extract([0, 0, h * 0.5e0, h, h * 0.8e0], seq + 1) AS y FROM po),
+ed AS (SELECT id, seq, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM vx WINDOW w AS (PARTITION BY id ORDER BY seq))"""
+
+
+def polygons(spark, d) -> DataFrame:
+    """A pentagon per supplier, as vertices."""
+    s = table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    base = s.select(k.alias("id"), (k % 17 * 1000).cast("double").alias("ox"), (k % 13 * 900).cast("double").alias("oy"), (300 + F.abs("s_acctbal") / 10).alias("w"), (200 + k * 3).cast("double").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("seq"))
+    xs = F.array(F.lit(0.0), F.col("w"), F.col("w") * 1.2, F.col("w") * 0.6, F.lit(0.0))
+    ys = F.array(F.lit(0.0), F.lit(0.0), F.col("h") * 0.5, F.col("h"), F.col("h") * 0.8)
+    return base.select("id", F.col("seq").cast("long").alias("seq"), (F.col("ox") + xs[F.col("seq")]).alias("x"), (F.col("oy") + ys[F.col("seq")]).alias("y"))
+
+
+@query("G1_utm_round_trip")
+def g1(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 10000 * 170).alias("lon"), (F.col("c_custkey") % 160 - 79.5).alias("lat"))
+    zone = G.utm_zone(F.col("lon"))
+    e, n = G.to_utm(F.col("lon"), F.col("lat"), zone)
+    p = c.withColumn("zone", zone).withColumn("e", e).withColumn("n", n)
+    lon, lat = G.from_utm(F.col("e"), F.col("n"), F.col("zone"), F.col("lat") < 0)
+    metres = F.sqrt(F.pow((lon - F.col("lon")) * 111320 * F.cos(F.radians("lat")), 2) + F.pow((lat - F.col("lat")) * 110574, 2))
+    return p.select("c_custkey", "zone", G.utm_epsg(F.col("zone"), F.col("lat")).alias("epsg"), R("e", 3).alias("easting"), R("n", 3).alias("northing"), (metres < 0.001).alias("exact"))
+
+
+@query("G2_polygon_area", POLY + "\n---\nSELECT id, round(abs(sum(x * y2 - x2 * y)) / 2 / 1e6, 9) AS area_km2 FROM ed GROUP BY 1")
+def g2(spark, d):
+    return G.areas(polygons(spark, d), "id").select("id", R("area_km2", 9).alias("area_km2"))
+
+
+CELLS = POLY + """,
+bb AS (SELECT id, floor(min(x) / 100) AS c0, floor(max(x) / 100) AS c1, floor(min(y) / 100) AS r0, floor(max(y) / 100) AS r1 FROM vx GROUP BY 1),
+ce AS (SELECT id, CAST(c AS BIGINT) AS col, CAST(r AS BIGINT) AS row FROM (SELECT id, r0, r1, unnest(generate_series(CAST(c0 AS BIGINT), CAST(c1 AS BIGINT))) AS c FROM bb) q, LATERAL (SELECT unnest(generate_series(CAST(r0 AS BIGINT), CAST(r1 AS BIGINT))) AS r)),
+ins AS (SELECT ce.id, ce.row, ce.col FROM ce JOIN ed ON ed.id = ce.id AND (ed.y > ce.row * 100 + 50) <> (ed.y2 > ce.row * 100 + 50) AND ce.col * 100 + 50 < (ed.x2 - ed.x) * (ce.row * 100 + 50 - ed.y) / (ed.y2 - ed.y) + ed.x GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1)"""
+
+
+@query("G3_rasterise", CELLS + "\n---\nSELECT id, row, col FROM ins")
+def g3(spark, d):
+    return G.rasterise(polygons(spark, d), "id", step=100.0)
+
+
+@query("G4_centroid_and_box", POLY + "\n---\nSELECT id, round(sum((x + x2) * (x * y2 - x2 * y)) / (3 * sum(x * y2 - x2 * y)), 6) AS cx, round(sum((y + y2) * (x * y2 - x2 * y)) / (3 * sum(x * y2 - x2 * y)), 6) AS cy, round(min(x), 6) AS x0, round(max(y), 6) AS y1 FROM ed GROUP BY 1")
+def g4(spark, d):
+    return G.centroids(polygons(spark, d), "id").select("id", *[R(c).alias(c) for c in ("cx", "cy", "x0", "y1")])
+
+
+@query("G5_point_in_polygon", POLY + """,
+pt AS (SELECT c_custkey AS pid, c_custkey % 97 * 190e0 AS px, c_acctbal * 1.2e0 AS py FROM customer)
+---
+SELECT pid, id FROM pt JOIN ed ON (y > py) <> (y2 > py) AND px < (x2 - x) * (py - y) / (y2 - y) + x GROUP BY 1, 2 HAVING count(*) % 2 = 1""")
+def g5(spark, d):
+    points = table(spark, d, "customer").select(F.col("c_custkey").alias("pid"), (F.col("c_custkey") % 97 * 190).cast("double").alias("px"), (F.col("c_acctbal") * 1.2).alias("py"))
+    return G.points_in(points, polygons(spark, d), "id", cell=500.0)
+
+
+@query("G6_overlap_ratio", CELLS + "\n---\nSELECT a.id AS candidate, b.id AS other, round(count(*) / max(n), 6) AS ratio FROM ins a JOIN ins b ON a.row = b.row AND a.col = b.col AND a.id <> b.id JOIN (SELECT id, count(*) AS n FROM ins GROUP BY 1) s ON s.id = a.id GROUP BY 1, 2 HAVING count(*) / max(n) >= 0.3")
+def g6(spark, d):
+    return G.overlaps(G.rasterise(polygons(spark, d), "id", step=100.0), "id", least=0.3).withColumn("ratio", R("ratio"))
+
+
+@query("G9_radius_discovery", """pt AS (SELECT c_custkey AS id, c_acctbal / 100 AS lon, c_custkey % 160 - 79.5e0 AS lat, abs(c_acctbal) AS area FROM customer),
+ds AS (SELECT *, 2 * 6371.0088e0 * asin(sqrt(sin(radians(lat - 20) / 2) ** 2 + cos(radians(20)) * cos(radians(lat)) * sin(radians(lon - 50) / 2) ** 2)) AS km FROM pt)
+---
+SELECT id, round(km, 6) AS km, area FROM (SELECT * FROM ds WHERE km <= 3000 ORDER BY id LIMIT 200) ORDER BY area DESC""")
+def g9(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 100).alias("lon"), (F.col("c_custkey") % 160 - 79.5).cast("double").alias("lat"), F.abs("c_acctbal").alias("area"))
+    return G.discover(c, lon=50.0, lat=20.0, radius_km=3000.0, most=200).withColumn("km", R("km")).select("id", "km", "area")
+
+
+@query("G10_kind", "SELECT body_id, CASE WHEN water_tag IN ('reservoir', 'basin') THEN 'reservoir' WHEN water_tag = 'river' THEN 'river_stretch' ELSE 'lake' END AS kind FROM bodies", uses=("bodies",))
+def g10(spark, d):
+    return bound(spark, d, "bodies").select("body_id", G.kind(F.col("water_tag")).alias("kind"))
+
+
+@query("G11_zones_per_body", "SELECT body_id, CAST(least(greatest(4 + floor(greatest(0, area_km2 - 5) / 6), 4), 8) AS BIGINT) AS k FROM bodies", uses=("bodies",))
+def g11(spark, d):
+    return bound(spark, d, "bodies").select("body_id", G.zone_count(F.col("area_km2")).alias("k"))
+
+
+@query("G12_zone_partition")
+def g12(spark, d):
+    cells = G.rasterise(polygons(spark, d), "id", step=100.0).filter("id % 10 = 3").select("id", (F.col("col") * 100.0).alias("x"), (F.col("row") * 100.0).alias("y"))
+    return G.partition(cells, "id", k=4, rounds=4)
+
+
+@query("G13_zone_names", """dr AS (SELECT z.zone_id, z.body_id, cos(zone_id * 1.7e0) * area_km2 AS dx, sin(zone_id * 1.7e0) * area_km2 AS dy FROM zones z),
+nm AS (SELECT *, CASE WHEN sqrt(dx * dx + dy * dy) < 1 THEN 'Central' ELSE list_extract(['North', 'North-East', 'East', 'South-East', 'South', 'South-West', 'West', 'North-West'], CAST(floor((degrees(atan2(dx, dy)) + 360 + 22.5) / 45) AS INTEGER) % 8 + 1) END AS base FROM dr)
+---
+SELECT zone_id, body_id, CASE WHEN row_number() OVER (PARTITION BY body_id, base ORDER BY zone_id) > 1 THEN base || ' ' || row_number() OVER (PARTITION BY body_id, base ORDER BY zone_id) ELSE base END AS name FROM nm""", uses=("zones",))
+def g13(spark, d):
+    z = bound(spark, d, "zones").withColumn("dx", F.cos(F.col("zone_id") * 1.7) * F.col("area_km2")).withColumn("dy", F.sin(F.col("zone_id") * 1.7) * F.col("area_km2"))
+    base = G.compass(F.col("dx"), F.col("dy"), 1.0)
+    n = F.row_number().over(Window.partitionBy("body_id", "base").orderBy("zone_id"))
+    named = z.withColumn("base", base).withColumn("n", n)
+    return named.select("zone_id", "body_id", F.when(F.col("n") > 1, F.concat_ws(" ", "base", F.col("n").cast("string"))).otherwise(F.col("base")).alias("name"))
+
+
+@query("G14_tier", "SELECT body_id, CASE WHEN drinking_water OR (urban AND water_tag = 'river') OR area_km2 >= 10 THEN 1 WHEN area_km2 >= 1 THEN 2 ELSE 3 END AS tier FROM bodies", uses=("bodies",))
+def g14(spark, d):
+    return bound(spark, d, "bodies").select("body_id", G.tier(F.col("area_km2"), G.kind(F.col("water_tag")), F.col("drinking_water"), F.col("urban")).alias("tier"))
+
+
+@query("G15_slug", "SELECT doc_id, trim(regexp_replace(lower(translate(left(text, 60), 'áàâäãåçéèêëíìîïñóòôöõúùûüÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜ', 'aaaaaaceeeeiiiinooooouuuuAAAAAACEEEEIIIINOOOOOUUUU')), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM documents")
+def g15(spark, d):
+    return table(spark, d, "documents").select("doc_id", G.slug(F.substring("text", 1, 60)).alias("slug"))
+
+
+@query("G16_grid_coarsening", "SELECT body_id, CAST(list_min(list_filter([10, 20, 40, 80, 160, 320, 640, 1280], lambda s: ceil(area_km2 * 1e6 / (s * s)) <= 6000 OR s > 1000)) AS BIGINT) AS step FROM bodies", uses=("bodies",))
+def g16(spark, d):
+    return bound(spark, d, "bodies").select("body_id", G.coarse_step(F.col("area_km2"), most_cells=6000).alias("step"))

@@ -1 +1,134 @@
-"""Queries to come."""
+"""Source, planner and sink queries (S)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewater.plans.bindings import bound, table
+from tidewater.plans.registry import query
+from tidewater.sources import catalog as S
+
+R = lambda c, n=6: F.round(c, n)
+ITEM = """it AS (SELECT event_id, ts, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k FROM events)"""
+
+
+def items(spark, d) -> DataFrame:
+    """Catalogue items as JSON, made from the events' properties."""
+    e = table(spark, d, "events").withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("long"))
+    k = F.col("k")
+    props = F.to_json(F.struct(
+        F.when(k % 3 == 0, F.concat(F.lit("MGRS-43Q"), k.cast("string"))).alias("grid:code"), F.when(k % 3 == 1, k % 60).alias("mgrs:utm_zone"), F.when(k % 3 == 1, "Q").alias("mgrs:latitude_band"), F.when(k % 3 == 1, "CA").alias("mgrs:grid_square"),
+        F.when(k % 5 != 0, k.cast("double")).alias("eo:cloud_cover"), F.when(k % 2 == 0, F.concat(F.lit("EPSG:"), (32600 + k % 60).cast("string"))).alias("proj:code"), F.when(k % 7 == 0, True).alias("earthsearch:boa_offset_applied"),
+        F.when(k % 7 == 1, "05.12").when(k % 7 == 2, "03.01").when(k % 7 == 3, "odd").alias("s2:processing_baseline"),
+    ))
+    return e.select("event_id", F.col("ts").alias("at"), props.alias("properties"))
+
+
+@query("S2_scene_catalog", ITEM + """
+---
+SELECT event_id, CASE WHEN k % 3 = 0 THEN '43Q' || k WHEN k % 3 = 1 THEN printf('%02d', k % 60) || 'QCA' END AS tile, CASE WHEN k % 5 <> 0 THEN CAST(k AS DOUBLE) ELSE 100.0 END AS cloud_pct, CASE WHEN k % 2 = 0 THEN 32600 + k % 60 END AS epsg FROM it WHERE k % 3 <> 2""")
+def s2(spark, d):
+    return S.scene_catalog(items(spark, d)).select("event_id", "tile", "cloud_pct", "epsg")
+
+
+@query("S3_boa_offset", ITEM + "\n---\nSELECT event_id, CAST(CASE WHEN k % 7 = 0 THEN 0 WHEN k % 7 = 1 THEN -1000 WHEN k % 7 = 2 THEN 0 ELSE -1000 END AS BIGINT) AS boa_offset FROM it")
+def s3(spark, d):
+    return items(spark, d).select("event_id", S.boa_offset(F.from_json("properties", S.ITEM_PROPERTIES)).cast("long").alias("boa_offset"))
+
+
+@query("S4_millis_to_scene", "SELECT event_id, make_timestamp(epoch_us(ts) // 1000 * 1000) AS sensed_at, lower(replace(event_type, 'i', '-')) AS platform, CAST(CASE WHEN event_id % 2 = 0 THEN 32643 ELSE 32743 END AS BIGINT) AS epsg FROM events")
+def s4(spark, d):
+    e = table(spark, d, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.translate("event_type", "i", "_").alias("platform"), F.when(F.col("event_id") % 2 == 0, "43QCA").otherwise("43HCA").alias("tile"))
+    r = S.from_feature(e)
+    return r.select("event_id", F.col("sensed_at").cast("timestamp_ntz").alias("sensed_at"), "platform", F.col("epsg").cast("long").alias("epsg"))
+
+
+@query("S5_search_scenes", "SELECT body_id, scene_id FROM (SELECT * FROM scenes WHERE CAST(sensed_at AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' QUALIFY row_number() OVER (PARTITION BY body_id ORDER BY sensed_at, scene_id) <= 40) WHERE scene_id % 3 = body_id % 3", uses=("scenes",))
+def s5(spark, d):
+    r = S.search(bound(spark, d, "scenes"), first="1997-01-01", last="1997-12-31", limit=40)
+    return r.filter("scene_id % 3 = body_id % 3").select("body_id", "scene_id")
+
+
+@query("S6_source_fallback", "att AS (SELECT o_custkey AS request, o_orderkey % 3 AS rnk, o_orderstatus <> 'P' AS ok FROM orders)\n---\nSELECT request, min(rnk) FILTER (ok) AS source_rank, count(*) FILTER (NOT ok) AS failures FROM att GROUP BY 1")
+def s6(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("request"), (F.col("o_orderkey") % 3).alias("rank"), (F.col("o_orderstatus") != "P").alias("ok"))
+    return S.first_healthy(o)
+
+
+@query("S7_scene_upsert", "SELECT o_custkey AS scene_id, arg_min(o_orderpriority, (o_orderdate, o_orderkey)) AS source, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS cloud_pct, arg_max(o_totalprice, (o_orderdate, o_orderkey)) <= 200000 AS usable FROM orders GROUP BY 1")
+def s7(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("scene_id"), F.col("o_orderpriority").alias("source"), F.col("o_totalprice").alias("cloud_pct"), F.struct("o_orderdate", "o_orderkey").alias("seen"))
+    return S.upsert_scenes(o, most_cloud=200000)
+
+
+@query("S8_snapped_window", "SELECT c_custkey, floor((c_acctbal - 100) / 20) * 20 + 0.0 AS x0, ceil((c_acctbal + 350.5) / 20) * 20 + 0.0 AS x1 FROM customer")
+def s8(spark, d):
+    lo, hi = S.snapped(F.col("c_acctbal"), F.col("c_acctbal") + 250.5)
+    return table(spark, d, "customer").select("c_custkey", lo.cast("double").alias("x0"), hi.cast("double").alias("x1"))
+
+
+@query("S9_resample_nearest", "SELECT vec_id AS scene_id, i // 8 * 2 + dr AS row, i % 8 * 2 + dc AS col, round(CAST(v AS DOUBLE), 6) AS v FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(0, 64)) AS i FROM embeddings), (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(dr, dc)")
+def s9(spark, d):
+    from tidewater.plans.detection import grid
+
+    return S.finer(grid(spark, d), "scene_id").withColumn("v", R(F.col("v").cast("double")))
+
+
+@query("S10_block_plan", "pl AS (SELECT p_partkey, 100 + p_size * 40 AS w, 300 + p_partkey % 700 AS h FROM part WHERE p_partkey % 50 = 0)\n---\nSELECT p_partkey, x, y, least(512, w - x) AS bw, least(512, h - y) AS bh FROM pl, LATERAL (SELECT unnest(range(0, w, 512)) AS x), LATERAL (SELECT unnest(range(0, h, 512)) AS y)")
+def s10(spark, d):
+    p = table(spark, d, "part").filter("p_partkey % 50 = 0").select("p_partkey", (100 + F.col("p_size") * 40).cast("long").alias("w"), (300 + F.col("p_partkey") % 700).alias("h"))
+    return S.blocks(p, 512).select("p_partkey", "x", "y", "bw", "bh")
+
+
+@query("S11_backfill_chunks", "sp AS (SELECT body_id, CAST(min(sensed_at) AS DATE) AS a, CAST(max(sensed_at) AS DATE) AS b FROM scenes GROUP BY 1)\n---\nSELECT body_id, CAST(g AS DATE) AS chunk_from, least(CAST(g AS DATE) + 30, b) AS chunk_to FROM sp, LATERAL (SELECT unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 31 DAY)) AS g)", uses=("scenes",))
+def s11(spark, d):
+    spans = bound(spark, d, "scenes").groupBy("body_id").agg(F.to_date(F.min("sensed_at")).alias("a"), F.to_date(F.max("sensed_at")).alias("b"))
+    return S.chunks(spans, 31)
+
+
+@query("S12_stage_input", "SELECT scene_id FROM scenes WHERE state = 'F' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = scene_id AND l_returnflag = 'R')", uses=("scenes",))
+def s12(spark, d):
+    done = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("scene_id"))
+    return S.outstanding(bound(spark, d, "scenes").filter("state = 'F'"), done).select("scene_id")
+
+
+@query("S13_pending_pairs", "SELECT DISTINCT s.body_id, CAST(s.sensed_at AS DATE) AS day FROM scenes s JOIN bodies b USING (body_id) WHERE cloud_pct <= 60 AND CAST(sensed_at AS DATE) >= DATE '2001-07-31' - CASE tier WHEN 1 THEN 7 WHEN 2 THEN 3 ELSE 10 END AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = s.scene_id AND l_returnflag = 'R')", uses=("scenes", "bodies"))
+def s13(spark, d):
+    done = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("scene_id"))
+    return S.pending(bound(spark, d, "scenes"), bound(spark, d, "bodies"), done, today="2001-07-31")
+
+
+@query("S14_quick_look", "SELECT body_id, scene_id FROM scenes WHERE cloud_pct <= 60 AND state <> 'P' QUALIFY row_number() OVER (PARTITION BY body_id ORDER BY sensed_at DESC, scene_id) <= 3", uses=("scenes",))
+def s14(spark, d):
+    return S.newest(bound(spark, d, "scenes").filter("cloud_pct <= 60 AND state <> 'P'"), 3).select("body_id", "scene_id")
+
+
+@query("S15_observation_upsert", "SELECT zone_id, indicator, observed_at, scene_id, line FROM obs QUALIFY row_number() OVER (PARTITION BY zone_id, indicator, observed_at ORDER BY scene_id DESC, line DESC) = 1", uses=("obs",))
+def s15(spark, d):
+    from tidewater.operators.baseline import first_rows
+
+    r = first_rows(bound(spark, d, "obs"), ["observed_at", "zone_id", "indicator"], [F.col("scene_id").desc(), F.col("line").desc()])
+    return r.select("zone_id", "indicator", "observed_at", "scene_id", "line")
+
+
+@query("S16_rain_payload", "SELECT body_id, date, round(mm_24h, 6) AS mm FROM rain WHERE NOT (dayofyear(date) % 9 = 0)", uses=("rain",))
+def s16(spark, d):
+    rain = bound(spark, d, "rain").withColumn("mm", F.when(F.dayofyear("date") % 9 != 0, F.col("mm_24h")))
+    daily = F.array_sort(F.collect_list(F.struct(F.col("date").cast("string").alias("t"), "mm")))
+    payload = rain.groupBy("body_id", F.year("date").alias("y")).agg(daily.alias("a"))
+    text = F.to_json(F.struct(F.struct(F.transform("a", lambda x: x["t"]).alias("time"), F.transform("a", lambda x: x["mm"]).alias("precipitation_sum")).alias("daily")))
+    return S.rain_payload(payload.select("body_id", text.alias("payload"))).withColumn("mm", R("mm"))
+
+
+@query("S17_report_rows", "SELECT scene_id, body_id || ';' || coalesce(string_agg(DISTINCT l_returnflag, ';' ORDER BY l_returnflag), '') AS row_text FROM scenes LEFT JOIN lineitem ON l_orderkey = scene_id GROUP BY scene_id, body_id", uses=("scenes",))
+def s17(spark, d):
+    flags = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("scene_id")).agg(F.array_sort(F.collect_set("l_returnflag")).alias("flags"))
+    r = bound(spark, d, "scenes").join(flags, "scene_id", "left")
+    return r.select("scene_id", S.report_text([F.col("body_id").cast("string"), F.array_join("flags", ";")]).alias("row_text"))
+
+
+@query("S18_geojson", "SELECT candidate_id, '{\"type\":\"Feature\",\"properties\":{\"zone_id\":' || zone_id || ',\"area\":' || CASE WHEN votes > 1 THEN votes * 2 ELSE votes END || '}}' AS feature FROM candidates", uses=("candidates",))
+def s18(spark, d):
+    c = bound(spark, d, "candidates")
+    return c.select("candidate_id", S.feature(F.struct("zone_id", F.when(F.col("votes") > 1, F.col("votes") * 2).otherwise(F.col("votes")).alias("area"))).alias("feature"))
