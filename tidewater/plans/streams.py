@@ -1 +1,26 @@
-"""Queries to come."""
+"""Telemetry queries (T): batch forms over landed rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewater.plans.bindings import table
+from tidewater.plans.registry import query
+from tidewater.streaming import telemetry as T
+
+
+@query("T1_streaming_weekly_rollup", "SELECT event_type, CAST(date_trunc('week', ts) AS TIMESTAMP) AS week, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def t1(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    r = T.weekly(e)
+    return r.select("event_type", F.col("week").cast("timestamp_ntz").alias("week"), "n", F.round("total", 4).alias("total"))
+
+
+@query("T5_telemetry_flatten", "SELECT event_id, CAST(coalesce(CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT), 0) AS BIGINT) AS k, 'unknown' AS device FROM events")
+def t5(spark, d):
+    return T.flatten(table(spark, d, "events")).select("event_id", "k", "device")
+
+
+@query("T6_reading_bands", "SELECT event_id, CASE WHEN value < 5 THEN 'clear' WHEN value < 25 THEN 'slightly turbid' WHEN value < 50 THEN 'turbid' ELSE 'very turbid' END AS band FROM events")
+def t6(spark, d):
+    return table(spark, d, "events").select("event_id", T.band(F.col("value")).alias("band"))
