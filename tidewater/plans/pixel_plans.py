@@ -177,10 +177,10 @@ def n9(spark, d):
 ZONAL = LONG + ", zn AS (SELECT scene_id, zone_id, indicator, avg(value) AS mean, quantile_cont(value, 0.9) AS p90, stddev_pop(value) AS std, count(*) AS n, 100 * avg(CAST(clipped AS DOUBLE)) AS clipped_pct FROM lg GROUP BY 1, 2, 3)"
 
 
-@query("N10_zonal_statistics", ZONAL + "\n---\nSELECT scene_id, zone_id, indicator, round(mean, 7) AS mean, round(p90, 7) AS p90, round(std, 7) AS std, n, round(clipped_pct, 7) AS clipped_pct FROM zn", uses=("pixels",))
+@query("N10_zonal_statistics", ZONAL + "\n---\nSELECT scene_id, zone_id, indicator, round(mean, 10) AS mean, round(p90, 10) AS p90, round(std, 10) AS std, n, round(clipped_pct, 7) AS clipped_pct FROM zn", uses=("pixels",))
 def n10(spark, d):
     z = N.zonal(longs(spark, d), ["scene_id", "zone_id", "indicator"])
-    return z.select("scene_id", "zone_id", "indicator", *[R(c, 7).alias(c) for c in ("mean", "p90", "std")], "n", R("clipped_pct", 7).alias("clipped_pct"))
+    return z.select("scene_id", "zone_id", "indicator", *[R(c, 10).alias(c) for c in ("mean", "p90", "std")], "n", R("clipped_pct", 7).alias("clipped_pct"))
 
 
 @query("N11_rejections", ZONAL + FOOT[len(REFL):] + """
