@@ -7,6 +7,9 @@ shingles fall at least s + 1 are equal in both sets: equal segments that are not
 more than s empty segments has its empty ones refined, so that no pair goes without a key. What meets there is compared by
 sketch distance, and what passes is verified on the sets themselves. No link is lost and none is made up.
 
+At lower thresholds a segment holds one or two shingles, and every shared passage would be a key. There the keys are
+single shingles, the rarest of each set that a link cannot all do without, of sets that share enough to link at all.
+
 Large groups: equal sets are one representative from the start. First, each key's most popular member (the one with most
 shared keys) is verified against the others, which joins a group of near copies in one pass; only keys whose members are
 then in different components are compared in full, by sketches inside tasks, in blocks of bounded size.
@@ -28,6 +31,8 @@ from tidewater.llm.tasks import whole_groups
 from tidewater.llm.textkit import mix64, pieces, shingle_sets
 
 BAND_GROWTH = 1.6
+#: Percent of similarity under which keys are rare shingles instead of segments.
+SEGMENTS_FROM = 85
 SKETCH_BITS = 1024
 BLOCK = 2048
 _U = np.uint64
@@ -114,7 +119,7 @@ def _role_keys(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray, bands:
 
 
 def described(docs: DataFrame, *, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, h1, h2, keys, sketch) of every document; ``keys`` are its segments in its bands."""
+    """(doc_id, n, h1, h2, keys, sketch) of every document; ``keys`` are its segments in its bands, if those are used."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,9 +127,11 @@ def described(docs: DataFrame, *, width: int, percent: int) -> DataFrame:
                 values, offsets = shingle_sets(part.column("text"), width)
                 sizes = np.diff(offsets)
                 row = np.repeat(np.arange(len(sizes)), sizes)
-                bands = Bands(percent, int(sizes.max(initial=0)))
-                keys, of = zip(*[_role_keys(values, offsets, r, b, bands) for r, b in bands.roles(sizes)], strict=True)
-                keys, of = np.concatenate(keys), np.concatenate(of)
+                keys, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                if percent >= SEGMENTS_FROM:
+                    bands = Bands(percent, int(sizes.max(initial=0)))
+                    keys, of = zip(*[_role_keys(values, offsets, r, b, bands) for r, b in bands.roles(sizes)], strict=True)
+                    keys, of = np.concatenate(keys), np.concatenate(of)
                 order = np.argsort(of, kind="stable")
                 where = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(sizes))))).astype(np.int32)
                 bits = np.bincount(row * SKETCH_BITS + (mix64(values ^ _U(0x5851F42D4C957F2D)) & _U(SKETCH_BITS - 1)).astype(np.int64), minlength=len(sizes) * SKETCH_BITS) & 1
@@ -171,6 +178,45 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(runs, "key long, doc long")
 
 
+def _shingle_rows(docs: DataFrame, ids: DataFrame, *, width: int, percent: int, every: bool) -> DataFrame:
+    """(key, doc): all shingles of the documents in ``ids`` that can link, or of each set of n the n - o + n // 4 with the
+    smallest hashes, where o is the least that a link shares."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                values, offsets = shingle_sets(part.column("text"), width)
+                sizes = np.diff(offsets)
+                take = sizes if every else sizes - (percent * sizes + 99) // 100 + np.maximum(sizes // 4, 1)
+                take = np.where(100 * sizes >= percent * (sizes + 1), take, 0)
+                places = np.arange(int(take.sum())) + np.repeat(offsets[:-1] - (np.cumsum(take) - take), take)
+                doc = np.repeat(np.asarray(part.column("doc_id"), dtype=np.int64), take)
+                yield pa.RecordBatch.from_arrays([pa.array(values[places].view(np.int64)), pa.array(doc)], names=["key", "doc"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.join(small_side(ids).select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(emit, "key long, doc long")
+
+
+def _rare_keys(docs: DataFrame, reps: DataFrame, *, width: int, percent: int) -> DataFrame:
+    """(key, doc) such that documents that link share a key, which is a shingle.
+
+    Sets of n and m that link share o(n) = ceil(percent * n / 100) shingles at least, and as many as o(m). In any common
+    order of the shingles the first k common ones are among the first n - o(n) + k of the one and m - o(m) + k of the
+    other. By hash, with k a quarter of the size: a set whose part holds fewer shingles of other sets than a quarter of
+    its smallest partner links with nothing. Of the rest, by the number of sets that hold a shingle, with k = 1: shingles
+    without a second set come first and are no keys. Where texts share an id, the smaller set counts, and all their shingles.
+    """
+    sizes = written(reps.groupBy("doc").agg(F.min("n").alias("n")).withColumn("o", F.expr(f"({percent} * n + 99) div 100")), "sizes")
+    met = _shared(_shingle_rows(docs, sizes, width=width, percent=percent, every=False)).groupBy("doc").agg(F.count("*").alias("met"))
+    able = written(met.join(sizes, "doc").filter("met >= greatest(o div 4, 1)").select("doc", "o"), "able-to-link")
+    discard(sizes)
+    rows = _shingle_rows(docs, able, width=width, percent=percent, every=True)
+    rows = rows.withColumn("times", F.count("*").over(Window.partitionBy("key"))).filter("times > 1")
+    own = Window.partitionBy("doc")
+    ranked = rows.withColumn("rank", F.row_number().over(own.orderBy("times", "key"))).withColumn("rows", F.count("*").over(own))
+    return ranked.join(small_side(able), "doc").filter("rank <= rows - o + 1").select("key", "doc")
+
+
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Hamming distances of sketches, row by row or of many to one."""
     return np.bitwise_count(x ^ y).sum(-1)
@@ -276,7 +322,8 @@ def join(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     keyed = written(groups.select("n", "h1", "h2", F.col("r.doc_id").alias("doc"), F.col("r.keys").alias("keys"), F.col("r.sketch").alias("sketch")), "keyed-representatives")
     discard(full)
     reps = written(keyed.drop("keys"), "representatives")
-    shared = written(_shared(keyed.select(F.explode("keys").alias("key"), "doc")), "shared-keys")
+    keys = keyed.select(F.explode("keys").alias("key"), "doc") if percent >= SEGMENTS_FROM else _rare_keys(docs, reps, width=width, percent=percent)
+    shared = written(_shared(keys), "shared-keys")
     discard(keyed)
 
     popular = written(shared.groupBy("doc").agg(F.count("*").alias("keys_shared")), "popular")
