@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,20 +160,42 @@ def compass(dx: Column, dy: Column, centre: float) -> Column:
     return F.when(F.sqrt(dx * dx + dy * dy) < centre, "Central").otherwise(names[eighth.cast("int")])
 
 
-def partition(cells: DataFrame, key: str, *, k: int, rounds: int) -> DataFrame:
-    """Cells (key, x, y) with ``zone`` 0 to k - 1: k-means of all bodies at once.
+def k_means(points: np.ndarray, k: int, starts: int) -> np.ndarray:
+    """Zone of each point: the best of several starts, each with spread seeds and run until no point moves.
 
-    Seeds are evenly spaced cells along x, then y; each round assigns cells to the nearest centre, the first of equals.
+    At most as many zones as distinct points; zones are numbered by their centres' x, then y.
     """
-    order = Window.partitionBy(key).orderBy("x", "y")
-    n = F.count("*").over(Window.partitionBy(key))
-    seeded = cells.withColumn("_r", F.row_number().over(order) - 1).withColumn("zone", F.least(F.floor(F.col("_r") * k / n), F.lit(k - 1)).cast("long")).drop("_r")
-    for _ in range(rounds):
-        centres = seeded.groupBy(key, "zone").agg(F.avg("x").alias("_cx"), F.avg("y").alias("_cy"))
-        all_of = centres.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("zone", "_cx", "_cy"))).alias("_c"))
-        nearest = F.array_min(F.transform("_c", lambda c: F.struct((F.pow(F.col("x") - c["_cx"], 2) + F.pow(F.col("y") - c["_cy"], 2)).alias("d"), c["zone"].alias("zone"))))
-        seeded = seeded.join(all_of, key).select(key, "x", "y", nearest["zone"].alias("zone"))
-    return seeded
+    k, rng, best = max(1, min(k, len(np.unique(points, axis=0)))), np.random.default_rng(0), None
+    for _ in range(starts):
+        centres = points[rng.integers(len(points))][None]
+        while len(centres) < k:
+            d = ((points[:, None] - centres) ** 2).sum(2).min(1)
+            centres = np.vstack([centres, points[rng.choice(len(points), p=d / d.sum())]])
+        zone, cost = None, np.inf
+        while True:
+            d = ((points[:, None] - centres) ** 2).sum(2)
+            now = d.argmin(1)
+            if zone is not None and ((now == zone).all() or d.min(1).sum() >= cost):
+                break
+            zone, cost = now, d.min(1).sum()
+            centres = np.array([points[zone == z].mean(0) if (zone == z).any() else centres[z] for z in range(k)])
+        if best is None or cost < best[0]:
+            best = (cost, zone, centres)
+    _, zone, centres = best
+    number = np.empty(k, np.int64)
+    number[np.lexsort((centres[:, 1], centres[:, 0]))] = np.arange(k)
+    return number[zone]
+
+
+def partition(cells: DataFrame, key: str, *, k: int, starts: int = 10) -> DataFrame:
+    """Cells (key, x, y) with ``zone`` 0 to k - 1: k-means to convergence in each body, the best of ten starts."""
+    kind = cells.schema[key].dataType.simpleString()
+
+    def one(body: pd.DataFrame) -> pd.DataFrame:
+        body = body.sort_values(["x", "y"])
+        return body.assign(zone=k_means(body[["x", "y"]].to_numpy(float), k, starts))
+
+    return cells.select(key, "x", "y").groupBy(key).applyInPandas(one, f"{key} {kind}, x double, y double, zone long")
 
 
 def latest(frame: DataFrame, keys: list[str], at: str) -> DataFrame:

@@ -69,7 +69,7 @@ FROM scenes a JOIN scenes b ON a.body_id = b.body_id AND b.sensed_at < a.sensed_
 SELECT current_id, scene_id, CAST(gap AS BIGINT) AS gap, older AND gap <= 45 AS same_season FROM p QUALIFY row_number() OVER (PARTITION BY current_id ORDER BY older AND gap <= 45 DESC, gap, sensed_at DESC, scene_id) = 1""", uses=("scenes",))
 def a6(spark, d):
     scenes = bound(spark, d, "scenes").select("body_id", "scene_id", "sensed_at", "cloud_pct")
-    r = A.reference_scene(scenes.filter("scene_id % 20 = 0 AND cloud_pct < 10"), scenes.drop("cloud_pct"))
+    r = A.reference_scene(scenes.filter("cloud_pct < 10"), scenes.drop("cloud_pct"))
     return r.select("current_id", "scene_id", F.col("gap").cast("long").alias("gap"), "same_season")
 
 
@@ -102,9 +102,9 @@ pr AS (SELECT alert_id, recipient_id, severity FROM aa JOIN re ON (re.district I
 
 def pairs(spark, d) -> DataFrame:
     places = bound(spark, d, "bodies").select(F.col("body_id").alias("c_nationkey"), "district")
-    c = table(spark, d, "customer").filter("c_custkey % 25 = 0").join(places, "c_nationkey")
+    c = table(spark, d, "customer").join(places, "c_nationkey")
     recipients = c.select(F.col("c_custkey").alias("recipient_id"), F.when(F.col("c_custkey") % 3 != 0, F.col("district")).alias("district"), F.when(F.col("c_custkey") % 2 == 0, "high").otherwise("medium").alias("min_severity"), (F.col("c_acctbal") > 5000).alias("active"))
-    alerts = alertable(spark, d).filter("candidate_id % 10 = 1").join(places.withColumnRenamed("c_nationkey", "zone_id"), "zone_id").select(F.col("candidate_id").alias("alert_id"), "district", "severity")
+    alerts = alertable(spark, d).join(places.withColumnRenamed("c_nationkey", "zone_id"), "zone_id").select(F.col("candidate_id").alias("alert_id"), "district", "severity")
     return A.matching_recipients(alerts, recipients).select("alert_id", "recipient_id", "severity")
 
 

@@ -84,7 +84,7 @@ def q6(spark, d):
 def q7(spark, d):
     from tidewater.operators.detect import temporal_scores
 
-    r = temporal_scores(seen(spark, d)).filter("zone_id % 5 = 0").groupBy("zone_id", "indicator", F.date_trunc("week", "observed_at").alias("week"))
+    r = temporal_scores(seen(spark, d)).groupBy("zone_id", "indicator", F.date_trunc("week", "observed_at").alias("week"))
     return r.agg(F.count("*").alias("n"), R(F.max("z")).alias("max_z"), R(F.avg("mean")).alias("avg_mean"))
 
 
@@ -175,7 +175,7 @@ bs AS (SELECT zone_id, indicator, episode, last_at FROM ef WHERE episode % 7 = 0
 ---
 SELECT bs.zone_id, bs.episode, bs.indicator, count(*) AS n, round(avg(c.priority), 6) AS mean, round(quantile_cont(c.priority, 0.9), 6) AS p90 FROM bs JOIN candidates c ON c.zone_id = bs.zone_id AND c.indicator = bs.indicator AND c.observed_at <= bs.last_at AND c.observed_at > bs.last_at - INTERVAL 360 DAY GROUP BY 1, 2, 3""", uses=("candidates",))
 def j5(spark, d):
-    b = fields(spark, d).filter("episode % 7 = 0").select("zone_id", "indicator", "episode", "last_at")
+    b = fields(spark, d).select("zone_id", "indicator", "episode", "last_at")
     c = bound(spark, d, "candidates").select("zone_id", "indicator", "observed_at", F.col("priority").alias("p"))
     r = b.join(c, ["zone_id", "indicator"]).filter("observed_at <= last_at AND observed_at > last_at - INTERVAL 360 DAY")
     return r.groupBy("zone_id", "episode", "indicator").agg(F.count("*").alias("n"), R(F.avg("p")).alias("mean"), R(F.percentile("p", 0.9)).alias("p90"))

@@ -92,8 +92,8 @@ def g11(spark, d):
 
 @query("G12_zone_partition")
 def g12(spark, d):
-    cells = G.rasterise(polygons(spark, d), "id", step=100.0).filter("id % 10 = 3").select("id", (F.col("col") * 100.0).alias("x"), (F.col("row") * 100.0).alias("y"))
-    return G.partition(cells, "id", k=4, rounds=4)
+    cells = G.rasterise(polygons(spark, d), "id", step=100.0).select("id", (F.col("col") * 100.0).alias("x"), (F.col("row") * 100.0).alias("y"))
+    return G.partition(cells, "id", k=4)
 
 
 @query("G13_zone_names", """dr AS (SELECT z.zone_id, z.body_id, cos(zone_id * 1.7e0) * area_km2 AS dx, sin(zone_id * 1.7e0) * area_km2 AS dy FROM zones z),
@@ -115,7 +115,7 @@ def g14(spark, d):
 
 @query("G15_slug", "SELECT doc_id, trim(regexp_replace(lower(translate(left(text, 60), 'áàâäãåçéèêëíìîïñóòôöõúùûüÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜ', 'aaaaaaceeeeiiiinooooouuuuAAAAAACEEEEIIIINOOOOOUUUU')), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM documents")
 def g15(spark, d):
-    return table(spark, d, "documents").select("doc_id", G.slug(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", G.slug(F.col("text")).alias("slug"))
 
 
 @query("G16_grid_coarsening", "SELECT body_id, CAST(list_min(list_filter([10, 20, 40, 80, 160, 320, 640, 1280], lambda s: ceil(area_km2 * 1e6 / (s * s)) <= 6000 OR s > 1000)) AS BIGINT) AS step FROM bodies", uses=("bodies",))
