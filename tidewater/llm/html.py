@@ -31,19 +31,27 @@ _NOISE = set(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget related recommended share sharing social newsletter subscribe signup login "
     "comment comments commentlist disqus reply replies footer foot copyright search pagination pager toolbar masthead skip alert".split()
 )
+#: Tags that hold a page or its article: their class words tell of the layout around them.
+_PAGE = {"html", "body", "main", "article"}
+_ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE)
+_HREF = re.compile(r"(?:\A|\s)href\s*=", re.IGNORECASE)
 _CLOSES_P = _BLOCK - {"br", "html", "body"}
 
 
 class Page:
-    """A page's containers and text blocks, read in one pass that forgives unclosed and stray tags."""
+    """A page's containers and text blocks, read in one pass that forgives unclosed and stray tags.
+
+    Node 0 stands for the body where a page has no such tag.
+    """
 
     def __init__(self, html: str):
-        self.parent, self.path, self.noise, self.kind = [-1], [""], [False], [""]
+        self.parent, self.path, self.noise, self.kind = [-1], [""], [False], ["body"]
+        self._marked = [False]  # by words of class, id or role
         self.blocks: list[tuple[int, str, int]] = []  # (node, text, characters in links)
         self._parts: list[str] = []
         self._linked = 0
         stack: list[tuple[str, int]] = [("", 0)]
-        links, at, size = 0, 0, len(html)
+        links, loose, at, size = 0, False, 0, len(html)
         while at < size:
             m = _TAG.search(html, at)
             if m is None:
@@ -56,10 +64,15 @@ class Page:
             if name is None:
                 continue
             name = name.lower()
+            if name in _BLOCK and name != "br" and loose:
+                # An anchor without an end tag ends with its line of text.
+                self._cut(stack[-1][1])
+                links, loose = 0, False
             if m["close"]:
                 if name in _BLOCK:
                     self._cut(stack[-1][1])
-                links -= name == "a" and links > 0
+                if name == "a":
+                    links, loose = 0, False
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
                         del stack[k:]
@@ -71,10 +84,14 @@ class Page:
                 continue
             if name in _BLOCK:
                 self._cut(stack[-1][1])
+                if stack[-1][0] == "head":
+                    stack.pop()
             if name in _VOID:
                 continue
             if name == "a":
-                links += 1
+                following = _ANCHOR.search(html, at)
+                links = int(_HREF.search(m["rest"]) is not None)
+                loose = links > 0 and not (following and following[1])
                 continue
             if name not in _BLOCK and name not in _NEVER:
                 continue
@@ -84,19 +101,38 @@ class Page:
             names = " ".join(x for y in _NAMES.findall(m["rest"]) for x in y).lower() if m["rest"] else ""
             words = set(re.split(r"[^a-z]+", names))
             inside = any(self.kind[n] in ("article", "main") for n in self._chain(top))
-            bad = self.noise[top] or name in _NEVER or bool(words & _NOISE) or (not inside and (name == "header" or "header" in words))
+            exempt = name in _PAGE and not (name == "article" and any(self.kind[n] == "article" for n in self._chain(top)))
+            self._marked.append(not exempt and (bool(words & _NOISE) or (not inside and "header" in words)))
             self.parent.append(top)
             label = ".".join([name, *sorted(set(re.sub(r"\d+", "#", names).split()))])
             self.path.append(f"{self.path[top]}/{label}" if name in _HOLDER else self.path[top])
-            self.noise.append(bad)
+            self.noise.append(name in _NEVER or (not inside and name == "header"))
             self.kind.append(name)
             stack.append((name, len(self.parent) - 1))
         self._cut(stack[-1][1])
+        self._judge()
+
+    def _judge(self) -> None:
+        """Noise passes down. Words do not make noise of a container with most of the page's unlinked text that also has
+        its heading or main part, or that has all of it."""
+        held, total, headed = [0] * len(self.parent), 0, set()
+        if any(self._marked):
+            for node, text, linked in self.blocks:
+                worth = len(text) - 2 * linked
+                if worth > 0 and not any(self.noise[n] for n in self._chain(node)):
+                    total += worth
+                    for n in self._chain(node):
+                        held[n] += worth
+            headed = {n for k, kind in enumerate(self.kind) if kind in ("h1", "main") for n in self._chain(k)}
+        for n in range(1, len(self.parent)):
+            spared = self.kind[n] in _HOLDER and 2 * held[n] > total and (n in headed or held[n] == total)
+            self.noise[n] = self.noise[n] or self.noise[self.parent[n]] or (self._marked[n] and not spared)
 
     def _chain(self, node: int) -> Iterator[int]:
         while node > 0:
             yield node
             node = self.parent[node]
+        yield 0
 
     def _text(self, raw: str, links: int) -> None:
         self._parts.append(raw)
@@ -113,13 +149,14 @@ class Page:
     def scores(self) -> dict[int, int]:
         """Per container outside menus, adverts and the like: its blocks' unlinked characters, a share for outer ones."""
         found: dict[int, int] = {}
+        bodies = "body" in self.kind[1:]
         for node, text, linked in self.blocks:
             worth = len(text) - 2 * linked
             if self.noise[node] or worth <= 0:
                 continue
             depth = 1
             for n in self._chain(node):
-                if self.kind[n] in _HOLDER:
+                if self.kind[n] in _HOLDER and (n or not bodies):
                     found[n] = found.get(n, 0) + 4 * worth // depth
                     depth *= 2
                     if depth > 8:
