@@ -1,6 +1,7 @@
 """Links at 0.8: the join against brute force, and what the pipeline's stage drops."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewater.llm import jaccard
@@ -55,3 +56,17 @@ def test_stage_drops_a_copy_at_81_percent(spark):
     rows = [(1, " ".join(words), "en", "s", 1), (2, " ".join(edited), "en", "s", 1), (3, "something else", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {1, 3}
+
+
+def test_null_and_repeated_ids_lose_no_link(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:30], "x", *words[31:]]), " ".join(f"v{i}" for i in range(50))
+    rows = [(2, text, "s"), (1, text, "s"), (None, text, "s"), (7, near, "s"), (7, other, "s"), (9, other, "s"), (9, other, "s"), (None, "just a few words", "s"), (None, None, "s"), (3, " ", "s")]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("row", F.lit("clash"))
+    for width, percent in ((4, 85), (5, 80)):
+        out = sorted(tuple(-1 if x is None else x for x in (r["doc_id"], r["n_shingles"], r["component_id"])) for r in jaccard.join(docs, width=width, percent=percent).collect())
+        n, m = 61 - width, 51 - width
+        assert out == sorted([(2, n, 1), (1, n, 1), (-1, n, 1), (7, n, 1), (7, m, 7), (9, m, 7), (9, m, 7), (-1, 1, -1), (-1, 0, -1), (3, 0, 3)])
+    kept = sorted(repr((r["doc_id"], r["text"])) for r in jaccard.one_of_each(docs.drop("row"), width=5, percent=80).collect())
+    assert kept == sorted(repr(x) for x in [(1, text), (7, other), (None, "just a few words"), (None, None), (3, " ")])
+    assert jaccard.join(docs.limit(0), width=4, percent=85).count() == 0

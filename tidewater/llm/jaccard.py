@@ -1,18 +1,22 @@
 """N-gram Jaccard join: parity sketches, pigeonholed per size band, and exact verification.
 
-A document is the set of its distinct word shingles. Adding or removing one shingle flips one bit of a parity sketch,
-so the Hamming distance of two sketches is at most the size of the sets' symmetric difference, and sets that are similar
-enough differ in few shingles. In a band of set sizes that difference is at most D, so of D + 1 + s segments into which
-shingles fall at least s + 1 are equal in both sets: equal segments that are not empty are the join keys, and a set with
-more than s empty segments has its empty ones refined, so that no pair goes without a key. What meets there is compared by
-sketch distance, and what passes is verified on the sets themselves. No link is lost and none is made up.
-
-At lower thresholds a segment holds one or two shingles, and every shared passage would be a key. There the keys are
+A document is the set of its distinct word shingles. Its parity sketch has, for each size band, D + 1 + s blocks of 64
+bits; a shingle flips bits of one block only, those of its hash (XOR). Sets that are similar enough differ in at most D
+shingles of the band, so in at most D blocks: the number of blocks that differ is at most the symmetric difference. At
+least s + 1 blocks are equal, and equal blocks that hold a shingle are the join keys (the pigeonhole join); a set with
+more than s empty blocks has its empty ones refined, so that no pair goes without a key. Whole blocks are the pigeonholes,
+rather than runs of a sketch in which each shingle flips a single bit, because a run with one to four shingles has at
+most 6 to 19 bits of information and would meet unrelated documents. The one-bit sketch (SKETCH_BITS) serves what it is
+good for: its Hamming distance, again at most the symmetric difference, rejects what has met; what passes is verified on
+the sets themselves. No link is lost and none is made up.
+
+At lower thresholds a block holds one or two shingles, and every shared passage would be a key. There the keys are
 single shingles, the rarest of each set that a link cannot all do without, of sets that share enough to link at all.
 
-Large groups: equal sets are one representative from the start. First, each key's most popular member (the one with most
-shared keys) is verified against the others, which joins a group of near copies in one pass; only keys whose members are
-then in different components are compared in full, by sketches inside tasks, in blocks of bounded size.
+Rows, not ids, are what links: each row gets a number when it is stored, so null and repeated doc_ids do no harm. Equal
+sets are one representative from the start. First, each key's most popular member (the one with most shared keys) is
+verified against the others, which joins a group of near copies in one pass; only keys whose members are then in
+different components are compared in full, by sketches inside tasks, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from tidewater.llm.tasks import whole_groups
 from tidewater.llm.textkit import mix64, pieces, shingle_sets
 
 BAND_GROWTH = 1.6
-#: Percent of similarity under which keys are rare shingles instead of segments.
+#: Percent of similarity under which keys are rare shingles instead of blocks.
 SEGMENTS_FROM = 85
 SKETCH_BITS = 1024
 BLOCK = 2048
@@ -118,8 +122,8 @@ def _role_keys(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray, bands:
     return np.concatenate(keys), np.concatenate(of)
 
 
-def described(docs: DataFrame, *, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, h1, h2, keys, sketch) of every document; ``keys`` are its segments in its bands, if those are used."""
+def described(rows: DataFrame, *, width: int, percent: int) -> DataFrame:
+    """(row, doc_id, n, h1, h2, keys, sketch) of every row; ``keys`` are its blocks in its bands, if those are used."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,17 +147,17 @@ def described(docs: DataFrame, *, width: int, percent: int) -> DataFrame:
                         whole[k][some] = np.add.reduceat(mix64(values ^ _U(salt)), offsets[some])
                 yield pa.RecordBatch.from_arrays(
                     [
+                        part.column("row"),
                         part.column("doc_id"),
                         pa.array(sizes, pa.int64()),
                         *[pa.array(w.view(np.int64), pa.int64()) for w in whole],
                         pa.ListArray.from_arrays(pa.array(where), pa.array(keys[order].view(np.int64), pa.int64())),
                         pa.array([s.tobytes() for s in sketch], pa.binary()),
                     ],
-                    names=["doc_id", "n", "h1", "h2", "keys", "sketch"],
+                    names=["row", "doc_id", "n", "h1", "h2", "keys", "sketch"],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(describe, f"doc_id {kind}, n long, h1 long, h2 long, keys array<long>, sketch binary")
+    return rows.select("row", "doc_id", "text").mapInArrow(describe, "row long, doc_id long, n long, h1 long, h2 long, keys array<long>, sketch binary")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -178,8 +182,8 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(runs, "key long, doc long")
 
 
-def _shingle_rows(docs: DataFrame, ids: DataFrame, *, width: int, percent: int, every: bool) -> DataFrame:
-    """(key, doc): all shingles of the documents in ``ids`` that can link, or of each set of n the n - o + n // 4 with the
+def _shingle_rows(texts: DataFrame, ids: DataFrame, *, width: int, percent: int, every: bool) -> DataFrame:
+    """(key, doc): all shingles of the rows in ``ids`` that can link, or of each set of n the n - o + n // 4 with the
     smallest hashes, where o is the least that a link shares."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,31 +194,32 @@ def _shingle_rows(docs: DataFrame, ids: DataFrame, *, width: int, percent: int,
                 take = sizes if every else sizes - (percent * sizes + 99) // 100 + np.maximum(sizes // 4, 1)
                 take = np.where(100 * sizes >= percent * (sizes + 1), take, 0)
                 places = np.arange(int(take.sum())) + np.repeat(offsets[:-1] - (np.cumsum(take) - take), take)
-                doc = np.repeat(np.asarray(part.column("doc_id"), dtype=np.int64), take)
+                doc = np.repeat(np.asarray(part.column("doc"), dtype=np.int64), take)
                 yield pa.RecordBatch.from_arrays([pa.array(values[places].view(np.int64)), pa.array(doc)], names=["key", "doc"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(small_side(ids).select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(emit, "key long, doc long")
+    return texts.select(F.col("row").alias("doc"), "text").join(small_side(ids).select("doc"), "doc", "left_semi").mapInArrow(emit, "key long, doc long")
 
 
-def _rare_keys(docs: DataFrame, reps: DataFrame, *, width: int, percent: int) -> DataFrame:
+def _rare_keys(texts: DataFrame, reps: DataFrame, *, width: int, percent: int) -> DataFrame:
     """(key, doc) such that documents that link share a key, which is a shingle.
 
     Sets of n and m that link share o(n) = ceil(percent * n / 100) shingles at least, and as many as o(m). In any common
     order of the shingles the first k common ones are among the first n - o(n) + k of the one and m - o(m) + k of the
     other. By hash, with k a quarter of the size: a set whose part holds fewer shingles of other sets than a quarter of
     its smallest partner links with nothing. Of the rest, by the number of sets that hold a shingle, with k = 1: shingles
-    without a second set come first and are no keys. Where texts share an id, the smaller set counts, and all their shingles.
+    without a second set come first and are no keys.
     """
-    sizes = written(reps.groupBy("doc").agg(F.min("n").alias("n")).withColumn("o", F.expr(f"({percent} * n + 99) div 100")), "sizes")
-    met = _shared(_shingle_rows(docs, sizes, width=width, percent=percent, every=False)).groupBy("doc").agg(F.count("*").alias("met"))
+    sizes = written(reps.select("doc", "n", F.expr(f"({percent} * n + 99) div 100").alias("o")), "sizes")
+    met = _shared(_shingle_rows(texts, sizes, width=width, percent=percent, every=False)).groupBy("doc").agg(F.count("*").alias("met"))
     able = written(met.join(sizes, "doc").filter("met >= greatest(o div 4, 1)").select("doc", "o"), "able-to-link")
     discard(sizes)
-    rows = _shingle_rows(docs, able, width=width, percent=percent, every=True)
-    rows = rows.withColumn("times", F.count("*").over(Window.partitionBy("key"))).filter("times > 1")
+    rows = written(_shingle_rows(texts, able, width=width, percent=percent, every=True), "shingles")
+    times = rows.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
     own = Window.partitionBy("doc")
-    ranked = rows.withColumn("rank", F.row_number().over(own.orderBy("times", "key"))).withColumn("rows", F.count("*").over(own))
-    return ranked.join(small_side(able), "doc").filter("rank <= rows - o + 1").select("key", "doc")
+    ranked = rows.join(times, "key").withColumn("rank", F.row_number().over(own.orderBy("times", "key"))).withColumn("rows", F.count("*").over(own))
+    keys = written(ranked.join(small_side(able), "doc").filter("rank <= rows - o + 1").select("key", "doc"), "rare-keys")
+    discard(rows, able)
+    return keys
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -237,13 +242,12 @@ def _allowed(pairs: DataFrame, reps: DataFrame, *, percent: int) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(allow, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, *, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets, made again from the texts, are similar enough."""
-    involved = written(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "involved")
-    texts = written(docs.select("doc_id", "text").join(small_side(involved), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    discard(involved)
-    second = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+def verified(pairs: DataFrame, texts: DataFrame, *, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets, made again from the texts of these rows, are similar enough."""
+    involved = written(pairs.select(F.col("a").alias("row")).unionAll(pairs.select("b")).distinct(), "involved")
+    texts = texts.select("row", "text").join(small_side(involved), "row", "left_semi")
+    second = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b")
+    both = second.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,7 +267,7 @@ def verified(pairs: DataFrame, docs: DataFrame, *, width: int, percent: int) ->
                 yield part.select(["a", "b"]).filter(pa.array(fine))
 
     links = written(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "links")
-    discard(texts)
+    discard(involved)
     return links
 
 
@@ -308,37 +312,35 @@ def _block_pairs(table: pa.Table, bounds: np.ndarray, percent: int) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
 
-def join(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``, which needs doc_id (an integer) and text.
-
-    A-Z are lower-cased; words are runs of bytes other than 0x20 and 0x09-0x0D; a document with fewer than ``width``
-    words is one shingle of them all. Two documents link when 100 * intersection >= percent * union; component_id is the
-    smallest doc_id that links reach. Without words (null, empty, blank) a document links with nothing, not even its
-    like. Rows that share a doc_id count as one document in links. Other columns are not read.
-    """
-    full = written(described(docs.withColumn("doc_id", F.col("doc_id").cast("long")), width=width, percent=percent), "keyed-sets")
-    sets = written(full.select("doc_id", "n", "h1", "h2"), "sets")
-    groups = full.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "keys", "sketch")).alias("r"))
-    keyed = written(groups.select("n", "h1", "h2", F.col("r.doc_id").alias("doc"), F.col("r.keys").alias("keys"), F.col("r.sketch").alias("sketch")), "keyed-representatives")
+def _linked(docs: DataFrame, *, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The stored rows (docs with a number, ``row``) and (row, doc_id, n, component): the smallest number among the rows
+    that links reach."""
+    given = written(docs.withColumn("row", F.monotonically_increasing_id()), "numbered-rows")
+    texts = given.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    full = written(described(texts, width=width, percent=percent), "keyed-sets")
+    sets = written(full.select("row", "doc_id", "n", "h1", "h2"), "sets")
+    groups = full.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min(F.struct("row", "keys", "sketch")).alias("r"))
+    keyed = written(groups.select("n", "h1", "h2", F.col("r.row").alias("doc"), F.col("r.keys").alias("keys"), F.col("r.sketch").alias("sketch")), "keyed-representatives")
     discard(full)
     reps = written(keyed.drop("keys"), "representatives")
-    keys = keyed.select(F.explode("keys").alias("key"), "doc") if percent >= SEGMENTS_FROM else _rare_keys(docs, reps, width=width, percent=percent)
+    keys = keyed.select(F.explode("keys").alias("key"), "doc") if percent >= SEGMENTS_FROM else _rare_keys(texts, reps, width=width, percent=percent)
     shared = written(_shared(keys), "shared-keys")
-    discard(keyed)
+    discard(keyed, keys)
 
+    # A key that a third of all sets hold is one row here: its aggregate is joined back, which adaptive execution splits.
     popular = written(shared.groupBy("doc").agg(F.count("*").alias("keys_shared")), "popular")
-    by_key = Window.partitionBy("key").orderBy(F.desc("keys_shared"), "doc")
-    centred = shared.join(small_side(popular), "doc").withColumn("centre", F.first("doc").over(by_key))
-    pairs = written(centred.filter("centre <> doc").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct(), "centre-pairs")
+    centres = shared.join(small_side(popular), "doc").groupBy("key").agg(F.min(F.struct(-F.col("keys_shared"), "doc")).alias("c")).select("key", F.col("c.doc").alias("centre"))
+    centred = shared.join(centres, "key").filter("centre <> doc")
+    pairs = written(centred.select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct(), "centre-pairs")
     close = written(_allowed(pairs, reps, percent=percent), "close-pairs")
-    links = verified(close, docs, width=width, percent=percent)
+    links = verified(close, texts, width=width, percent=percent)
     discard(close)
     labels = written(components(links), "centre-components")
 
     placed = shared.join(small_side(labels).withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-    key = Window.partitionBy("key")
-    mixed = placed.withColumn("least", F.min("comp").over(key)).withColumn("most", F.max("comp").over(key)).withColumn("rows", F.count("*").over(key)).filter("least <> most")
-    unsettled = mixed.select("key", "doc", "comp", "rows").join(reps.select("doc", "n", "sketch"), "doc")
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("rows")).filter("least <> most")
+    open_keys = written(open_keys.select("key", "rows"), "open-keys")
+    unsettled = placed.join(small_side(open_keys), "key").join(reps.select("doc", "n", "sketch"), "doc")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
     spread = unsettled.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -346,15 +348,41 @@ def join(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     more = _near(spread, percent=percent).distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(more.join(done, ["a", "b"], "left_anti"), "sketch-pairs")
-    discard(shared, pairs, popular)
-    late = verified(rest, docs, width=width, percent=percent)
+    discard(shared, pairs, popular, open_keys)
+    late = verified(rest, texts, width=width, percent=percent)
     final = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(late))
     discard(rest)
 
     named = reps.select("n", "h1", "h2", "doc").join(final.withColumnRenamed("node", "doc"), "doc", "left")
-    named = named.select("n", "h1", "h2", F.coalesce("component", "doc").alias("component_id"))
-    out = sets.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.select("n", "h1", "h2", F.coalesce("component", "doc").alias("component"))
+    out = sets.join(named, ["n", "h1", "h2"], "left")
+    return given, out.select("row", "doc_id", "n", F.coalesce("component", "row").alias("component"))
+
+
+def join(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``, which needs doc_id (an integer) and text.
+
+    A-Z are lower-cased; words are runs of bytes other than 0x20 and 0x09-0x0D; a document with fewer than ``width``
+    words is one shingle of them all. Two rows link when 100 * intersection >= percent * union; component_id is the
+    smallest doc_id of the rows that links reach, null if none of them has one. Without words (null, empty, blank) a row
+    links with nothing, not even its like. Rows that share a doc_id are rows of their own: they are in one component if
+    their texts link. Repeated rows link with each other. An empty table gives no rows. Other columns are not read.
+    """
+    _, linked = _linked(docs.select("doc_id", "text"), width=width, percent=percent)
+    linked = written(linked, "linked-rows")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return linked.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group that links connect: that with the smallest doc_id, null ones last, and of
+    several such rows one. Rows without words all stay. Other columns are kept, with whatever names but ``row``."""
+    given, linked = _linked(docs, width=width, percent=percent)
+    linked = written(linked, "linked-rows")
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("f"), F.count("*").alias("rows"))
+    repeated = written(first.filter("rows > 1").select("component", F.col("f.row").alias("kept")), "repeated-components")
+    dropped = written(linked.join(small_side(repeated), "component").filter("row <> kept").select("row"), "dropped-rows")
+    return given.join(small_side(dropped), "row", "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
