@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import jaccard, mixing, packing, pii, quality
-from tidewater.llm.storage import small_side, written
+from tidewater.llm.storage import stored_tables, written_alone
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,9 +23,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents without words link with nothing and stay.
     """
-    groups = jaccard.join(docs, width=5, percent=80)
-    copies = written(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(small_side(copies), "doc_id", "left_anti").select(*COLUMNS)
+    return jaccard.one_of_each(docs.select(*COLUMNS), width=5, percent=80)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +58,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the documents, each stage's result stored before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), stored_tables()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{k + 1}")
+            docs = written_alone(docs, f"stage-{k + 1}", since=before)
     return docs
