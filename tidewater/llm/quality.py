@@ -15,12 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.llm.textkit import pieces, utf8
 
 #: Rows of each class that training may see, and bytes of the longest text among them.
 TRAIN_ROWS_PER_CLASS, TRAIN_MAX_BYTES = 1500, 20_000
 THRESHOLD = 0.3
+#: Bytes that are scored at once: their chunk matrix takes about 256 times that.
+BLOCK_BYTES = 1 << 16
 
 
 @dataclass
@@ -57,12 +60,30 @@ class Network:
         return chunks, np.ascontiguousarray(chunks) @ self.filters + self.offsets
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Probability of the good class for each row."""
-        if len(offsets) < 2:
+        """Probability of the good class for each row. Rows are read in blocks of about BLOCK_BYTES, a longer row in
+        several blocks of chunk places, with a running maximum, so memory does not grow with a text's length."""
+        rows = len(offsets) - 1
+        if rows < 1:
             return np.zeros(0)
-        padded, first, chunks = self.layout(data, offsets)
-        bounds = np.stack([first[:-1], first[:-1] + chunks], axis=1).reshape(-1)
-        top = np.maximum(np.maximum.reduceat(self.answers(padded, first)[1], bounds, axis=0)[::2], 0)
+        top = np.zeros((rows, self.filters.shape[1]), np.float32)
+        most = BLOCK_BYTES // self.stride  # places of a block
+        lengths = np.diff(offsets)
+        chunks = np.maximum(1, -(-(lengths - self.chunk) // self.stride) + 1)
+        parts = -(-chunks // most)
+        owner = np.repeat(np.arange(rows), parts)
+        first = (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * most
+        begin = offsets[owner] + first * self.stride
+        last = np.minimum(first + most, chunks[owner]) - 1
+        end = np.minimum(offsets[owner] + last * self.stride + self.chunk, offsets[owner + 1])
+        full, at = np.cumsum(end - begin), 0
+        while at < len(owner):
+            stop = max(at + 1, int(np.searchsorted(full, (full[at - 1] if at else 0) + BLOCK_BYTES + self.chunk, "right")))
+            sizes = end[at:stop] - begin[at:stop]
+            own = np.concatenate([data[x:y] for x, y in zip(begin[at:stop].tolist(), end[at:stop].tolist(), strict=True)])
+            padded, places, count = self.layout(own, np.concatenate(([0], np.cumsum(sizes))))
+            bounds = np.stack([places[:-1], places[:-1] + count], axis=1).reshape(-1)
+            np.maximum.at(top, owner[at:stop], np.maximum.reduceat(self.answers(padded, places)[1], bounds, axis=0)[::2])
+            at = stop
         return 1 / (1 + np.exp(-np.clip(top @ self.combine + self.bias, -30, 30).astype(np.float64)))
 
 
@@ -118,20 +139,20 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = TRAIN_ROWS_PER_CLASS, max_bytes: int = TRAIN_MAX_BYTES) -> Network:
-    """A network fitted on at most about ``rows_per_class`` rows of each class, chosen by a hash of the id, whose texts
-    have at most ``max_bytes`` bytes; rows of the held-out fold, null labels and null texts are left out.
+    """A network fitted on at most ``rows_per_class`` labelled ids of each class, those of the smallest hashes, whose
+    texts have at most ``max_bytes`` bytes; rows of the held-out fold, null labels and null texts are left out.
 
-    This bound is the only sampling in the operator; every document is scored whole. It also bounds what is broadcast:
-    the chosen ids, so that texts are filtered where they are read and not shuffled.
+    This bound is the only sampling in the operator; every document is scored whole. It also bounds what is broadcast,
+    the chosen ids, and what the driver gets: one text an id, the least of those that share it. An id with two labels has
+    the larger one. Without labelled texts, or with those of one class only, the network scores all texts alike.
     """
-    usable = labels.filter(F.col("quality").isin(0, 1) & ~held_out("doc_id")).select("doc_id", "quality").dropDuplicates(["doc_id"])
-    counts = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
-    share = F.lit(1.0)
-    for side, n in counts.items():
-        share = F.when(F.col("quality") == side, F.lit(min(1.0, rows_per_class / n))).otherwise(share)
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality sample")), F.lit(1 << 20)) < share * (1 << 20))
+    usable = labels.filter(F.col("quality").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    order = [F.xxhash64("doc_id", F.lit("quality sample")), F.col("doc_id")]
+    sides = [usable.filter(F.col("quality") == side).orderBy(*order).limit(rows_per_class) for side in (0, 1)]
+    chosen = sides[0].unionAll(sides[1])
     rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id")
-    found = sorted(((r["doc_id"], r["text"].encode(), r["quality"]) for r in rows.collect()), key=lambda r: (r[0], r[1]))
+    texts = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality")).collect()
+    found = sorted(((r["doc_id"], r["text"].encode(), r["quality"]) for r in texts), key=lambda r: r[0])
     return fit([t for _, t, _ in found], np.array([q for *_, q in found], np.float32))
 
 
@@ -140,10 +161,9 @@ def score(docs: DataFrame, network: Network, *, threshold: float = THRESHOLD) ->
 
     Null counts as empty and an empty text is scored like others (no filter answers it). Other columns are kept, those
     named score or predicted replaced. Equal texts get equal scores whatever batch they are in, up to float rounding.
+    Repeated rows are scored alike, an empty table gives no rows.
     """
     rest = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted")])
-    from pyspark.sql import types as T
-
     schema = T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
