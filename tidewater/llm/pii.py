@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,7 +19,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tidewater.llm.textkit import pieces
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS, "secret")
@@ -84,10 +86,28 @@ class Token:
     base: int
 
 
+def _words_before(text: str, start: int, count: int = 2) -> str:
+    """The last ``count`` words before ``start``, whole, in lower case, with one space between them."""
+    words, end = [], start
+    while len(words) < count:
+        while end > 0 and text[end - 1] in _EDGE:
+            end -= 1
+        begin = end
+        while begin > 0 and text[begin - 1] not in _EDGE:
+            begin -= 1
+        if begin == end:
+            break
+        words.append(text[begin:end].lower())
+        end = begin
+    return " ".join(reversed(words))
+
+
 def tokens(text: str, base: list[Span]) -> list[Token]:
-    """The tokens, cut at white space and trimmed of marks, that have a digit or an @, with the word before them."""
-    found, reach = [], 0
-    spans, k = base, 0
+    """The tokens, cut at white space and trimmed of marks, that have a digit or an @, with the two words before them.
+
+    A word is read at most once as a token and twice as what stands before one, so the time is in proportion to the text.
+    """
+    found, reach, k = [], 0, 0
     for m in _SPOT.finditer(text):
         if m.start() < reach:
             continue
@@ -96,8 +116,7 @@ def tokens(text: str, base: list[Span]) -> list[Token]:
             start -= 1
         while end < len(text) and text[end] not in _EDGE:
             end += 1
-        reach = end
-        before = text[max(0, start - 24) : start].lower().split()
+        reach, before = end, start
         a, b = start, end
         while a < b and text[a] in _TRIM:
             a += 1
@@ -105,26 +124,26 @@ def tokens(text: str, base: list[Span]) -> list[Token]:
             b -= 1
         if a == b:
             continue
-        while k < len(spans) and spans[k][2] <= a:
+        while k < len(base) and base[k][2] <= a:
             k += 1
-        label = next((LABELS.index(s[0]) for s in spans[k:] if s[1] < b and s[2] > a), 0) if k < len(spans) and spans[k][1] < b else 0
-        found.append(Token(a, b, text[a:b], " ".join(before[-2:]), label))
+        label = LABELS.index(base[k][0]) if k < len(base) and base[k][1] < b else 0
+        found.append(Token(a, b, text[a:b], _words_before(text, before), label))
     return found
 
 
-FEATURES = ("bias", "at", "dotted", "plus", "digits", "hex", "long", "mixed", "capitals", "luhn", "quad", "cue", "assigned", "short", "dashed", "in_word", *(f"base {k}" for k in LABELS))
+FEATURES = ("bias", "at", "dotted", "plus", "digits", "hex", "long", "mixed", "capitals", "luhn", "quad", "short", "dashed", "in_word", *(f"base {k}" for k in LABELS), "cue", "assigned")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _KEY = re.compile(r"[A-Z]{4}[0-9A-Z]{12,}")
 _CUE = re.compile(r"token|secret|passw|pwd|key|credential|auth")
 
 
-def token_features(t: Token) -> list[float]:
-    body = t.text
+@lru_cache(maxsize=1 << 16)
+def _own_features(body: str, base: int) -> tuple[float, ...]:
     digits = sum("0" <= c <= "9" for c in body)
     solid = re.sub(r"[ .()-]", "", body)
     number = solid.isascii() and solid.lstrip("+").isdigit()
     parts = body.split(".")
-    return [
+    return (
         1.0,
         "@" in body,
         "." in body,
@@ -136,13 +155,17 @@ def token_features(t: Token) -> list[float]:
         _KEY.fullmatch(body) is not None,
         number and 12 <= digits <= 19 and luhn(re.sub(r"\D", "", body)),
         len(parts) == 4 and all(p.isdigit() for p in parts),
-        _CUE.search(t.before) is not None,
-        t.before.endswith(("=", ":")),
         len(body) < 6,
         "-" in body,
         not number and "@" not in body and digits < 3,
-        *(t.base == k for k in range(len(LABELS))),
-    ]
+        *(base == k for k in range(len(LABELS))),
+    )
+
+
+def token_features(t: Token) -> tuple[float, ...]:
+    """The features by FEATURES: those of the token itself, then whether a cue word or an assignment stands before it."""
+    own = _own_features(t.text, t.base) if len(t.text) <= 64 else _own_features.__wrapped__(t.text, t.base)
+    return (*own, _CUE.search(t.before) is not None, t.before.endswith(("=", ":")))
 
 
 @dataclass(frozen=True)
@@ -206,17 +229,23 @@ def _form(t: Token) -> str:
 
 
 def edges(found: list[Token]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Neighbours (at most three code points apart) and, by form, each occurrence with the next one."""
+    """Neighbours (at most three code points apart); by form, each occurrence with the next one; and each occurrence with
+    the form's hub, its first one that a pattern or a cue word marks, so that evidence is one step from every repeat."""
     chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1].start - found[i].end <= 3]
     last: dict[str, int] = {}
-    skip = []
+    hub: dict[str, int] = {}
+    forms = [_form(t) for t in found]
     for i, t in enumerate(found):
-        form = _form(t)
+        if len(forms[i]) >= 6 and forms[i] not in hub and (t.base or _CUE.search(t.before)):
+            hub[forms[i]] = i
+    skip = set()
+    for i, form in enumerate(forms):
         if len(form) >= 6:
-            if form in last:
-                skip.append((last[form], i))
+            for other in (last.get(form), hub.get(form)):
+                if other is not None and other != i:
+                    skip.add((min(other, i), max(other, i)))
             last[form] = i
-    return chain, skip
+    return chain, sorted(skip)
 
 
 @lru_cache(maxsize=2)
@@ -226,16 +255,16 @@ def trained(seed: int = 11) -> Field:
     x = np.array([token_features(t) for found, _ in lessons for t in found], float)
     y = np.array([k for _, labels in lessons for k in labels])
     n = len(LABELS)
-    pairs = {"chain": np.full((n, n), 0.5), "skip": np.full((n, n), 0.5)}
+    pairs = {"chain": np.full((n, n), 0.5), "skip": np.full((n, n), 0.05)}
     for found, labels in lessons:
         chain, skip = edges(found)
         for name, list_ in (("chain", chain), ("skip", skip)):
             for i, j in list_:
                 pairs[name][labels[i], labels[j]] += 1
     # Half of the tokens are shown without the patterns' word, so that the other features and the skips matter.
-    blind = x.copy()
-    blind[:, -n:] = 0
-    blind[:, len(FEATURES) - n] = 1
+    blind, first = x.copy(), FEATURES.index(f"base {LABELS[0]}")
+    blind[:, first : first + n] = 0
+    blind[:, first] = 1
     x, y = np.concatenate((x, blind)), np.concatenate((y, y))
     w = np.zeros((x.shape[1], n))
     for _ in range(400):
@@ -244,33 +273,55 @@ def trained(seed: int = 11) -> Field:
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
         w -= 1.5 * (x.T @ p / len(y) + 1e-4 * w)
-    potentials = []
+    tables = []
     for name in ("chain", "skip"):
         joint = pairs[name] / pairs[name].sum()
-        potentials.append(np.clip(np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True))), -3, 3))
-    return Field(w, potentials[0], potentials[1])
+        tables.append(np.clip(np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True))), -3, 3))
+    return Field(w, tables[0], _balanced(tables[1]))
 
 
-def propagate(unary: np.ndarray, pairs: np.ndarray, kinds: np.ndarray, field: Field, rounds: int = 12) -> np.ndarray:
-    """Marginals by damped loopy sum-product; ``pairs`` are (i, j) of all documents together, ``kinds`` 0 chain, 1 skip."""
+def _balanced(table: np.ndarray) -> np.ndarray:
+    """The potentials scaled so that the exponentials of each row and each column sum to 1: a repeat without evidence of
+    its own then says nothing, and a hundred of them nothing either."""
+    p = np.exp((table + table.T) / 2)
+    for _ in range(200):
+        p /= p.sum(1, keepdims=True)
+        p = (p + p.T) / 2
+    return np.log(p)
+
+
+def propagate(unary: np.ndarray, pairs: np.ndarray, kinds: np.ndarray, field: Field, *, tolerance: float = 1e-3, most: int = 1000) -> np.ndarray:
+    """Marginals by damped loopy sum-product; ``pairs`` are (i, j) of all documents together, ``kinds`` 0 chain, 1 skip.
+
+    Messages are sent until none changes by more than ``tolerance``; those that have settled are sent again when one that
+    they depend on moves. ``most`` rounds are a stop for graphs whose messages never settle.
+    """
     n = unary.shape[1]
     if not len(pairs):
         return _normal(unary)
-    table = np.stack([field.chain, field.skip])[kinds]
-    source = np.concatenate((pairs[:, 0], pairs[:, 1]))
-    target = np.concatenate((pairs[:, 1], pairs[:, 0]))
-    table = np.concatenate((table, table.transpose(0, 2, 1)))
+    tables = np.exp(np.stack([field.chain, field.chain.T, field.skip, field.skip.T]))
+    source, target = np.concatenate((pairs[:, 0], pairs[:, 1])), np.concatenate((pairs[:, 1], pairs[:, 0]))
+    which = np.concatenate((2 * kinds, 2 * kinds + 1))
     back = np.concatenate((np.arange(len(pairs), 2 * len(pairs)), np.arange(len(pairs))))
-    sent = np.zeros((len(source), n))
-    for _ in range(rounds):
-        belief = unary.copy()
-        np.add.at(belief, target, sent)
-        out = (belief[source] - sent[back])[:, :, None] + table
-        top = out.max(1)
-        out = top + np.log(np.exp(out - top[:, None, :]).sum(1))
-        sent = 0.5 * sent + 0.5 * (out - out.max(1, keepdims=True))
-    belief = unary.copy()
-    np.add.at(belief, target, sent)
+    sent, belief = np.zeros((len(source), n)), unary.copy()
+    live = np.arange(len(source))
+    for _ in range(most):
+        out = belief[source[live]] - sent[back[live]]
+        out = np.exp(np.maximum(out - out.max(1, keepdims=True), -600))
+        for k in range(4):
+            own = which[live] == k
+            out[own] = np.log(out[own] @ tables[k])
+        change = 0.5 * (out - out.max(1, keepdims=True) - sent[live])
+        sent[live] += change
+        np.add.at(belief, target[live], change)
+        moved = np.abs(change).max(1) > tolerance
+        if not moved.any():
+            break
+        touched = np.zeros(len(unary), bool)
+        touched[target[live[moved]]] = True
+        again = touched[source]
+        again[live[moved]] = True
+        live = np.flatnonzero(again)
     return _normal(belief)
 
 
@@ -279,21 +330,38 @@ def _normal(z: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
+#: Features of where a token stands; the others are of the token itself, the same for all that repeat it.
+_OF_PLACE = np.isin(FEATURES, ("cue", "assigned"))
+
+
+def potentials(found: list[Token], field: Field) -> np.ndarray:
+    """Each token's potential. What repeated tokens say by their form is one piece of evidence, so they share it; what
+    the places say counts for each. Without that a hundred bare repeats would outvote the one with a cue."""
+    x = np.array([token_features(t) for t in found], float)
+    forms = [_form(t) for t in found]
+    times = Counter(f for f in forms if len(f) >= 6)
+    share = np.array([1 / times.get(f, 1) for f in forms])
+    return x[:, _OF_PLACE] @ field.unary[_OF_PLACE] + (x[:, ~_OF_PLACE] @ field.unary[~_OF_PLACE]) * share[:, None]
+
+
 def find(texts: list[str], field: Field, *, sure: float = 0.8) -> list[tuple[list[Span], list[Span]]]:
     """For each text its base spans and the spans that the field adds: those of tokens outside base spans whose label is
     not none with at least ``sure``; neighbours with one label and only white space between them make one span."""
     bases = [base_spans(t) for t in texts]
     founds = [tokens(t, b) for t, b in zip(texts, bases, strict=True)]
-    rows, pairs, kinds, at = [], [], [], 0
+    unary, pairs, kinds, at = [], [], [], 0
     for found in founds:
-        rows += [token_features(t) for t in found]
+        if found:
+            unary.append(potentials(found, field))
         for kind, list_ in enumerate(edges(found)):
-            pairs += [(at + i, at + j) for i, j in list_]
-            kinds += [kind] * len(list_)
+            if list_:
+                pairs.append(np.array(list_, np.int64) + at)
+                kinds.append(np.full(len(list_), kind))
         at += len(found)
     added: list[list[Span]] = [[] for _ in texts]
-    if rows:
-        p = propagate(np.array(rows, float) @ field.unary, np.array(pairs, np.int64).reshape(-1, 2), np.array(kinds, np.int64), field)
+    if unary:
+        joined = (np.concatenate(pairs), np.concatenate(kinds)) if pairs else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+        p = propagate(np.concatenate(unary), *joined, field)
         best, strength, at = p.argmax(1), p.max(1), 0
         for k, found in enumerate(founds):
             for i, t in enumerate(found):
@@ -332,7 +400,7 @@ def detect(docs: DataFrame, *, field: Field | None = None, with_redacted: bool =
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), and ``redacted`` text if asked for.
 
     ``docs`` needs doc_id and text; other columns are not read. Null counts as empty; a text without finds has no spans
-    and the digest of an empty string. Equal texts get equal results.
+    and the digest of an empty string. Equal texts get equal results, repeated rows too; an empty table gives no rows.
     """
     field = field or trained()
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -341,8 +409,7 @@ def detect(docs: DataFrame, *, field: Field | None = None, with_redacted: bool =
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for part in pieces(batch, "text"):
                 texts, rows = [t or "" for t in part.column("text").to_pylist()], []
                 for text, (base, more) in zip(texts, find(texts, field), strict=True):
                     counts = [sum(s[0] == k for s in base) for k in KINDS]
@@ -362,8 +429,7 @@ def redacted(docs: DataFrame, *, field: Field | None = None) -> DataFrame:
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for part in pieces(batch, "text"):
                 given = part.column("text").to_pylist()
                 found = find([t or "" for t in given], field)
                 texts = [t if t is None else redact(t, base + more) for t, (base, more) in zip(given, found, strict=True)]
