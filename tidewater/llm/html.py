@@ -1,14 +1,20 @@
 """HTML extraction by consensus host paths.
 
 Each page's containers are scored by the running text in them; every page votes for the generalised tag-class paths of
-its best containers; the votes are summed per host in Spark, and each page is extracted again from the containers on its
-host's winning path. A page without that path, or without a host, is extracted from its own best container.
+its containers; the votes are summed per host in Spark, and each page is extracted again from the containers on its
+host's winning path. A page without that path, or without a host, is extracted from its own best container. The vote
+settles which container is read; what is removed inside it (menus, adverts, comments) is told by tags and by a list of
+words in class, id and role.
+
+A page is read in one pass, in time and memory in proportion to its length, however its tags are nested or left open.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -16,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.storage import small_side, written
+from tidewater.llm.textkit import pieces
 from tidewater.llm.urls import host_and_path
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*(?:>|\Z))", re.DOTALL)
+_NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+_MARK = re.compile(r"[>\"']")
 _NAMES = re.compile(r"(?:\s|^)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "title"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,102 +46,165 @@ _HREF = re.compile(r"(?:\A|\s)href\s*=", re.IGNORECASE)
 _CLOSES_P = _BLOCK - {"br", "html", "body"}
 
 
+def _tags(html: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, name, closes, rest) of each tag, name None for comments and declarations; quotes may hide a ``>``.
+
+    After a tag whose quotes never end, quotes hide nothing any more, so no text is scanned again and again. A raw
+    element (script and the like) ends at its end tag; without one, script and style end with the page, and of others only
+    the tag itself is left out.
+    """
+    at, size, quoted = 0, len(html), True
+    unclosed: set[str] = set()
+    while True:
+        start = html.find("<", at)
+        if start < 0 or start + 1 >= size:
+            return
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, None, False, ""
+            continue
+        if html[start + 1] in "!?":
+            end = html.find(">", start)
+            at = size if end < 0 else end + 1
+            yield start, at, None, False, ""
+            continue
+        m = _NAME.match(html, start + 1)
+        if m is None:
+            if html[start + 1] == "/" and (end := html.find(">", start)) >= 0:
+                at = end + 1
+                yield start, at, None, False, ""
+            else:
+                at = start + 1
+            continue
+        end = _tag_end(html, m.end()) if quoted else html.find(">", m.end())
+        if end < 0 and quoted:
+            quoted = False
+            end = html.find(">", m.end())
+        if end < 0:
+            return
+        name, rest = m[2].lower(), html[m.end() : end]
+        at = end + 1
+        if name in _RAW and not m[1] and not rest.rstrip().endswith("/"):
+            close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(html, at)
+            if close:
+                at = close.end()
+            elif name in ("script", "style"):
+                at = size
+            else:
+                unclosed.add(name)
+            yield start, at, None, False, ""
+            continue
+        yield start, at, name, bool(m[1]), rest
+
+
+def _tag_end(html: str, at: int) -> int:
+    """Place of the ``>`` outside quotes, or -1."""
+    while m := _MARK.search(html, at):
+        if m[0] == ">":
+            return m.start()
+        at = html.find(m[0], m.end()) + 1
+        if at == 0:
+            return -1
+    return -1
+
+
 class Page:
     """A page's containers and text blocks, read in one pass that forgives unclosed and stray tags.
 
-    Node 0 stands for the body where a page has no such tag.
+    Node 0 stands for the body where a page has no such tag. A node's number is above its parent's.
     """
 
     def __init__(self, html: str):
-        self.parent, self.path, self.noise, self.kind = [-1], [""], [False], ["body"]
+        self.parent, self.path, self.noise, self.kind = [-1], [_digest("", "")], [False], ["body"]
         self._marked = [False]  # by words of class, id or role
+        self._within = [0]  # 1 inside article or main, 2 inside an article
         self.blocks: list[tuple[int, str, int]] = []  # (node, text, characters in links)
         self._parts: list[str] = []
         self._linked = 0
         stack: list[tuple[str, int]] = [("", 0)]
-        links, loose, at, size = 0, False, 0, len(html)
-        while at < size:
-            m = _TAG.search(html, at)
-            if m is None:
-                self._text(html[at:], links)
-                break
-            if m.start() > at:
-                self._text(html[at : m.start()], links)
-            at = m.end()
-            name = m["name"]
+        open_tags: Counter[str] = Counter()
+        links, loose, at = 0, False, 0
+        for start, end, name, closes, rest in _tags(html):
+            if start > at:
+                self._text(html[at:start], links)
+            at = end
             if name is None:
                 continue
-            name = name.lower()
             if name in _BLOCK and name != "br" and loose:
                 # An anchor without an end tag ends with its line of text.
                 self._cut(stack[-1][1])
                 links, loose = 0, False
-            if m["close"]:
+            if closes:
                 if name in _BLOCK:
                     self._cut(stack[-1][1])
                 if name == "a":
                     links, loose = 0, False
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
+                while open_tags[name]:
+                    top = stack.pop()[0]
+                    open_tags[top] -= 1
+                    if top == name:
                         break
                 continue
-            if name in _RAW and not m["rest"].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(html, at)
-                at = end.end() if end else size
-                continue
             if name in _BLOCK:
                 self._cut(stack[-1][1])
                 if stack[-1][0] == "head":
-                    stack.pop()
+                    open_tags[stack.pop()[0]] -= 1
             if name in _VOID:
                 continue
             if name == "a":
                 following = _ANCHOR.search(html, at)
-                links = int(_HREF.search(m["rest"]) is not None)
+                links = int(_HREF.search(rest) is not None)
                 loose = links > 0 and not (following and following[1])
                 continue
             if name not in _BLOCK and name not in _NEVER:
                 continue
             if name in _CLOSES_P and stack[-1][0] == "p" or name == "li" and stack[-1][0] == "li":
-                stack.pop()
-            top = stack[-1][1]
-            names = " ".join(x for y in _NAMES.findall(m["rest"]) for x in y).lower() if m["rest"] else ""
-            words = set(re.split(r"[^a-z]+", names))
-            inside = any(self.kind[n] in ("article", "main") for n in self._chain(top))
-            exempt = name in _PAGE and not (name == "article" and any(self.kind[n] == "article" for n in self._chain(top)))
-            self._marked.append(not exempt and (bool(words & _NOISE) or (not inside and "header" in words)))
-            self.parent.append(top)
-            label = ".".join([name, *sorted(set(re.sub(r"\d+", "#", names).split()))])
-            self.path.append(f"{self.path[top]}/{label}" if name in _HOLDER else self.path[top])
-            self.noise.append(name in _NEVER or (not inside and name == "header"))
-            self.kind.append(name)
+                open_tags[stack.pop()[0]] -= 1
+            self._open(name, rest, stack[-1][1])
             stack.append((name, len(self.parent) - 1))
+            open_tags[name] += 1
+        if at < len(html):
+            self._text(html[at:], links)
         self._cut(stack[-1][1])
         self._judge()
 
+    def _open(self, name: str, rest: str, top: int) -> None:
+        names = " ".join(x for y in _NAMES.findall(rest) for x in y).lower() if rest else ""
+        words, inside = set(re.split(r"[^a-z]+", names)), self._within[top] > 0
+        exempt = name in _PAGE and not (name == "article" and self._within[top] == 2)
+        self._marked.append(not exempt and (bool(words & _NOISE) or (not inside and "header" in words)))
+        self.parent.append(top)
+        if name in _HOLDER:
+            label = ".".join([name, *sorted(set(re.sub(r"\d+", "#", names).split()))])
+            self.path.append(_digest(self.path[top], label))
+        else:
+            self.path.append(self.path[top])
+        self.noise.append(name in _NEVER or (not inside and name == "header"))
+        self.kind.append(name)
+        self._within.append(2 if name == "article" else max(self._within[top], int(name == "main")))
+
     def _judge(self) -> None:
         """Noise passes down. Words do not make noise of a container with most of the page's unlinked text that also has
         its heading or main part, or that has all of it."""
-        held, total, headed = [0] * len(self.parent), 0, set()
+        nodes = len(self.parent)
+        held, headed, total = [0] * nodes, [k in ("h1", "main") for k in self.kind], 0
         if any(self._marked):
+            plain = list(self.noise)
+            for n in range(1, nodes):
+                plain[n] = plain[n] or plain[self.parent[n]]
             for node, text, linked in self.blocks:
                 worth = len(text) - 2 * linked
-                if worth > 0 and not any(self.noise[n] for n in self._chain(node)):
+                if worth > 0 and not plain[node]:
                     total += worth
-                    for n in self._chain(node):
-                        held[n] += worth
-            headed = {n for k, kind in enumerate(self.kind) if kind in ("h1", "main") for n in self._chain(k)}
-        for n in range(1, len(self.parent)):
-            spared = self.kind[n] in _HOLDER and 2 * held[n] > total and (n in headed or held[n] == total)
+                    held[node] += worth
+            for n in range(nodes - 1, 0, -1):
+                held[self.parent[n]] += held[n]
+                headed[self.parent[n]] = headed[self.parent[n]] or headed[n]
+        for n in range(1, nodes):
+            spared = self.kind[n] in _HOLDER and 2 * held[n] > total and (headed[n] or held[n] == total)
             self.noise[n] = self.noise[n] or self.noise[self.parent[n]] or (self._marked[n] and not spared)
 
-    def _chain(self, node: int) -> Iterator[int]:
-        while node > 0:
-            yield node
-            node = self.parent[node]
-        yield 0
-
     def _text(self, raw: str, links: int) -> None:
         self._parts.append(raw)
         if links:
@@ -146,21 +217,22 @@ class Page:
                 self.blocks.append((node, text, self._linked))
             self._parts, self._linked = [], 0
 
-    def scores(self) -> dict[int, int]:
-        """Per container outside menus, adverts and the like: its blocks' unlinked characters, a share for outer ones."""
-        found: dict[int, int] = {}
+    def scores(self) -> dict[int, float]:
+        """Per container outside menus, adverts and the like: four times its blocks' unlinked characters, halved for each
+        further container around them."""
         bodies = "body" in self.kind[1:]
+        own = [0.0] * len(self.parent)
         for node, text, linked in self.blocks:
             worth = len(text) - 2 * linked
-            if self.noise[node] or worth <= 0:
-                continue
-            depth = 1
-            for n in self._chain(node):
-                if self.kind[n] in _HOLDER and (n or not bodies):
-                    found[n] = found.get(n, 0) + 4 * worth // depth
-                    depth *= 2
-                    if depth > 8:
-                        break
+            if worth > 0 and not self.noise[node]:
+                own[node] += 4.0 * worth
+        found: dict[int, float] = {}
+        for n in range(len(self.parent) - 1, -1, -1):
+            if own[n] and self.kind[n] in _HOLDER and (n or not bodies):
+                found[n] = own[n]
+                own[n] /= 2
+            if n:
+                own[self.parent[n]] += own[n]
         return found
 
     def best(self) -> int | None:
@@ -170,17 +242,25 @@ class Page:
 
     def text(self, chosen: set[int]) -> str:
         """The blocks in the chosen containers without those of menus, adverts, comments and the like."""
-        return "\n".join(t for node, t, _ in self.blocks if not self.noise[node] and any(n in chosen for n in self._chain(node)))
+        inside = [n in chosen for n in range(len(self.parent))]
+        for n in range(1, len(inside)):
+            inside[n] = inside[n] or inside[self.parent[n]]
+        return "\n".join(t for node, t, _ in self.blocks if inside[node] and not self.noise[node])
+
+
+def _digest(path: str, label: str) -> str:
+    """A container's path as 16 hex digits: its parent's and its own label, so paths take the same room at any depth."""
+    return blake2b(f"{path}/{label}".encode(), digest_size=8).hexdigest()
 
 
-def votes(html: str, most: int = 3) -> list[tuple[str, int]]:
-    """The generalised paths of a page's best containers, with each one's share of the best score in per mille."""
+def votes(html: str) -> list[tuple[str, int]]:
+    """The generalised paths of a page's containers, with each one's share of the best score in per mille (0: no vote)."""
     page = Page(html)
-    by_path: dict[str, int] = {}
+    by_path: dict[str, float] = {}
     for n, s in page.scores().items():
         by_path[page.path[n]] = by_path.get(page.path[n], 0) + s
-    top = sorted(by_path.items(), key=lambda x: (-x[1], x[0]))[:most]
-    return [(p, 1000 * s // top[0][1]) for p, s in top if s > 0]
+    top = max(by_path.values(), default=0)
+    return [(p, n) for p, s in sorted(by_path.items()) if (n := int(1000 * s / top))]
 
 
 def main_text(html: str | None, winner: str | None) -> str:
@@ -196,17 +276,19 @@ def main_text(html: str | None, winner: str | None) -> str:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): each host's winning path, by summed votes and then by path. ``pages`` has host and html."""
+    """(host, path): each host's winning path, by summed votes and, of equal ones, the first path. ``pages`` has host
+    and html; pages without a host or without html have no vote."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, counts = [], [], []
-            for host, html in zip(batch.column("host"), batch.column("html"), strict=True):
-                for path, n in votes(html.as_py() or ""):
-                    hosts.append(host.as_py())
-                    paths.append(path)
-                    counts.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(counts, pa.int64())], names=["host", "path", "n"])
+            for part in pieces(batch, "html"):
+                hosts, paths, counts = [], [], []
+                for host, html in zip(part.column("host"), part.column("html"), strict=True):
+                    for path, n in votes(html.as_py() or ""):
+                        hosts.append(host.as_py())
+                        paths.append(path)
+                        counts.append(n)
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(counts, pa.int64())], names=["host", "path", "n"])
 
     cast = pages.filter("host <> ''").select("host", "html").mapInArrow(vote, "host string, path string, n long")
     summed = cast.groupBy("host", "path").agg(F.sum("n").alias("n"))
@@ -217,24 +299,23 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``, which needs page_id, url and html.
 
     Null html or html without an article gives an empty text; a null url has no host. Repeated rows are extracted
-    alike, other columns are not read. The winning paths, one row a host, are broadcast while they are few; beyond that
-    the pages are joined by a shuffle, in which adaptive execution splits a host with a third of all pages, as nothing
-    after the join needs a host's pages together.
+    alike, an empty table gives no rows, other columns are not read. The winning paths, one short row a host, are
+    broadcast while they are few; beyond that the pages are joined by a shuffle, in which adaptive execution splits a
+    host with a third of all pages, as nothing after the join needs a host's pages together.
     """
     host, _ = host_and_path(F.col("url"))
     given = pages.select("page_id", "url", "html", host.alias("host"))
-    winners = written(host_paths(given), "host-paths").withColumnRenamed("path", "winner")
+    winners = written(host_paths(given).withColumnRenamed("path", "winner"), "host-paths")
     joined = given.join(small_side(winners), "host", "left").select("page_id", "url", "html", "winner")
-    key, kind = pages.schema["page_id"].name, pages.schema["page_id"].dataType.simpleString()
+    kind = pages.schema["page_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for part in pieces(batch, "html", 1 << 23):
                 texts = [main_text(h.as_py(), w.as_py()) for h, w in zip(part.column("html"), part.column("winner"), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(read, f"{key} {kind}, url string, text string, n_chars long")
+    return joined.mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
