@@ -14,25 +14,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_LABELLED = 2000
-BUCKETS, SIZES, SCALE = 2048, (3, 4), 1_000_000
+BUCKETS, SIZES, SCALE = 8192, (3, 4), 1_000_000
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: The labelled URL table that ships with the library: hosts of unwanted sites (1) and of ordinary ones (0).
-_UNWANTED = "cheap-pills casino-win adult-x free-bets spam-farm ads-track".split()
+#: Words of the labelled URL table that ships with the library, in common use on the web: what unwanted sites (gambling,
+#: pills, adult, scams, malware, advert networks) and ordinary ones are named after. No host of any given table is here.
+_UNWANTED = (
+    "casino poker slots jackpot roulette betting bets bookmaker lottery blackjack viagra cialis levitra pharmacy pills meds steroids weightloss "
+    "xxx porn sex adult escort camgirls hookup nude replica counterfeit payday loans creditfix getrich fastcash freecash freegift giveaway prize winner "
+    "clickbait spam spammer malware phishing ransom warez keygen crackz torrentz hacked cheats ads adserver adclick adtrack tracker tracking popunder "
+    "popup banners affiliate linkfarm doorway cheap discountmeds bonus win"
+).split()
 _ORDINARY = (
-    "city-news open-data river-watch blog-post my-garden home-page the-times shop-local ththre therin tionsh theres ththly ththed ththon ththan "
-    "therti ththble tionble ththtion therer ththwh ththen ththor ththst therwh theron therou thering ththti ththha ththin ththat erblen andhes "
-    "outher ingland shtion ndhead whened blewat news library school museum weather science history music travel cooking sport"
+    "wikipedia encyclopedia library school university college museum weather science history music travel cooking recipes sport football news "
+    "journal magazine research government council hospital health nature river garden photography art books literature poetry philosophy "
+    "language english physics chemistry biology maths python linux software developer docs manual forum community blog diary family "
+    "village city region maps transport railway airport hotel restaurant cinema theatre radio television archive gallery law economy bank market "
+    "shop store furniture bicycle car energy water forest mountain ocean island bird dog"
 ).split()
-_SITES = ("", "www.", "blog.", "m.")
-_ENDS = ("example.com", "example.org", "example.net")
-_PATHS = ("/en/12", "/de/345.html", "/fr/7/", "/es/881", "/", "")
-LABELLED = tuple(
-    (f"https://{_SITES[(i + k) % 4]}{word}.{_ENDS[(i + 2 * k) % 3]}{_PATHS[(i + k) % 6]}", label)
-    for label, words, times in ((1, _UNWANTED, 12), (0, _ORDINARY, 3))
-    for i, word in enumerate(words)
-    for k in range(times)
-)
+_SITES, _ENDS = ("", "www.", "blog.", "m.", "en."), ("com", "org", "net", "co.uk", "de", "info")
+_PAGES = ("/", "", "/index.html", "/about", "/2021/05/story.html", "/wiki/Article", "/en/12", "/p?id=3", "/articles/77", "/de/345.html")
+_SYLLABLES = "ka ro mi ten sol ver nal dre phu lin gor wes tri bo shan".split()
+
+
+def _labelled() -> tuple[tuple[str, int], ...]:
+    """(url, 1 for unwanted) rows by a rule: each word alone and before and after two others of its side, and invented
+    names, which are ordinary, over changing sites, endings and pages."""
+    hosts = []
+    for label, words in ((1, _UNWANTED), (0, _ORDINARY)):
+        for i, word in enumerate(words):
+            other, third = words[(7 * i + 3) % len(words)], words[(11 * i + 5) % len(words)]
+            hosts += [(word, label), (f"{word}-{other}", label), (f"{third}{word}", label)]
+    for i in range(240):
+        hosts.append(("".join(_SYLLABLES[(i * k + i // 15 + k) % 15] for k in (1, 4, 7)[: 2 + i % 2]), 0))
+    return tuple((f"https://{_SITES[i % 5]}{name}.{_ENDS[i % 6]}{_PAGES[i % 10]}", label) for i, (name, label) in enumerate(hosts))
+
+
+LABELLED = _labelled()
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -57,9 +75,9 @@ def grams(host: str, path: str) -> list[int]:
 
 @lru_cache(maxsize=4)
 def fitted(labelled: tuple[tuple[str, int], ...] = LABELLED, epochs: int = 60, rate: float = 0.05, decay: float = 1e-4) -> tuple[int, tuple[int, ...]]:
-    """Intercept and weights in units of 1 / SCALE, by stochastic gradient descent in the table's order.
+    """Intercept and weights in units of 1 / SCALE, by stochastic gradient descent over the table in a hashed order.
 
-    Grams of host and path that are not letters' context of a word in the labelled table get no weight.
+    A gram's weight stays 0 where no labelled url has a gram of its bucket.
     """
     if len(labelled) > MOST_LABELLED:
         raise ValueError(f"the labelled URL table has more than {MOST_LABELLED} rows")
@@ -91,15 +109,23 @@ def best_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...
     return F.array_max(F.filter(table, fits))
 
 
-def _gram_weights(text: Column, n: int, table: Column) -> Column:
-    places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+def _gram_weights(text: Column, table: Column) -> Column:
+    """Sum of the weights of all n-grams. The text is cut into characters once and each longer gram is made from a
+    shorter one and the character after it, so the work is in proportion to the text."""
+    chars = F.split(text, "")
+    grams, total, size = chars, F.lit(0).cast("long"), 1
+    for n in SIZES:
+        while size < n:
+            # The last gram has no character after it: null, and so is every longer one from there.
+            grams = F.zip_with(grams, F.slice(chars, F.lit(size + 1), F.length(text)), lambda a, b: F.concat(a, b))
+            size += 1
 
-    def add(total: Column, i: Column) -> Column:
-        digest = F.md5(F.substr(text, i, F.lit(n)).cast("binary"))
-        bucket = F.conv(F.substr(digest, F.lit(1), F.lit(8)), 16, 10).cast("long") % BUCKETS
-        return total + F.get(table, bucket.cast("int"))
+        def add(sum_: Column, gram: Column) -> Column:
+            bucket = F.conv(F.substr(F.md5(gram.cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("long") % BUCKETS
+            return sum_ + F.coalesce(F.get(table, bucket.cast("int")), F.lit(0).cast("long"))
 
-    return F.aggregate(places, F.lit(0).cast("long"), add)
+        total = total + F.aggregate(grams, F.lit(0).cast("long"), add)
+    return total
 
 
 def spam_score(host: Column, path: Column, model: tuple[int, tuple[int, ...]]) -> Column:
@@ -108,8 +134,7 @@ def spam_score(host: Column, path: Column, model: tuple[int, tuple[int, ...]]) -
     table = F.lit(list(weights)).cast("array<long>")
     total = F.lit(bias).cast("long")
     for text in (F.concat(F.lit("^"), host, F.lit("$")), F.concat(F.lit("~"), path)):
-        for n in SIZES:
-            total = total + _gram_weights(text, n, table)
+        total = total + _gram_weights(text, table)
     return total
 
 
@@ -117,7 +142,8 @@ def judge(pages: DataFrame, *, rules: tuple[tuple[str, str, str], ...] = RULES,
     """Pages with host, path, rule, score and verdict.
 
     ``pages`` needs url; its columns of those names are replaced, others kept. A url that is null or has no ``://`` has
-    empty host and path and is judged by the model like any other. Repeated rows are judged alike.
+    empty host and path and is judged by the model like any other. Repeated rows are judged alike; an empty table gives
+    no rows.
     """
     model = model or fitted()
     rest = pages.drop(*[c for c in pages.columns if c.lower() in ("host", "path", "rule", "score", "verdict", "_rule")])
