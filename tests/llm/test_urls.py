@@ -13,7 +13,7 @@ UNWANTED = (
 ORDINARY = (
     "https://en.wikipedia.org/wiki/River https://docs.python.org/3/library/ https://www.bbc.co.uk/news/uk https://arxiv.org/abs/2101 https://github.com/apache/spark https://www.nytimes.com/2021/05/a.html "
     "https://stackoverflow.com/questions/1 https://nasa.gov/ https://www.mit.edu/research https://lemonde.fr/ https://heise.de/news/ https://my-travel-blog.net/ https://gutenberg.org/ebooks/11 https://imdb.com/title "
-    "https://openstreetmap.org/ https://nature.com/articles/x https://www.zeit.de/ https://elpais.com/ https://weatherunderground.com/ https://craigslist.org/"
+    "https://openstreetmap.org/ https://plos.org/articles/x https://www.zeit.de/ https://elpais.com/ https://weatherunderground.com/ https://craigslist.org/"
 ).split()
 
 
