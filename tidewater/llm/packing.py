@@ -19,16 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.storage import written
+from tidewater.llm.textkit import pieces as parts
 
 END_ID = 0
 PIECES_PER_GROUP = 4096
+#: Code points of a text that are encoded at once, and where a longer text may be cut; no special string has a space.
+LONG, _CUT = 1 << 20, re.compile(r"[^\W\d_](?= [^\W\d_])")
 
 
 class Encoder:
     """Ids as the tokenizer file gives them, with its special strings recognised.
 
     Most texts go through the same vocabulary's rank file, which is several times faster and gives the same ids on the
-    code points below U+0600 (tests/llm/test_packing.py compares every one of them); other texts, and all texts where
+    code points below U+0600 (a test compares every one of them); other texts, and all texts where
     no rank file is given, go through the tokenizer file itself.
     """
 
@@ -53,6 +56,19 @@ class Encoder:
         self.plain = re.compile("[\u0000-׿]*")
 
     def __call__(self, text: str) -> np.ndarray:
+        """The ids of the whole text. A text of more than LONG code points is encoded part by part, cut between a letter
+        and a space that a letter follows, where no token reaches across, so working memory stays bounded."""
+        if len(text) <= LONG:
+            return self._encode(text)
+        ids, begin = [], 0
+        while begin < len(text):
+            cut = _CUT.search(text, begin + LONG)
+            end = cut.start() + 1 if cut else len(text)
+            ids.append(self._encode(text[begin:end]))
+            begin = end
+        return np.concatenate(ids)
+
+    def _encode(self, text: str) -> np.ndarray:
         if self.fast is None or not self.plain.fullmatch(text):
             return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
         if self.split is None or not any(s in text for s in self.special):
@@ -92,7 +108,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-PIECES = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, spread long"
+PIECES = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def token_pieces(docs: DataFrame, *, path: str, ranks_path: str | None = None, capacity: int = 1024) -> DataFrame:
@@ -102,22 +118,19 @@ def token_pieces(docs: DataFrame, *, path: str, ranks_path: str | None = None, c
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, ranks_path)
         for batch in batches:
-            ids_of, texts = batch.column("doc_id"), batch.column("text")
-            for at in range(0, len(texts), 256):
-                where, start, length, crc, total, spread = [], [], [], [], [], []
-                for row in range(at, min(at + 256, len(texts))):
-                    ids = np.append(encoder(texts[row].as_py() or ""), np.uint32(END_ID)).astype("<u4")
+            for part in parts(batch, "text", 1 << 22):
+                where, start, length, crc, total = [], [], [], [], []
+                for row, text in enumerate(part.column("text")):
+                    ids = np.append(encoder(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
                     raw = ids.tobytes()
-                    whole = zlib.crc32(raw)
                     for begin in range(0, len(ids), capacity):
                         where.append(row)
                         start.append(begin)
                         length.append(min(capacity, len(ids) - begin))
                         crc.append(zlib.crc32(raw[4 * begin : 4 * (begin + capacity)]))
                         total.append(len(ids))
-                        spread.append(whole + (begin // (256 * capacity) << 32))
-                columns = [ids_of.take(pa.array(where, pa.int64()))] + [pa.array(x, pa.int64()) for x in (start, length, crc, total, spread)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "spread"])
+                columns = [part.column("doc_id").take(pa.array(where, pa.int64()))] + [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, PIECES.format(kind=kind.simpleString()))
 
@@ -126,13 +139,14 @@ def pack(docs: DataFrame, *, path: str, ranks_path: str | None = None, capacity:
     """Pieces with ``sequence_id`` and ``offset``: gapless from 0 within a sequence of at most ``capacity`` ids.
 
     ``docs`` needs doc_id and text. Null doc_ids, repeated rows and empty texts are documents like others; an empty
-    table gives no pieces. A very long document is cut into many pieces, and its runs of 256 full pieces are dealt to
-    different groups.
+    table gives no pieces. Groups are dealt by a hash of the stored piece's number, so neither a very long document nor
+    rows that repeat an id or a whole text make a large group.
     """
-    pieces = written(token_pieces(docs, path=path, ranks_path=ranks_path, capacity=capacity), "pack-pieces")
+    pieces = token_pieces(docs, path=path, ranks_path=ranks_path, capacity=capacity)
+    pieces = written(pieces.withColumn("number", F.monotonically_increasing_id()), "pack-pieces")
     rows = pieces.count()
     groups = max(1, math.ceil(rows / PIECES_PER_GROUP))
-    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "spread", F.lit("packing")), F.lit(groups))).drop("spread")
+    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("number", F.lit("packing")), F.lit(groups))).drop("number")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
