@@ -46,7 +46,7 @@ def test_equal_to_brute_force_with_copies_and_clusters(spark):
 
 
 def test_hot_bucket_is_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "LEAST_BLOCK", 16)
     rng = np.random.default_rng(4)
     centre = rng.normal(size=16)
     check(spark, [(k, centre + rng.normal(size=16) * 0.12) for k in range(150)], "double")
@@ -68,3 +68,16 @@ def test_chance_to_meet_is_as_planned():
     direct = (x[:, :, 0] == y[:, :, 0]).mean()
     probed = ((x == y[:, :, :1]).any(2) | (y == x[:, :, :1]).any(2)).mean()
     assert direct >= neighbours.MEET and probed >= neighbours.MEET_PROBED
+
+
+def test_recall_at_the_threshold_in_full_dimension(spark):
+    rng = np.random.default_rng(8)
+    a = neighbours.unit(rng.normal(size=(600, 768)))
+    o = rng.normal(size=a.shape)
+    o = neighbours.unit(o - (o * a).sum(1, keepdims=True) * a)
+    cosine = np.where(np.arange(600) % 2, 0.9501, 0.9499)[:, None]
+    b = cosine * a + np.sqrt(1 - cosine**2) * o
+    rows = [(int(k), v.tolist()) for k, v in enumerate(np.concatenate((a, b)))]
+    out = {r["vec_id"]: r["n_links"] for r in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    found = np.array([out[k] for k in range(600)])
+    assert found[0::2].max() == 0 and found[1::2].mean() >= 0.99 and [out[600 + k] for k in range(600)] == found.tolist()

@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.llm.components import components
-from tidewater.llm.storage import written
+from tidewater.llm.storage import small_side, written
 from tidewater.llm.tasks import whole_groups
 from tidewater.llm.textkit import mix64
 
-BLOCK = 2048
+#: Rows of a block of a large bucket: a sixteenth of the bucket between these bounds, so that its work is spread over
+#: about a hundred block pairs before blocks, and with them the copies that are sent, grow.
+LEAST_BLOCK, MOST_BLOCK = 256, 2048
 ROWS_PER_BUCKET = 1024
 
 
@@ -188,7 +190,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.95, miss: float = 1
     other rows, copies among them. Vectors that are null, empty or zero, or hold nulls or non-finite numbers, and rows
     without a vec_id link with nothing; vectors of different lengths do not link. Rows that share a vec_id count
     separately in n_links and as one in components. Equal vectors are one representative, with their number, before any
-    bucket is made; buckets of more than BLOCK rows are compared as pairs of blocks in separate tasks.
+    bucket is made; large buckets are compared as pairs of blocks, each pair a group of its own.
     """
     item = vectors.schema["embedding"].dataType.elementType
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
@@ -201,10 +203,11 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.95, miss: float = 1
 
     members = _members(reps.select("rep", "copies", "embedding"), tables=tables, hashes=hashes)
     members = written(members, "buckets")
-    large = members.groupBy("bucket").agg(F.count("*").alias("rows")).filter(F.col("rows") > BLOCK)
-    blocks = F.coalesce(F.ceil(F.col("rows") / BLOCK), F.lit(1)).cast("int")
+    large = members.groupBy("bucket").agg(F.count("*").alias("rows")).filter(F.col("rows") > 2 * LEAST_BLOCK)
+    size = F.least(F.greatest(F.col("rows") / 16, F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
+    blocks = F.coalesce(F.ceil(F.col("rows") / size), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("rep", "probe"), blocks).cast("int")
-    spread = members.join(written(large, "large-buckets"), "bucket", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = members.join(small_side(written(large, "large-buckets")), "bucket", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     spread = spread.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
     met = written(_compare(spread.drop("own", "other", "rows"), single=isinstance(item, T.FloatType), hashes=hashes, cosine=cosine), "met")
 
