@@ -201,7 +201,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Per conversation, what a reader finds in the formatted turns: counts and digests of turns and of masked text.
 
     A conversation's turns are read in order as a stream, so memory does not grow with its length; ties of the turn
-    number are read in the order of their formatted text.
+    number, repeated rows among them, are all read, in the order of their formatted text. Rows with a null conv_id are
+    one conversation. An empty table gives no rows.
     """
     kind = formatted.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

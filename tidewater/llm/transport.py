@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidewater.llm.textkit import pieces
+
 PACKET, SYNC = 188, 0x47
 PMT_PID, DATA_PID, STREAM_TYPE, STREAM_ID = 0x1000, 0x0100, 0x06, 0xBD
 UNIT_BYTES, TICKS_PER_UNIT, UNITS_PER_GROUP = 16384, 3600, 8
@@ -168,14 +170,14 @@ def demultiplex(media: bytes) -> Stream:
 def stored(frame: DataFrame, *, id_column: str, text_column: str, multiple: int = 64) -> DataFrame:
     """(id, n_bytes, media): each text's UTF-8 bytes, zero bytes up to a positive multiple, as a transport stream.
 
-    Null counts as empty. Equal texts give equal media.
+    Null counts as empty. Equal texts give equal media, repeated rows too; an empty table gives no rows; other columns
+    are not read. Batches are cut by bytes, so many long texts do not meet in one Arrow column.
     """
     kind = frame.schema[id_column].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for part in pieces(batch, text_column, 1 << 24):
                 raw = [(t.as_py() or "").encode() for t in part.column(1)]
                 media = [multiplex(r + bytes(-len(r) % multiple if r else multiple)) for r in raw]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], names=[id_column, "n_bytes", "media"])
@@ -199,14 +201,15 @@ def units(media: DataFrame, *, id_column: str) -> DataFrame:
 
 
 def features(media: DataFrame, *, id_column: str) -> DataFrame:
-    """Digests and features of what is read back from ``media`` (null: no stream)."""
+    """Digests and features of what is read back from ``media`` (null: no stream). Equal media give equal rows, repeated
+    rows too; an empty table gives no rows; columns but the id, n_bytes and media are not read."""
     kind = media.schema[id_column].dataType.simpleString()
     names = [id_column, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pts", "random_access_points"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part, rows = batch.slice(at, 512), []
+            for part in pieces(batch, "media", 1 << 24):
+                rows = []
                 for value in part.column("media"):
                     raw = value.as_py() or b""
                     s = demultiplex(raw)
