@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.constants import CHLOROPHYLL_MATCH, DEDUPE_DAYS, MAX_LAG_DAYS, NTU_MATCH, TSS_MATCH
-from tidewater.operators.baseline import circular_distance, first_rows
+from tidewater.constants import CHLOROPHYLL_MATCH, DEDUPE_DAYS, DOYS, MAX_LAG_DAYS, NTU_MATCH, TSS_MATCH
+from tidewater.operators.baseline import circular_distance, nearby_doys
 from tidewater.operators.detect import SEVERITIES
 
 OPEN = ("open", "investigating")
@@ -45,10 +45,12 @@ def episode_fields(placed: DataFrame) -> DataFrame:
 def attach_follow_ups(follow_ups: DataFrame, alerts: DataFrame, *, days: int = DEDUPE_DAYS) -> DataFrame:
     """Each follow-up with the alert of its zone that was observed last, not before ``days`` days back; else none.
 
-    There is no upper bound: a late row may attach to a later alert.
+    There is no upper bound: a late row may attach to a later alert. So the zone's last alert is the only one that can
+    be it, and a zone's alerts are one row before they meet its follow-ups.
     """
-    near = follow_ups.select("candidate_id", "zone_id", "observed_at").join(alerts.select("zone_id", "indicator", "episode", "last_at"), "zone_id").filter(F.col("last_at") >= F.date_sub("observed_at", days))
-    return near.groupBy("candidate_id").agg(F.max(F.struct("last_at", "indicator", "episode")).alias("a")).select("candidate_id", "a.last_at", "a.indicator", "a.episode")
+    last = alerts.groupBy("zone_id").agg(F.max(F.struct("last_at", "indicator", "episode")).alias("a"))
+    near = follow_ups.select("candidate_id", "zone_id", "observed_at").join(last, "zone_id").filter(F.col("a.last_at") >= F.date_sub("observed_at", days))
+    return near.select("candidate_id", "a.last_at", "a.indicator", "a.episode").distinct()
 
 
 def timelines(placed: DataFrame) -> DataFrame:
@@ -58,12 +60,31 @@ def timelines(placed: DataFrame) -> DataFrame:
 
 
 def reference_scene(current: DataFrame, scenes: DataFrame, *, days: int = 45) -> DataFrame:
-    """The scene to compare with: at least a day older, of an earlier year's season if there is one, nearest by day of
-    the year, then newest. ``current`` and ``scenes`` have (body_id, scene_id, sensed_at)."""
-    pairs = current.select("body_id", F.col("scene_id").alias("current_id"), F.col("sensed_at").alias("now")).join(scenes, "body_id").filter("sensed_at < now - INTERVAL 1 DAY")
-    gap = circular_distance(F.dayofyear("now"), F.dayofyear("sensed_at"))
-    season = (F.year("sensed_at") < F.year("now")) & (gap <= days)
-    return first_rows(pairs.withColumn("gap", gap).withColumn("same_season", season), ["current_id"], [F.col("same_season").desc(), F.col("gap"), F.col("sensed_at").desc(), F.col("scene_id")])
+    """The scene to compare with: more than a day older, of an earlier year's season if there is one, nearest by day of
+    the year, then newest. ``current`` and ``scenes`` have (body_id, scene_id, sensed_at).
+
+    Passes never meet all earlier passes of their body. First the nearest day of the year with anything old enough is
+    found, from each body's first pass on each day of the year (at most 366 rows a body): among the days of the season, or
+    among all days for the few passes without a season before them. Then only the passes of that day, or of the two days
+    at that distance, are read for the newest.
+    """
+    kind = scenes.schema["sensed_at"].dataType
+    at = scenes.groupBy("body_id", "sensed_at").agg(F.min("scene_id").alias("scene_id")).withColumn("day", F.dayofyear("sensed_at"))
+    first = at.groupBy("body_id", "day").agg(F.min("sensed_at").alias("first_at"))
+    now = current.select("body_id", F.col("sensed_at").alias("now")).distinct().withColumn("doy", F.dayofyear("now"))
+    now = now.withColumn("earlier", F.expr("now - INTERVAL 1 DAY")).withColumn("before", F.least("earlier", F.date_trunc("year", "now").cast(kind)))
+    gap = circular_distance(F.col("doy"), F.col("day"))
+    keys = ["body_id", "now", "doy"]
+    season = now.withColumn("day", F.explode(nearby_doys(F.col("doy"), days))).join(first, ["body_id", "day"]).filter(F.col("first_at") < F.col("before"))
+    season = season.groupBy(*keys, F.col("before").alias("until")).agg(F.min(gap).alias("gap")).withColumn("same_season", F.lit(True))
+    rest = now.join(season, keys, "left_anti").join(first, "body_id").filter(F.col("first_at") < F.col("earlier"))
+    rest = rest.groupBy(*keys, F.col("earlier").alias("until")).agg(F.min(gap).alias("gap")).withColumn("same_season", F.lit(False))
+    day = lambda k: F.pmod(F.col("doy") - 1 + k, F.lit(DOYS)) + 1
+    chosen = season.unionByName(rest).withColumn("day", F.explode(F.array_distinct(F.array(day(F.col("gap")), day(-F.col("gap"))))))
+    found = chosen.join(at, ["body_id", "day"]).filter(F.col("sensed_at") < F.col("until"))
+    best = found.groupBy("body_id", "now", "gap", "same_season").agg(F.max_by("scene_id", "sensed_at").alias("scene_id"), F.max("sensed_at").alias("sensed_at"))
+    asked = current.select("body_id", F.col("scene_id").alias("current_id"), F.col("sensed_at").alias("now"))
+    return asked.join(best, ["body_id", "now"])
 
 
 def latest_status(events: DataFrame, allowed: tuple[str, ...]) -> DataFrame:

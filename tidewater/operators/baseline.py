@@ -34,16 +34,25 @@ def seasonal_baseline(obs: DataFrame, *, value: str = "mean", window_days: int =
     """Per series and day of the year 1 to 366: statistics of all observations within half the window; empty days too.
 
     Each observation is copied to the days that it feeds after its series has been brought together, so the exchange
-    carries the observations once, not once per fed day; the aggregations below need no other.
+    carries the observations once, not once per fed day. A day's window is one sorted array, from which median, deviation
+    and percentiles are read in one pass: there is one aggregation and no join of a table with itself.
     """
     keys = [*series, "doy"]
     own = obs.select(*series, F.col(value).alias("_v"), F.dayofyear("observed_at").alias("_d"), F.year("observed_at").alias("_y")).repartition(*series)
     fed = own.filter(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf"))).withColumn("doy", F.explode(nearby_doys(F.col("_d"), window_days // 2)))
-    first = fed.groupBy(*keys).agg(F.percentile("_v", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9))).alias("_p"), F.count("*").alias("n_samples"), F.countDistinct("_y").alias("n_years"))
-    spread = fed.join(first.select(*keys, F.col("_p")[0].alias("_m")), keys).groupBy(*keys).agg((F.percentile(F.abs(F.col("_v") - F.col("_m")), 0.5) * MAD_TO_SIGMA).alias("sigma"))
+    windows = fed.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_s"), F.size(F.collect_set("_y")).cast("long").alias("n_years"))
+    stats = windows.withColumn("median", quantile(F.col("_s"), 0.5))
+    deviations = F.sort_array(F.transform("_s", lambda v: F.abs(v - F.col("median"))))
+    stats = stats.select(*keys, "median", (quantile(deviations, 0.5) * MAD_TO_SIGMA).alias("sigma"), quantile(F.col("_s"), 0.1).alias("p10"), quantile(F.col("_s"), 0.9).alias("p90"), F.size("_s").cast("long").alias("n_samples"), "n_years")
     days = own.select(*series).distinct().withColumn("doy", F.explode(F.sequence(F.lit(1), F.lit(DOYS))))
-    stats = first.join(spread, keys)
-    return days.join(stats, keys, "left").select(*keys, F.col("_p")[0].alias("median"), "sigma", F.col("_p")[1].alias("p10"), F.col("_p")[2].alias("p90"), F.coalesce("n_samples", F.lit(0)).alias("n_samples"), F.coalesce("n_years", F.lit(0)).alias("n_years"))
+    return days.join(stats, keys, "left").select(*keys, "median", "sigma", "p10", "p90", F.coalesce("n_samples", F.lit(0)).alias("n_samples"), F.coalesce("n_years", F.lit(0)).alias("n_years"))
+
+
+def quantile(ordered: Column, share: float) -> Column:
+    """Quantile of a sorted array by linear interpolation; null of an empty one."""
+    place = (F.size(ordered) - 1) * F.lit(share)
+    low, high = F.get(ordered, F.floor(place).cast("int")), F.get(ordered, F.ceil(place).cast("int"))
+    return low + (high - low) * (place - F.floor(place))
 
 
 def history_days(obs: DataFrame, *, series: tuple[str, ...] = ("zone_id", "indicator")) -> DataFrame:

@@ -64,12 +64,12 @@ def a5(spark, d):
 
 
 @query("A6_reference_scene", """p AS (SELECT a.scene_id AS current_id, b.scene_id, b.sensed_at, year(b.sensed_at) < year(a.sensed_at) AS older, least(abs(dayofyear(a.sensed_at) - dayofyear(b.sensed_at)), 366 - abs(dayofyear(a.sensed_at) - dayofyear(b.sensed_at))) AS gap
-FROM scenes a JOIN scenes b ON a.body_id = b.body_id AND b.sensed_at < a.sensed_at - INTERVAL 1 DAY WHERE a.scene_id % 20 = 0 AND a.cloud_pct < 10)
+FROM scenes a JOIN scenes b ON a.body_id = b.body_id AND b.sensed_at < a.sensed_at - INTERVAL 1 DAY )
 ---
 SELECT current_id, scene_id, CAST(gap AS BIGINT) AS gap, older AND gap <= 45 AS same_season FROM p QUALIFY row_number() OVER (PARTITION BY current_id ORDER BY older AND gap <= 45 DESC, gap, sensed_at DESC, scene_id) = 1""", uses=("scenes",))
 def a6(spark, d):
-    scenes = bound(spark, d, "scenes").select("body_id", "scene_id", "sensed_at", "cloud_pct")
-    r = A.reference_scene(scenes.filter("cloud_pct < 10"), scenes.drop("cloud_pct"))
+    scenes = bound(spark, d, "scenes").select("body_id", "scene_id", "sensed_at")
+    r = A.reference_scene(scenes, scenes)
     return r.select("current_id", "scene_id", F.col("gap").cast("long").alias("gap"), "same_season")
 
 
@@ -92,8 +92,8 @@ def a9(spark, d):
     return payload.select("key.*", F.col("body.name").alias("body_name"), "body.district", "facts.*")
 
 
-RECIPIENTS = "re AS (SELECT c_custkey AS recipient_id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE r_name END AS district, CASE c_custkey % 2 WHEN 0 THEN 'high' ELSE 'medium' END AS min_severity, c_acctbal > 5000 AS active FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 25 = 0)"
-ALERTS = f"aa AS (SELECT candidate_id AS alert_id, district, severity FROM al JOIN bodies b ON b.body_id = al.zone_id WHERE candidate_id % 10 = 1)"
+RECIPIENTS = "re AS (SELECT c_custkey AS recipient_id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE r_name END AS district, CASE c_custkey % 2 WHEN 0 THEN 'high' ELSE 'medium' END AS min_severity, c_acctbal > 5000 AS active FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+ALERTS = f"aa AS (SELECT candidate_id AS alert_id, district, severity FROM al JOIN bodies b ON b.body_id = al.zone_id)"
 PAIRS = f"""{EPISODES},
 {RECIPIENTS},
 {ALERTS},

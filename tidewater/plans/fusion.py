@@ -147,9 +147,9 @@ def x3(spark, d):
 STEMS = ("pollut", "contamin", "illegal", "toxic", "guilt", "crimin")
 
 
-@query("X4_wording_guard", f"SELECT doc_id, coalesce(regexp_matches(lower(text), '{'|'.join(STEMS)}|the'), false) AS unsafe FROM documents")
+@query("X4_wording_guard", f"SELECT doc_id, coalesce(regexp_matches(lower(text), '{'|'.join(STEMS)}'), false) AS unsafe FROM documents")
 def x4(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.coalesce(U.unsafe_wording(F.col("text"), (*STEMS, "the")), F.lit(False)).alias("unsafe"))
+    return table(spark, d, "documents").select("doc_id", F.coalesce(U.unsafe_wording(F.col("text"), STEMS), F.lit(False)).alias("unsafe"))
 
 
 @query("X5_indicator_rows", "SELECT candidate_id, indicator, round(z, 4) AS z, round(CASE WHEN abs(valid_pct) > 1e-6 THEN 100 * (priority - valid_pct) / valid_pct END, 6) AS deviation_pct FROM candidates", uses=("candidates",))

@@ -80,7 +80,7 @@ def q6(spark, d):
     return r.select("zone_id", "indicator", R("mean").alias("mean"), R("z").alias("z"), R(deviation).alias("deviation_pct"), F.col("mean").isNull().alias("missing"))
 
 
-@query("Q7_series_payload", SCORED + "\n---\nSELECT zone_id, indicator, CAST(date_trunc('week', observed_at) AS TIMESTAMP) AS week, count(*) AS n, round(max(z), 6) AS max_z, round(avg(mean), 6) AS avg_mean FROM scored WHERE zone_id % 5 = 0 GROUP BY 1, 2, 3", uses=ALL)
+@query("Q7_series_payload", SCORED + "\n---\nSELECT zone_id, indicator, CAST(date_trunc('week', observed_at) AS TIMESTAMP) AS week, count(*) AS n, round(max(z), 6) AS max_z, round(avg(mean), 6) AS avg_mean FROM scored GROUP BY 1, 2, 3", uses=ALL)
 def q7(spark, d):
     from tidewater.operators.detect import temporal_scores
 
@@ -171,13 +171,15 @@ def j4(spark, d):
 
 
 @query("J5_brief_series", EPISODES + """,
-bs AS (SELECT zone_id, indicator, episode, last_at FROM ef WHERE episode % 7 = 0)
+bs AS (SELECT zone_id, indicator, episode, last_at FROM ef)
 ---
 SELECT bs.zone_id, bs.episode, bs.indicator, count(*) AS n, round(avg(c.priority), 6) AS mean, round(quantile_cont(c.priority, 0.9), 6) AS p90 FROM bs JOIN candidates c ON c.zone_id = bs.zone_id AND c.indicator = bs.indicator AND c.observed_at <= bs.last_at AND c.observed_at > bs.last_at - INTERVAL 360 DAY GROUP BY 1, 2, 3""", uses=("candidates",))
 def j5(spark, d):
     b = fields(spark, d).select("zone_id", "indicator", "episode", "last_at")
     c = bound(spark, d, "candidates").select("zone_id", "indicator", "observed_at", F.col("priority").alias("p"))
-    r = b.join(c, ["zone_id", "indicator"]).filter("observed_at <= last_at AND observed_at > last_at - INTERVAL 360 DAY")
+    period = lambda at: F.floor(F.datediff(F.to_date(at), F.lit("1970-01-01")) / 360)
+    b = b.withColumn("k", F.explode(F.array(period("last_at"), period("last_at") - 1)))
+    r = b.join(c.withColumn("k", period("observed_at")), ["zone_id", "indicator", "k"]).filter("observed_at <= last_at AND observed_at > last_at - INTERVAL 360 DAY")
     return r.groupBy("zone_id", "episode", "indicator").agg(F.count("*").alias("n"), R(F.avg("p")).alias("mean"), R(F.percentile("p", 0.9)).alias("p90"))
 
 

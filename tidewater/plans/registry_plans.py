@@ -113,7 +113,7 @@ def g14(spark, d):
     return bound(spark, d, "bodies").select("body_id", G.tier(F.col("area_km2"), G.kind(F.col("water_tag")), F.col("drinking_water"), F.col("urban")).alias("tier"))
 
 
-@query("G15_slug", "SELECT doc_id, trim(regexp_replace(lower(translate(left(text, 60), 'áàâäãåçéèêëíìîïñóòôöõúùûüÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜ', 'aaaaaaceeeeiiiinooooouuuuAAAAAACEEEEIIIINOOOOOUUUU')), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM documents")
+@query("G15_slug", "SELECT doc_id, trim(regexp_replace(lower(translate(text, 'áàâäãåçéèêëíìîïñóòôöõúùûüÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜ', 'aaaaaaceeeeiiiinooooouuuuAAAAAACEEEEIIIINOOOOOUUUU')), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM documents")
 def g15(spark, d):
     return table(spark, d, "documents").select("doc_id", G.slug(F.col("text")).alias("slug"))
 

@@ -75,7 +75,7 @@ def s9(spark, d):
     return S.finer(grid(spark, d), "scene_id").withColumn("v", R(F.col("v").cast("double")))
 
 
-@query("S10_block_plan", "pl AS (SELECT p_partkey, 100 + p_size * 40 AS w, 300 + p_partkey % 700 AS h FROM part WHERE p_partkey % 50 = 0)\n---\nSELECT p_partkey, x, y, least(512, w - x) AS bw, least(512, h - y) AS bh FROM pl, LATERAL (SELECT unnest(range(0, w, 512)) AS x), LATERAL (SELECT unnest(range(0, h, 512)) AS y)")
+@query("S10_block_plan", "pl AS (SELECT p_partkey, 100 + p_size * 40 AS w, 300 + p_partkey % 700 AS h FROM part)\n---\nSELECT p_partkey, x, y, least(512, w - x) AS bw, least(512, h - y) AS bh FROM pl, LATERAL (SELECT unnest(range(0, w, 512)) AS x), LATERAL (SELECT unnest(range(0, h, 512)) AS y)")
 def s10(spark, d):
     p = table(spark, d, "part").select("p_partkey", (100 + F.col("p_size") * 40).cast("long").alias("w"), (300 + F.col("p_partkey") % 700).alias("h"))
     return S.blocks(p, 512).select("p_partkey", "x", "y", "bw", "bh")
