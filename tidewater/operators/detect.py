@@ -115,37 +115,29 @@ def json_safe(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
 
 
-def isolation_forest(frame: DataFrame, keys: list[str], features: tuple[str, ...], *, row_id: str = "row_id", trees: int = 50, sample: int = 256, contamination: float = 0.05, min_rows: int = 20) -> DataFrame:
-    """Rows with ``score`` (up to 1; higher is more isolated) and ``outlier``, one forest per key, all keys at once.
+def localised(points: DataFrame, *, indicators: tuple[str, ...], top_share: float = 0.05, z_floor: float = 1.0, eps: float = 3, min_points: int = 10, pixel_km2: float = 1e-4, min_area_km2: float = 0.01, most: int = 3, among: int = 12, spread: float = 40, floor: float = DEFAULT_FLOOR) -> DataFrame:
+    """Where inside a zone an indicator is worst: compact hot patches against the zone's own water.
 
-    After Liu, Ting and Zhou (2008): each tree takes the rows with the smallest hashes, splits a hashed feature at a
-    hashed place between its least and largest value, to a depth of log2 of the sample, and a row's path is corrected
-    by the expected path of its leaf's size. Hashes are of (key, tree, node), so partitioning does not change a tree.
-    Rows of keys with fewer than ``min_rows`` get no score. Trees grow level by level, one aggregation a level.
+    ``points`` has (scene_id, zone_id, indicator, row, col, value). Hot are the pixels above the zone's 1 - ``top_share``
+    quantile of z, and never at or below ``z_floor``. Of the clusters with enough area, the largest is the anchor; of the
+    first ``among`` by area, up to ``most`` whose centres are within ``spread`` pixels of the anchor's stay. One indicator
+    is kept for a zone, that with the largest anchor, the first in ``indicators`` of several.
     """
-    depth = max(1, (sample - 1).bit_length())
-    n_rows = Window.partitionBy(*keys)
-    rows = frame.select(*keys, row_id, *features).withColumn("_n", F.count("*").over(n_rows)).filter(F.col("_n") >= min_rows)
-    placed = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", F.lit(1).cast("long"))
-    chosen = F.row_number().over(Window.partitionBy(*keys, "tree").orderBy(F.xxhash64(row_id, "tree"), row_id)) <= sample
-    placed = placed.withColumn("chosen", chosen).withColumn("path", F.lit(0.0)).withColumn("open", F.lit(True))
-    unit = lambda *c: (F.pmod(F.xxhash64(*c), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    c_of = lambda n: F.when(n > 2, 2 * (F.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n).when(n == 2, 1.0).otherwise(0.0)
-    for level in range(depth + 1):
-        nodes = placed.filter("chosen AND open").groupBy(*keys, "tree", "node").agg(F.count("*").alias("_size"), *[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"_r_{c}") for c in features])
-        pick = F.floor(unit(*keys, "tree", "node", F.lit("feature")) * len(features)).cast("int")
-        spans = F.array(*[F.col(f"_r_{c}") for c in features])
-        nodes = nodes.withColumn("_f", pick).withColumn("_span", spans[F.col("_f")])
-        at = F.col("_span.lo") + (F.col("_span.hi") - F.col("_span.lo")) * unit(*keys, "tree", "node", F.lit("place"))
-        nodes = nodes.withColumn("_at", at).withColumn("_leaf", (F.col("_size") <= 1) | (F.col("_span.lo") == F.col("_span.hi")) | F.lit(level == depth)).select(*keys, "tree", "node", "_size", "_f", "_at", "_leaf")
-        joined = placed.join(nodes, [*keys, "tree", "node"], "left")
-        size = F.coalesce("_size", F.lit(0))
-        ends = F.col("open") & F.coalesce("_leaf", F.lit(True))
-        value = F.array(*[F.col(c) for c in features])[F.col("_f")]
-        goes_on = F.col("open") & ~ends
-        placed = joined.select(*keys, row_id, *features, "tree", "chosen", F.when(goes_on, F.col("node") * 2 + (value >= F.col("_at")).cast("long")).otherwise(F.col("node")).alias("node"), F.when(ends, F.lit(float(level)) + c_of(size)).otherwise(F.col("path")).alias("path"), goes_on.alias("open"), F.lit(1).alias("_n"))
-    per_row = placed.groupBy(*keys, row_id).agg(F.avg("path").alias("_path"))
-    taken = rows.groupBy(*keys).agg(F.least(F.max("_n"), F.lit(sample)).alias("_taken"))
-    scored = per_row.join(taken, keys).withColumn("score", F.pow(F.lit(2.0), -F.col("_path") / c_of(F.col("_taken"))))
-    cut = scored.groupBy(*keys).agg(F.percentile("score", 1 - contamination).alias("_cut"))
-    return scored.join(cut, keys).select(*keys, row_id, "score", (F.col("score") > F.col("_cut")).alias("outlier"))
+    from tidewater.operators.pixels import dbscan
+
+    keys = ["scene_id", "zone_id", "indicator"]
+    z = scene_z(points, "value", keys, floor=floor)
+    cut = z.groupBy(*keys).agg(F.greatest(F.percentile("z", 1 - top_share), F.lit(z_floor)).alias("cut"), F.count("z").alias("n_z")).filter(F.col("n_z") >= min_points)
+    hot = z.join(cut, keys).filter(F.col("z") > F.col("cut")).withColumn("key", F.to_json(F.struct(*keys)))
+    placed = dbscan(hot.select("key", "row", "col"), "key", eps=eps, min_points=min_points).select("key", "row", "col", "cluster").join(hot, ["key", "row", "col"])
+    found = placed.groupBy(*keys, "cluster").agg(F.count("*").alias("n_pixels"), F.avg("z").alias("mean_z"), F.max("z").alias("max_z"), F.avg("row").alias("_r"), F.avg("col").alias("_c"))
+    found = found.withColumn("area_km2", F.col("n_pixels") * pixel_km2).filter(F.col("area_km2") >= min_area_km2)
+    by_area = Window.partitionBy(*keys).orderBy(F.desc("n_pixels"), "cluster")
+    found = found.withColumn("_rank", F.row_number().over(by_area))
+    anchor = F.first(F.struct("_r", "_c", "n_pixels")).over(by_area)
+    found = found.withColumn("_anchor", anchor).filter((F.col("_rank") <= among) & (F.hypot(F.col("_r") - F.col("_anchor._r"), F.col("_c") - F.col("_anchor._c")) <= spread))
+    found = found.withColumn("_rank", F.row_number().over(by_area)).filter(F.col("_rank") <= most)
+    place = F.array_position(F.array(*[F.lit(x) for x in indicators]), F.col("indicator"))
+    best = F.row_number().over(Window.partitionBy("scene_id", "zone_id").orderBy(F.desc("_anchor.n_pixels"), place, "_rank"))
+    winner = found.withColumn("_best", best).filter("_best = 1").select("scene_id", "zone_id", "indicator")
+    return found.join(winner, keys).select(*keys, "cluster", "n_pixels", "area_km2", "mean_z", "max_z")

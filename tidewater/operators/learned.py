@@ -1,10 +1,12 @@
-"""A learned priority model on Spark ML trees, and its additive attribution."""
+"""A learned priority model on Spark ML trees, its additive attribution, and a guarded retrain."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.evaluation import RegressionEvaluator
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
@@ -13,46 +15,113 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Priority:
-    model: GBTRegressionModel
+    """Trees as arrays (tree, node): split feature or -1, threshold, value times the tree's weight. Node k has the children
+    2 k + 1 (up to the threshold) and 2 k + 2. ``metrics`` is one row: mae, rmse and rounds."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    value: np.ndarray
+    depth: int
     metrics: DataFrame
 
 
-def fit_priority(examples: DataFrame, features: list[str], *, target: str = "target", rounds: int = 100, depth: int = 3, rate: float = 0.05, seed: int = 42) -> Priority:
-    """Boosted trees on four fifths of the examples, chosen by a hash, with errors on the rest."""
-    data = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(examples.select(*features, target))
+def fit_priority(examples: DataFrame, features: list[str], *, target: str = "target", rounds: int = 400, patience: int = 30, depth: int = 3, rate: float = 0.05, share: float = 0.9, seed: int = 42) -> Priority:
+    """Boosted trees on four fifths of the examples, chosen by a hash, each tree on ``share`` of them, with errors on the
+    other fifth. Of the ``rounds`` trees those are kept up to the least squared error on that fifth, the first that
+    ``patience`` further trees do not improve on."""
     held = F.pmod(F.xxhash64(*features, F.lit(seed)), F.lit(5)) == 0
-    model = GBTRegressor(featuresCol="_x", labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed).fit(data.filter(~held))
-    judged = model.transform(data.filter(held))
-    rate_of = lambda m: float(RegressionEvaluator(labelCol=target, metricName=m).evaluate(judged))
-    spark = examples.sparkSession
-    metrics = spark.range(1).select(F.lit(round(rate_of("mae"), 6)).alias("mae"), F.lit(round(rate_of("rmse"), 6)).alias("rmse"), F.lit(rounds).alias("rounds"))
-    return Priority(model, metrics)
+    data = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(examples.select(*features, F.col(target).cast("double").alias(target)))
+    data = data.withColumn("_held", held).persist()
+    booster = GBTRegressor(featuresCol="_x", labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=share, seed=seed)
+    model = booster.fit(data.filter("NOT _held"))
+    errors, best = model.evaluateEachIteration(data.filter("_held"), "squared"), 0
+    for k, e in enumerate(errors):
+        if e < errors[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    data.unpersist()
+    found = _nodes(model, best + 1)
+    judged = _walked(found, examples.filter(held).select(*features, target), features, [target]).withColumn("_e", F.abs(F.col("prediction") - F.col(target)))
+    metrics = judged.agg(F.round(F.avg("_e"), 6).alias("mae"), F.round(F.sqrt(F.avg(F.col("_e") * F.col("_e"))), 6).alias("rmse")).withColumn("rounds", F.lit(best + 1))
+    return Priority(*found, metrics)
+
+
+def _nodes(model: GBTRegressionModel, kept: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    trees, weights = list(model._java_obj.trees())[:kept], model.treeWeights
+    depth = max((t.depth() for t in trees), default=0)
+    shape = (len(trees), 2 ** (depth + 1) - 1)
+    feature, cut, value = np.full(shape, -1), np.zeros(shape), np.zeros(shape)
+
+    def fill(t: int, k: int, node) -> None:
+        value[t, k] = weights[t] * node.prediction()
+        if node.subtreeDepth() > 0:
+            feature[t, k], cut[t, k] = node.split().featureIndex(), node.split().threshold()
+            fill(t, 2 * k + 1, node.leftChild())
+            fill(t, 2 * k + 2, node.rightChild())
+
+    for t, tree in enumerate(trees):
+        fill(t, 0, tree.rootNode())
+    return feature, cut, value, depth
+
+
+def _walked(trees: tuple[np.ndarray, np.ndarray, np.ndarray, int], rows: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+    """The columns in ``keep`` with base, prediction and a_* per feature. The trees, at most some thousand nodes, go to the
+    tasks as arrays; a batch walks all of them at once."""
+    feature, cut, value, depth = trees
+    base, names = float(value[:, 0].sum()), [f"a_{f}" for f in features]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        line = np.arange(len(feature))
+        for batch in batches:
+            x, parts = batch[[f"_{f}" for f in features]].to_numpy(float), np.zeros((len(batch), len(features)))
+            for start in range(0, len(x), 4096):
+                part = x[start : start + 4096]
+                at = np.zeros((len(part), len(feature)), np.int64)
+                for _ in range(depth):
+                    split = feature[line, at]
+                    right = np.take_along_axis(part, np.maximum(split, 0), 1) > cut[line, at]
+                    child = np.where(split >= 0, 2 * at + 1 + right, at)
+                    change = value[line, child] - value[line, at]
+                    for f in range(len(features)):
+                        parts[start : start + 4096, f] += np.where(split == f, change, 0.0).sum(1)
+                    at = child
+            yield pd.DataFrame({**{c: batch[c] for c in keep}, "base": base, "prediction": base + parts.sum(1), **{n: parts[:, k] for k, n in enumerate(names)}})
+
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} double" for n in ["base", "prediction", *names]]
+    return rows.select(*keep, *[F.col(f).cast("double").alias(f"_{f}") for f in features]).mapInPandas(walk, ", ".join(kinds))
 
 
 def attribute(priority: Priority, rows: DataFrame, features: list[str], row_id: str) -> DataFrame:
-    """Per row: prediction = base + sum of a_* : along each tree's path, the change of the node's value is the split
-    feature's. The trees' nodes (at most 2 ** (depth + 1) a tree) become column expressions."""
-
-    def value(node) -> float:
-        return float(node.prediction())
-
-    def walk(node, credit: dict[int, float]):
-        """Columns per feature of what the path below adds to it."""
-        if node.getClass().getSimpleName() == "LeafNode":
-            return {f: F.lit(v) for f, v in credit.items()}
-        f, cut = int(node.split().featureIndex()), float(node.split().threshold())
-        sides = []
-        for child in (node.leftChild(), node.rightChild()):
-            sides.append(walk(child, credit | {f: credit.get(f, 0.0) + value(child) - value(node)}))
-        test = F.col(features[f]) <= cut
-        return {k: F.when(test, sides[0].get(k, F.lit(0.0))).otherwise(sides[1].get(k, F.lit(0.0))) for k in set(sides[0]) | set(sides[1])}
-
-    java, base, total = priority.model._java_obj, 0.0, {}
-    for tree, weight in zip(java.trees(), priority.model.treeWeights, strict=True):
-        root = tree.rootNode()
-        base += weight * value(root)
-        for k, c in walk(root, {}).items():
-            total[k] = total[k] + c * weight if k in total else c * weight
-    out = rows.withColumns({f"a_{features[k]}": c for k, c in total.items()}).withColumn("base", F.lit(base))
-    summed = sum((F.col(f"a_{features[k]}") for k in sorted(total)), F.col("base"))
-    return out.select(row_id, "base", summed.alias("prediction"), *[f"a_{features[k]}" for k in sorted(total)])
+    """Per row: prediction = base + sum of a_*: along each tree's path, the change of the node's value is the split
+    feature's."""
+    return _walked((priority.feature, priority.cut, priority.value, priority.depth), rows, features, [row_id])
+
+
+def guarded_retrain(examples: DataFrame, features: list[str], *, score: str = "score", target: str = "target", least: int = 50, least_held: int = 5, held_share: float = 0.25, least_train: int = 25, threshold: float = 40.0, seed: int = 42, **fitting) -> DataFrame:
+    """One row: whether a model trained on the examples is to replace what gave them their ``score``.
+
+    Held out are the examples whose hash falls into the larger of ``held_share`` and ``least_held`` of all, so the split
+    does not depend on order or partitions. Promoted is only a model whose precision at ``threshold`` (the share with the
+    larger target among those scored at or above it) on the held-out examples is strictly better. Too few examples are
+    refused with a reason.
+    """
+    spark = examples.sparkSession
+    n = examples.count()
+    place = F.pmod(F.xxhash64(*features, F.lit(seed + 1)), F.lit(1 << 30)) / (1 << 30)
+    held = place < max(held_share, least_held / n if n else 1.0)
+    n_held = examples.filter(held).count() if n else 0
+    row = {"n_examples": n, "n_held": n_held, "old_precision": None, "new_precision": None, "promoted": False, "reason": None}
+    if n < least:
+        row["reason"] = f"{n} of {least} examples"
+    elif n - n_held < least_train:
+        row["reason"] = f"{n - n_held} of {least_train} examples to train on"
+    else:
+        model = fit_priority(examples.filter(~held), features, target=target, seed=seed, **fitting)
+        judged = _walked((model.feature, model.cut, model.value, model.depth), examples.filter(held), features, [score, target])
+        good = (F.col(target) >= 50).cast("double")
+        share = lambda c: F.round(F.avg(F.when(F.col(c) >= threshold, good)), 6)
+        old, new = judged.agg(share(score), share("prediction")).first()
+        row |= {"old_precision": old, "new_precision": new, "promoted": new is not None and (old is None or new > old)}
+        row["reason"] = None if row["promoted"] else "not better"
+    return spark.createDataFrame([tuple(row.values())], "n_examples long, n_held long, old_precision double, new_precision double, promoted boolean, reason string")

@@ -162,9 +162,22 @@ def d12(spark, d):
 
 @query("D13_isolation_forest")
 def d13(spark, d):
-    r = bound(spark, d, "obs").select(F.col("indicator"), (F.col("scene_id") * 10 + F.col("line")).alias("row_id"), F.col("mean"), F.col("p90"), F.col("water_fraction_pct"))
-    r = r.join(r.groupBy("row_id").agg(F.count("*").alias("k")).filter("k = 1"), "row_id", "left_semi")
-    return D.isolation_forest(r, ["indicator"], ("mean", "p90", "water_fraction_pct"), trees=8, sample=64).select("indicator", "row_id", R("score").alias("score"), "outlier")
+    from tidewater.operators.forest import latest_pass_outliers
+
+    r = latest_pass_outliers(D.impute(features(spark, d), ["zone_id"], ("A", "N", "R")), ("A", "N", "R"))
+    return r.withColumn("score", R("score"))
+
+
+@query("D8_zone_localisation")
+def d8(spark, d):
+    """Halves of the tiles as zones; those without a cluster of the whole tile are looked at on their own."""
+    zone = F.floor(F.col("col") / 4).cast("long")
+    cells = grid(spark, d).withColumn("zone_id", zone).withColumn("v", F.col("v").cast("double"))
+    covered = clusters_of(spark, d).select("scene_id", zone.alias("zone_id")).distinct()
+    rows = cells.join(covered, ["scene_id", "zone_id"], "left_anti")
+    each = rows.select("scene_id", "zone_id", "row", "col", F.explode(F.create_map(F.lit("high"), F.col("v"), F.lit("low"), -F.col("v"))).alias("indicator", "value"))
+    r = D.localised(each, indicators=("high", "low"), top_share=0.25, z_floor=0.5, eps=2, min_points=3, min_area_km2=2e-4)
+    return r.select("scene_id", "zone_id", "indicator", "cluster", "n_pixels", "area_km2", R("mean_z").alias("mean_z"), R("max_z").alias("max_z"))
 
 
 @query("D14_vote_severity", "SELECT candidate_id, CASE WHEN votes >= 3 THEN 'high' WHEN votes = 2 THEN CASE WHEN abs(z) >= 5 THEN 'high' ELSE 'medium' END WHEN votes = 1 THEN CASE WHEN abs(z) >= 5 THEN 'medium' ELSE 'low' END END AS severity FROM candidates", uses=("candidates",))

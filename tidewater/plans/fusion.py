@@ -82,30 +82,45 @@ def f7(spark, d):
     return bound(spark, d, "candidates").select("candidate_id", best(3).alias("flagged"), F.coalesce(best(3), best(0)).alias("primary_indicator"))
 
 
+def examples(spark, d) -> DataFrame:
+    """Scored candidates with the target that their field validation gives them; inconclusive ones have none."""
+    from tidewater.plans.alerting import verdicts
+
+    said = verdicts(spark, d).filter("verdict <> 'inconclusive'").select("candidate_id", F.when(F.col("verdict") == "matched", 90.0).otherwise(10.0).alias("target"))
+    return scored(spark, d).join(said, "candidate_id")
+
+
+NAMES = [f"f_{k}" for k in U.WEIGHTS]
+
+
 @query("F8_learned_priority_model")
 def f8(spark, d):
     from tidewater.operators.learned import fit_priority
 
-    data = scored(spark, d).withColumn("target", F.when(F.col("votes") >= 2, 90.0).otherwise(10.0))
-    return fit_priority(data, [f"f_{k}" for k in U.WEIGHTS], rounds=5).metrics
+    return fit_priority(examples(spark, d), NAMES).metrics
 
 
 @query("F9_additive_attribution")
 def f9(spark, d):
     from tidewater.operators.learned import attribute, fit_priority
 
-    data = scored(spark, d).withColumn("target", F.when(F.col("votes") >= 2, 90.0).otherwise(10.0))
-    names = [f"f_{k}" for k in U.WEIGHTS]
-    parts = attribute(fit_priority(data, names, rounds=3), data, names, "candidate_id")
+    parts = attribute(fit_priority(examples(spark, d), NAMES), scored(spark, d), NAMES, "candidate_id")
     return parts.select("candidate_id", R("prediction", 4).alias("prediction"), R("base", 4).alias("base"), *[R(c, 4).alias(c) for c in parts.columns if c.startswith("a_")])
 
 
+@query("V7_guarded_retrain")
+def v7(spark, d):
+    from tidewater.operators.learned import guarded_retrain
+
+    return guarded_retrain(examples(spark, d), NAMES)
+
+
 @query("F10_active_model", "m AS (SELECT p_brand AS version, max(p_partkey) AS seen_at, count(*) FILTER (p_size > 45) > 0 AS ok FROM part GROUP BY 1)\n---\nSELECT version, version = coalesce((SELECT arg_max(version, seen_at) FROM m WHERE ok), 'weighted') AS active FROM m UNION ALL SELECT 'weighted', NOT EXISTS (SELECT 1 FROM m WHERE ok)")
 def f10(spark, d):
     m = table(spark, d, "part").groupBy(F.col("p_brand").alias("version")).agg(F.max("p_partkey").alias("at"), (F.count_if(F.col("p_size") > 45) > 0).alias("ok"))
     chosen = m.filter("ok").agg(F.max_by("version", "at").alias("chosen"))
     every = m.select("version").unionAll(spark.range(1).select(F.lit("weighted")))
-    return every.join(F.broadcast(chosen)).select("version", (F.col("version") == F.coalesce("chosen", F.lit("weighted"))).alias("active"))
+    return every.crossJoin(F.broadcast(chosen)).select("version", (F.col("version") == F.coalesce("chosen", F.lit("weighted"))).alias("active"))
 
 
 @query("X1_contributions", RAW + """,
