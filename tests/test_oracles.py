@@ -10,7 +10,7 @@ from tidewater.plans.bindings import TABLES
 from tidewater.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-SAMPLE = ["B2_robust_statistics", "C2_trailing_72h", "C4_sync_plan", "D4_hot_pixel_gate", "F2_spatial_expansion", "X2_multiple_phrase", "A2_episodes", "V1_verdict", "V4_precision", "Q9_keyset_page", "M2_dilation", "N1_reflectance", "G2_polygon_area", "G3_rasterise", "S2_scene_catalog", "S11_backfill_chunks"]
+SAMPLE = ["B2_robust_statistics", "C2_trailing_72h", "C4_sync_plan", "D4_hot_pixel_gate", "F2_spatial_expansion", "X2_multiple_phrase", "A2_episodes", "V1_verdict", "V4_precision", "Q9_keyset_page", "M2_dilation", "N1_reflectance", "G2_polygon_area", "G3_rasterise", "S2_scene_catalog", "S11_backfill_chunks", "S1_load_registry", "T1_streaming_weekly_rollup", "T2_exactly_once", "T3_stateful_episodes", "T4_device_page", "A4_follow_ups", "X4_wording_guard", "G15_slug", "D15_rainfall_gate"]
 
 
 def plain(v):

@@ -25,6 +25,20 @@ def items(spark, d) -> DataFrame:
     return e.select("event_id", F.col("ts").alias("at"), props.alias("properties"))
 
 
+@query("S1_load_registry", """f AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 9 <> 0 THEN abs(c_acctbal) / 500 END AS area, CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE c_name END AS name, CASE WHEN c_custkey % 10 = 5 THEN 'Lake ' || c_custkey END AS name_en, c_mktsegment AS kind0 FROM customer)
+---
+SELECT CASE WHEN k % 6 = 0 THEN 'given_' || k ELSE 'wb_' || trim(regexp_replace(lower(CASE WHEN k % 5 = 0 THEN name_en ELSE name END), '[^a-z0-9]+', '_', 'g'), '_') END AS id, CASE WHEN k % 5 = 0 THEN name_en ELSE name END AS name, CASE WHEN k % 2 = 0 THEN 'north' ELSE 'unknown' END AS district, CASE WHEN k % 3 = 0 THEN 'lake' ELSE 'reservoir' END AS kind,
+CAST(CASE WHEN k % 8 = 0 THEN 2 WHEN k % 4 = 1 OR area >= 10 THEN 1 WHEN area >= 1 THEN 2 ELSE 3 END AS INTEGER) AS tier, round(area, 4) AS area_km2, 'osm' AS source FROM f WHERE area IS NOT NULL AND (k % 5 <> 0 OR name_en IS NOT NULL)""")
+def s1(spark, d):
+    k = F.col("c_custkey")
+    features = table(spark, d, "customer").select(
+        F.when(k % 9 != 0, F.abs("c_acctbal") / 500).alias("area_km2"), F.when(k % 5 == 0, " ").otherwise(F.col("c_name")).alias("name"), F.when(k % 10 == 5, F.concat(F.lit("Lake "), k.cast("string"))).alias("name_en"),
+        F.when(k % 2 == 0, "north").alias("district"), F.when(k % 3 == 0, "lake").otherwise(F.lower("c_mktsegment")).alias("kind"), F.when(k % 8 == 0, "2").alias("tier"), F.when(k % 4 == 1, "Yes").alias("drinking_water"), F.lit("0").alias("urban"),
+        F.when(k % 6 == 0, F.concat(F.lit("given_"), k.cast("string"))).alias("id"), F.lit(None).cast("string").alias("source"),
+    )
+    return S.load_registry(features, default_district="unknown", source="osm")
+
+
 @query("S2_scene_catalog", ITEM + """
 ---
 SELECT event_id, CASE WHEN k % 3 = 0 THEN '43Q' || k WHEN k % 3 = 1 THEN printf('%02d', k % 60) || 'QCA' END AS tile, CASE WHEN k % 5 <> 0 THEN CAST(k AS DOUBLE) ELSE 100.0 END AS cloud_pct, CASE WHEN k % 2 = 0 THEN 32600 + k % 60 END AS epsg FROM it WHERE k % 3 <> 2""")

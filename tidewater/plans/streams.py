@@ -1,21 +1,59 @@
-"""Telemetry queries (T): batch forms over landed rows."""
+"""Telemetry queries (T): streams run over all that has landed, and batch forms."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewater.plans.alerting import EPISODES
 from tidewater.plans.bindings import table
 from tidewater.plans.registry import query
+from tidewater.streaming import runs
 from tidewater.streaming import telemetry as T
 
 
 @query("T1_streaming_weekly_rollup", "SELECT event_type, CAST(date_trunc('week', ts) AS TIMESTAMP) AS week, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def t1(spark, d):
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    r = T.weekly(e)
+    stream = T.weekly(runs.landed(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    r = runs.latest(runs.run_through(stream, mode="update"), ["event_type", "week"])
     return r.select("event_type", F.col("week").cast("timestamp_ntz").alias("week"), "n", F.round("total", 4).alias("total"))
 
 
+@query("T2_exactly_once", "SELECT DISTINCT l_suppkey AS body_id, l_orderkey AS scene_id FROM lineitem")
+def t2(spark, d):
+    """Lines as redelivered (body, scene) messages, all of one landing time, so each is processed once."""
+    lines = runs.landed(spark, d, "lineitem").select(F.col("l_suppkey").alias("body_id"), F.col("l_orderkey").alias("scene_id"), F.lit("2001-01-01").cast("timestamp").alias("ts"))
+    return runs.run_through(T.once(lines, ["body_id", "scene_id"])).select("body_id", "scene_id")
+
+
+@query("T3_stateful_episodes", EPISODES + "\n---\nSELECT candidate_id, episode FROM ep", uses=("candidates",))
+def t3(spark, d):
+    """The orders as a stream of candidates; customers, a dimension, are joined as a table."""
+    nation = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    price = F.floor("o_totalprice").cast("long")
+    stream = runs.landed(spark, d, "orders").filter("o_orderkey % 4 > 0").join(nation, "o_custkey").filter(price.isNotNull())
+    stream = stream.select(F.col("c_nationkey").alias("zone_id"), F.col("o_orderpriority").alias("indicator"), F.col("o_orderkey").alias("candidate_id"), F.col("o_orderdate").alias("observed_at"))
+    return runs.run_through(T.episodes(stream)).select("candidate_id", "episode")
+
+
+CARDS = """dp AS (SELECT page_id, '<div class="card"><div class="label"><b>' || CASE page_id % 4 WHEN 0 THEN 'Turbidity' WHEN 1 THEN 'pH' WHEN 2 THEN 'Dissolved  Oxygen' ELSE '' END || '</b></div> <div class="value">' || CASE WHEN page_id % 7 = 0 THEN 'n/a' ELSE (page_id % 97 - 9) || '.5 <i>NTU</i>' END
+|| '</div></div><div class="status">Status: ' || url || '</div>' || coalesce(html, '') AS body FROM pages)"""
+
+
+@query("T4_device_page", CARDS + r"""
+, c AS (SELECT page_id, unnest(regexp_extract_all(body, '(?is)class="label"[^>]*>(.*?)</div>\s*<div[^>]*class="value"[^>]*>(.*?)</div>', 1)) AS l, unnest(regexp_extract_all(body, '(?is)class="label"[^>]*>(.*?)</div>\s*<div[^>]*class="value"[^>]*>(.*?)</div>', 2)) AS v, regexp_extract(body, '(?is)class="status"[^>]*>(.*?)</div>', 1) AS st FROM dp),
+k AS (SELECT page_id, upper(trim(regexp_replace(regexp_replace(l, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS l, trim(regexp_replace(regexp_replace(v, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS v, trim(regexp_replace(trim(regexp_replace(st, '\s+', ' ', 'g')), '(?i)^STATUS\s*:\s*', '')) AS st FROM c)
+---
+SELECT page_id, CASE l WHEN 'TURBIDITY' THEN 'turbidity' WHEN 'PH' THEN 'ph' ELSE replace(lower(l), ' ', '_') END AS key, CAST(regexp_extract(v, '-?\d+(?:\.\d+)?', 0) AS DOUBLE) AS value, trim(regexp_extract(v, '-?\d+(?:\.\d+)?(.*)', 1)) AS unit, st AS device_status FROM k WHERE l <> '' AND regexp_extract(v, '-?\d+(?:\.\d+)?', 0) <> ''""")
+def t4(spark, d):
+    """Device pages: a card and a status made from each page's id and url, before the page itself."""
+    k = F.col("page_id")
+    label = F.when(k % 4 == 0, "Turbidity").when(k % 4 == 1, "pH").when(k % 4 == 2, "Dissolved  Oxygen").otherwise("")
+    said = F.when(k % 7 == 0, "n/a").otherwise(F.concat((k % 97 - 9).cast("string"), F.lit(".5 <i>NTU</i>")))
+    body = F.concat(F.lit('<div class="card"><div class="label"><b>'), label, F.lit('</b></div> <div class="value">'), said, F.lit('</div></div><div class="status">Status: '), F.col("url"), F.lit("</div>"), F.coalesce("html", F.lit("")))
+    r = T.device_readings(table(spark, d, "pages").withColumn("body", body))
+    return r.select("page_id", F.inline("readings"), "device_status")
+
+
 @query("T5_telemetry_flatten", "SELECT event_id, CAST(coalesce(CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT), 0) AS BIGINT) AS k, 'unknown' AS device FROM events")
 def t5(spark, d):
     return T.flatten(table(spark, d, "events")).select("event_id", "k", "device")

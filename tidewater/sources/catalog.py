@@ -118,3 +118,26 @@ def feature(properties: Column) -> Column:
 
 def latest_rows(frame: DataFrame, keys: list[str], at: str) -> DataFrame:
     return first_rows(frame, keys, [F.col(at).desc()])
+
+
+def load_registry(features: DataFrame, *, default_district: str | None = None, force_tier: int | None = None, source: str | None = None) -> DataFrame:
+    """Bulk feature load: (id, name, district, kind, tier, area_km2, source) of features with a name and a geometry.
+
+    ``features`` has area_km2 (null: no or empty geometry) and the properties name, name_en, district, kind, tier,
+    drinking_water, urban, id and source as text. Blank texts count as missing. The name falls back to name_en, an unknown
+    kind is a reservoir, a missing tier is assigned, the id falls back to ``wb_`` and the name's slug. A named feature
+    without a district, where no default is given, is an error.
+    """
+    from tidewater.operators import geometry as G
+
+    said = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    yes = lambda c: F.coalesce(F.lower(said(c)).isin("1", "true", "yes", "y"), F.lit(False))
+    name = F.coalesce(said("name"), said("name_en"))
+    district = F.coalesce(said("district"), F.lit(default_district).cast("string"))
+    kind = F.when(said("kind").isin("reservoir", "lake", "river_stretch"), said("kind")).otherwise("reservoir")
+    kept = features.filter(F.col("area_km2").isNotNull() & name.isNotNull())
+    tier = F.coalesce(F.lit(force_tier).cast("int"), said("tier").try_cast("int"), G.tier(F.col("area_km2"), kind, yes("drinking_water"), yes("urban")).cast("int"))
+    checked = F.when(district.isNull(), F.raise_error(F.concat(F.lit("no district: "), name))).otherwise(district)
+    return kept.select(
+        F.coalesce(said("id"), F.concat(F.lit("wb_"), G.slug(name))).alias("id"), name.alias("name"), checked.alias("district"), kind.alias("kind"), tier.alias("tier"), F.round("area_km2", 4).alias("area_km2"), F.coalesce(said("source"), F.lit(source).cast("string")).alias("source")
+    )

@@ -27,3 +27,75 @@ def flatten(events: DataFrame, *, properties: str = "props") -> DataFrame:
 def band(ntu: Column) -> Column:
     """Turbidity in words."""
     return F.when(ntu < 5, "clear").when(ntu < 25, "slightly turbid").when(ntu < 50, "turbid").otherwise("very turbid")
+
+
+#: Card labels of the device page and the keys of its JSON contract; fixed values.
+LABEL_KEYS = {"TURBIDITY": "turbidity", "TDS": "tds", "TEMPERATURE": "temperature", "TEMP": "temperature", "PH": "ph"}
+CARD = r'(?is)class="label"[^>]*>(.*?)</div>\s*<div[^>]*class="value"[^>]*>(.*?)</div>'
+STATUS = r'(?is)class="status"[^>]*>(.*?)</div>'
+NUMBER = r"-?\d+(?:\.\d+)?"
+
+
+def visible(fragment: Column) -> Column:
+    """Text of a fragment of HTML: tags and runs of white space are one space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(fragment, "<[^>]+>", " "), r"\s+", " "))
+
+
+def device_readings(pages: DataFrame, *, body: str = "body") -> DataFrame:
+    """``pages`` with ``readings`` (array of key, value, unit; of a repeated key the last) and ``device_status``.
+
+    A card is a label and a value; its first number counts, what follows it is the unit, as it stands. Known labels have
+    the contract's keys, others their own name in lower case with underscores. Cards without label or number are left
+    out; a page without any reading has null readings and no status. Units are never converted.
+    """
+    labels, values = (F.regexp_extract_all(body, F.lit(CARD), F.lit(k)) for k in (1, 2))
+    key = F.create_map(*[F.lit(x) for pair in LABEL_KEYS.items() for x in pair])
+
+    def card(label: Column, value: Column) -> Column:
+        name, raw = F.upper(visible(label)), visible(value)
+        number = F.regexp_extract(raw, NUMBER, 0)
+        unit = F.trim(F.regexp_extract(raw, f"(?s){NUMBER}(.*)", 1))
+        return F.struct(F.coalesce(F.try_element_at(key, name), F.regexp_replace(F.lower(name), " ", "_")).alias("key"), number.try_cast("double").alias("value"), F.when(unit != "", unit).alias("unit"))
+
+    cards = F.filter(F.zip_with(labels, values, card), lambda c: (c["key"] != "") & c["value"].isNotNull())
+    found = pages.withColumn("_cards", cards)
+    last = F.filter("_cards", lambda c, i: ~F.exists(F.slice("_cards", i + 2, F.size("_cards")), lambda later: later["key"] == c["key"]))
+    status = F.trim(F.regexp_replace(visible(F.regexp_extract(body, STATUS, 1)), r"(?i)^STATUS\s*:\s*", ""))
+    some = F.size("_cards") > 0
+    return found.withColumns({"readings": F.when(some, last), "device_status": F.when(some & (status != ""), status)}).drop("_cards")
+
+
+def episodes(candidates: DataFrame, *, days: int = 14) -> DataFrame:
+    """(zone_id, indicator, candidate_id, observed_at, episode) of a stream of alertable candidates.
+
+    State is kept per zone and indicator: each open episode's first and last day. A candidate joins the newest episode
+    that it is within ``days`` days of, which a late one can extend backwards, else it opens one. Episodes that ended more
+    than a year before the newest are forgotten. In one batch candidates are taken in the order of time.
+    """
+    import json
+
+    import pandas as pd
+
+    def step(key, batches, state):
+        known = json.loads(state.get[0]) if state.exists else {"next": 1, "open": []}
+        frame = pd.concat(list(batches)).sort_values(["observed_at", "candidate_id"], ignore_index=True)
+        day = frame["observed_at"].to_numpy().astype("datetime64[D]").astype(int)
+        chosen = []
+        for d in day.tolist():
+            near = [e for e in known["open"] if e[1] - days <= d <= e[2] + days]
+            if near:
+                e = max(near)
+                e[1], e[2] = min(e[1], d), max(e[2], d)
+            else:
+                e = [known["next"], d, d]
+                known["open"].append(e)
+                known["next"] += 1
+            chosen.append(e[0])
+        newest = max(e[2] for e in known["open"])
+        known["open"] = [e for e in known["open"] if e[2] >= newest - 366]
+        state.update((json.dumps(known),))
+        yield pd.DataFrame({"zone_id": key[0], "indicator": key[1], "candidate_id": frame["candidate_id"], "observed_at": frame["observed_at"], "episode": chosen})
+
+    given = candidates.select(F.col("zone_id").cast("long").alias("zone_id"), "indicator", F.col("candidate_id").cast("long").alias("candidate_id"), F.col("observed_at").cast("timestamp").alias("observed_at"))
+    schema = "zone_id long, indicator string, candidate_id long, observed_at timestamp, episode long"
+    return given.groupBy("zone_id", "indicator").applyInPandasWithState(step, schema, "known string", "append", "NoTimeout")
