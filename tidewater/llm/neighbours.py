@@ -25,7 +25,7 @@ from tidewater.llm.textkit import mix64
 
 #: Rows of a block of a large bucket: a sixteenth of the bucket between these bounds, so that its work is spread over
 #: about a hundred block pairs before blocks, and with them the copies that are sent, grow.
-LEAST_BLOCK, MOST_BLOCK = 256, 2048
+LEAST_BLOCK, MOST_BLOCK = 1024, 2048
 ROWS_PER_BUCKET = 1024
 
 
