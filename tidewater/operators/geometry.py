@@ -57,9 +57,14 @@ def from_utm(easting: Column, northing: Column, zone: Column, south: Column) ->
     return zone * 6 - 183 + F.degrees(F.atan2(F.sinh(y), F.cos(x))), F.degrees(lat)
 
 
+def rings(vertices: DataFrame, key: str) -> list[str]:
+    """Columns that tell rings apart: the key, and ``ring`` where there is one."""
+    return [key, "ring"] if "ring" in vertices.columns else [key]
+
+
 def edges(vertices: DataFrame, key: str) -> DataFrame:
-    """Vertices (key, seq, x, y) with the next one of the ring, x2 and y2."""
-    ring = Window.partitionBy(key).orderBy("seq")
+    """Vertices (key, seq, x, y; also ring and hole where polygons have several rings) with the ring's next one, x2 and y2."""
+    ring = Window.partitionBy(*rings(vertices, key)).orderBy("seq")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nxt = lambda c: F.coalesce(F.lead(c).over(ring), F.first(c).over(whole))
     return vertices.withColumn("x2", nxt("x")).withColumn("y2", nxt("y"))
@@ -68,15 +73,48 @@ def edges(vertices: DataFrame, key: str) -> DataFrame:
 _CROSS = "x * y2 - x2 * y"
 
 
+def _sums(vertices: DataFrame, key: str) -> DataFrame:
+    """Per polygon twice its area and three times its first moments; rings may run either way, holes subtract."""
+    moment = lambda a: F.sum(F.expr(f"({a} + {a}2) * ({_CROSS})"))
+    box = [F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")]
+    hole = [F.first("hole").alias("hole")] if "hole" in vertices.columns else [F.lit(False).alias("hole")]
+    ring = edges(vertices, key).groupBy(*rings(vertices, key)).agg(F.sum(F.expr(_CROSS)).alias("a"), moment("x").alias("mx"), moment("y").alias("my"), *box, *hole)
+    sign = F.when(F.col("hole"), -1).otherwise(1) * F.signum("a")
+    return ring.groupBy(key).agg(*[F.sum(F.col(c) * sign).alias(c) for c in ("a", "mx", "my")], *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
+
+
 def areas(vertices: DataFrame, key: str) -> DataFrame:
-    return edges(vertices, key).groupBy(key).agg((F.abs(F.sum(F.expr(_CROSS))) / 2 / 1e6).alias("area_km2"))
+    """Area in square kilometres of polygons in metres, without their holes."""
+    return _sums(vertices, key).select(key, (F.col("a") / 2 / 1e6).alias("area_km2"))
 
 
 def centroids(vertices: DataFrame, key: str) -> DataFrame:
-    """Centroid by the shoelace sums, and the box."""
-    twice = F.sum(F.expr(_CROSS))
-    at = lambda a: F.sum(F.expr(f"({a} + {a}2) * ({_CROSS})")) / (3 * twice)
-    return edges(vertices, key).groupBy(key).agg(at("x").alias("cx"), at("y").alias("cy"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    """Centroid by the shoelace sums (null where the area is 0), and the box."""
+    return _sums(vertices, key).select(key, F.try_divide("mx", 3 * F.col("a")).alias("cx"), F.try_divide("my", 3 * F.col("a")).alias("cy"), "x0", "y0", "x1", "y1")
+
+
+def interior_points(vertices: DataFrame, key: str) -> DataFrame:
+    """A point (px, py) inside each polygon: the middle of the longest run inside, the leftmost of equal ones, on the line
+    halfway up the box. A polygon without area has none."""
+    e = edges(vertices, key)
+    box = vertices.groupBy(key).agg(((F.min("y") + F.max("y")) / 2).alias("py"))
+    crossed = e.join(box, key).filter((F.col("y") > F.col("py")) != (F.col("y2") > F.col("py")))
+    at = (F.col("x2") - F.col("x")) * (F.col("py") - F.col("y")) / (F.col("y2") - F.col("y")) + F.col("x")
+    order = Window.partitionBy(key).orderBy("at")
+    runs = crossed.select(key, "py", at.alias("at")).withColumn("n", F.row_number().over(order)).withColumn("end", F.lead("at").over(order)).filter("n % 2 = 1")
+    best = runs.groupBy(key).agg(F.max(F.struct((F.col("end") - F.col("at")).alias("run"), (-F.col("at")).alias("left"), "end", "py")).alias("b"))
+    return best.filter("b.run > 0").select(key, ((F.col("b.end") - F.col("b.left")) / 2).alias("px"), F.col("b.py").alias("py"))
+
+
+def outlines(vertices: DataFrame, key: str, *, digits: int = 6) -> DataFrame:
+    """Each polygon as ``geometry``, a struct (type, coordinates) of closed rings, the first ring first."""
+    at = F.array(F.round("x", digits), F.round("y", digits))
+    ordered = F.array_sort(F.collect_list(F.struct("seq", at.alias("p"))))
+    ring = vertices.groupBy(*rings(vertices, key)).agg(F.transform(ordered, lambda v: v["p"]).alias("r"))
+    closed = F.when(F.col("r")[0] == F.element_at("r", -1), F.col("r")).otherwise(F.concat("r", F.slice("r", 1, 1)))
+    number = F.col("ring") if "ring" in vertices.columns else F.lit(0)
+    polygon = ring.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(number.alias("ring"), closed.alias("r")))), lambda v: v["r"]).alias("coordinates"))
+    return polygon.select(key, F.struct(F.lit("Polygon").alias("type"), "coordinates").alias("geometry"))
 
 
 def rasterise(vertices: DataFrame, key: str, *, step: float) -> DataFrame:
@@ -97,6 +135,30 @@ def rasterise(vertices: DataFrame, key: str, *, step: float) -> DataFrame:
     return runs.select(key, F.col("row").cast("long").alias("row"), F.explode(cells).alias("col"))
 
 
+def rasterise_buffered(vertices: DataFrame, key: str, *, step: float, buffer: float) -> DataFrame:
+    """Cells (key, row, col) whose centre is inside or at most ``buffer`` from the outline.
+
+    An edge goes to the rows within reach and there to the columns beside the part of it within reach, so the work is the
+    length of the outline times the buffer; then the distance to the edge decides.
+    """
+    e = edges(vertices, key)
+    bottom, top = F.least("y", "y2"), F.greatest("y", "y2")
+    rows = e.withColumn("row", F.explode(F.sequence(F.floor((bottom - buffer) / step), F.floor((top + buffer) / step))))
+    rows = rows.withColumn("cy", (F.col("row") + 0.5) * step)
+    share = lambda y: F.least(F.greatest((y - F.col("y")) / (F.col("y2") - F.col("y")), F.lit(0.0)), F.lit(1.0))
+    flat = F.col("y") == F.col("y2")
+    t1, t2 = F.when(flat, 0.0).otherwise(share(F.col("cy") - buffer)), F.when(flat, 1.0).otherwise(share(F.col("cy") + buffer))
+    dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
+    a, b = F.col("x") + dx * t1, F.col("x") + dx * t2
+    cols = F.sequence(F.floor((F.least(a, b) - buffer) / step), F.floor((F.greatest(a, b) + buffer) / step))
+    cells = rows.withColumn("col", F.explode(cols)).withColumn("cx", (F.col("col") + 0.5) * step)
+    long2 = dx * dx + dy * dy
+    t = F.when(long2 > 0, F.least(F.greatest(((F.col("cx") - F.col("x")) * dx + (F.col("cy") - F.col("y")) * dy) / long2, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    distance2 = F.pow(F.col("cx") - F.col("x") - t * dx, 2) + F.pow(F.col("cy") - F.col("y") - t * dy, 2)
+    near = cells.filter(distance2 <= buffer * buffer).select(key, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+    return rasterise(vertices, key, step=step).select(key, "row", F.col("col").cast("long").alias("col")).unionAll(near).distinct()
+
+
 def points_in(points: DataFrame, vertices: DataFrame, key: str, *, cell: float) -> DataFrame:
     """(pid, key) of the points inside: edges go to the horizontal strips that they cross, points to their own strip, and
     an odd number of crossings to the point's right means inside."""
@@ -107,6 +169,80 @@ def points_in(points: DataFrame, vertices: DataFrame, key: str, *, cell: float)
     return near.filter(crosses).groupBy("pid", key).agg(F.count("*").alias("_n")).filter("_n % 2 = 1").drop("_n")
 
 
+def intersecting(first: DataFrame, second: DataFrame, first_key: str, second_key: str, *, cell: float) -> DataFrame:
+    """Pairs of polygons that share a point: edges that cross or touch, or a vertex of one inside the other.
+
+    Edges meet only in the square cells that both touch, vertices by strips; equality joins on both, no pair of boxes apart
+    is looked at.
+    """
+    span = lambda a: F.sequence(F.floor(F.least(a, a + "2") / cell), F.floor(F.greatest(a, a + "2") / cell))
+
+    def placed(vertices: DataFrame, key: str, mark: str) -> DataFrame:
+        e = edges(vertices, key).withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+        return e.select(F.col(key).alias(f"{mark}k"), "cx", "cy", *[F.col(c).alias(mark + c) for c in ("x", "y", "x2", "y2")])
+
+    def side(p: str, q: str, r: str) -> Column:
+        (ax, ay), (bx, by), (cx, cy) = ((F.col(m + "x" + n), F.col(m + "y" + n)) for m, n in (p.split("."), q.split("."), r.split(".")))
+        return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+
+    boxes = " AND ".join(f"least(a{c}, a{c}2) <= greatest(b{c}, b{c}2) AND least(b{c}, b{c}2) <= greatest(a{c}, a{c}2)" for c in "xy")
+    met = placed(first, first_key, "a").join(placed(second, second_key, "b"), ["cx", "cy"]).filter(boxes)
+    crossing = (side("a.", "a.2", "b.") * side("a.", "a.2", "b.2") <= 0) & (side("b.", "b.2", "a.") * side("b.", "b.2", "a.2") <= 0)
+    touching = met.filter(crossing).select(F.col("ak").alias("_a"), F.col("bk").alias("_b"))
+    corners = lambda v, key: v.filter("seq = 0").select(F.col(key).alias("pid"), F.col("x").alias("px"), F.col("y").alias("py"))
+    within = points_in(corners(first, first_key), second, second_key, cell=cell).select(F.col("pid").alias("_a"), F.col(second_key).alias("_b"))
+    around = points_in(corners(second, second_key), first, first_key, cell=cell).select(F.col(first_key).alias("_a"), F.col("pid").alias("_b"))
+    return touching.unionAll(within).unionAll(around).distinct().select(F.col("_a").alias(first_key), F.col("_b").alias(second_key))
+
+
+#: Letters of the military grid; fixed values. Columns repeat every three zones, rows every 2000 km, from F in even zones.
+_COLUMNS, _ROWS, _BANDS = ("ABCDEFGH", "JKLMNPQR", "STUVWXYZ"), "ABCDEFGHJKLMNPQRSTUV", "CDEFGHJKLMNPQRSTUVWX"
+
+
+def tile_names(points: DataFrame) -> DataFrame:
+    """Points (lon, lat) with the name of their 100 km square (zone, band, column, row), null beyond 80 S and 84 N. The
+    irregular zones of Norway and Svalbard are taken as regular."""
+    p = points.withColumn("_z", F.least(utm_zone(F.col("lon")), F.lit(60)))
+    e, n = to_utm(F.col("lon"), F.col("lat"), F.col("_z"))
+    p = p.withColumn("_e", F.floor(e / 100_000)).withColumn("_n", F.floor(n / 100_000))
+    letter = lambda letters, i: F.substring(F.lit(letters), (i + 1).cast("int"), F.lit(1))
+    column = letter("".join(_COLUMNS), (F.col("_z") - 1) % 3 * 8 + F.col("_e") - 1)
+    row = letter(_ROWS, (F.col("_n") + F.when(F.col("_z") % 2 == 0, 5).otherwise(0)) % 20)
+    band = letter(_BANDS, F.least(F.floor((F.col("lat") + 80) / 8), F.lit(19)))
+    name = F.when(F.col("lat").between(-80, 84), F.concat(F.format_string("%02d", "_z"), band, column, row))
+    return p.withColumn("tile", name).drop("_z", "_e", "_n")
+
+
+def covering_tiles(vertices: DataFrame, key: str, *, overlap: float = 9_800.0, sample: float = 5_000.0) -> DataFrame:
+    """(key, tile) for each tile that a polygon (vertices in degrees) needs.
+
+    A tile is a 100 km square with a strip to its east and south, so a point is in the squares of itself and of the points
+    ``overlap`` to its west, its north and both. Points are the centroid, the vertices and a grid inside the polygon every
+    ``sample`` metres, from the box's corner in the zone of the centroid.
+    """
+    centre = centroids(vertices, key).select(key, F.col("cx").alias("clon"), F.col("cy").alias("clat"))
+    mean = vertices.groupBy(key).agg(F.avg("x").alias("mlon"), F.avg("y").alias("mlat"))
+    centre = mean.join(centre, key).select(key, F.coalesce("clon", "mlon").alias("clon"), F.coalesce("clat", "mlat").alias("clat")).withColumn("zone", utm_zone(F.col("clon")))
+    e, n = to_utm(F.col("x"), F.col("y"), F.col("zone"))
+    n = n - F.when(F.col("y") < 0, _SOUTH).otherwise(0.0)
+    flat = vertices.join(centre, key).withColumn("e", e).withColumn("n", n)
+    corner = flat.groupBy(key).agg(F.min("e").alias("e0"), F.min("n").alias("n0"))
+    moved = flat.join(corner, key).withColumn("x", F.col("e") - F.col("e0") + sample / 2).withColumn("y", F.col("n") - F.col("n0") + sample / 2)
+    grid = rasterise(moved.select(*vertices.columns), key, step=sample).join(corner, key).join(centre, key)
+    north = F.col("n0") + F.col("row") * sample
+    lon, lat = from_utm(F.col("e0") + F.col("col") * sample, north, F.col("zone"), F.lit(False))
+    inside = grid.select(key, lon.alias("lon"), lat.alias("lat"))
+    points = vertices.select(key, F.col("x").alias("lon"), F.col("y").alias("lat")).unionAll(centre.select(key, "clon", "clat")).unionAll(inside)
+    points = points.withColumn("zone", F.least(utm_zone(F.col("lon")), F.lit(60)))
+    e, n = to_utm(F.col("lon"), F.col("lat"), F.col("zone"))
+    shifts = F.array(*[F.struct(F.lit(de).alias("de"), F.lit(dn).alias("dn")) for de in (0.0, -overlap) for dn in (0.0, overlap)])
+    shifted = points.withColumn("e", e).withColumn("n", n - F.when(F.col("lat") < 0, _SOUTH).otherwise(0.0)).withColumn("s", F.explode(shifts))
+    lon, lat = from_utm(F.col("e") + F.col("s.de"), F.col("n") + F.col("s.dn"), F.col("zone"), F.lit(False))
+    at = shifted.select(key, lon.alias("lon"), lat.alias("lat"))
+    # a filter would be pushed below the projections, with all their expressions written out in it
+    return tile_names(at).select(key, "tile").distinct().select(key, F.explode(F.array_compact(F.array("tile"))).alias("tile"))
+
+
 def overlaps(cells: DataFrame, key: str, *, least: float) -> DataFrame:
     """Pairs whose shared cells are at least a share of the candidate's."""
     total = cells.groupBy(key).agg(F.count("*").alias("_n"))

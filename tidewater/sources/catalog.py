@@ -8,19 +8,33 @@ from pyspark.sql import functions as F
 from tidewater.operators.baseline import first_rows
 
 #: The item properties that are read; everything else in them is ignored.
-ITEM_PROPERTIES = "`grid:code` string, `mgrs:utm_zone` int, `mgrs:latitude_band` string, `mgrs:grid_square` string, `s2:mgrs_tile` string, `eo:cloud_cover` double, `proj:epsg` int, `proj:code` string, `earthsearch:boa_offset_applied` boolean, `s2:processing_baseline` string"
+ITEM_PROPERTIES = "`grid:code` string, `mgrs:utm_zone` int, `mgrs:latitude_band` string, `mgrs:grid_square` string, `s2:mgrs_tile` string, tileId string, `eo:cloud_cover` double, `proj:epsg` int, `proj:code` string, `earthsearch:boa_offset_applied` boolean, `s2:processing_baseline` string"
 
+#: The bands that every scene must have, and the asset names that catalogues give them, the first found wins.
+BAND_ASSETS = {"B03": ("B03", "green"), "B04": ("B04", "red"), "B05": ("B05", "rededge1"), "B08": ("B08", "nir"), "B11": ("B11", "swir16"), "SCL": ("SCL", "scl")}
 
-def scene_catalog(items: DataFrame, *, properties: str = "properties") -> DataFrame:
-    """Items with tile, cloud share (100 where unknown) and EPSG code; items without a tile or time are dropped."""
+
+def band_links(assets: Column) -> Column:
+    """Map from band to link, of the bands that the assets (JSON) have; an empty link is none."""
+    by_name = F.from_json(assets, "map<string, struct<href: string>>")
+    link = lambda names: F.coalesce(*[F.nullif(by_name[n]["href"], F.lit("")) for n in names])
+    each = F.create_map(*[c for band, names in BAND_ASSETS.items() for c in (F.lit(band), link(names))])
+    return F.map_filter(each, lambda _, href: href.isNotNull())
+
+
+def scene_catalog(items: DataFrame, *, properties: str = "properties", assets: str = "assets") -> DataFrame:
+    """Items with tile, cloud share (100 where unknown), EPSG code and links by band; items without a tile, a time or one
+    of the bands are dropped."""
     p = items.withColumn("_p", F.from_json(properties, ITEM_PROPERTIES))
     g = lambda name: F.col("_p")[name]
     parts = F.concat(F.format_string("%02d", g("mgrs:utm_zone")), g("mgrs:latitude_band"), g("mgrs:grid_square"))
-    parts = F.when(g("mgrs:utm_zone").isNotNull(), parts)
-    tile = F.coalesce(F.regexp_replace(g("grid:code"), "^MGRS-", ""), parts, F.regexp_replace(g("s2:mgrs_tile"), "^T", ""))
-    epsg = F.coalesce(g("proj:epsg"), F.regexp_extract(g("proj:code"), "([0-9]+)$", 1).try_cast("int")).cast("long")
-    out = p.withColumn("tile", tile).withColumn("cloud_pct", F.coalesce(g("eo:cloud_cover"), F.lit(100.0))).withColumn("epsg", epsg).withColumn("boa_offset", boa_offset(F.col("_p")))
-    return out.filter("tile IS NOT NULL AND at IS NOT NULL").drop("_p")
+    parts = F.when((g("mgrs:utm_zone") != 0) & (g("mgrs:latitude_band") != "") & (g("mgrs:grid_square") != ""), parts)
+    code = F.when(g("grid:code").startswith("MGRS-"), F.regexp_replace(g("grid:code"), "^MGRS-", ""))
+    given = F.coalesce(F.nullif(g("s2:mgrs_tile"), F.lit("")), F.nullif(g("tileId"), F.lit("")))
+    tile = F.nullif(F.coalesce(code, parts, F.regexp_replace(given, "^T", "")), F.lit(""))
+    epsg = F.coalesce(g("proj:epsg"), F.regexp_extract(g("proj:code"), "^EPSG:([0-9]+)$", 1).try_cast("int")).cast("long")
+    out = p.withColumn("tile", tile).withColumn("cloud_pct", F.coalesce(g("eo:cloud_cover"), F.lit(100.0))).withColumn("epsg", epsg).withColumn("boa_offset", boa_offset(F.col("_p"))).withColumn("links", band_links(F.col(assets)))
+    return out.filter(F.expr("tile IS NOT NULL AND at IS NOT NULL") & (F.size("links") == len(BAND_ASSETS))).drop("_p")
 
 
 def boa_offset(p: Column) -> Column:
@@ -61,6 +75,25 @@ def snapped(low: Column, high: Column, *, buffer: float = 100.0, grid: float = 2
     return F.floor((low - buffer) / grid) * grid, F.ceil((high + buffer) / grid) * grid
 
 
+def window(low: tuple[Column, Column], high: tuple[Column, Column], *, raster: tuple[float, float, float, float], buffer: float = 100.0, grid: float = 20.0) -> Column:
+    """Struct (x0, y0, x1, y1): a box with its buffer, outward to the raster's grid and clipped to the raster.
+
+    ``raster`` is its (x0, y0, x1, y1); columns count from its left, rows from its top. A box off the raster is an error.
+    """
+    x0, y0, x1, y1 = raster
+    left, right = F.floor((low[0] - buffer - x0) / grid) * grid + x0, F.ceil((high[0] + buffer - x0) / grid) * grid + x0
+    bottom, top = y1 - F.ceil((y1 - low[1] + buffer) / grid) * grid, y1 - F.floor((y1 - high[1] - buffer) / grid) * grid
+    box = F.struct(F.greatest(left, F.lit(x0)).alias("x0"), F.greatest(bottom, F.lit(y0)).alias("y0"), F.least(right, F.lit(x1)).alias("x1"), F.least(top, F.lit(y1)).alias("y1"))
+    off = (box["x0"] >= box["x1"]) | (box["y0"] >= box["y1"])
+    return F.when(off, F.raise_error(F.lit("the box is off the raster"))).otherwise(box)
+
+
+def read_windows(pixels: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
+    """The pixels (keys, x, y, bands) inside their body's or scene's window (keys, x0, y0, x1, y1), right and top excluded."""
+    inside = "x >= x0 AND x < x1 AND y >= y0 AND y < y1"
+    return pixels.join(windows, keys).filter(inside)
+
+
 def finer(cells: DataFrame, scene: str) -> DataFrame:
     """Each coarse cell as its four fine ones, with its value (nearest neighbour)."""
     four = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
@@ -68,11 +101,33 @@ def finer(cells: DataFrame, scene: str) -> DataFrame:
     return each.select(scene, (F.col("row") * 2 + F.col("_o.i")).alias("row"), (F.col("col") * 2 + F.col("_o.j")).alias("col"), "v")
 
 
-def blocks(windows: DataFrame, size: int) -> DataFrame:
-    """Blocks of at most ``size`` that cover each window of w by h."""
-    b = windows.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1, F.lit(size).cast("long"))))
-    b = b.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - 1, F.lit(size).cast("long"))))
-    return b.withColumn("bw", F.least(F.lit(size).cast("long"), F.col("w") - F.col("x"))).withColumn("bh", F.least(F.lit(size).cast("long"), F.col("h") - F.col("y")))
+def smoother(cells: DataFrame, scene: str) -> DataFrame:
+    """Each coarse cell as its four fine ones, with values between the coarse centres (bilinear).
+
+    A fine centre lies a quarter of a coarse cell from its own centre, so a coarse cell counts 3/4 in its own two fine rows
+    and 1/4 in the next one on either side; columns alike. Where a neighbour or its value is missing, the weights of the
+    others are scaled up. The sums are partial aggregates, no scene is in one task.
+    """
+    reach = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in ((-1, 0.25), (0, 0.75), (1, 0.75), (2, 0.25))])
+    each = cells.withColumn("_r", F.explode(reach)).withColumn("_c", F.explode(reach))
+    own = F.col("_r.i").isin(0, 1) & F.col("_c.i").isin(0, 1)
+    weight = F.when(F.col("v").isNotNull(), F.col("_r.w") * F.col("_c.w"))
+    spread = each.select(scene, (F.col("row") * 2 + F.col("_r.i")).alias("row"), (F.col("col") * 2 + F.col("_c.i")).alias("col"), own.alias("own"), weight.alias("w"), (F.col("v") * weight).alias("wv"))
+    mixed = spread.groupBy(scene, "row", "col").agg(F.max("own").alias("own"), F.try_divide(F.sum("wv"), F.sum("w")).alias("v"))
+    return mixed.filter("own").drop("own")
+
+
+def block_edge(bands: Column, bytes_per_pixel: Column, *, most_bytes: int = 48 * 1024 * 1024) -> Column:
+    """Edge of the largest square block whose answer stays below the byte limit, a quarter of it left for overhead."""
+    return F.floor(F.sqrt(F.lit(0.75 * most_bytes) / (bands * bytes_per_pixel))).cast("long")
+
+
+def blocks(windows: DataFrame, size: int | Column) -> DataFrame:
+    """Blocks of at most ``size`` that cover each window of w by h, both positive."""
+    size = (F.lit(size) if isinstance(size, int) else size).cast("long")
+    b = windows.withColumn("_s", size).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1, F.col("_s"))))
+    b = b.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - 1, F.col("_s"))))
+    return b.withColumn("bw", F.least("_s", F.col("w") - F.col("x"))).withColumn("bh", F.least("_s", F.col("h") - F.col("y"))).drop("_s")
 
 
 def chunks(spans: DataFrame, days: int) -> DataFrame:
@@ -81,6 +136,14 @@ def chunks(spans: DataFrame, days: int) -> DataFrame:
     return each.select("body_id", "chunk_from", F.least(F.date_add("chunk_from", days - 1), F.col("b")).alias("chunk_to"))
 
 
+def backfill(requests: DataFrame, *, today: str, years: int = 3, days: int = 31, floor: str = "2017-01-01") -> DataFrame:
+    """Requests (body_id, a, b; either may be null) in chunks of days, both ends included: never past today, by default of
+    the last years, never before the archive's first day; nothing where no day is left."""
+    b = F.least(F.coalesce("b", F.to_date(F.lit(today))), F.to_date(F.lit(today)))
+    spans = requests.withColumn("b", b).withColumn("a", F.greatest(F.coalesce("a", F.date_sub("b", 365 * years)), F.to_date(F.lit(floor))))
+    return chunks(spans.withColumn("a", F.when(F.col("a") <= F.col("b"), F.col("a"))), days)
+
+
 def outstanding(ready: DataFrame, done: DataFrame) -> DataFrame:
     """Scenes ready for a stage that has not finished them."""
     return ready.join(done, "scene_id", "left_anti")
@@ -111,9 +174,41 @@ def report_text(columns: list[Column]) -> Column:
     return F.concat_ws(";", *[F.coalesce(c, F.lit("")) for c in columns])
 
 
-def feature(properties: Column) -> Column:
-    """A feature with flat properties as one JSON text."""
-    return F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties")))
+INDICATORS = ("ndti_turbidity", "ndci_chlorophyll", "fai_algal", "sediment_proxy", "mndwi_extent")
+#: The report's columns in order; fixed values of its format. The first ten are the day's, the others the zone's.
+DAY_COLUMNS = ("date", "scene_id", "platform", "source", "scene_cloud_pct", "mask_usable", "valid_pixel_pct", "water_extent_km2", "rainfall_24h_mm", "rainfall_72h_mm")
+ZONE_COLUMNS = (
+    "zone_id", "zone_name", "zone_area_km2", *INDICATORS, *[f"z_{k}" for k in INDICATORS[:4]], "zone_valid_pixel_pct", "zone_water_fraction_pct", "max_abs_z", "anomalous_indicators",
+    "baseline_status", "severity", "priority_score", "confidence", "alertable", "suppressed_reason", "natural_cause_likely", "alert_id",
+)
+
+
+def report_rows(days: DataFrame, zones: DataFrame, keys: list[str], *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row of texts per (day, zone) in the report's 34 columns, one for a day without zones; ready for ``write.csv``.
+
+    Nulls, and columns that the inputs lack, are empty; lists are joined by semicolons. ``keep`` names columns of the days
+    to put in front as they are.
+    """
+    joined = days.select(*keys, *keep, *[c for c in DAY_COLUMNS if c in days.columns and c not in keys]).join(zones.select(*keys, *[c for c in ZONE_COLUMNS if c in zones.columns]), keys, "left")
+
+    def text(name: str) -> Column:
+        if name not in joined.columns:
+            return F.lit("").alias(name)
+        as_list = joined.schema[name].dataType.typeName() == "array"
+        return F.coalesce(F.array_join(name, ";") if as_list else F.col(name).cast("string"), F.lit("")).alias(name)
+
+    return joined.select(*keep, *map(text, DAY_COLUMNS + ZONE_COLUMNS))
+
+
+def feature(properties: Column, geometry: Column | None = None, id: Column | None = None) -> Column:
+    """A feature with flat properties, and with a geometry and an id where given, as one JSON text."""
+    parts = [F.lit("Feature").alias("type")] + ([] if id is None else [id.alias("id")]) + ([] if geometry is None else [geometry.alias("geometry")])
+    return F.to_json(F.struct(*parts, properties.alias("properties")))
+
+
+def covered_area(geom_kind: Column, affected_km2: Column, localised_km2: Column) -> Column:
+    """Area of the shape that is drawn: a plume's affected area, else the localised patch's (null for a zone's outline)."""
+    return F.when(geom_kind == "plume", affected_km2).otherwise(localised_km2)
 
 
 def latest_rows(frame: DataFrame, keys: list[str], at: str) -> DataFrame:
