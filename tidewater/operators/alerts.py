@@ -87,6 +87,41 @@ def reference_scene(current: DataFrame, scenes: DataFrame, *, days: int = 45) ->
     return asked.join(best, ["body_id", "now"])
 
 
+def chosen(alerts: DataFrame, *, status: str = "active", min_severity: str | None = None, min_priority: float = 0, body: int | None = None, district: str | None = None) -> DataFrame:
+    """Alerts (status, severity, priority, body_id, district) of a status or group (``active``, ``all``) and the filters."""
+    found = alerts
+    if status != "all":
+        found = found.filter(F.col("status").isin(*(OPEN if status == "active" else (status,))))
+    if min_severity is not None:
+        found = found.filter(rank(F.col("severity")) >= SEVERITIES.index(min_severity) + 1)
+    if min_priority > 0:
+        found = found.filter(F.col("priority") >= min_priority)
+    if body is not None:
+        found = found.filter(F.col("body_id") == body)
+    return found if district is None else found.filter(F.col("district") == district)
+
+
+def feed(alerts: DataFrame, *, ties: list[str], limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of chosen alerts, highest priority first, then latest; ``total`` is the number of all that were chosen."""
+    page = alerts.orderBy(F.desc("priority"), F.desc("last_at"), *ties).offset(offset).limit(limit)
+    total = alerts.agg(F.count("*").alias("total"))
+    return page.crossJoin(F.broadcast(total))
+
+
+def payload(alerts: DataFrame, timeline: DataFrame, bodies: DataFrame, centroids: DataFrame) -> DataFrame:
+    """One nested row per alert: (alert_id, body, zone, facts, timeline), as an alert is handed out.
+
+    ``bodies`` has (body_id, name, district), ``centroids`` (zone_id, cx, cy); an alert without a body or centroid has
+    nulls there.
+    """
+    keys = ["zone_id", "indicator", "episode"]
+    joined = alerts.join(timeline, keys, "left").join(bodies.select("body_id", F.col("name").alias("_name"), "district"), "body_id", "left").join(centroids.select("zone_id", "cx", "cy"), "zone_id", "left")
+    body = F.struct("body_id", F.col("_name").alias("name"), "district")
+    zone = F.struct("zone_id", F.when(F.col("cx").isNotNull(), F.array(F.round("cx", 6), F.round("cy", 6))).alias("centroid"))
+    facts = F.struct("indicator", "first_at", "last_at", "n_observations", "priority", "peak_priority", "peak_rank")
+    return joined.select("alert_id", "episode", body.alias("body"), zone.alias("zone"), facts.alias("facts"), F.coalesce("timeline", F.array().cast(joined.schema["timeline"].dataType)).alias("timeline"))
+
+
 def latest_status(events: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
     """Latest valid status per alert; events of unknown status are left out."""
     return events.filter(F.col("status").isin(*allowed)).groupBy("alert_id").agg(F.max_by("status", F.struct("at", "event_id")).alias("status"), F.count("*").alias("n_changes"))

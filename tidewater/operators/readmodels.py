@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.alerts import SEVERITIES
+
 STAGES = ("ingested", "masked", "indicators", "anomalies", "scored", "alerted")
 
 
@@ -82,3 +84,16 @@ def hourly_p95(events: DataFrame, *, minutes: int = 30, alarm: float) -> DataFra
 def newest(frame: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc(at), F.col(tie))
     return frame.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def gauges(open_alerts: DataFrame, zones: DataFrame, baselines: DataFrame, validations: DataFrame) -> DataFrame:
+    """Rows (gauge, label, value): open alerts of each severity, 0 where there are none; zones without a usable baseline;
+    the share of matched among conclusive validations, 0 where there are none."""
+    every = open_alerts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in SEVERITIES])).alias("label"))
+    n = open_alerts.groupBy(F.col("severity").alias("label")).agg(F.count("*").alias("value"))
+    counts = every.join(n, "label", "left").select(F.lit("open_alerts").alias("gauge"), "label", F.coalesce("value", F.lit(0)).cast("double").alias("value"))
+    usable = baselines.filter("status = 'usable'").select("zone_id").distinct()
+    building = zones.join(usable, "zone_id", "left_anti").agg(F.lit("baseline_building_zones").alias("gauge"), F.lit("").alias("label"), F.count("*").cast("double").alias("value"))
+    share = F.try_divide(F.count_if(F.col("verdict") == "matched"), F.count_if(F.col("verdict").isin("matched", "not_matched")))
+    precision = validations.agg(F.lit("validation_precision").alias("gauge"), F.lit("").alias("label"), F.coalesce(share, F.lit(0.0)).alias("value"))
+    return counts.unionAll(building).unionAll(precision)

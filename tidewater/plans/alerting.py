@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.operators import alerts as A
+from tidewater.operators import geometry as G
 from tidewater.plans.bindings import bound, table
 from tidewater.plans.registry import query
+from tidewater.plans.registry_plans import POLY, polygons
 
 R = lambda c, n=6: F.round(c, n)
 SEV = "CASE WHEN priority >= 70 THEN 'high' WHEN priority >= 40 THEN 'medium' ELSE 'low' END"
@@ -79,17 +81,35 @@ def a7(spark, d):
     return A.latest_status(e, ("view", "click", "signup"))
 
 
-@query("A8_alert_feed", EPISODES + "\n---\nSELECT e.zone_id, indicator, episode, priority, last_at FROM ef e WHERE peak_rank >= 2 AND priority >= 50 ORDER BY priority DESC, last_at DESC, zone_id, indicator, episode LIMIT 50 OFFSET 10", uses=("candidates",))
+STATUS = "CASE first_candidate % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'investigating' WHEN 2 THEN 'validated' ELSE 'dismissed' END"
+
+
+@query("A8_alert_feed", EPISODES + f""",
+ch AS (SELECT e.zone_id, indicator, episode, priority, last_at, {STATUS} AS status FROM ef e JOIN bodies b ON b.body_id = e.zone_id WHERE peak_rank >= 2 AND priority >= 30 AND {STATUS} IN ('open', 'investigating') AND district = 'ASIA')
+---
+SELECT *, (SELECT count(*) FROM ch) AS total FROM ch ORDER BY priority DESC, last_at DESC, zone_id, indicator, episode LIMIT 50 OFFSET 10""", uses=("candidates", "bodies"))
 def a8(spark, d):
-    order = [F.desc("priority"), F.desc("last_at"), F.col("zone_id"), F.col("indicator"), F.col("episode")]
-    return fields(spark, d).filter("peak_rank >= 2 AND priority >= 50").orderBy(*order).offset(10).limit(50).select("zone_id", "indicator", "episode", "priority", "last_at")
+    status = F.element_at(F.array(*[F.lit(s) for s in ("open", "investigating", "validated", "dismissed")]), (F.col("first_candidate") % 4 + 1).cast("int"))
+    alerts = fields(spark, d).withColumn("body_id", F.col("zone_id")).withColumn("severity", F.array(*[F.lit(s) for s in A.SEVERITIES])[(F.col("peak_rank") - 1).cast("int")]).withColumn("status", status)
+    alerts = alerts.join(bound(spark, d, "bodies").select("body_id", "district"), "body_id")
+    chosen = A.chosen(alerts, min_severity="medium", min_priority=30, district="ASIA")
+    return A.feed(chosen, ties=["zone_id", "indicator", "episode"], limit=50, offset=10).select("zone_id", "indicator", "episode", "priority", "last_at", "status", "total")
 
 
-@query("A9_alert_payload", EPISODES + "\n---\nSELECT e.zone_id, e.indicator, e.episode, b.name AS body_name, b.district, e.peak_priority, e.n_observations FROM ef e JOIN bodies b ON b.body_id = e.zone_id", uses=("candidates", "bodies"))
+@query("A9_alert_payload", EPISODES + ",\n" + POLY + """,
+ct AS (SELECT id, round(sum((x + x2) * (x * y2 - x2 * y)) / (3 * sum(x * y2 - x2 * y)), 6) AS cx, round(sum((y + y2) * (x * y2 - x2 * y)) / (3 * sum(x * y2 - x2 * y)), 6) AS cy FROM ed GROUP BY 1),
+tl AS (SELECT zone_id, indicator, episode, string_agg(candidate_id || ':' || priority, ',' ORDER BY observed_at, candidate_id) AS timeline FROM ep GROUP BY 1, 2, 3),
+i AS (SELECT *, 'alr_' || strftime(first_at, '%Y_%m%d') || '_' || zone_id || '_z' || zone_id AS b FROM ef)
+---
+SELECT CASE WHEN row_number() OVER (PARTITION BY i.b ORDER BY indicator, first_candidate) > 1 THEN i.b || '_' || trim(regexp_replace(lower(indicator), '[^a-z0-9]+', '_', 'g'), '_') ELSE i.b END AS alert_id, b.name AS body_name, b.district, i.zone_id, cx, cy, i.indicator, i.episode, peak_priority, n_observations, timeline
+FROM i JOIN tl USING (zone_id, indicator, episode) LEFT JOIN bodies b ON b.body_id = i.zone_id LEFT JOIN ct ON ct.id = i.zone_id""", uses=("candidates", "bodies"))
 def a9(spark, d):
-    f = fields(spark, d).join(bound(spark, d, "bodies").select(F.col("body_id").alias("zone_id"), F.struct("name", "district").alias("body")), "zone_id")
-    payload = f.select(F.struct("zone_id", "indicator", "episode").alias("key"), "body", F.struct("peak_priority", "n_observations").alias("facts"))
-    return payload.select("key.*", F.col("body.name").alias("body_name"), "body.district", "facts.*")
+    """The nested payloads, flattened for the comparison."""
+    alerts = A.alert_ids(fields(spark, d).withColumn("body_id", F.col("zone_id")))
+    shapes = G.centroids(polygons(spark, d), "id").withColumnRenamed("id", "zone_id")
+    p = A.payload(alerts, A.timelines(episodes(spark, d)), bound(spark, d, "bodies"), shapes)
+    entries = F.array_join(F.transform("timeline", lambda e: F.concat(e["candidate_id"].cast("string"), F.lit(":"), e["priority"].cast("string"))), ",")
+    return p.select("alert_id", F.col("body.name").alias("body_name"), "body.district", "zone.zone_id", F.col("zone.centroid")[0].alias("cx"), F.col("zone.centroid")[1].alias("cy"), "facts.indicator", "episode", "facts.peak_priority", "facts.n_observations", entries.alias("timeline"))
 
 
 RECIPIENTS = "re AS (SELECT c_custkey AS recipient_id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE r_name END AS district, CASE c_custkey % 2 WHEN 0 THEN 'high' ELSE 'medium' END AS min_severity, c_acctbal > 5000 AS active FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"

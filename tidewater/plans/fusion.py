@@ -147,15 +147,16 @@ def x2(spark, d):
 
 @query("X3_summary", f"""e AS (SELECT *, list_concat(list_concat(CASE WHEN votes > 0 THEN ['a second indicator'] ELSE [] END, CASE WHEN votes > 1 THEN ['a distinct patch'] ELSE [] END), CASE WHEN votes > 2 THEN ['an unusual combination'] ELSE [] END) AS ev, 'zone ' || zone_id AS zn, {PHRASE} AS ph FROM candidates)
 ---
-SELECT candidate_id, CASE WHEN z > 3 THEN 'Flagged because ' || indicator || ' is ' || ph || ' ' || CASE WHEN area_km2 > 0 THEN printf('across %.2f km2 of %s', area_km2, zn) ELSE 'across ' || zn END
+SELECT candidate_id, CASE WHEN z > 3 THEN 'Flagged because ' || indicator || ' is ' || ph || ' ' || CASE WHEN area_km2 > 0 THEN printf('across %.2f km2 of %s', area_km2, zn) ELSE printf('across the %.2f km2 %s', valid_pct * 0.1000123e0, zn) END
 || CASE WHEN len(ev) > 1 THEN ', with ' || array_to_string(ev[1:len(ev) - 1], ', ') || ' and ' || ev[len(ev)] WHEN len(ev) = 1 THEN ', with ' || ev[1] ELSE ', with nothing else out of line' END || '.'
-|| CASE WHEN rain_percentile > 0 THEN printf(' Rain in the 72 h before: %.0f mm.', rain_percentile * 40.01e0) ELSE '' END
+|| CASE WHEN rain_percentile > 0.9 AND candidate_id % 3 > 0 THEN printf(' Heavy rain in the 72 h before (%.0f mm, above the season''s 90th percentile of %.0f mm) makes runoff the likely cause; the severity is capped and the score discounted.', rain_percentile * 40.01e0, 36.01e0) WHEN rain_percentile > 0.9 THEN printf(' Heavy rain in the 72 h before (%.0f mm) makes runoff the likely cause; the severity is capped and the score discounted.', rain_percentile * 40.01e0) WHEN rain_percentile > 0 THEN printf(' Rain in the 72 h before: %.0f mm.', rain_percentile * 40.01e0) ELSE '' END
 WHEN state = 'P' THEN 'No verdict for ' || zn || ': its baseline is still building.' ELSE 'Nothing out of season was observed in ' || zn || '.' END AS summary FROM e""", uses=("candidates",))
 def x3(spark, d):
     evidence = F.filter(F.array(F.when(F.col("votes") > 0, F.lit("a second indicator")), F.when(F.col("votes") > 1, F.lit("a distinct patch")), F.when(F.col("votes") > 2, F.lit("an unusual combination"))), lambda x: x.isNotNull())
     zone = F.concat(F.lit("zone "), F.col("zone_id").cast("string"))
     status = F.when(F.col("state") == "P", "building").otherwise("usable")
-    text = U.summary(F.col("indicator"), phrase(), F.col("area_km2").cast("double"), zone, evidence, F.col("rain_percentile") * 40.01, F.col("z") > 3, status)
+    p90 = F.when(F.col("candidate_id") % 3 > 0, 36.01)
+    text = U.summary(F.col("indicator"), phrase(), F.col("area_km2").cast("double"), F.col("valid_pct") * 0.1000123, zone, evidence, F.col("rain_percentile") * 40.01, p90, F.col("rain_percentile") > 0.9, F.col("z") > 3, status)
     return bound(spark, d, "candidates").select("candidate_id", text.alias("summary"))
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.operators import readmodels as M
+from tidewater.operators.alerts import SEVERITIES
 from tidewater.operators.baseline import first_rows
-from tidewater.plans.alerting import EPISODES, fields
+from tidewater.plans.alerting import EPISODES, LABS, fields, verdicts
 from tidewater.plans.bindings import bound, table
 from tidewater.plans.detection import SCORED
 from tidewater.plans.registry import query
@@ -80,12 +81,18 @@ def q6(spark, d):
     return r.select("zone_id", "indicator", R("mean").alias("mean"), R("z").alias("z"), R(deviation).alias("deviation_pct"), F.col("mean").isNull().alias("missing"))
 
 
-@query("Q7_series_payload", SCORED + "\n---\nSELECT zone_id, indicator, CAST(date_trunc('week', observed_at) AS TIMESTAMP) AS week, count(*) AS n, round(max(z), 6) AS max_z, round(avg(mean), 6) AS avg_mean FROM scored GROUP BY 1, 2, 3", uses=ALL)
+@query("Q7_series_payload", SCORED + """
+---
+SELECT 'point' AS kind, zone_id, indicator, observed_at AS at, scene_id, line, round(mean, 6) AS mean, round(z, 6) AS z, CAST(1 AS BIGINT) AS n FROM scored
+UNION ALL SELECT 'week', zone_id, indicator, CAST(date_trunc('week', observed_at) AS TIMESTAMP), NULL, NULL, round(avg(mean), 6), round(max(z), 6), count(*) FROM scored GROUP BY zone_id, indicator, date_trunc('week', observed_at)""", uses=ALL)
 def q7(spark, d):
+    """Each point with its z, and each week with its mean, its highest z and its number of points."""
     from tidewater.operators.detect import temporal_scores
 
-    r = temporal_scores(seen(spark, d)).groupBy("zone_id", "indicator", F.date_trunc("week", "observed_at").alias("week"))
-    return r.agg(F.count("*").alias("n"), R(F.max("z")).alias("max_z"), R(F.avg("mean")).alias("avg_mean"))
+    s = temporal_scores(seen(spark, d))
+    points = s.select(F.lit("point").alias("kind"), "zone_id", "indicator", F.col("observed_at").alias("at"), "scene_id", "line", R("mean").alias("mean"), R("z").alias("z"), F.lit(1).cast("long").alias("n"))
+    weeks = s.groupBy("zone_id", "indicator", F.date_trunc("week", "observed_at").cast(points.schema["at"].dataType).alias("at")).agg(R(F.avg("mean")).alias("mean"), R(F.max("z")).alias("z"), F.count("*").alias("n"))
+    return points.unionByName(weeks.withColumn("kind", F.lit("week")), allowMissingColumns=True)
 
 
 @query("Q8_scene_marker", "SELECT s.body_id, arg_max(scene_id, (sensed_at, scene_id)) AS marker, z.first_zone FROM scenes s LEFT JOIN (SELECT body_id, min(zone_id) AS first_zone FROM zones GROUP BY 1) z ON z.body_id = s.body_id GROUP BY 1, 3", uses=("scenes", "zones"))
@@ -216,11 +223,18 @@ def o1(spark, d):
     return M.staleness(bound(spark, d, "bodies"), bound(spark, d, "scenes").filter("cloud_pct < 20 AND body_id <> 3"), now="2001-08-10")
 
 
-@query("O2_open_alerts", EPISODES + "\n---\nSELECT s.severity, count(ef.episode) AS n FROM (SELECT unnest(['low', 'medium', 'high']) AS severity, unnest([1, 2, 3]) AS r) s LEFT JOIN ef ON ef.peak_rank = s.r AND last_at > TIMESTAMP '2001-07-20' GROUP BY 1", uses=("candidates",))
+@query("O2_open_alerts", EPISODES + ",\n" + LABS + """
+---
+SELECT 'open_alerts' AS gauge, s.severity AS label, CAST(count(ef.episode) AS DOUBLE) AS value FROM (SELECT unnest(['low', 'medium', 'high']) AS severity, unnest([1, 2, 3]) AS r) s LEFT JOIN ef ON ef.peak_rank = s.r AND last_at > TIMESTAMP '2001-07-20' GROUP BY 2
+UNION ALL SELECT 'baseline_building_zones', '', (SELECT count(*) FROM zones) - (SELECT count(DISTINCT zone_id) FROM zones WHERE zone_id % 4 > 1)
+UNION ALL SELECT 'validation_precision', '', round(coalesce(count(*) FILTER (verdict = 'matched') / nullif(count(*) FILTER (verdict <> 'inconclusive'), 0), 0), 6) FROM ver""", uses=("candidates", "zones"))
 def o2(spark, d):
-    every = spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in ("low", "medium", "high")])).alias("severity"))
-    n = fields(spark, d).filter("last_at > '2001-07-20'").groupBy(F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("peak_rank").cast("int")).alias("severity")).agg(F.count("*").alias("n"))
-    return every.join(n, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("n"))
+    """Gauges; as in Q3, zones whose id leaves 2 or 3 by 4 have a usable baseline."""
+    rank = F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("peak_rank").cast("int"))
+    opened = fields(spark, d).filter("last_at > '2001-07-20'").select(rank.alias("severity"))
+    zones = bound(spark, d, "zones")
+    baselines = zones.select("zone_id", F.when(F.col("zone_id") % 4 > 1, "usable").otherwise("building").alias("status"))
+    return M.gauges(opened, zones, baselines, verdicts(spark, d)).withColumn("value", R("value"))
 
 
 @query("O3_event_counters", "SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n FROM events GROUP BY 1, 2")

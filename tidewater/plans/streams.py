@@ -59,6 +59,13 @@ def t5(spark, d):
     return T.flatten(table(spark, d, "events")).select("event_id", "k", "device")
 
 
-@query("T6_reading_bands", "SELECT event_id, CASE WHEN value < 5 THEN 'clear' WHEN value < 25 THEN 'slightly turbid' WHEN value < 50 THEN 'turbid' ELSE 'very turbid' END AS band FROM events")
+@query("T6_reading_bands", """r AS (SELECT event_id, value AS ntu, CASE event_id % 5 WHEN 0 THEN '%' WHEN 1 THEN ' ntu' WHEN 2 THEN '' WHEN 3 THEN 'NTU' END AS unit, value * 20 AS ppm, -50 - value AS rssi FROM events)
+---
+SELECT event_id, CASE WHEN unit = '%' THEN '' WHEN ntu < 1 THEN 'very clear' WHEN ntu < 5 THEN 'clear' WHEN ntu < 50 THEN 'slightly turbid' WHEN ntu < 200 THEN 'turbid' ELSE 'very turbid' END AS turbidity,
+CASE WHEN ppm < 50 THEN 'very low mineral content' WHEN ppm < 300 THEN 'fresh, low mineralisation' WHEN ppm < 600 THEN 'good — typical freshwater' WHEN ppm < 900 THEN 'fair — noticeably mineralised' WHEN ppm < 1200 THEN 'poor — high dissolved solids' ELSE 'very high — brackish' END AS tds,
+CASE WHEN rssi >= -60 THEN 'strong' WHEN rssi >= -70 THEN 'good' WHEN rssi >= -80 THEN 'weak' ELSE 'very weak' END AS signal FROM r""")
 def t6(spark, d):
-    return table(spark, d, "events").select("event_id", T.band(F.col("value")).alias("band"))
+    """The events' values as turbidity in four units, as dissolved solids and as signal strength."""
+    k, v = F.col("event_id") % 5, F.col("value")
+    unit = F.when(k == 0, "%").when(k == 1, " ntu").when(k == 2, "").when(k == 3, "NTU")
+    return table(spark, d, "events").select("event_id", T.turbidity_band(v, unit).alias("turbidity"), T.tds_band(v * 20).alias("tds"), T.signal_band(-50 - v).alias("signal"))

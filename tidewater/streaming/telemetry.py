@@ -24,9 +24,24 @@ def flatten(events: DataFrame, *, properties: str = "props") -> DataFrame:
     return events.withColumns({"k": F.coalesce(p["k"], F.lit(0)), "device": F.coalesce(p["device"], F.lit("unknown")), "sent_at": at})
 
 
-def band(ntu: Column) -> Column:
-    """Turbidity in words."""
-    return F.when(ntu < 5, "clear").when(ntu < 25, "slightly turbid").when(ntu < 50, "turbid").otherwise("very turbid")
+def turbidity_band(ntu: Column, unit: Column) -> Column:
+    """Turbidity in words; empty for a unit that is not NTU (none given counts as NTU), as a percentage is no NTU."""
+    known = F.upper(F.trim(F.coalesce(unit, F.lit("NTU")))).isin("NTU", "")
+    words = F.when(ntu < 1, "very clear").when(ntu < 5, "clear").when(ntu < 50, "slightly turbid").when(ntu < 200, "turbid").otherwise("very turbid")
+    return F.when(known, words).otherwise("")
+
+
+def tds_band(ppm: Column) -> Column:
+    """Dissolved solids in words."""
+    return (
+        F.when(ppm < 50, "very low mineral content").when(ppm < 300, "fresh, low mineralisation").when(ppm < 600, "good — typical freshwater")
+        .when(ppm < 900, "fair — noticeably mineralised").when(ppm < 1200, "poor — high dissolved solids").otherwise("very high — brackish")
+    )
+
+
+def signal_band(rssi: Column) -> Column:
+    """Signal strength (dBm) in words."""
+    return F.when(rssi >= -60, "strong").when(rssi >= -70, "good").when(rssi >= -80, "weak").otherwise("very weak")
 
 
 #: Card labels of the device page and the keys of its JSON contract; fixed values.
