@@ -87,6 +87,27 @@ def cap_severity(severity: Column, natural: Column) -> tuple[Column, Column]:
     return F.when(capped, "medium").otherwise(severity), F.when(capped, severity)
 
 
+def zone_verdict(passes: DataFrame, *, runoff: tuple[str, ...]) -> DataFrame:
+    """Verdict on each zone's pass: the three detectors' votes, the rainfall gate and the severity.
+
+    ``passes`` has anomalous (array, in registered order), max_abs_z, any_usable, spatial (array of (indicator, area_km2),
+    null or empty: no cluster), multivariate (boolean), mm_72h, p90 and n. The gate is asked about the indicators that
+    deviate in time, else about those with a cluster. Rain as the likely cause caps the severity and suppresses nothing; a
+    pass without votes, or with a building baseline, makes no alert.
+    """
+    found = F.coalesce(F.size("spatial"), F.lit(0)) > 0
+    temporal, many = F.size("anomalous") > 0, F.coalesce("multivariate", F.lit(False))
+    votes = sum((c.cast("long") for c in (temporal, found, many)), F.lit(0).cast("long"))
+    asked = F.when(temporal, F.col("anomalous")).when(found, F.array_sort(F.array_distinct(F.transform("spatial", lambda c: c["indicator"])))).otherwise(F.array().cast("array<string>"))
+    v = passes.withColumn("votes", votes).withColumn("gate_input", asked)
+    v = v.withColumn("_g", rainfall_gate(F.col("gate_input"), F.col("mm_72h"), F.col("p90"), F.col("n"), runoff)).withColumn("outcome", F.col("_g.outcome")).withColumn("natural_cause_likely", F.col("_g.applied"))
+    severity, capped = cap_severity(vote_severity(F.col("votes"), F.col("max_abs_z")), F.col("natural_cause_likely"))
+    suppressed = F.when(F.col("votes") == 0, "no detector voted").when(~F.coalesce("any_usable", F.lit(False)), "baseline building")
+    area = F.when(found, F.round(F.aggregate("spatial", F.lit(0.0), lambda a, c: a + c["area_km2"]), 4))
+    v = v.withColumn("severity", severity).withColumn("capped_from", capped).withColumn("suppressed_reason", suppressed).withColumn("affected_area_km2", area)
+    return v.withColumn("alertable", F.col("suppressed_reason").isNull()).drop("_g")
+
+
 def geometry_kind(has_plume: Column, has_localised: Column) -> Column:
     return F.when(has_plume, "plume").when(has_localised, "localised").otherwise("zone")
 

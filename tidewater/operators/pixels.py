@@ -82,6 +82,27 @@ def outline(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return each.groupBy(*keys, "e.kind", "e.r", "e.c").agg(F.count("*").alias("_n")).filter("_n = 1").drop("_n")
 
 
+def water_mask(pixels: DataFrame, scene: str, *, value: str, width: int, min_pixels: int, fallback: float, bounds: tuple[float, float] = (-0.3, 0.5), least: int = 50, spread: float = 0.05) -> DataFrame:
+    """Pixels (scene, row, col, water): above the scene's threshold, cleaned, in a component of enough pixels, inside the
+    search area and valid.
+
+    ``pixels`` has row, col, valid, search and the index ``value``. The threshold is fitted on pixels that are valid and
+    searched; with few of them, too even values or an unlikely threshold it is ``fallback``. Cleaning may bridge invalid
+    pixels, so validity is asked for again at the end: there is no water under cloud.
+    """
+    fit = pixels.filter(F.col("search") & F.col("valid") & F.col(value).isNotNull())
+    facts = fit.groupBy(scene).agg(F.count(value).alias("_cnt"), F.stddev_pop(value).alias("_sd"))
+    found = otsu(fit, [scene], value).join(facts, scene)
+    trusted = (F.col("_cnt") >= least) & (F.col("_sd") >= spread) & F.col("threshold").between(*bounds)
+    cut = found.select(scene, F.when(trusted, F.col("threshold")).alias("_cut"))
+    raw = pixels.filter(F.col("valid")).join(cut, scene, "left").filter(F.col(value) > F.coalesce("_cut", F.lit(fallback))).select(scene, "row", "col")
+    labels = connected(cleaned(raw, pixels, scene), scene, width=width)
+    large = labels.groupBy(scene, "component").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_pixels)
+    kept = labels.join(large, [scene, "component"], "left_semi").select(scene, "row", "col", F.lit(True).alias("_k"))
+    water = F.coalesce("_k", F.lit(False)) & F.col("search") & F.col("valid")
+    return pixels.join(kept, [scene, "row", "col"], "left").select(scene, "row", "col", water.alias("water"))
+
+
 def scene_verdict(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Per scene: pixels, valid and cloudy shares in percent, and whether it is usable (by the unrounded share)."""
     n = F.count("*")

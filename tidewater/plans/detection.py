@@ -185,25 +185,38 @@ def d14(spark, d):
     return bound(spark, d, "candidates").select("candidate_id", D.vote_severity(F.col("votes"), F.abs("z")).alias("severity"))
 
 
-GATED = f"""{SCORED},
+def outcome_sql(asked: str) -> str:
+    return f"CASE WHEN {asked} = '' THEN 'no anomaly' WHEN mm_72h IS NULL THEN 'no rainfall' WHEN coalesce(n, 0) < 30 THEN 'thin history' WHEN mm_72h > p90 AND len(list_filter(string_split({asked}, ','), lambda x: x NOT IN ('A', 'N'))) = 0 THEN 'applied' WHEN mm_72h > p90 THEN 'other indicators' ELSE 'within p90' END"
+
+
+ASKED = f"""{SCORED},
 {ROLLUP},
 c2 AS (SELECT body_id, date, CASE WHEN count(*) OVER w = 3 THEN sum(mm_24h) OVER w END AS mm_72h FROM rain WINDOW w AS (PARTITION BY body_id ORDER BY date RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW)),
-r2 AS (SELECT roll.zone_id, z.body_id % 5 AS body_id, observed_at, anomalous, max_abs_z, dayofyear(observed_at) AS doy FROM roll JOIN zones z USING (zone_id)),
+r2 AS (SELECT roll.zone_id, z.body_id % 5 AS body_id, observed_at, anomalous, max_abs_z, any_usable, dayofyear(observed_at) AS doy FROM roll JOIN zones z USING (zone_id)),
 p9 AS (SELECT body_id, doy, quantile_cont(mm_24h, 0.9) * 2 AS p90, count(*) AS n FROM rain, (SELECT unnest(range(1, 367)) AS doy) WHERE least(abs(doy - dayofyear(date)), 366 - abs(doy - dayofyear(date))) <= 15 GROUP BY 1, 2),
-gi AS (SELECT r2.*, c2.mm_72h, p9.p90, p9.n FROM r2 LEFT JOIN c2 ON c2.body_id = r2.body_id AND c2.date = CAST(observed_at AS DATE) LEFT JOIN p9 ON p9.body_id = r2.body_id AND p9.doy = r2.doy),
-gated AS (SELECT *, CASE WHEN anomalous = '' THEN 'no anomaly' WHEN mm_72h IS NULL THEN 'no rainfall' WHEN coalesce(n, 0) < 30 THEN 'thin history' WHEN mm_72h > p90 AND len(list_filter(string_split(anomalous, ','), lambda x: x NOT IN ('A', 'N'))) = 0 THEN 'applied' WHEN mm_72h > p90 THEN 'other indicators' ELSE 'within p90' END AS outcome FROM gi)"""
+gi AS (SELECT r2.*, c2.mm_72h, p9.p90, p9.n FROM r2 LEFT JOIN c2 ON c2.body_id = r2.body_id AND c2.date = CAST(observed_at AS DATE) LEFT JOIN p9 ON p9.body_id = r2.body_id AND p9.doy = r2.doy)"""
+GATED = f"""{ASKED},
+gated AS (SELECT *, {outcome_sql("anomalous")} AS outcome FROM gi)"""
 
 
-def gated(spark, d) -> DataFrame:
+def gate_inputs(spark, d) -> DataFrame:
+    """The passes' rollup with the rain before them and its seasonal p90."""
     from tidewater.operators import rainfall as C
 
     rain = bound(spark, d, "rain")
     zones = bound(spark, d, "zones").select("zone_id", (F.col("body_id") % 5).alias("body_id"))
     r = rollup(spark, d).join(zones, "zone_id").withColumn("date", F.to_date("observed_at")).withColumn("doy", F.dayofyear("observed_at"))
     r = r.join(C.trailing(rain, 3, "mm_72h").select("body_id", "date", "mm_72h"), ["body_id", "date"], "left")
-    r = r.join(C.seasonal_p90(rain).withColumn("p90", F.col("p90") * 2), ["body_id", "doy"], "left")
-    anomalous = F.filter(F.split("anomalous", ","), lambda x: x != "")
-    return r.withColumn("gate", D.rainfall_gate(anomalous, F.col("mm_72h"), F.col("p90"), F.col("n"), ("A", "N"))).withColumn("outcome", F.col("gate.outcome"))
+    return r.join(C.seasonal_p90(rain).withColumn("p90", F.col("p90") * 2), ["body_id", "doy"], "left")
+
+
+def listed(c: str):
+    return F.filter(F.split(c, ","), lambda x: x != "")
+
+
+def gated(spark, d) -> DataFrame:
+    r = gate_inputs(spark, d)
+    return r.withColumn("gate", D.rainfall_gate(listed("anomalous"), F.col("mm_72h"), F.col("p90"), F.col("n"), ("A", "N"))).withColumn("outcome", F.col("gate.outcome"))
 
 
 @query("D15_rainfall_gate", GATED + "\n---\nSELECT zone_id, observed_at, anomalous, outcome FROM gated", uses=(*ALL, "rain"))
@@ -217,24 +230,28 @@ def d16(spark, d):
     return bound(spark, d, "candidates").select("candidate_id", severity.alias("severity"), capped.alias("capped_from"))
 
 
-VERDICT = f"""{GATED},
-v AS (SELECT zone_id, body_id, observed_at, anomalous, outcome, CAST(anomalous <> '' AS BIGINT) + CAST(coalesce(max_abs_z >= 5, false) AS BIGINT) AS votes, max_abs_z FROM gated),
-verdict AS (SELECT *, CASE WHEN votes = 2 THEN CASE WHEN max_abs_z >= 5 THEN 'high' ELSE 'medium' END WHEN votes = 1 THEN CASE WHEN max_abs_z >= 5 THEN 'medium' ELSE 'low' END END AS raw FROM v)"""
+VERDICT = f"""{ASKED},
+sp AS (SELECT zone_id, observed_at, string_agg(DISTINCT indicator, ',' ORDER BY indicator) AS inds, round(sum(valid_pixel_pct / 1000), 4) AS area FROM obs WHERE water_fraction_pct > 47 GROUP BY 1, 2),
+mv AS (SELECT zone_id, observed_at, max(p90) > 900 AS odd FROM obs GROUP BY 1, 2),
+ga AS (SELECT gi.*, sp.area, CAST(anomalous <> '' AS BIGINT) + CAST(sp.inds IS NOT NULL AS BIGINT) + CAST(coalesce(mv.odd, false) AS BIGINT) AS votes, CASE WHEN anomalous <> '' THEN anomalous ELSE coalesce(sp.inds, '') END AS gate_input FROM gi LEFT JOIN sp USING (zone_id, observed_at) LEFT JOIN mv USING (zone_id, observed_at)),
+go AS (SELECT *, {outcome_sql("gate_input")} AS outcome, CASE WHEN votes = 3 THEN 'high' WHEN votes = 2 THEN CASE WHEN max_abs_z >= 5 THEN 'high' ELSE 'medium' END WHEN votes = 1 THEN CASE WHEN max_abs_z >= 5 THEN 'medium' ELSE 'low' END END AS raw FROM ga),
+verdict AS (SELECT *, CASE WHEN outcome = 'applied' AND raw = 'high' THEN 'medium' ELSE raw END AS severity, CASE WHEN outcome = 'applied' AND raw = 'high' THEN 'high' END AS capped_from, CASE WHEN votes = 0 THEN 'no detector voted' WHEN NOT coalesce(any_usable, false) THEN 'baseline building' END AS suppressed_reason FROM go)"""
 
 
 def verdicts(spark, d) -> DataFrame:
-    g = gated(spark, d)
-    votes = (F.col("anomalous") != "").cast("long") + F.coalesce(F.col("max_abs_z") >= 5, F.lit(False)).cast("long")
-    g = g.withColumn("votes", votes).withColumn("raw", D.vote_severity(F.col("votes"), F.col("max_abs_z")))
-    severity, _ = D.cap_severity(F.col("raw"), F.col("outcome") == "applied")
-    return g.withColumn("severity", severity).withColumn("alertable", (F.col("votes") > 0) & (F.col("outcome") != "applied"))
+    """Readings with much water stand for clusters, passes with a large p90 for the multivariate detector's outliers."""
+    obs = bound(spark, d, "obs").groupBy("zone_id", "observed_at")
+    cluster = F.when(F.col("water_fraction_pct") > 47, F.struct("indicator", (F.col("valid_pixel_pct") / 1000).cast("double").alias("area_km2")))
+    marks = obs.agg(F.collect_list(cluster).alias("spatial"), (F.max("p90") > 900).alias("multivariate"))
+    g = gate_inputs(spark, d).withColumn("anomalous", listed("anomalous")).join(marks, ["zone_id", "observed_at"], "left")
+    return D.zone_verdict(g, runoff=("A", "N"))
 
 
 @query("D17_zone_verdict", VERDICT + """
 ---
-SELECT zone_id, observed_at, votes, CASE WHEN outcome = 'applied' AND raw = 'high' THEN 'medium' ELSE raw END AS severity, votes > 0 AND outcome <> 'applied' AS alertable, CASE WHEN votes > 0 AND outcome = 'applied' THEN 'rain explains it' END AS suppressed_reason FROM verdict""", uses=(*ALL, "rain"))
+SELECT zone_id, observed_at, votes, gate_input, outcome, severity, capped_from, suppressed_reason IS NULL AS alertable, suppressed_reason, area AS affected_area_km2 FROM verdict""", uses=(*ALL, "rain"))
 def d17(spark, d):
-    return verdicts(spark, d).select("zone_id", "observed_at", "votes", "severity", "alertable", F.when((F.col("votes") > 0) & (F.col("outcome") == "applied"), "rain explains it").alias("suppressed_reason"))
+    return verdicts(spark, d).select("zone_id", "observed_at", "votes", F.array_join("gate_input", ",").alias("gate_input"), "outcome", "severity", "capped_from", "alertable", "suppressed_reason", R("affected_area_km2", 4).alias("affected_area_km2"))
 
 
 @query("D18_geometry_kind", "SELECT candidate_id, CASE WHEN area_km2 > 3 THEN 'plume' WHEN votes > 1 THEN 'localised' ELSE 'zone' END AS geom_kind FROM candidates", uses=("candidates",))
@@ -244,9 +261,9 @@ def d18(spark, d):
 
 @query("D19_run_summary", VERDICT + """
 ---
-SELECT body_id, observed_at, count(*) AS n_zones, count(*) FILTER (anomalous <> '') AS n_flagged, count(*) FILTER (votes > 0 AND outcome <> 'applied') AS n_alertable, count(*) FILTER (outcome = 'applied') AS n_gated FROM verdict GROUP BY 1, 2""", uses=(*ALL, "rain"))
+SELECT body_id, observed_at, count(*) AS n_zones, count(*) FILTER (anomalous <> '') AS n_flagged, count(*) FILTER (suppressed_reason IS NULL) AS n_alertable, count(*) FILTER (outcome = 'applied') AS n_gated FROM verdict GROUP BY 1, 2""", uses=(*ALL, "rain"))
 def d19(spark, d):
-    return verdicts(spark, d).groupBy("body_id", "observed_at").agg(F.count("*").alias("n_zones"), F.count_if(F.col("anomalous") != "").alias("n_flagged"), F.count_if("alertable").alias("n_alertable"), F.count_if(F.col("outcome") == "applied").alias("n_gated"))
+    return verdicts(spark, d).groupBy("body_id", "observed_at").agg(F.count("*").alias("n_zones"), F.count_if(F.size("anomalous") > 0).alias("n_flagged"), F.count_if("alertable").alias("n_alertable"), F.count_if(F.col("outcome") == "applied").alias("n_gated"))
 
 
 @query("D20_json_safe", "SELECT event_id, to_json({'value': CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id END}) AS safe FROM events")

@@ -105,11 +105,26 @@ def m9(spark, d):
     return c.withColumn("_n", F.count("*").over(Window.partitionBy("scene_id", "component"))).filter("_n >= 3").drop("_n")
 
 
-@query("M10_water_mask", COMPONENTS + ", big AS (SELECT * FROM co QUALIFY count(*) OVER (PARTITION BY scene_id, component) >= 3)\n---\nSELECT g.scene_id, g.row, g.col, big.row IS NOT NULL AND g.row BETWEEN 1 AND 6 AND g.v < 0.25 AS water FROM g LEFT JOIN big USING (scene_id, row, col)")
+def otsu_of(values: str) -> str:
+    """The threshold's SQL over other values than the pixels'."""
+    return OTSU.replace("va AS (SELECT scene_id, b04 AS v FROM pixels)", values)
+
+
+@query("M10_water_mask", GRID + """,
+mp AS (SELECT *, row BETWEEN 1 AND 7 AS search, (scene_id + row * 3 + col * 5) % 11 > 0 AS valid FROM g),
+""" + otsu_of("va AS (SELECT scene_id, v FROM mp WHERE search AND valid AND v IS NOT NULL)") + f""",
+ct AS (SELECT scene_id, CASE WHEN cnt >= 40 AND sd >= 0.05 AND threshold BETWEEN -0.1 AND 0.1 THEN threshold ELSE 0.0 END AS cut FROM th),
+h0 AS (SELECT scene_id, row, col FROM mp JOIN ct USING (scene_id) WHERE valid AND v > cut), {morph('e1', 'h0', True)}, {morph('d1', 'e1', False)}, {morph('d2', 'd1', False)}, {morph('e2', 'd2', True)},
+id2 AS (SELECT scene_id, row, col, row * 8 + col AS id FROM e2), lk AS (SELECT a.scene_id, a.id AS a, b.id AS b FROM id2 a JOIN id2 b ON a.scene_id = b.scene_id AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
+rc AS (SELECT scene_id, id AS a, id AS b FROM id2 UNION SELECT r.scene_id, r.a, lk.b FROM rc r JOIN lk ON lk.scene_id = r.scene_id AND lk.a = r.b), lb AS (SELECT scene_id, a, min(b) AS component FROM rc GROUP BY 1, 2),
+kp AS (SELECT scene_id, CAST(a // 8 AS BIGINT) AS row, CAST(a % 8 AS BIGINT) AS col FROM lb QUALIFY count(*) OVER (PARTITION BY scene_id, component) >= 9)
+---
+SELECT mp.scene_id, mp.row, mp.col, kp.row IS NOT NULL AND search AND valid AS water FROM mp LEFT JOIN kp USING (scene_id, row, col)""")
 def m10(spark, d):
-    big = m9(spark, d).withColumn("big", F.lit(True))
-    water = F.col("big").isNotNull() & F.col("row").between(1, 6) & (F.col("v") < 0.25)
-    return grid(spark, d).join(big, ["scene_id", "row", "col"], "left").select("scene_id", "row", "col", water.alias("water"))
+    """Tiles with their first row outside the search area and one pixel in eleven cloudy."""
+    k = (F.col("scene_id") + F.col("row") * 3 + F.col("col") * 5) % 11
+    p = grid(spark, d).withColumn("search", F.col("row").between(1, 7)).withColumn("valid", k > 0)
+    return P.water_mask(p, "scene_id", value="v", width=8, min_pixels=9, fallback=0.0, bounds=(-0.1, 0.1), least=40)
 
 
 @query("M11_water_extent", COMPONENTS + "\n---\nSELECT scene_id, round(count(*) * 1e-4, 4) AS extent_km2, round(100 * count(*) / 64, 2) AS water_pct, count(DISTINCT component) AS n_components FROM co GROUP BY 1")
