@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.constants import CHLOROPHYLL_MATCH, DEDUPE_DAYS, DOYS, MAX_LAG_DAYS, NTU_MATCH, TSS_MATCH
 from tidewater.operators.baseline import circular_distance, nearby_doys
 from tidewater.operators.detect import SEVERITIES
+from tidewater.operators.geometry import points_in
 
 OPEN = ("open", "investigating")
 
@@ -127,14 +128,28 @@ def latest_status(events: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
     return events.filter(F.col("status").isin(*allowed)).groupBy("alert_id").agg(F.max_by("status", F.struct("at", "event_id")).alias("status"), F.count("*").alias("n_changes"))
 
 
-def matching_recipients(alerts: DataFrame, recipients: DataFrame) -> DataFrame:
-    """(alert, recipient) pairs: active, severity at least the recipient's least, and its district or no district.
+def matching_recipients(alerts: DataFrame, recipients: DataFrame, places: DataFrame | None = None, areas: DataFrame | None = None, *, cell: float = 1000.0) -> DataFrame:
+    """(alert, recipient) pairs: active, severity at least the recipient's least, and its district, or its area around the
+    alert's place, or neither given.
 
-    Recipients meet alerts by district and, for those without one, by a constant; both are equality joins.
+    ``areas`` has recipients' polygons (recipient_id, seq, x, y), ``places`` a point (zone_id, px, py) of each zone. Recipients
+    meet alerts by district and, for those without district and area, by a constant; areas meet places, not alerts. All are
+    equality joins, and a pair that the district has made is not made again by the area.
     """
-    keyed = recipients.filter("active").withColumn("k", F.coalesce("district", F.lit("*")))
-    asked = alerts.withColumn("k", F.explode(F.array(F.col("district"), F.lit("*"))))
-    return asked.join(keyed.drop("district", "active"), "k").filter(rank(F.col("severity")) >= rank(F.col("min_severity"))).drop("k")
+    active = recipients.filter("active").drop("active")
+    local = active.filter("district IS NOT NULL")
+    free = active.filter("district IS NULL")
+    if areas is not None:
+        free = free.join(areas.select("recipient_id").distinct(), "recipient_id", "left_anti")
+    keyed = local.withColumn("k", F.col("district")).unionByName(free.withColumn("k", F.lit("*"))).drop("district")
+    severe = rank(F.col("severity")) >= rank(F.col("min_severity"))
+    pairs = alerts.withColumn("k", F.explode(F.array(F.col("district"), F.lit("*")))).join(keyed, "k").filter(severe).drop("k")
+    if areas is None:
+        return pairs
+    around = points_in(places.withColumnRenamed("zone_id", "pid"), areas.join(active.select("recipient_id"), "recipient_id", "left_semi"), "recipient_id", cell=cell).withColumnRenamed("pid", "zone_id")
+    asked = around.join(active.withColumnRenamed("district", "_d"), "recipient_id")
+    more = alerts.join(asked, "zone_id").filter(severe & ~F.coalesce(F.col("_d") == F.col("district"), F.lit(False))).drop("_d")
+    return pairs.unionByName(more.select(*pairs.columns))
 
 
 def send_decisions(pairs: DataFrame, sent: DataFrame, *, enabled: bool = True, manual: bool = False) -> DataFrame:

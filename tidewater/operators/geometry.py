@@ -251,11 +251,23 @@ def overlaps(cells: DataFrame, key: str, *, least: float) -> DataFrame:
     return shared.withColumn("ratio", F.col("_s") / F.col("_n")).filter(F.col("ratio") >= least).select("candidate", "other", "ratio")
 
 
-def discover(features: DataFrame, *, lon: float, lat: float, radius_km: float, most: int) -> DataFrame:
-    """Features within a radius by the haversine, the first ``most`` in source order, the largest first."""
+def discover(features: DataFrame, *, lon: float, lat: float, radius_km: float, most: int, placeholder: bool = False) -> DataFrame:
+    """Features within a radius by the haversine, the first ``most`` in source order, the largest first.
+
+    With ``placeholder`` and nothing found, one row (text ids) stands for a box of a kilometre around the place.
+    """
     a = F.pow(F.sin(F.radians(F.col("lat") - lat) / 2), 2) + math.cos(math.radians(lat)) * F.cos(F.radians("lat")) * F.pow(F.sin(F.radians(F.col("lon") - lon) / 2), 2)
     found = features.withColumn("km", 2 * 6371.0088 * F.asin(F.sqrt(a))).filter(F.col("km") <= radius_km)
-    return found.orderBy("id").limit(most).orderBy(F.desc("area"))
+    near = found.orderBy("id").limit(most)
+    if not placeholder:
+        return near.orderBy(F.desc("area"))
+    half_lat, half_lon = 0.5 / 111.0, 0.5 / (111.0 * max(math.cos(math.radians(lat)), 0.15))
+    corners = [(k, lon + a * half_lon, lat + b * half_lat) for k, (a, b) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1)))]
+    e, n = to_utm(F.col("lon"), F.col("lat"), utm_zone(F.lit(lon)))
+    box = features.sparkSession.createDataFrame(corners, "seq long, lon double, lat double").select(F.lit(1).alias("_k"), "seq", e.alias("x"), n.alias("y"))
+    stand_in = areas(box, "_k").select(F.lit(f"placeholder:{round(lat, 5)}:{round(lon, 5)}").alias("id"), F.lit(lon).alias("lon"), F.lit(lat).alias("lat"), F.col("area_km2").alias("area"), F.lit(0.0).alias("km"))
+    none = near.agg(F.count("*").alias("_n")).filter("_n = 0").select(F.lit(1).alias("_one"))
+    return near.unionByName(stand_in.crossJoin(F.broadcast(none)).drop("_one"), allowMissingColumns=True).orderBy(F.desc("area"))
 
 
 def kind(tag: Column) -> Column:

@@ -97,3 +97,31 @@ def gauges(open_alerts: DataFrame, zones: DataFrame, baselines: DataFrame, valid
     share = F.try_divide(F.count_if(F.col("verdict") == "matched"), F.count_if(F.col("verdict").isin("matched", "not_matched")))
     precision = validations.agg(F.lit("validation_precision").alias("gauge"), F.lit("").alias("label"), F.coalesce(share, F.lit(0.0)).alias("value"))
     return counts.unionAll(building).unionAll(precision)
+
+
+def brief_series(alerts: DataFrame, series: DataFrame, *, days: int = 360) -> DataFrame:
+    """For each alert (zone_id, indicator, last_at) the points of its series (zone_id, indicator, observed_at, ...) from
+    ``days`` days before its last day to that day's end.
+
+    Both meet by periods as long as the window, so an alert is in two of them at most and no series is met as a whole.
+    """
+    period = lambda at: F.floor(F.datediff(F.to_date(at), F.lit("1970-01-01")) / (days + 1))
+    asked = alerts.withColumn("_k", F.explode(F.array(period("last_at"), period("last_at") - 1)))
+    day = F.to_date("observed_at")
+    near = asked.join(series.withColumn("_k", period("observed_at")), ["zone_id", "indicator", "_k"]).drop("_k")
+    return near.filter(day.between(F.date_sub(F.to_date("last_at"), days), F.to_date("last_at")))
+
+
+def day_report(days: DataFrame, zones: DataFrame, *, masks: DataFrame, runs: DataFrame, rain: DataFrame, readings: DataFrame, candidates: DataFrame, scores: DataFrame, alerts: DataFrame) -> DataFrame:
+    """One row per day and zone of its body: the day's scene, mask, run and rain, the zone's readings with their z, its
+    verdict and its alert; a body without zones keeps the day.
+
+    ``days`` has (body_id, day, scene_id), ``zones`` (zone_id, body_id), masks and runs a scene_id, rain (body_id, day);
+    readings, candidates and scores (scene_id, zone_id), alerts (zone_id, day, alert_id). Each has at most one row per key. The
+    score's severity and alertable (``score_`` in front) go before the candidate's.
+    """
+    r = days.join(masks, "scene_id", "left").join(runs, "scene_id", "left").join(rain, ["body_id", "day"], "left").join(zones, "body_id", "left")
+    for facts in (readings, candidates, scores):
+        r = r.join(facts, ["scene_id", "zone_id"], "left")
+    r = r.join(alerts, ["zone_id", "day"], "left")
+    return r.withColumn("severity", F.coalesce("score_severity", "severity")).withColumn("alertable", F.coalesce("score_alertable", "alertable")).drop("score_severity", "score_alertable")

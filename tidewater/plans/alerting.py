@@ -9,7 +9,7 @@ from tidewater.operators import alerts as A
 from tidewater.operators import geometry as G
 from tidewater.plans.bindings import bound, table
 from tidewater.plans.registry import query
-from tidewater.plans.registry_plans import POLY, polygons
+from tidewater.plans.registry_plans import INSIDE, POLY, polygons
 
 R = lambda c, n=6: F.round(c, n)
 SEV = "CASE WHEN priority >= 70 THEN 'high' WHEN priority >= 40 THEN 'medium' ELSE 'low' END"
@@ -112,20 +112,25 @@ def a9(spark, d):
     return p.select("alert_id", F.col("body.name").alias("body_name"), "body.district", "zone.zone_id", F.col("zone.centroid")[0].alias("cx"), F.col("zone.centroid")[1].alias("cy"), "facts.indicator", "episode", "facts.peak_priority", "facts.n_observations", entries.alias("timeline"))
 
 
-RECIPIENTS = "re AS (SELECT c_custkey AS recipient_id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE r_name END AS district, CASE c_custkey % 2 WHEN 0 THEN 'high' ELSE 'medium' END AS min_severity, c_acctbal > 5000 AS active FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
-ALERTS = f"aa AS (SELECT candidate_id AS alert_id, district, severity FROM al JOIN bodies b ON b.body_id = al.zone_id)"
+RECIPIENTS = "re AS (SELECT c_custkey AS recipient_id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE r_name END AS district, CASE c_custkey % 2 WHEN 0 THEN 'high' ELSE 'medium' END AS min_severity, c_acctbal > 5000 AS active, c_custkey % 7 = 0 AS has_area, c_custkey % 97 * 190e0 AS cx, c_acctbal * 1.2e0 AS cy FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+ALERTS = f"aa AS (SELECT candidate_id AS alert_id, zone_id, district, severity FROM al JOIN bodies b ON b.body_id = al.zone_id)"
 PAIRS = f"""{EPISODES},
 {RECIPIENTS},
 {ALERTS},
-pr AS (SELECT alert_id, recipient_id, severity FROM aa JOIN re ON (re.district IS NULL OR re.district = aa.district) WHERE active AND {RANK} >= list_position(['low', 'medium', 'high'], min_severity))"""
+{INSIDE},
+pr AS (SELECT alert_id, recipient_id, severity FROM aa LEFT JOIN ip ON ip.id = aa.zone_id JOIN re ON (re.district = aa.district OR (re.district IS NULL AND NOT has_area) OR (has_area AND abs(px - cx) < 1500 AND abs(py - cy) < 1500)) WHERE active AND {RANK} >= list_position(['low', 'medium', 'high'], min_severity))"""
 
 
 def pairs(spark, d) -> DataFrame:
     places = bound(spark, d, "bodies").select(F.col("body_id").alias("c_nationkey"), "district")
     c = table(spark, d, "customer").join(places, "c_nationkey")
     recipients = c.select(F.col("c_custkey").alias("recipient_id"), F.when(F.col("c_custkey") % 3 != 0, F.col("district")).alias("district"), F.when(F.col("c_custkey") % 2 == 0, "high").otherwise("medium").alias("min_severity"), (F.col("c_acctbal") > 5000).alias("active"))
-    alerts = alertable(spark, d).join(places.withColumnRenamed("c_nationkey", "zone_id"), "zone_id").select(F.col("candidate_id").alias("alert_id"), "district", "severity")
-    return A.matching_recipients(alerts, recipients).select("alert_id", "recipient_id", "severity")
+    alerts = alertable(spark, d).join(places.withColumnRenamed("c_nationkey", "zone_id"), "zone_id").select(F.col("candidate_id").alias("alert_id"), "zone_id", "district", "severity")
+    corner = lambda *v: F.array(*[F.lit(x) for x in v])[F.col("seq")]
+    centre = c.filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("recipient_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("seq"), (F.col("c_custkey") % 97 * 190).alias("cx"), (F.col("c_acctbal") * 1.2).alias("cy"))
+    squares = centre.select("recipient_id", "seq", (F.col("cx") + corner(-1500.0, 1500.0, 1500.0, -1500.0)).alias("x"), (F.col("cy") + corner(-1500.0, -1500.0, 1500.0, 1500.0)).alias("y"))
+    places = G.interior_points(polygons(spark, d), "id").withColumnRenamed("id", "zone_id")
+    return A.matching_recipients(alerts, recipients, places, squares).select("alert_id", "recipient_id", "severity")
 
 
 @query("P1_recipients", PAIRS + "\n---\nSELECT * FROM pr", uses=("candidates", "bodies"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.operators import readmodels as M
 from tidewater.operators.alerts import SEVERITIES
 from tidewater.operators.baseline import first_rows
-from tidewater.plans.alerting import EPISODES, LABS, fields, verdicts
+from tidewater.plans.alerting import EPISODES, LABS, episodes, fields, verdicts
 from tidewater.plans.bindings import bound, table
 from tidewater.plans.detection import SCORED
 from tidewater.plans.registry import query
@@ -154,14 +154,30 @@ def j1(spark, d):
     return days(spark, d).select("body_id", "day", "scene_id")
 
 
-@query("J2_day_report", DAYS + """
+@query("J2_day_report", SCORED + ",\n" + EPISODES + ",\n" + DAYS + """,
+rd AS (SELECT scene_id, zone_id, round(max(mean) FILTER (indicator = 'A'), 6) AS mean_a, round(max(mean) FILTER (indicator = 'N'), 6) AS mean_n, round(max(z) FILTER (indicator = 'A'), 6) AS z_a, round(max(z) FILTER (indicator = 'N'), 6) AS z_n, round(max(abs(z)), 6) AS max_abs_z, max(valid_pct0) AS zone_valid_pct FROM (SELECT s.*, o.valid_pixel_pct AS valid_pct0 FROM scored s JOIN obs o USING (zone_id, indicator, observed_at, scene_id, line)) GROUP BY 1, 2),
+ai AS (SELECT zone_id, CAST(observed_at AS DATE) AS day, min(zone_id || '/' || indicator || '/' || episode) AS alert_id FROM ep GROUP BY 1, 2)
 ---
-SELECT dy.body_id, dy.day, dy.scene_id, dy.cloud_pct, round(r.mm_24h, 6) AS mm_24h, c.n_candidates, c.priority FROM dy LEFT JOIN rain r ON r.body_id = dy.body_id AND r.date = dy.day
-LEFT JOIN (SELECT zone_id, CAST(observed_at AS DATE) AS day, count(*) AS n_candidates, max(priority) AS priority FROM candidates GROUP BY 1, 2) c ON c.zone_id = dy.body_id AND c.day = dy.day""", uses=("scenes", "rain", "candidates"))
+SELECT dy.body_id, dy.day, dy.scene_id, dy.cloud_pct, CASE WHEN state <> 'P' THEN cloud_pct <= 60 END AS mask_usable, CASE WHEN state <> 'P' THEN 100 - cloud_pct END AS valid_pct, CASE WHEN state = 'F' THEN 'done' END AS run_status, round(r.mm_24h, 6) AS mm_24h, z.zone_id, rd.mean_a, rd.mean_n, rd.z_a, rd.z_n, rd.max_abs_z, rd.zone_valid_pct,
+CASE WHEN z.zone_id = dy.body_id THEN CASE WHEN dy.votes > 1 THEN CASE WHEN dy.priority >= 70 THEN 'high' WHEN dy.priority >= 40 THEN 'medium' ELSE 'low' END WHEN dy.votes = 1 THEN 'low' END END AS severity, CASE WHEN z.zone_id = dy.body_id THEN CASE WHEN dy.votes > 1 THEN dy.priority >= 40 ELSE dy.votes > 0 END END AS alertable, ai.alert_id
+FROM (SELECT dy.*, c.votes, c.priority FROM dy JOIN candidates c ON c.candidate_id = dy.scene_id) dy LEFT JOIN rain r ON r.body_id = dy.body_id AND r.date = dy.day LEFT JOIN zones z ON z.body_id = dy.body_id LEFT JOIN rd ON rd.scene_id = dy.scene_id AND rd.zone_id = z.zone_id LEFT JOIN ai ON ai.zone_id = z.zone_id AND ai.day = dy.day""", uses=(*ALL, "scenes", "rain", "candidates"))
 def j2(spark, d):
+    """Candidates are of the zone that has their body's id."""
+    from tidewater.operators.detect import temporal_scores
+
+    scenes = bound(spark, d, "scenes")
+    masks = scenes.filter("state <> 'P'").select("scene_id", (F.col("cloud_pct") <= 60).alias("mask_usable"), (100 - F.col("cloud_pct")).alias("valid_pct"))
+    runs = scenes.filter("state = 'F'").select("scene_id", F.lit("done").alias("run_status"))
     rain = bound(spark, d, "rain").select("body_id", F.col("date").alias("day"), R("mm_24h").alias("mm_24h"))
-    c = bound(spark, d, "candidates").groupBy(F.col("zone_id").alias("body_id"), F.to_date("observed_at").alias("day")).agg(F.count("*").alias("n_candidates"), F.max("priority").alias("priority"))
-    return days(spark, d).select("body_id", "day", "scene_id", "cloud_pct").join(rain, ["body_id", "day"], "left").join(c, ["body_id", "day"], "left")
+    of = lambda c, i: R(F.max(F.when(F.col("indicator") == i, F.col(c)))).alias(f"{c}_{i.lower()}")
+    read = temporal_scores(seen(spark, d)).groupBy("scene_id", "zone_id").agg(of("mean", "A"), of("mean", "N"), of("z", "A"), of("z", "N"), R(F.max(F.abs("z"))).alias("max_abs_z"), F.max("valid_pixel_pct").alias("zone_valid_pct"))
+    c = bound(spark, d, "candidates").withColumnRenamed("candidate_id", "scene_id")
+    candidates = c.select("scene_id", "zone_id", F.when(F.col("votes") > 0, "low").alias("severity"), (F.col("votes") > 0).alias("alertable"))
+    band = F.when(F.col("priority") >= 70, "high").when(F.col("priority") >= 40, "medium").otherwise("low")
+    scores = c.filter("votes > 1").select("scene_id", "zone_id", band.alias("score_severity"), (F.col("priority") >= 40).alias("score_alertable"))
+    alerts = episodes(spark, d).groupBy("zone_id", F.to_date("observed_at").alias("day")).agg(F.min(F.concat_ws("/", F.col("zone_id").cast("string"), "indicator", F.col("episode").cast("string"))).alias("alert_id"))
+    zones = bound(spark, d, "zones").select("zone_id", "body_id")
+    return M.day_report(days(spark, d).select("body_id", "day", "scene_id", "cloud_pct"), zones, masks=masks, runs=runs, rain=rain, readings=read, candidates=candidates, scores=scores, alerts=alerts)
 
 
 @query("J3_day_status", DAYS + "\n---\nSELECT body_id, day, CASE WHEN scene_id % 11 = 0 THEN 'no scene' WHEN scene_id % 7 = 0 THEN 'not processed' WHEN scene_id % 5 = 0 THEN 'mask failed' WHEN cloud_pct > 60 THEN 'too cloudy' WHEN state = 'O' THEN 'masked only' WHEN state = 'P' THEN 'indicators running' ELSE 'observed' END AS status FROM dy", uses=("scenes",))
@@ -177,17 +193,17 @@ def j4(spark, d):
     return r.agg(R(M.weighted_mean(F.col("mean"), F.col("area_km2"))).alias("mean"), F.count_if(F.col("mean") > 500).alias("n_high"), R(F.max("mean")).alias("max_mean"))
 
 
-@query("J5_brief_series", EPISODES + """,
-bs AS (SELECT zone_id, indicator, episode, last_at FROM ef)
+@query("J5_brief_series", SCORED + """,
+al AS (SELECT zone_id, indicator, max(observed_at) AS last_at FROM scored WHERE abs(z) > 3 GROUP BY zone_id, indicator, year(observed_at))
 ---
-SELECT bs.zone_id, bs.episode, bs.indicator, count(*) AS n, round(avg(c.priority), 6) AS mean, round(quantile_cont(c.priority, 0.9), 6) AS p90 FROM bs JOIN candidates c ON c.zone_id = bs.zone_id AND c.indicator = bs.indicator AND c.observed_at <= bs.last_at AND c.observed_at > bs.last_at - INTERVAL 360 DAY GROUP BY 1, 2, 3""", uses=("candidates",))
+SELECT zone_id, indicator, last_at, observed_at, scene_id, line, round(mean, 6) AS mean, round(p10, 6) AS p10, round(p90, 6) AS p90, round(median, 6) AS median, round(z, 6) AS z FROM al JOIN scored USING (zone_id, indicator) WHERE CAST(observed_at AS DATE) BETWEEN CAST(last_at AS DATE) - 360 AND CAST(last_at AS DATE)""", uses=ALL)
 def j5(spark, d):
-    b = fields(spark, d).select("zone_id", "indicator", "episode", "last_at")
-    c = bound(spark, d, "candidates").select("zone_id", "indicator", "observed_at", F.col("priority").alias("p"))
-    period = lambda at: F.floor(F.datediff(F.to_date(at), F.lit("1970-01-01")) / 360)
-    b = b.withColumn("k", F.explode(F.array(period("last_at"), period("last_at") - 1)))
-    r = b.join(c.withColumn("k", period("observed_at")), ["zone_id", "indicator", "k"]).filter("observed_at <= last_at AND observed_at > last_at - INTERVAL 360 DAY")
-    return r.groupBy("zone_id", "episode", "indicator").agg(F.count("*").alias("n"), R(F.avg("p")).alias("mean"), R(F.percentile("p", 0.9)).alias("p90"))
+    """The last flagged reading of each year as the alert."""
+    from tidewater.operators.detect import temporal_scores
+
+    scored = temporal_scores(seen(spark, d))
+    alerts = scored.filter("flagged").groupBy("zone_id", "indicator", F.year("observed_at")).agg(F.max("observed_at").alias("last_at")).select("zone_id", "indicator", "last_at")
+    return M.brief_series(alerts, scored).select("zone_id", "indicator", "last_at", "observed_at", "scene_id", "line", *[R(c).alias(c) for c in ("mean", "p10", "p90", "median", "z")])
 
 
 JOBS = STAGE + """,

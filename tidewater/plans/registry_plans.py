@@ -70,10 +70,12 @@ def g3_buffered(spark, d):
     return G.rasterise_buffered(polygons(spark, d), "id", step=100.0, buffer=230.7)
 
 
-@query("G4_interior_point", POLY + """,
-mid AS (SELECT id, (min(y) + max(y)) / 2 AS py FROM vx GROUP BY 1), cr AS (SELECT id, py, (x2 - x) * (py - y) / (y2 - y) + x AS px0 FROM ed JOIN mid USING (id) WHERE (y > py) <> (y2 > py))
----
-SELECT id, round((min(px0) + max(px0)) / 2, 6) AS px, round(max(py), 6) AS py FROM cr GROUP BY 1""")
+INSIDE = POLY + """,
+mid AS (SELECT id, (min(y) + max(y)) / 2 AS py FROM vx GROUP BY 1), cr AS (SELECT id, py, (x2 - x) * (py - y) / (y2 - y) + x AS px0 FROM ed JOIN mid USING (id) WHERE (y > py) <> (y2 > py)),
+ip AS (SELECT id, (min(px0) + max(px0)) / 2 AS px, max(py) AS py FROM cr GROUP BY 1)"""
+
+
+@query("G4_interior_point", INSIDE + "\n---\nSELECT id, round(px, 6) AS px, round(py, 6) AS py FROM ip")
 def g4_inside(spark, d):
     return G.interior_points(polygons(spark, d), "id").select("id", R("px").alias("px"), R("py").alias("py"))
 
@@ -161,6 +163,13 @@ def g9(spark, d):
     return G.discover(c, lon=50.0, lat=20.0, radius_km=3000.0, most=200).withColumn("km", R("km")).select("id", "km", "area")
 
 
+@query("G9_radius_fallback", "SELECT CASE WHEN count(*) FILTER (c_acctbal / 100 > 100) = 0 THEN 'placeholder:20.0:179.5' END AS id, 0.0e0 AS km, 1.0e0 AS area FROM customer")
+def g9_fallback(spark, d):
+    """A place with no feature near: one row for a box of a kilometre around it."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), (F.col("c_acctbal") / 100).alias("lon"), (F.col("c_custkey") % 160 - 79.5).cast("double").alias("lat"), F.abs("c_acctbal").alias("area"))
+    return G.discover(c, lon=179.5, lat=20.0, radius_km=300.0, most=200, placeholder=True).select("id", "km", F.round("area", 1).alias("area"))
+
+
 @query("G10_kind", "SELECT body_id, CASE WHEN water_tag IN ('reservoir', 'basin') THEN 'reservoir' WHEN water_tag = 'river' THEN 'river_stretch' ELSE 'lake' END AS kind FROM bodies", uses=("bodies",))
 def g10(spark, d):
     return bound(spark, d, "bodies").select("body_id", G.kind(F.col("water_tag")).alias("kind"))
