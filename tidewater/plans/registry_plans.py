@@ -45,9 +45,9 @@ def holed(spark, d) -> DataFrame:
     return p.withColumn("ring", F.lit(0)).withColumn("hole", F.lit(False)).unionByName(half.withColumn("ring", F.lit(1)).withColumn("hole", F.lit(True)))
 
 
-@query("G2_polygon_area", POLY + "\n---\nSELECT id, round(abs(sum(x * y2 - x2 * y)) / 2 / 1e6 * CASE WHEN id % 2 = 1 THEN 0.75e0 ELSE 1 END, 9) AS area_km2 FROM ed GROUP BY 1")
+@query("G2_polygon_area", POLY + "\n---\nSELECT id, round(abs(sum(x * y2 - x2 * y)) / 2 / 1e6 * CASE WHEN id % 2 = 1 THEN 0.75e0 ELSE 1 END, 12) AS area_km2 FROM ed GROUP BY 1")
 def g2(spark, d):
-    return G.areas(holed(spark, d), "id").select("id", R("area_km2", 9).alias("area_km2"))
+    return G.areas(holed(spark, d), "id").select("id", R("area_km2", 12).alias("area_km2"))
 
 
 CELLS = POLY + """,
