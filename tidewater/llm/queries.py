@@ -1,8 +1,8 @@
-"""The ten operators' registered queries and the SQL that checks those that SQL can express."""
+"""The operators' registered queries and the SQL that checks those that SQL can express."""
 
 from __future__ import annotations
 
-from tidewater.llm import chat, html, jaccard, mixing, neighbours, packing, pii, quality, transport, urls
+from tidewater.llm import chat, codes, html, jaccard, mixing, neighbours, packing, pii, quality, transport, urls
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_embedding_near_dedup": neighbours.query,
     "op9_media_columns": transport.query,
     "op10_mixing": mixing.query,
+    "op11_vector_codes": codes.query,
 }
 ORACLES = {"op1_chat_formatting": chat.SQL, "op3_url_filters": urls.oracle(), "op10_mixing": mixing.SQL}
