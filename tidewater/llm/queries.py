@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import chat, codes, html, jaccard, mixing, neighbours, packing, pii, quality, transport, urls
+from tidewater.llm import chat, codes, html, jaccard, mixing, neighbours, packing, pii, quality, sketches, transport, urls
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_media_columns": transport.query,
     "op10_mixing": mixing.query,
     "op11_vector_codes": codes.query,
+    "op12_document_fingerprints": sketches.query,
 }
 ORACLES = {"op1_chat_formatting": chat.SQL, "op3_url_filters": urls.oracle(), "op10_mixing": mixing.SQL}
