@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import chat, codes, html, jaccard, mixing, neighbours, packing, pii, quality, sketches, transport, urls
+from tidewater.llm import alignment, chat, codes, html, jaccard, mixing, neighbours, packing, pii, quality, sketches, transport, urls
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_mixing": mixing.query,
     "op11_vector_codes": codes.query,
     "op12_document_fingerprints": sketches.query,
+    "op13_cross_tokenizer_alignment": alignment.query,
 }
 ORACLES = {"op1_chat_formatting": chat.SQL, "op3_url_filters": urls.oracle(), "op10_mixing": mixing.SQL}
