@@ -47,23 +47,6 @@ def hot_gate(pixels: DataFrame, keys: list[str], *, threshold: float = Z_FLAG, m
     return counts.withColumn("reason", reason).withColumn("clustered", F.coalesce(runs, F.lit(False)))
 
 
-def neighbours(points: DataFrame, scene: str, reach: int, *, squared: float) -> DataFrame:
-    """(scene, row, col, row2, col2): pairs of points whose squared distance is at most ``squared``, oneself included.
-
-    Every point goes to the places around it, which meet the points there by an equality join.
-    """
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if i * i + j * j <= squared])
-    around = points.select(scene, F.col("row").alias("row2"), F.col("col").alias("col2"), F.explode(offsets).alias("o"))
-    around = around.select(scene, "row2", "col2", (F.col("row2") + F.col("o.i")).alias("row"), (F.col("col2") + F.col("o.j")).alias("col"))
-    return points.select(scene, "row", "col").join(around, [scene, "row", "col"])
-
-
-def core_points(points: DataFrame, scene: str, *, eps: float = 3, min_points: int = 10) -> DataFrame:
-    """Points with their number of neighbours within ``eps``, themselves counted, and whether they are core points."""
-    near = neighbours(points, scene, int(eps), squared=eps * eps)
-    return near.groupBy(scene, "row", "col").agg(F.count("*").alias("n_near")).withColumn("core", F.col("n_near") >= min_points)
-
-
 def vote_severity(votes: Column, max_abs_z: Column, *, high: float = Z_HIGH) -> Column:
     """Three votes: high; two: high from |z| of ``high``, else medium; one: medium from there, else low; none: null."""
     strong = F.coalesce(max_abs_z >= high, F.lit(False))

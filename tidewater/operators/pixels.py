@@ -1,4 +1,4 @@
-"""Pixel operators: masks by exploding neighbour offsets, connected components, Otsu's threshold, zonal statistics."""
+"""Pixel operators: masks, connected components and clusters, Otsu's threshold, zonal statistics."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.constants import CLOUD_CLASSES, MIN_VALID_PCT, NODATA_CLASSES
-from tidewater.operators.detect import core_points, neighbours
+from tidewater.operators import tiles
 
 
 def cloud(scl: Column) -> Column:
@@ -17,61 +17,15 @@ def nodata(scl: Column) -> Column:
     return scl.isin(*NODATA_CLASSES)
 
 
-def dilate(true_pixels: DataFrame, grid: DataFrame, scene: str, times: int = 1) -> DataFrame:
-    """The grid's pixels within ``times`` steps, diagonals too, of a true pixel."""
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-times, times + 1) for j in range(-times, times + 1)])
-    around = true_pixels.select(scene, "row", "col", F.explode(steps).alias("o"))
-    around = around.select(scene, (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"))
-    return grid.select(scene, "row", "col").join(around, [scene, "row", "col"], "left_semi")
+def connected(points: DataFrame, scene: str) -> DataFrame:
+    """Eight-connected components, each named by its least point, a struct (row, col)."""
+    return tiles.clusters(points, scene, squared=2).withColumnRenamed("cluster", "component")
 
 
-def erode(true_pixels: DataFrame, scene: str) -> DataFrame:
-    """True pixels whose eight neighbours are true as well; places outside the grid count as false."""
-    return neighbours(true_pixels, scene, 1, squared=2).groupBy(scene, "row", "col").agg(F.count("*").alias("_n")).filter("_n = 9").drop("_n")
-
-
-def cleaned(true_pixels: DataFrame, grid: DataFrame, scene: str) -> DataFrame:
-    """Binary opening, then closing, by three by three."""
-    opened = dilate(erode(true_pixels, scene), grid, scene)
-    return erode(dilate(opened, grid, scene), scene)
-
-
-def components(points: DataFrame, scene: str, links: DataFrame, *, width: int) -> DataFrame:
-    """Points with ``component``, the smallest ``row * width + col`` that links (row, col, row2, col2) reach.
-
-    Least labels go along the links and jump through the label reached, until nothing changes. A tile holds few rows,
-    but no bound is set: each round is checkpointed in the shared folder, and only a count reaches the driver.
-    """
-    key = F.col("row") * width + F.col("col")
-    state = points.select(scene, key.alias("id"), key.alias("label"))
-    edges = links.select(scene, key.alias("id"), (F.col("row2") * width + F.col("col2")).alias("id2")).checkpoint()
-    while True:
-        told = edges.join(state.select(scene, F.col("id").alias("id2"), F.col("label").alias("l2")), [scene, "id2"]).groupBy(scene, "id").agg(F.min("l2").alias("l2"))
-        least = state.join(told, [scene, "id"], "left").select(scene, "id", "label", F.least("label", F.coalesce("l2", "label")).alias("new"))
-        jumped = least.join(least.select(scene, F.col("id").alias("new"), F.col("new").alias("l3")), [scene, "new"], "left")
-        after = jumped.select(scene, "id", F.least("new", F.coalesce("l3", "new")).alias("label"), (F.least("new", F.coalesce("l3", "new")) < F.col("label")).alias("changed")).checkpoint()
-        state = after.drop("changed")
-        if not after.filter("changed").limit(1).count():
-            break
-    row, col = F.floor(F.col("id") / width).cast("long"), (F.col("id") % width).cast("long")
-    return state.select(scene, row.alias("row"), col.alias("col"), F.col("label").cast("long").alias("component"))
-
-
-def connected(points: DataFrame, scene: str, *, width: int) -> DataFrame:
-    """Eight-connected components."""
-    return components(points, scene, neighbours(points, scene, 1, squared=2), width=width)
-
-
-def dbscan(points: DataFrame, scene: str, *, eps: float, min_points: int, width: int = 8) -> DataFrame:
-    """Clusters of points: core points within ``eps`` share one, named by its least core point; a border point takes the
-    least cluster next to it; other points have none."""
-    core = core_points(points, scene, eps=eps, min_points=min_points).filter("core").select(scene, "row", "col")
-    near = neighbours(points, scene, int(eps), squared=eps * eps)
-    between = near.join(core, [scene, "row", "col"], "left_semi").join(core.select(scene, F.col("row").alias("row2"), F.col("col").alias("col2")), [scene, "row2", "col2"], "left_semi")
-    labels = components(core, scene, between, width=width)
-    seen = near.join(labels.select(scene, F.col("row").alias("row2"), F.col("col").alias("col2"), "component"), [scene, "row2", "col2"])
-    own = F.min(F.when((F.col("row") == F.col("row2")) & (F.col("col") == F.col("col2")), F.col("component")))
-    return seen.groupBy(scene, "row", "col").agg(F.coalesce(own, F.min("component")).alias("cluster"))
+def dbscan(points: DataFrame, scene: str, *, eps: float, min_points: int) -> DataFrame:
+    """Clusters of points: core points within ``eps`` share one, named by its least core point, a struct (row, col); a border
+    point takes the least cluster next to it; other points have none."""
+    return tiles.clusters(points, scene, squared=eps * eps, min_points=min_points)
 
 
 def outline(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,7 +36,7 @@ def outline(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return each.groupBy(*keys, "e.kind", "e.r", "e.c").agg(F.count("*").alias("_n")).filter("_n = 1").drop("_n")
 
 
-def water_mask(pixels: DataFrame, scene: str, *, value: str, width: int, min_pixels: int, fallback: float, bounds: tuple[float, float] = (-0.3, 0.5), least: int = 50, spread: float = 0.05) -> DataFrame:
+def water_mask(pixels: DataFrame, scene: str, *, value: str, min_pixels: int, fallback: float, bounds: tuple[float, float] = (-0.3, 0.5), least: int = 50, spread: float = 0.05) -> DataFrame:
     """Pixels (scene, row, col, water): above the scene's threshold, cleaned, in a component of enough pixels, inside the
     search area and valid.
 
@@ -96,7 +50,7 @@ def water_mask(pixels: DataFrame, scene: str, *, value: str, width: int, min_pix
     trusted = (F.col("_cnt") >= least) & (F.col("_sd") >= spread) & F.col("threshold").between(*bounds)
     cut = found.select(scene, F.when(trusted, F.col("threshold")).alias("_cut"))
     raw = pixels.filter(F.col("valid")).join(cut, scene, "left").filter(F.col(value) > F.coalesce("_cut", F.lit(fallback))).select(scene, "row", "col")
-    labels = connected(cleaned(raw, pixels, scene), scene, width=width)
+    labels = connected(tiles.cleaned(raw, pixels, scene), scene)
     large = labels.groupBy(scene, "component").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_pixels)
     kept = labels.join(large, [scene, "component"], "left_semi").select(scene, "row", "col", F.lit(True).alias("_k"))
     water = F.coalesce("_k", F.lit(False)) & F.col("search") & F.col("valid")

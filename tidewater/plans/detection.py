@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import baseline as B
 from tidewater.operators import detect as D
+from tidewater.operators import tiles
 from tidewater.plans.bindings import bound, table
 from tidewater.plans.registry import query
 from tidewater.plans.seasonal import ALL, BASE, LOOKUP, seen
@@ -71,13 +72,14 @@ def grid(spark, d) -> DataFrame:
 
 @query("D5_dbscan_core_points", f"{GRID}, h AS (SELECT scene_id, row, col FROM g WHERE v > 0)\n---\nSELECT a.scene_id, a.row, a.col, count(*) AS n_near, count(*) >= 10 AS core FROM h a JOIN h b ON a.scene_id = b.scene_id AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 9 GROUP BY 1, 2, 3")
 def d5(spark, d):
-    return D.core_points(grid(spark, d).filter("v > 0"), "scene_id")
+    return tiles.core_points(grid(spark, d).filter("v > 0"), "scene_id")
 
 
 def clusters_of(spark, d) -> DataFrame:
     from tidewater.operators.pixels import dbscan
 
-    return dbscan(grid(spark, d).filter("v > 0.05"), "scene_id", eps=2, min_points=7)
+    found = dbscan(grid(spark, d).filter("v > 0.05"), "scene_id", eps=2, min_points=7)
+    return found.withColumn("cluster", F.col("cluster.row") * 8 + F.col("cluster.col"))
 
 
 CLUSTERS = GRID + """,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import indicators as N
 from tidewater.operators import pixels as P
+from tidewater.operators import tiles as T
 from tidewater.plans.bindings import bound
 from tidewater.plans.detection import GRID, grid
 from tidewater.plans.registry import query
@@ -35,13 +36,13 @@ def hot(spark, d, cut=0.15) -> DataFrame:
 
 @query("M2_dilation", GRID + "\n---\nSELECT DISTINCT a.scene_id, a.row, a.col FROM g a JOIN g b ON a.scene_id = b.scene_id AND b.v > 0.15 AND abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2")
 def m2(spark, d):
-    return P.dilate(hot(spark, d), grid(spark, d), "scene_id", 2)
+    return T.dilate(hot(spark, d), grid(spark, d), "scene_id", 2)
 
 
 @query("M3_valid_mask", GRID + ", dil AS (SELECT DISTINCT a.scene_id, a.row, a.col FROM g a JOIN g b ON a.scene_id = b.scene_id AND b.v > 0.15 AND abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2)\n---\nSELECT g.scene_id, g.row, g.col, dil.row IS NULL AND g.v > -0.2 AS valid FROM g LEFT JOIN dil USING (scene_id, row, col)")
 def m3(spark, d):
     g = grid(spark, d)
-    near = P.dilate(hot(spark, d), g, "scene_id", 2).withColumn("near", F.lit(True))
+    near = T.dilate(hot(spark, d), g, "scene_id", 2).withColumn("near", F.lit(True))
     return g.join(near, ["scene_id", "row", "col"], "left").select("scene_id", "row", "col", (F.col("near").isNull() & (F.col("v") > -0.2)).alias("valid"))
 
 
@@ -89,7 +90,7 @@ def morph(name: str, source: str, erode: bool) -> str:
 
 @query("M8_opening_and_closing", f"{GRID}, h0 AS (SELECT scene_id, row, col FROM g WHERE v > -0.12), {morph('e1', 'h0', True)}, {morph('d1', 'e1', False)}, {morph('d2', 'd1', False)}, {morph('e2', 'd2', True)}\n---\nSELECT * FROM e2")
 def m8(spark, d):
-    return P.cleaned(hot(spark, d, -0.12), grid(spark, d), "scene_id")
+    return T.cleaned(hot(spark, d, -0.12), grid(spark, d), "scene_id")
 
 
 COMPONENTS = GRID + """,
@@ -101,7 +102,7 @@ co AS (SELECT scene_id, CAST(a // 8 AS BIGINT) AS row, CAST(a % 8 AS BIGINT) AS
 
 @query("M9_components", COMPONENTS + "\n---\nSELECT * FROM co QUALIFY count(*) OVER (PARTITION BY scene_id, component) >= 3")
 def m9(spark, d):
-    c = P.connected(hot(spark, d, 0.1), "scene_id", width=8)
+    c = P.connected(hot(spark, d, 0.1), "scene_id").withColumn("component", F.col("component.row") * 8 + F.col("component.col"))
     return c.withColumn("_n", F.count("*").over(Window.partitionBy("scene_id", "component"))).filter("_n >= 3").drop("_n")
 
 
@@ -124,12 +125,12 @@ def m10(spark, d):
     """Tiles with their first row outside the search area and one pixel in eleven cloudy."""
     k = (F.col("scene_id") + F.col("row") * 3 + F.col("col") * 5) % 11
     p = grid(spark, d).withColumn("search", F.col("row").between(1, 7)).withColumn("valid", k > 0)
-    return P.water_mask(p, "scene_id", value="v", width=8, min_pixels=9, fallback=0.0, bounds=(-0.1, 0.1), least=40)
+    return P.water_mask(p, "scene_id", value="v", min_pixels=9, fallback=0.0, bounds=(-0.1, 0.1), least=40)
 
 
 @query("M11_water_extent", COMPONENTS + "\n---\nSELECT scene_id, round(count(*) * 1e-4, 4) AS extent_km2, round(100 * count(*) / 64, 2) AS water_pct, count(DISTINCT component) AS n_components FROM co GROUP BY 1")
 def m11(spark, d):
-    c = P.connected(hot(spark, d, 0.1), "scene_id", width=8).groupBy("scene_id")
+    c = P.connected(hot(spark, d, 0.1), "scene_id").groupBy("scene_id")
     return c.agg(F.round(F.count("*") * 1e-4, 4).alias("extent_km2"), F.round(100 * F.count("*") / 64, 2).alias("water_pct"), F.countDistinct("component").alias("n_components"))
 
 
