@@ -19,4 +19,4 @@ QUERIES = {
     "op12_document_fingerprints": sketches.query,
     "op13_cross_tokenizer_alignment": alignment.query,
 }
-ORACLES = {"op1_chat_formatting": chat.SQL, "op3_url_filters": urls.oracle(), "op10_mixing": mixing.SQL}
+ORACLES = {"op1_chat_formatting": chat.SQL, "op3_url_filters": urls.oracle(), "op10_mixing": mixing.SQL, "op12_document_fingerprints": sketches.SQL}
