@@ -15,24 +15,60 @@ from tidewater.streaming import runs, telemetry
 FOLDER = "/root/testdata/sf0.001"
 
 
-def test_forest_finds_a_planted_outlier_and_reruns_agree(spark):
-    rng = np.random.default_rng(1)
+def series(zone, n, planted=()):
+    """Passes every five days; planted ones deviate in all four indicators without rain or a change of water."""
+    rng = np.random.default_rng(zone)
     rows = []
-    for zone in range(6):
-        n = 19 if zone == 5 else 300
-        for k in range(n):
-            at = datetime.datetime(2020, 1, 1) + datetime.timedelta(days=k)
-            x = rng.normal(size=3) * 0.1
-            rows.append((zone, at, *map(float, x), "A,B,C" if zone == 4 and k == n - 1 else ""))
-        far = 5.0 if zone % 2 else 0.0
-        rows[-1] = (zone, rows[-1][1], far, far / 2, 0.0, rows[-1][5])
-    passes = spark.createDataFrame(rows, "zone_id long, observed_at timestamp, A double, B double, C double, imputed string")
-    out = {r["zone_id"]: r for r in forest.latest_pass_outliers(passes, ("A", "B", "C")).collect()}
-    again = {r["zone_id"]: r for r in forest.latest_pass_outliers(passes.repartition(5), ("A", "B", "C")).collect()}
-    assert out == again and len(out) == 6
-    assert out[1]["outlier"] and out[3]["outlier"] and not out[0]["outlier"] and not out[2]["outlier"]
-    assert out[4]["reason"] == "all features imputed" and out[5]["reason"] == "18 of 20 passes" and out[5]["score"] is None
-    assert out[1]["n_history"] == 299
+    for k in range(n):
+        at = datetime.datetime(2020, 1, 1) + datetime.timedelta(days=5 * k)
+        x = (rng.normal(size=4) * 0.1 + (3.0 if k in planted else 0.0)).tolist()
+        if zone == 4 and k % 3 == 0:
+            x = [None] * 4
+        rows.append((zone, at, *x, float(40 + 5 * np.sin(k / 11) + rng.normal() * 0.1), None if k % 7 == 0 else 0.0))
+    return rows
+
+
+PASSES = "zone_id long, observed_at timestamp, a double, b double, c double, d double, water_fraction_pct double, mm_72h double"
+
+
+def test_every_pass_is_judged_by_those_before_it(spark):
+    rows = series(1, 150, planted=(90, 149)) + series(2, 150) + series(4, 60) + series(5, 19)
+    frame = spark.createDataFrame(rows, PASSES)
+    out = {(r["zone_id"], r["observed_at"]): r for r in forest.judged_passes(frame, tuple("abcd"), trees=100).collect()}
+    again = {(r["zone_id"], r["observed_at"]): r for r in forest.judged_passes(frame.repartition(5), tuple("abcd"), trees=100).collect()}
+    assert out == again and len(out) == len(rows)
+    at = lambda zone, k: out[zone, datetime.datetime(2020, 1, 1) + datetime.timedelta(days=5 * k)]
+    assert at(1, 90)["outlier"] and at(1, 149)["outlier"] and at(1, 90)["score"] > max(at(1, k)["score"] for k in range(60, 90))
+    assert np.mean([at(2, k)["outlier"] for k in range(20, 150)]) < 0.35
+    assert at(2, 19)["reason"] == "19 of 20 passes" and at(2, 19)["score"] is None and at(2, 20)["reason"] is None and at(2, 20)["n_history"] == 20
+    assert at(4, 30)["reason"] == "no indicator" and at(4, 31)["score"] is not None and at(5, 18)["reason"] == "18 of 20 passes"
+    assert at(2, 70)["imputed"] == "mm_72h" and at(4, 30)["imputed"] == "a,b,c,d"
+    # What comes later changes nothing.
+    cut = forest.judged_passes(spark.createDataFrame(rows[:100], PASSES), tuple("abcd"), trees=100).collect()
+    assert all(out[r["zone_id"], r["observed_at"]] == r for r in cut)
+
+
+def test_a_forest_in_turns_is_near_one_grown_anew():
+    rng = np.random.default_rng(3)
+    wide, n = rng.normal(size=(120, 4)), 120
+    wide[100] = 4
+    fixed = {"trees": 200, "sample": 64, "contamination": 0.05, "min_history": 20, "reach": 15, "seed": 9}
+    water, rain, doy = rng.normal(size=n), np.zeros(n), (np.arange(n) * 5) % 365 + 1
+    turns, anew = (forest.judged_series(wide, water, rain, doy, lag=lag, **fixed) for lag in (0.05, 0.0))
+    assert np.nanmax(np.abs(turns[1] - anew[1])) < 0.06 and turns[2][100] and anew[2][100]
+    assert np.corrcoef(turns[1][20:], anew[1][20:])[0, 1] > 0.97
+
+
+def test_seasonal_medians_are_of_the_passes_seen_so_far():
+    rng = np.random.default_rng(8)
+    season, seen = forest.SeasonalMedian(15), []
+    for _ in range(300):
+        doy, value = int(rng.integers(1, 367)), float(rng.normal())
+        season.add(doy, value)
+        seen.append((doy, value))
+    for day in (1, 5, 180, 366):
+        near = [v for d, v in seen if min(abs(d - day), 366 - abs(d - day)) <= 15]
+        assert season.median[day] == pytest.approx(np.median(near))
 
 
 def test_forest_paths_equal_the_expectation_on_uniform_rows():

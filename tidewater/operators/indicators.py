@@ -69,9 +69,12 @@ def rejection(n_pixels: Column, valid_pct: Column, n: Column) -> Column:
 
 
 def stretch(values: DataFrame, keys: list[str], *, floor: float, ramp: tuple[float, float], multiple: float = 2.0) -> DataFrame:
-    """Display range per key from p2 to p98 with 5 % around it, inside the ramp; null where there is little to show."""
+    """Display range per key from p2 to p98 with 5 % around it, inside the ramp; null where there is little to show, or nothing
+    inside the ramp."""
     p = values.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(0.02), F.lit(0.98))).alias("p"))
     lo, hi = F.col("p")[0], F.col("p")[1]
     shown = (hi > lo) & (hi - lo >= multiple * floor)
     pad = (hi - lo) * 0.05
-    return p.select(*keys, F.when(shown, F.greatest(lo - pad, F.lit(ramp[0]))).alias("low"), F.when(shown, F.least(hi + pad, F.lit(ramp[1]))).alias("high"))
+    low, high = F.greatest(lo - pad, F.lit(ramp[0])), F.least(hi + pad, F.lit(ramp[1]))
+    shown = shown & (high > low)
+    return p.select(*keys, F.when(shown, low).alias("low"), F.when(shown, high).alias("high"))

@@ -11,6 +11,7 @@ from tidewater.operators import tiles
 from tidewater.plans.bindings import bound, table
 from tidewater.plans.registry import query
 from tidewater.plans.seasonal import ALL, BASE, LOOKUP, seen
+from tidewater.sources.stored import stored
 
 R = lambda c, n=6: F.round(c, n)
 SCORED = f"""{BASE},
@@ -162,12 +163,90 @@ def d12(spark, d):
     return r.select("zone_id", "observed_at", *[R(c).alias(c) for c in "ANR"], "imputed")
 
 
+QUALITY = ("A", "NF", "NO", "R")
+
+
+def quality_passes(spark, d) -> DataFrame:
+    """One row for each zone and pass: four indicators, the water fraction and the rain of three days."""
+    from tidewater.operators import rainfall as C
+
+    zones = bound(spark, d, "zones").select("zone_id", (F.col("body_id") % 5).alias("body_id"))
+    rain = C.trailing(bound(spark, d, "rain"), 3, "mm_72h").select("body_id", "date", "mm_72h")
+    return D.scene_features(bound(spark, d, "quality").join(zones, "zone_id"), rain, QUALITY)
+
+
+def outliers(spark, d) -> DataFrame:
+    from tidewater.operators.forest import judged_passes
+
+    return stored(judged_passes(quality_passes(spark, d), QUALITY), "judged-passes")
+
+
 @query("D13_isolation_forest")
 def d13(spark, d):
-    from tidewater.operators.forest import latest_pass_outliers
+    """Every pass of every zone, by the passes before it."""
+    return outliers(spark, d).withColumn("score", R("score"))
+
+
+def rasters(spark, d) -> DataFrame:
+    """Tiles as rasters of a body's pass: a tile's quadrants are the body's zones in order, and tile k of a body (25 bodies in
+    turn) is each zone's k-th pass, from the first again after the last. A quadrant of a body with fewer zones has none."""
+    zone = F.row_number().over(Window.partitionBy("body_id").orderBy("zone_id")) - 1
+    zones = bound(spark, d, "zones").select("body_id", "zone_id", zone.alias("quadrant")).filter("quadrant < 4")
+    passes = bound(spark, d, "obs").select("zone_id", "observed_at").distinct()
+    passes = passes.withColumn("number", F.row_number().over(Window.partitionBy("zone_id").orderBy("observed_at")) - 1)
+    passes = passes.withColumn("n", F.count("*").over(Window.partitionBy("zone_id")))
+    quadrant = (F.floor(F.col("row") / 4) * 2 + F.floor(F.col("col") / 4)).cast("int")
+    cells = grid(spark, d).withColumns({"body_id": F.col("scene_id") % 25, "turn": F.floor(F.col("scene_id") / 25), "quadrant": quadrant, "v": F.col("v").cast("double")})
+    return cells.join(zones, ["body_id", "quadrant"]).join(passes, "zone_id").filter("number = turn % n").select("scene_id", "zone_id", "observed_at", "row", "col", "v")
+
+
+#: The tiles' values have no unit: a pixel is hot from this z on, clusters are small, and so is the least area.
+TILES = {"z": 1.5, "eps": 2, "min_points": 5, "min_area_km2": 5e-4}
+
+
+def raster_clusters(spark, d, cells: DataFrame) -> DataFrame:
+    """Clusters of hot pixels of whole tiles that pass the gate, each with the zone and pass that hold most of it."""
+    from tidewater.operators.pixels import dbscan
 
-    r = latest_pass_outliers(D.impute(features(spark, d), ["zone_id"], ("A", "N", "R")), ("A", "N", "R"))
-    return r.withColumn("score", R("score"))
+    z = D.scene_z(cells, "v", ["scene_id"])
+    gate = D.hot_gate(z, ["scene_id"], threshold=TILES["z"], min_hot=TILES["min_points"])
+    hot = z.join(gate.filter("clustered").select("scene_id"), "scene_id").filter(F.col("z") > TILES["z"])
+    placed = dbscan(hot, "scene_id", eps=TILES["eps"], min_points=TILES["min_points"]).join(hot, ["scene_id", "row", "col"])
+    shares = placed.groupBy("scene_id", "cluster", "zone_id", "observed_at").agg(F.count("*").alias("in_zone"))
+    stats = placed.groupBy("scene_id", "cluster").agg(F.count("*").alias("n_pixels"), F.avg("z").alias("mean_z"), F.max("z").alias("max_z"))
+    major = B.first_rows(shares, ["scene_id", "cluster"], [F.col("in_zone").desc(), F.col("zone_id")])
+    found = stats.join(major, ["scene_id", "cluster"]).withColumn("area_km2", F.col("n_pixels") * 1e-4).filter(F.col("area_km2") >= TILES["min_area_km2"])
+    return found.withColumn("indicator", F.lit("A"))
+
+
+def detector_verdicts(spark, d, cells: DataFrame) -> DataFrame:
+    """Verdicts on every pass by the detectors themselves: temporal scores, clusters of the passes that have a tile, forests and
+    the rainfall gate."""
+    clusters = raster_clusters(spark, d, cells).groupBy("zone_id", "observed_at").agg(F.collect_list(F.struct("indicator", "area_km2")).alias("spatial"))
+    odd = outliers(spark, d).select("zone_id", "observed_at", F.col("outlier").alias("multivariate"), "score")
+    passes = gate_inputs(spark, d).withColumn("anomalous", listed("anomalous")).join(odd, ["zone_id", "observed_at"], "left").join(clusters, ["zone_id", "observed_at"], "left")
+    return D.zone_verdict(passes, runoff=("A", "N"))
+
+
+@query("D17_detector_verdict")
+def d17_detectors(spark, d):
+    """D2, D5 to D7, D13 and D15 in one run."""
+    v = detector_verdicts(spark, d, rasters(spark, d))
+    spatial = F.coalesce(F.size("spatial"), F.lit(0)).alias("n_clusters")
+    return v.select("zone_id", "observed_at", F.array_join("anomalous", ",").alias("anomalous"), spatial, F.coalesce("multivariate", F.lit(False)).alias("multivariate"), "votes", F.array_join("gate_input", ",").alias("gate_input"), "outcome", "severity", "capped_from", "alertable", "suppressed_reason", R("affected_area_km2", 4).alias("affected_area_km2"))
+
+
+@query("D8_flagged_zones")
+def d8_flagged(spark, d):
+    """Where the flagged zones that hold no cluster of the whole tile are worst, by the indicators that deviated."""
+    cells = rasters(spark, d)
+    v = detector_verdicts(spark, d, cells).filter(F.col("severity").isNotNull() & (F.coalesce(F.size("spatial"), F.lit(0)) == 0))
+    asked = v.select("zone_id", "observed_at", F.when(F.size("anomalous") > 0, F.col("anomalous")).otherwise(F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("asked"))
+    scale = F.create_map(F.lit("A"), F.lit(1.0), F.lit("N"), F.lit(-1.0), F.lit("R"), F.lit(0.5))
+    points = cells.join(asked, ["zone_id", "observed_at"]).select("scene_id", "zone_id", "row", "col", "v", F.explode("asked").alias("indicator"))
+    points = points.select("scene_id", "zone_id", "indicator", "row", "col", (F.col("v") * scale[F.col("indicator")]).alias("value"))
+    r = D.localised(stored(points, "flagged-pixels"), indicators=("A", "N", "R"), top_share=0.25, z_floor=0.5, eps=2, min_points=3, min_area_km2=2e-4)
+    return r.select("scene_id", "zone_id", "indicator", F.col("cluster.row").alias("row"), F.col("cluster.col").alias("col"), "n_pixels", "area_km2", R("mean_z").alias("mean_z"), R("max_z").alias("max_z"))
 
 
 @query("D8_zone_localisation")
@@ -179,6 +258,7 @@ def d8(spark, d):
     rows = cells.join(covered, ["scene_id", "zone_id"], "left_anti")
     each = rows.select("scene_id", "zone_id", "row", "col", F.explode(F.create_map(F.lit("high"), F.col("v"), F.lit("low"), -F.col("v"))).alias("indicator", "value"))
     r = D.localised(each, indicators=("high", "low"), top_share=0.25, z_floor=0.5, eps=2, min_points=3, min_area_km2=2e-4)
+    r = r.withColumn("cluster", F.col("cluster.row") * 8 + F.col("cluster.col"))
     return r.select("scene_id", "zone_id", "indicator", "cluster", "n_pixels", "area_km2", R("mean_z").alias("mean_z"), R("max_z").alias("max_z"))
 
 

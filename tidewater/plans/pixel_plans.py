@@ -216,9 +216,10 @@ def n12(spark, d):
 
 
 @query("N13_display_stretch", LONG + """,
-q AS (SELECT scene_id, indicator, quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM lg GROUP BY 1, 2)
+q AS (SELECT scene_id, indicator, quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM lg GROUP BY 1, 2),
+sh AS (SELECT *, greatest(lo - (hi - lo) * 0.05, -0.5) AS l2, least(hi + (hi - lo) * 0.05, 0.5) AS h2 FROM q)
 ---
-SELECT scene_id, indicator, round(CASE WHEN hi > lo AND hi - lo >= 0.4 THEN greatest(lo - (hi - lo) * 0.05, -0.5) END, 6) AS low, round(CASE WHEN hi > lo AND hi - lo >= 0.4 THEN least(hi + (hi - lo) * 0.05, 0.5) END, 6) AS high FROM q""", uses=("pixels",))
+SELECT scene_id, indicator, round(CASE WHEN hi > lo AND hi - lo >= 0.4 AND h2 > l2 THEN l2 END, 6) AS low, round(CASE WHEN hi > lo AND hi - lo >= 0.4 AND h2 > l2 THEN h2 END, 6) AS high FROM sh""", uses=("pixels",))
 def n13(spark, d):
     return N.stretch(longs(spark, d), ["scene_id", "indicator"], floor=0.2, ramp=(-0.5, 0.5)).select("scene_id", "indicator", R("low").alias("low"), R("high").alias("high"))
 

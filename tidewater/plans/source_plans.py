@@ -22,7 +22,8 @@ def items(spark, d) -> DataFrame:
     props = F.to_json(F.struct(
         F.when(k % 3 == 0, F.concat(F.lit("MGRS-43Q"), k.cast("string"))).alias("grid:code"), F.when(k % 3 == 1, k % 60).alias("mgrs:utm_zone"), F.when(k % 3 == 1, "Q").alias("mgrs:latitude_band"), F.when(k % 3 == 1, "CA").alias("mgrs:grid_square"),
         F.when(k % 5 != 0, k.cast("double")).alias("eo:cloud_cover"), F.when(k % 2 == 0, F.concat(F.lit("EPSG:"), (32600 + k % 60).cast("string"))).alias("proj:code"), F.when(k % 7 == 0, True).alias("earthsearch:boa_offset_applied"),
-        F.when(k % 7 == 1, "05.12").when(k % 7 == 2, "03.01").when(k % 7 == 3, "odd").alias("s2:processing_baseline"),
+        F.when(k % 7 == 1, "05.12").when(k % 7 == 2, "03.01").when(k % 7 == 3, "odd").when(k % 7 == 4, "").alias("s2:processing_baseline"),
+        F.when(k % 7 == 1, "02.00").when(k % 7 == 3, "02.00").when(k % 7 == 4, "03.01").when(k % 14 == 5, "2.99").when(k % 14 == 12, "04.00").alias("processing:baseline"),
         F.when((k % 3 == 2) & (k % 2 == 0), F.concat(F.lit("T44Q"), k.cast("string"))).alias("tileId"),
     ))
     names = [F.when(k % 2 == 0, F.lit(a)).otherwise(F.lit(b)) for a, b in S.BAND_ASSETS.values()]
@@ -53,7 +54,7 @@ def s2(spark, d):
     return S.scene_catalog(items(spark, d)).select("event_id", "tile", "cloud_pct", "epsg", F.col("links")["B05"].alias("b05"))
 
 
-@query("S3_boa_offset", ITEM + "\n---\nSELECT event_id, CAST(CASE WHEN k % 7 = 0 THEN 0 WHEN k % 7 = 1 THEN -1000 WHEN k % 7 = 2 THEN 0 ELSE -1000 END AS BIGINT) AS boa_offset FROM it")
+@query("S3_boa_offset", ITEM + "\n---\nSELECT event_id, CAST(CASE WHEN k % 7 = 0 THEN 0 WHEN k % 7 = 1 THEN -1000 WHEN k % 7 IN (2, 4) OR k % 14 = 5 THEN 0 ELSE -1000 END AS BIGINT) AS boa_offset FROM it")
 def s3(spark, d):
     return items(spark, d).select("event_id", S.boa_offset(F.from_json("properties", S.ITEM_PROPERTIES)).cast("long").alias("boa_offset"))
 

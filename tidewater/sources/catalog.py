@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.operators.baseline import first_rows
 
 #: The item properties that are read; everything else in them is ignored.
-ITEM_PROPERTIES = "`grid:code` string, `mgrs:utm_zone` int, `mgrs:latitude_band` string, `mgrs:grid_square` string, `s2:mgrs_tile` string, tileId string, `eo:cloud_cover` double, `proj:epsg` int, `proj:code` string, `earthsearch:boa_offset_applied` boolean, `s2:processing_baseline` string"
+ITEM_PROPERTIES = "`grid:code` string, `mgrs:utm_zone` int, `mgrs:latitude_band` string, `mgrs:grid_square` string, `s2:mgrs_tile` string, tileId string, `eo:cloud_cover` double, `proj:epsg` int, `proj:code` string, `earthsearch:boa_offset_applied` boolean, `s2:processing_baseline` string, `processing:baseline` string"
 
 #: The bands that every scene must have, and the asset names that catalogues give them, the first found wins.
 BAND_ASSETS = {"B03": ("B03", "green"), "B04": ("B04", "red"), "B05": ("B05", "rededge1"), "B08": ("B08", "nir"), "B11": ("B11", "swir16"), "SCL": ("SCL", "scl")}
@@ -38,8 +38,8 @@ def scene_catalog(items: DataFrame, *, properties: str = "properties", assets: s
 
 
 def boa_offset(p: Column) -> Column:
-    """0 where the offset is applied already or the processing is older than 4.0, else -1000."""
-    baseline = p["s2:processing_baseline"].try_cast("double")
+    """0 where the offset is applied already or the processing, under its first name or its second, is older than 4.0, else -1000."""
+    baseline = F.coalesce(F.nullif(p["s2:processing_baseline"], F.lit("")), p["processing:baseline"]).try_cast("double")
     return F.when(F.coalesce(p["earthsearch:boa_offset_applied"], F.lit(False)), 0).when(baseline < 4.0, 0).otherwise(-1000)
 
 
