@@ -45,6 +45,13 @@ def test_equal_to_brute_force_with_copies_and_clusters(spark):
     check(spark, rows)
 
 
+def test_different_vectors_under_one_id(spark):
+    rows = [(1, [1, 0, 0]), (1, [0, 1, 0]), (2, [1, 0.01, 0]), (3, [0.01, 1, 0]), (4, [0, 0, 1]), (4, [0, 0.01, 1])]
+    check(spark, rows)
+    rows += [(5, [1, 0, 0]), (7, [-1, 0, 0]), (6, [-1, 0.01, 0]), (6, [0, -1, 0]), (8, [0, -1, 0.01]), (9, [0, -1, 0]), (5, [1, 0, 0])]
+    check(spark, rows, "double")
+
+
 def test_hot_bucket_is_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "LEAST_BLOCK", 16)
     rng = np.random.default_rng(4)

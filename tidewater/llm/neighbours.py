@@ -182,6 +182,15 @@ def _meet(ids: np.ndarray, i: np.ndarray, j: np.ndarray, t: int) -> np.ndarray:
     return (ids[i, t] == ids[j, t, :1]).any(axis=1) | (ids[j, t] == ids[i, t, :1]).any(axis=1)
 
 
+def _same_id(given: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): representatives of different vectors that share a vec_id, each with the least of them."""
+    vector = F.struct("h1", "h2")
+    shared = given.filter("sound").groupBy("vec_id").agg(F.min(vector).alias("low"), F.max(vector).alias("high")).filter("low <> high").select("vec_id")
+    rows = given.filter("sound").select("vec_id", "h1", "h2").join(shared, "vec_id").join(reps.select("h1", "h2", "rep"), ["h1", "h2"])
+    least = rows.groupBy("vec_id").agg(F.min("rep").alias("b"))
+    return rows.join(least, "vec_id").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+
+
 def near_duplicates(vectors: DataFrame, *, cosine: float = 0.95, miss: float = 1e-3) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors``, which needs vec_id and embedding.
 
@@ -189,15 +198,15 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.95, miss: float = 1
     threshold is missed with the chance ``miss`` at most, closer ones less, and none below it is linked. n_links counts
     other rows, copies among them. Vectors that are null, empty or zero, or hold nulls or non-finite numbers, and rows
     without a vec_id link with nothing; vectors of different lengths do not link. Rows that share a vec_id count
-    separately in n_links and as one in components. Equal vectors are one representative, with their number, before any
+    separately in n_links and as one in components. Equal vectors are one representative, with a number of its own, before any
     bucket is made; large buckets are compared as pairs of blocks, each pair a group of its own.
     """
     item = vectors.schema["embedding"].dataType.elementType
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(sound, F.lit(False)).alias("sound"))
     given = given.withColumn("h1", F.when(F.col("sound"), F.xxhash64("embedding"))).withColumn("h2", F.when(F.col("sound"), F.xxhash64(F.lit(17), "embedding", F.lit(71))))
-    reps = given.filter("sound").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    reps = written(reps, "vectors")
+    reps = given.filter("sound").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     rows, dimensions = reps.agg(F.count("*"), F.max(F.size("embedding"))).first()
     tables, hashes = plan(rows, dimensions or 1, miss)
 
@@ -212,9 +221,11 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.95, miss: float = 1
     met = written(_compare(spread.drop("own", "other", "rows"), single=isinstance(item, T.FloatType), hashes=hashes, cosine=cosine), "met")
 
     degree = met.groupBy("rep").agg(F.sum("links").alias("links"))
-    joined = components(met.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = reps.select("h1", "h2", "rep", "copies").join(degree, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    joined = components(met.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).unionAll(_same_id(given, reps)))
+    named = reps.select("h1", "h2", "rep", "least", "copies").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = written(named.join(degree, "rep", "left"), "named")
+    names = named.groupBy("component").agg(F.min("least").alias("name"))
+    named = named.join(names, "component").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("name").alias("component"))
     out = given.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
