@@ -2,9 +2,12 @@
 
 Each page's containers are scored by the running text in them; every page votes for the generalised tag-class paths of
 its containers; the votes are summed per host in Spark, and each page is extracted again from the containers on its
-host's winning path. A page without that path, or without a host, is extracted from its own best container. The vote
-settles which container is read; what is removed inside it (menus, adverts, comments) is told by tags and by a list of
-words in class, id and role.
+host's winning path. A page without that path, or without a host, is extracted from its own best container.
+
+What is removed inside the winner is settled in the same way: every page reports what stands on each of its named paths,
+and a path whose text recurs on the host's other pages, or is links, on most of its pages is the host's furniture. What
+a single page can tell by itself, its tags and the words of class, id and role, is a weaker sign that serves where a
+host has few pages: words that also occur in articles count only among other words of layout.
 
 A page is read in one pass, in time and memory in proportion to its length, however its tags are nested or left open.
 """
@@ -33,12 +36,17 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _BLOCK = set("address article aside blockquote body br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul center dialog menu".split())
 _HOLDER = {"article", "main", "section", "div", "td", "body"}
 _NEVER = {"nav", "footer", "aside", "form", "head", "button", "select", "dialog", "menu", "label", "input"} | _RAW
-#: Words in class, id or role that mark what is not the article; fixed values.
+#: Form controls within a line: their text goes, the line around them stays one block.
+_INLINE = {"button", "select", "label"}
+#: Words in class, id or role that mark what is not the article, in the languages of the corpus; fixed values. The first
+#: count wherever they occur, the second only where a name holds nothing but them and words of layout.
 _NOISE = set(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice gdpr popup modal overlay "
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget related recommended share sharing social newsletter subscribe signup login "
-    "comment comments commentlist disqus reply replies footer foot copyright search pagination pager toolbar masthead skip alert".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar "
+    "newsletter subscribe comment comments commentlist disqus footer copyright pager pagination toolbar masthead widget "
+    "kommentar kommentare commentaire commentaires comentario comentarios werbung anzeige anzeigen publicidad publicite reklame".split()
 )
+_PERHAPS = set("side related recommended share sharing social promo promotion banner notice alert signup login reply replies foot search skip discussion feedback reactions responses".split())
+_LAYOUT = set("box boxes bar list lists links link wrap wrapper block blocks area item items container content button buttons post posts left right top bottom inner outer small site page reader user form section main col column row grid body text id js is has the and with for".split())
 #: Tags that hold a page or its article: their class words tell of the layout around them.
 _PAGE = {"html", "body", "main", "article"}
 _ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE)
@@ -118,36 +126,43 @@ class Page:
     def __init__(self, html: str):
         self.parent, self.path, self.noise, self.kind = [-1], [_digest("", "")], [False], ["body"]
         self._marked = [False]  # by words of class, id or role
+        self.named: list[int | None] = [None]  # the path of nodes with a class or id, every tag counted
+        self._named_below = [_digest("", "named")]
         self._within = [0]  # 1 inside article or main, 2 inside an article
         self.blocks: list[tuple[int, str, int]] = []  # (node, text, characters in links)
         self._parts: list[str] = []
         self._linked = 0
         stack: list[tuple[str, int]] = [("", 0)]
         open_tags: Counter[str] = Counter()
-        links, loose, at = 0, False, 0
+        links, loose, at, muted = 0, False, 0, 0
+
+        def around() -> int:  # what holds the text: no control within its line
+            return stack[-1][1] if not muted else next(n for name, n in reversed(stack) if name not in _INLINE)
+
         for start, end, name, closes, rest in _tags(html):
-            if start > at:
+            if start > at and not muted:
                 self._text(html[at:start], links)
             at = end
             if name is None:
                 continue
             if name in _BLOCK and name != "br" and loose:
                 # An anchor without an end tag ends with its line of text.
-                self._cut(stack[-1][1])
+                self._cut(around())
                 links, loose = 0, False
             if closes:
                 if name in _BLOCK:
-                    self._cut(stack[-1][1])
+                    self._cut(around())
                 if name == "a":
                     links, loose = 0, False
                 while open_tags[name]:
                     top = stack.pop()[0]
                     open_tags[top] -= 1
+                    muted -= top in _INLINE
                     if top == name:
                         break
                 continue
             if name in _BLOCK:
-                self._cut(stack[-1][1])
+                self._cut(around())
                 if stack[-1][0] == "head":
                     open_tags[stack.pop()[0]] -= 1
             if name in _VOID:
@@ -164,16 +179,20 @@ class Page:
             self._open(name, rest, stack[-1][1])
             stack.append((name, len(self.parent) - 1))
             open_tags[name] += 1
-        if at < len(html):
+            muted += name in _INLINE
+        if at < len(html) and not muted:
             self._text(html[at:], links)
-        self._cut(stack[-1][1])
+        self._cut(around())
         self._judge()
 
     def _open(self, name: str, rest: str, top: int) -> None:
         names = " ".join(x for y in _NAMES.findall(rest) for x in y).lower() if rest else ""
-        words, inside = set(re.split(r"[^a-z]+", names)), self._within[top] > 0
+        inside = self._within[top] > 0
         exempt = name in _PAGE and not (name == "article" and self._within[top] == 2)
-        self._marked.append(not exempt and (bool(words & _NOISE) or (not inside and "header" in words)))
+        self._marked.append(not exempt and any(_is_noise(set(filter(None, re.split(r"[^a-z]+", x))), inside) for x in names.split()))
+        below = _digest(self._named_below[top], ".".join([name, *sorted(set(re.sub(r"\d+", "#", names).split()))]))
+        self._named_below.append(below)
+        self.named.append(int(below, 16) - (1 << 63) if names and not exempt else None)
         self.parent.append(top)
         if name in _HOLDER:
             label = ".".join([name, *sorted(set(re.sub(r"\d+", "#", names).split()))])
@@ -187,9 +206,17 @@ class Page:
     def _judge(self) -> None:
         """Noise passes down. Words do not make noise of a container with most of the page's unlinked text that also has
         its heading or main part, or that has all of it."""
+        self._hide(self._marked)
+
+    def without(self, furniture: set[int]) -> None:
+        """Hide the nodes on the host's furniture paths, but for those that hold most of what is left of the page's text."""
+        if furniture:
+            self._hide([p in furniture for p in self.named], most=True)
+
+    def _hide(self, marked: list[bool], *, most: bool = False) -> None:
         nodes = len(self.parent)
         held, headed, total = [0] * nodes, [k in ("h1", "main") for k in self.kind], 0
-        if any(self._marked):
+        if any(marked):
             plain = list(self.noise)
             for n in range(1, nodes):
                 plain[n] = plain[n] or plain[self.parent[n]]
@@ -202,8 +229,23 @@ class Page:
                 held[self.parent[n]] += held[n]
                 headed[self.parent[n]] = headed[self.parent[n]] or headed[n]
         for n in range(1, nodes):
-            spared = self.kind[n] in _HOLDER and 2 * held[n] > total and (headed[n] or held[n] == total)
-            self.noise[n] = self.noise[n] or self.noise[self.parent[n]] or (self._marked[n] and not spared)
+            spared = 2 * held[n] > total and (most or (self.kind[n] in _HOLDER and (headed[n] or held[n] == total)))
+            self.noise[n] = self.noise[n] or self.noise[self.parent[n]] or (marked[n] and not spared)
+
+    def reports(self) -> list[tuple[int, int, bool]]:
+        """(path, text, linked) of each named node that has text and is not noise by its tags: a number for the texts of its
+        blocks, and whether most of it is in links."""
+        nodes = len(self.parent)
+        chars, links, text = [0] * nodes, [0] * nodes, [0] * nodes
+        for node, said, linked in self.blocks:
+            chars[node] += len(said)
+            links[node] += linked
+            text[node] += int.from_bytes(blake2b(said.encode(), digest_size=8).digest(), "big")
+        for n in range(nodes - 1, 0, -1):
+            up = self.parent[n]
+            chars[up], links[up], text[up] = chars[up] + chars[n], links[up] + links[n], text[up] + text[n]
+        self.whole = _signed(text[0])
+        return [(p, _signed(text[n]), 2 * links[n] > chars[n]) for n, p in enumerate(self.named) if p is not None and chars[n]]
 
     def _text(self, raw: str, links: int) -> None:
         self._parts.append(raw)
@@ -248,6 +290,16 @@ class Page:
         return "\n".join(t for node, t, _ in self.blocks if inside[node] and not self.noise[node])
 
 
+def _is_noise(words: set[str], inside: bool) -> bool:
+    """Whether one name's words mark what is not the article; ``inside`` article or main, a header is the article's."""
+    perhaps = _PERHAPS if inside else _PERHAPS | {"header"}
+    return bool(words & _NOISE) or (bool(words & perhaps) and words <= perhaps | _LAYOUT)
+
+
+def _signed(number: int) -> int:
+    return number % (1 << 64) - (1 << 63)
+
+
 def _digest(path: str, label: str) -> str:
     """A container's path as 16 hex digits: its parent's and its own label, so paths take the same room at any depth."""
     return blake2b(f"{path}/{label}".encode(), digest_size=8).hexdigest()
@@ -263,11 +315,13 @@ def votes(html: str) -> list[tuple[str, int]]:
     return [(p, n) for p, s in sorted(by_path.items()) if (n := int(1000 * s / top))]
 
 
-def main_text(html: str | None, winner: str | None) -> str:
-    """The article's text by the winning path, or by the page's own best container where the path is not there."""
+def main_text(html: str | None, winner: str | None, furniture: list[int] | None = None) -> str:
+    """The article's text by the winning path, or by the page's own best container where the path is not there, without the
+    host's furniture."""
     if not html:
         return ""
     page = Page(html)
+    page.without(set(furniture or ()))
     chosen = {n for n in range(1, len(page.path)) if page.path[n] == winner and page.kind[n] in _HOLDER and not page.noise[n]} if winner else set()
     if not chosen or not (text := page.text(chosen)):
         own = page.best()
@@ -275,6 +329,35 @@ def main_text(html: str | None, winner: str | None) -> str:
     return text
 
 
+#: Pages of a host that must have a path before it can be furniture, and the share of them where its text recurs or is links.
+LEAST_PAGES, SHARE = 4, 0.6
+
+
+def host_furniture(pages: DataFrame) -> DataFrame:
+    """(host, furniture): the named paths whose text stands on other pages of the host too, or is mostly links, on at least
+    SHARE of the path's pages, of which there are LEAST_PAGES. Pages with the same text throughout are one page's copies, and
+    say nothing about what recurs. ``pages`` has host and html."""
+
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "html"):
+                hosts, rows = [], []
+                for host, html in zip(part.column("host"), part.column("html"), strict=True):
+                    page = Page(html.as_py() or "")
+                    found = page.reports()
+                    rows += [(p, t, page.whole, linked) for p, t, linked in found]
+                    hosts += [host.as_py()] * len(found)
+                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+                arrays = [pa.array(c, pa.int64() if k < 3 else pa.bool_()) for k, c in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *arrays], names=["host", "path", "text", "whole", "linked"])
+
+    reports = pages.filter("host <> ''").select("host", "html").mapInArrow(report, "host string, path long, text long, whole long, linked boolean")
+    by_text = reports.groupBy("host", "path", "text").agg(F.count("*").alias("n"), (F.min("whole") < F.max("whole")).alias("recurs"), F.count_if("linked").alias("linked"))
+    by_path = by_text.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("recurs"), F.col("n")).otherwise(0)).alias("recurs"), F.sum("linked").alias("linked"))
+    voted = by_path.filter((F.col("n") >= LEAST_PAGES) & (F.greatest("recurs", "linked") >= SHARE * F.col("n")))
+    return voted.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("furniture"))
+
+
 def host_paths(pages: DataFrame) -> DataFrame:
     """(host, path): each host's winning path, by summed votes and, of equal ones, the first path. ``pages`` has host
     and html; pages without a host or without html have no vote."""
@@ -299,20 +382,22 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``, which needs page_id, url and html.
 
     Null html or html without an article gives an empty text; a null url has no host. Repeated rows are extracted
-    alike, an empty table gives no rows, other columns are not read. The winning paths, one short row a host, are
+    alike, an empty table gives no rows, other columns are not read. The winning paths and furniture, one row a host, are
     broadcast while they are few; beyond that the pages are joined by a shuffle, in which adaptive execution splits a
     host with a third of all pages, as nothing after the join needs a host's pages together.
     """
     host, _ = host_and_path(F.col("url"))
     given = pages.select("page_id", "url", "html", host.alias("host"))
-    winners = written(host_paths(given).withColumnRenamed("path", "winner"), "host-paths")
-    joined = given.join(small_side(winners), "host", "left").select("page_id", "url", "html", "winner")
+    winners = host_paths(given).withColumnRenamed("path", "winner")
+    winners = written(winners.join(host_furniture(given), "host", "left"), "host-paths")
+    joined = given.join(small_side(winners), "host", "left").select("page_id", "url", "html", "winner", "furniture")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "html", 1 << 23):
-                texts = [main_text(h.as_py(), w.as_py()) for h, w in zip(part.column("html"), part.column("winner"), strict=True)]
+                columns = (part.column(c) for c in ("html", "winner", "furniture"))
+                texts = [main_text(*(x.as_py() for x in row)) for row in zip(*columns, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")
