@@ -9,6 +9,7 @@ from tidewater.operators import geometry as G
 from tidewater.plans.bindings import bound, table
 from tidewater.plans.registry import query
 from tidewater.sources import osm
+from tidewater.sources.stored import stored
 
 R = lambda c, n=6: F.round(c, n)
 POLY = """po AS (SELECT s_suppkey AS id, unnest(range(0, 5)) AS seq, s_suppkey % 17 * 1000e0 AS ox, s_suppkey % 13 * 900e0 AS oy, 300 + abs(s_acctbal) / 10 AS w, 200 + s_suppkey * 3e0 AS h FROM supplier),
@@ -186,6 +187,19 @@ def g12(spark, d):
     return G.partition(cells, "id", k=4)
 
 
+@query("G12_zone_outlines")
+def g12_outlines(spark, d):
+    """The pentagons with holes, divided into as many zones as their area asks for, each with its outline."""
+    from tidewater.operators import zoning as Z
+
+    body = holed(spark, d)
+    found = stored(Z.centres(body, "id"), "zone-centres")
+    outline = stored(Z.outlines(body, found, "id"), "zone-outlines")
+    shown = G.outlines(outline.withColumn("_of", F.struct("id", "zone")), "_of", digits=3).select("_of.id", "_of.zone", F.to_json("geometry").alias("geometry"))
+    z = Z.zones(body, found, outline, "id").join(shown, ["id", "zone"])
+    return z.select("id", "seq", "name", R("cx", 3).alias("cx"), R("cy", 3).alias("cy"), "n_cells", R("area_km2").alias("area_km2"), "geometry")
+
+
 @query("G13_zone_names", """dr AS (SELECT z.zone_id, z.body_id, cos(zone_id * 1.7e0) * area_km2 AS dx, sin(zone_id * 1.7e0) * area_km2 AS dy FROM zones z),
 nm AS (SELECT *, CASE WHEN sqrt(dx * dx + dy * dy) < 1 THEN 'Central' ELSE list_extract(['North', 'North-East', 'East', 'South-East', 'South', 'South-West', 'West', 'North-West'], CAST(floor((degrees(atan2(dx, dy)) + 360 + 22.5) / 45) AS INTEGER) % 8 + 1) END AS base FROM dr)
 ---
