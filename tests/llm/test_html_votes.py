@@ -37,7 +37,7 @@ def test_vote_and_extraction_equal_a_plain_count(spark):
     winners = {h: min(c, key=lambda p: (-c[p], p)) for h, c in counted.items()}
     frame = spark.createDataFrame(rows, PAGES).withColumn("text", F.lit("clash")).withColumn("host", F.lit("clash")).withColumn("winner", F.lit("clash"))
     hosts = spark.createDataFrame([((u or "").split("://")[-1].split("/")[0].lower(), t) for _, u, t in rows], "host string, html string")
-    assert {r["host"]: r["path"] for r in html.host_paths(hosts).collect()} == winners
+    assert {r["host"]: r["path"] for r in html.host_paths(html.ballots(hosts)).collect()} == winners
     out = {r["page_id"]: r for r in html.extract(frame).collect()}
     for key, url, text in rows:
         host = (url or "").split("://")[-1].split("/")[0].lower()
@@ -50,7 +50,7 @@ def test_vote_and_extraction_equal_a_plain_count(spark):
 def test_tie_of_a_vote_takes_the_first_path(spark):
     two = [("h", "<body><div class='a'><p>same text</p></div></body>"), ("h", "<body><div class='b'><p>same text</p></div></body>")]
     paths = sorted(p for _, t in two for p, n in html.votes(t) if n == 1000)
-    (row,) = html.host_paths(spark.createDataFrame(two, "host string, html string")).collect()
+    (row,) = html.host_paths(html.ballots(spark.createDataFrame(two, "host string, html string"))).collect()
     summed = Counter()
     for _, t in two:
         for p, n in html.votes(t):

@@ -23,6 +23,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tidewater.llm.storage import small_side, written
 from tidewater.llm.textkit import pieces
@@ -127,7 +128,7 @@ class Page:
         self.parent, self.path, self.noise, self.kind = [-1], [_digest("", "")], [False], ["body"]
         self._marked = [False]  # by words of class, id or role
         self.named: list[int | None] = [None]  # the path of nodes with a class or id, every tag counted
-        self._named_below = [_digest("", "named")]
+        self._named_below = [1]
         self._within = [0]  # 1 inside article or main, 2 inside an article
         self.blocks: list[tuple[int, str, int]] = []  # (node, text, characters in links)
         self._parts: list[str] = []
@@ -190,12 +191,12 @@ class Page:
         inside = self._within[top] > 0
         exempt = name in _PAGE and not (name == "article" and self._within[top] == 2)
         self._marked.append(not exempt and any(_is_noise(set(filter(None, re.split(r"[^a-z]+", x))), inside) for x in names.split()))
-        below = _digest(self._named_below[top], ".".join([name, *sorted(set(re.sub(r"\d+", "#", names).split()))]))
+        label = ".".join([name, *sorted(set(re.sub(r"\d+", "#", names).split()))]) if names else name
+        below = _step(self._named_below[top], label)
         self._named_below.append(below)
-        self.named.append(int(below, 16) - (1 << 63) if names and not exempt else None)
+        self.named.append(_signed(below) if names and not exempt else None)
         self.parent.append(top)
         if name in _HOLDER:
-            label = ".".join([name, *sorted(set(re.sub(r"\d+", "#", names).split()))])
             self.path.append(_digest(self.path[top], label))
         else:
             self.path.append(self.path[top])
@@ -240,7 +241,7 @@ class Page:
         for node, said, linked in self.blocks:
             chars[node] += len(said)
             links[node] += linked
-            text[node] += int.from_bytes(blake2b(said.encode(), digest_size=8).digest(), "big")
+            text[node] += xxh64_intdigest(said.encode())
         for n in range(nodes - 1, 0, -1):
             up = self.parent[n]
             chars[up], links[up], text[up] = chars[up] + chars[n], links[up] + links[n], text[up] + text[n]
@@ -296,6 +297,11 @@ def _is_noise(words: set[str], inside: bool) -> bool:
     return bool(words & _NOISE) or (bool(words & perhaps) and words <= perhaps | _LAYOUT)
 
 
+def _step(path: int, label: str) -> int:
+    """A path one label longer, as a number of 64 bits."""
+    return (path * 0x9E3779B97F4A7C15 + xxh64_intdigest(label.encode())) % (1 << 64)
+
+
 def _signed(number: int) -> int:
     return number % (1 << 64) - (1 << 63)
 
@@ -307,7 +313,10 @@ def _digest(path: str, label: str) -> str:
 
 def votes(html: str) -> list[tuple[str, int]]:
     """The generalised paths of a page's containers, with each one's share of the best score in per mille (0: no vote)."""
-    page = Page(html)
+    return _votes(Page(html))
+
+
+def _votes(page: Page) -> list[tuple[str, int]]:
     by_path: dict[str, float] = {}
     for n, s in page.scores().items():
         by_path[page.path[n]] = by_path.get(page.path[n], 0) + s
@@ -333,49 +342,39 @@ def main_text(html: str | None, winner: str | None, furniture: list[int] | None
 LEAST_PAGES, SHARE = 4, 0.6
 
 
-def host_furniture(pages: DataFrame) -> DataFrame:
-    """(host, furniture): the named paths whose text stands on other pages of the host too, or is mostly links, on at least
-    SHARE of the path's pages, of which there are LEAST_PAGES. Pages with the same text throughout are one page's copies, and
-    say nothing about what recurs. ``pages`` has host and html."""
+def ballots(pages: DataFrame) -> DataFrame:
+    """What the pages of each host say, summed up: (host, path, n) for containers' votes, and (host, named, text, n, recurs,
+    linked) for the texts on named paths. ``pages`` has host and html; pages without a host or html say nothing. Pages with
+    the same text throughout are one page's copies, and say nothing about what recurs."""
 
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "html"):
-                hosts, rows = [], []
-                for host, html in zip(part.column("host"), part.column("html"), strict=True):
+                rows = []
+                for host, html in zip(part.column("host").to_pylist(), part.column("html"), strict=True):
                     page = Page(html.as_py() or "")
+                    rows += [(host, path, None, None, n, None, None) for path, n in _votes(page)]
                     found = page.reports()
-                    rows += [(p, t, page.whole, linked) for p, t, linked in found]
-                    hosts += [host.as_py()] * len(found)
-                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-                arrays = [pa.array(c, pa.int64() if k < 3 else pa.bool_()) for k, c in enumerate(columns)]
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *arrays], names=["host", "path", "text", "whole", "linked"])
-
-    reports = pages.filter("host <> ''").select("host", "html").mapInArrow(report, "host string, path long, text long, whole long, linked boolean")
-    by_text = reports.groupBy("host", "path", "text").agg(F.count("*").alias("n"), (F.min("whole") < F.max("whole")).alias("recurs"), F.count_if("linked").alias("linked"))
-    by_path = by_text.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("recurs"), F.col("n")).otherwise(0)).alias("recurs"), F.sum("linked").alias("linked"))
-    voted = by_path.filter((F.col("n") >= LEAST_PAGES) & (F.greatest("recurs", "linked") >= SHARE * F.col("n")))
-    return voted.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("furniture"))
+                    rows += [(host, None, path, text, 1, page.whole, linked) for path, text, linked in found]
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+                columns = list(zip(*rows, strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", "named", "text", "n", "whole", "linked"])
 
+    cast = pages.filter("host <> ''").select("host", "html").mapInArrow(read, "host string, path string, named long, text long, n long, whole long, linked boolean")
+    return cast.groupBy("host", "path", "named", "text").agg(F.sum("n").alias("n"), (F.min("whole") < F.max("whole")).alias("recurs"), F.count_if("linked").alias("linked"))
 
-def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): each host's winning path, by summed votes and, of equal ones, the first path. ``pages`` has host
-    and html; pages without a host or without html have no vote."""
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "html"):
-                hosts, paths, counts = [], [], []
-                for host, html in zip(part.column("host"), part.column("html"), strict=True):
-                    for path, n in votes(html.as_py() or ""):
-                        hosts.append(host.as_py())
-                        paths.append(path)
-                        counts.append(n)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(counts, pa.int64())], names=["host", "path", "n"])
+def host_paths(said: DataFrame) -> DataFrame:
+    """(host, path): each host's winning path, by summed votes and, of equal ones, the first path."""
+    return said.filter("path IS NOT NULL").groupBy("host").agg(F.min_by("path", F.struct(-F.col("n"), "path")).alias("path"))
 
-    cast = pages.filter("host <> ''").select("host", "html").mapInArrow(vote, "host string, path string, n long")
-    summed = cast.groupBy("host", "path").agg(F.sum("n").alias("n"))
-    return summed.groupBy("host").agg(F.min_by("path", F.struct(-F.col("n"), "path")).alias("path"))
+
+def host_furniture(said: DataFrame) -> DataFrame:
+    """(host, furniture): the named paths whose text stands on other pages of the host too, or is mostly links, on at least
+    SHARE of the path's pages, of which there are LEAST_PAGES."""
+    by_path = said.filter("named IS NOT NULL").groupBy("host", "named").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("recurs"), F.col("n")).otherwise(0)).alias("recurs"), F.sum("linked").alias("linked"))
+    voted = by_path.filter((F.col("n") >= LEAST_PAGES) & (F.greatest("recurs", "linked") >= SHARE * F.col("n")))
+    return voted.groupBy("host").agg(F.sort_array(F.collect_list("named")).alias("furniture"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -388,8 +387,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host, _ = host_and_path(F.col("url"))
     given = pages.select("page_id", "url", "html", host.alias("host"))
-    winners = host_paths(given).withColumnRenamed("path", "winner")
-    winners = written(winners.join(host_furniture(given), "host", "left"), "host-paths")
+    said = written(ballots(given), "host-ballots")
+    winners = written(host_paths(said).withColumnRenamed("path", "winner").join(host_furniture(said), "host", "left"), "host-paths")
     joined = given.join(small_side(winners), "host", "left").select("page_id", "url", "html", "winner", "furniture")
     kind = pages.schema["page_id"].dataType.simpleString()
 
