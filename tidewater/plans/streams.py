@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tidewater.plans.alerting import EPISODES
 from tidewater.plans.bindings import table
 from tidewater.plans.registry import query
+from tidewater.streaming import episodes as E
 from tidewater.streaming import runs
 from tidewater.streaming import telemetry as T
+from tidewater.streaming.rollup import StageInput, WeeklyRollup
 
 
 @query("T1_streaming_weekly_rollup", "SELECT event_type, CAST(date_trunc('week', ts) AS TIMESTAMP) AS week, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -35,6 +37,45 @@ def t3(spark, d):
     return runs.run_through(T.episodes(stream)).select("candidate_id", "episode")
 
 
+@query("T1_incremental_rollup", """SELECT event_type, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2
+HAVING CAST(date_trunc('week', max(ts)) AS DATE) + INTERVAL 7 DAY + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)""")
+def t1_incremental(spark, d):
+    """The rollup as a table that batches overwrite by week; weeks that are not over yet are not shown."""
+    folder = runs.new_folder(spark)
+    rollup = WeeklyRollup(spark, folder)
+    runs.drain(runs.landed(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), folder, rollup.absorb)
+    return rollup.rollup().withColumn("total", F.round("total", 4))
+
+
+@query("T2_stage_input", "SELECT DISTINCT l_suppkey AS body_id, l_orderkey AS scene_id FROM lineitem")
+def t2_stage(spark, d):
+    """Lines as redelivered messages, each (body, scene) once by the commit log."""
+    folder = runs.new_folder(spark)
+    stage = StageInput(spark, folder, ["body_id", "scene_id"])
+    lines = runs.landed(spark, d, "lineitem").select(F.col("l_suppkey").alias("body_id"), F.col("l_orderkey").alias("scene_id"))
+    runs.drain(lines, folder, stage.absorb)
+    return stage.done("body_id long, scene_id long")
+
+
+@query("T3_closed_episodes", """ev AS (SELECT zone_id, indicator, candidate_id AS number, observed_at AS seen, CAST(votes > 0 AS INTEGER) AS kind FROM candidates),
+co AS (SELECT *, count(*) FILTER (kind = 0) OVER (PARTITION BY zone_id, indicator ORDER BY seen, kind, number ROWS UNBOUNDED PRECEDING) AS closed FROM ev),
+fr AS (SELECT *, coalesce(date_diff('day', lag(seen) OVER w, seen) > 14 OR lag(closed) OVER w <> closed, true) AS fresh FROM co WHERE kind = 1 WINDOW w AS (PARTITION BY zone_id, indicator ORDER BY seen, number))
+---
+SELECT number AS candidate_id, CAST(sum(CAST(fresh AS BIGINT)) OVER (PARTITION BY zone_id, indicator ORDER BY seen, number ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode FROM fr""", uses=("candidates",))
+def t3_closed(spark, d):
+    """Every fourth order is an event that closes the open episodes of its zone and indicator."""
+    nation = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    orders = lambda: runs.landed(spark, d, "orders").filter("o_totalprice IS NOT NULL").join(nation, "o_custkey").select(F.col("c_nationkey").alias("zone_id"), F.col("o_orderpriority").alias("indicator"), F.col("o_orderkey").alias("candidate_id"), F.col("o_orderdate").alias("observed_at"))
+    status = orders().filter("candidate_id % 4 = 0").select("zone_id", "indicator", F.lit(None).cast("long").alias("episode"), F.col("observed_at").alias("at"))
+    before = spark.conf.get(E.PROVIDER[0], None)
+    spark.conf.set(*E.PROVIDER)
+    try:
+        out = runs.run_through(E.tracked(orders().filter("candidate_id % 4 > 0"), status))
+    finally:
+        spark.conf.set(E.PROVIDER[0], before) if before else spark.conf.unset(E.PROVIDER[0])
+    return out.filter("what = 'observed'").select("candidate_id", "episode")
+
+
 CARDS = """dp AS (SELECT page_id, '<div class="card"><div class="label"><b>' || CASE page_id % 4 WHEN 0 THEN 'Turbidity' WHEN 1 THEN 'pH' WHEN 2 THEN 'Dissolved  Oxygen' ELSE '' END || '</b></div> <div class="value">' || CASE WHEN page_id % 7 = 0 THEN 'n/a' ELSE (page_id % 97 - 9) || '.5 <i>NTU</i>' END
 || '</div></div><div class="status">Status: ' || url || '</div>' || coalesce(html, '') AS body FROM pages)"""
 
