@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,29 +32,85 @@ def robust(frame: DataFrame, keys: list[str], value: str) -> DataFrame:
     return first.join(spread, keys).select(*keys, F.col("_p")[0].alias("median"), "sigma", F.col("_p")[1].alias("p10"), F.col("_p")[2].alias("p90"), "n_samples")
 
 
-def seasonal_baseline(obs: DataFrame, *, value: str = "mean", window_days: int = WINDOW_DAYS, series: tuple[str, ...] = ("zone_id", "indicator")) -> DataFrame:
+#: Numbers of a matrix of windows that one step of ``_windows`` works on.
+CELLS = 1 << 21
+
+
+def _quantile(ordered: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
+    """Per row the quantile of its first ``n`` numbers, which are in order, by linear interpolation."""
+    place = (n - 1) * share
+    low, rows = np.floor(place).astype(np.int64), np.arange(len(n))
+    first, second = ordered[rows, low], ordered[rows, np.ceil(place).astype(np.int64)]
+    return first + (second - first) * (place - low)
+
+
+def _windows(doy: np.ndarray, year: np.ndarray, value: np.ndarray, asked: np.ndarray, half: int) -> list[np.ndarray]:
+    """median, sigma, p10, p90, n and number of years of the readings within ``half`` days of each day of ``asked``.
+
+    In the order of the days, twice round the year, a window is one slice.
+    """
+    order = np.lexsort((value, doy))
+    days = np.concatenate([doy[order] + k * DOYS for k in (-1, 0, 1)])
+    at = np.tile(order, 3)
+    begin, end = np.searchsorted(days, asked - half), np.searchsorted(days, asked + half, "right")
+    n = end - begin
+    out = [np.full(len(asked), np.nan) for _ in range(4)] + [n.astype(np.int64), np.zeros(len(asked), np.int64)]
+    some = np.flatnonzero(n)
+    step = max(1, CELLS // max(1, int(n.max(initial=1))))
+    for rows in (some[k : k + step] for k in range(0, len(some), step)):
+        width = np.arange(int(n[rows].max()))
+        inside = width[None, :] < n[rows][:, None]
+        where = at[np.minimum(begin[rows][:, None] + width[None, :], len(at) - 1)]
+        ordered = np.sort(np.where(inside, value[where], np.inf), axis=1)
+        out[0][rows], out[2][rows], out[3][rows] = (_quantile(ordered, n[rows], q) for q in (0.5, 0.1, 0.9))
+        away = np.sort(np.abs(ordered - out[0][rows][:, None]), axis=1)
+        out[1][rows] = _quantile(away, n[rows], 0.5) * MAD_TO_SIGMA
+        years = np.sort(np.where(inside, year[where], -1), axis=1)
+        out[5][rows] = ((years[:, 1:] != years[:, :-1]).sum(axis=1) + 1) - (~inside).any(axis=1)
+    return out
+
+
+def seasonal_baseline(obs: DataFrame, *, value: str = "mean", window_days: int = WINDOW_DAYS, series: tuple[str, ...] = ("zone_id", "indicator"), asked: DataFrame | None = None) -> DataFrame:
     """Per series and day of the year 1 to 366: statistics of all observations within half the window; empty days too.
 
-    Each observation is copied to the days that it feeds after its series has been brought together, so the exchange
-    carries the observations once, not once per fed day. A day's window is one sorted array, from which median, deviation
-    and percentiles are read in one pass: there is one aggregation and no join of a table with itself.
+    With ``asked`` (the series' columns and doy) only those days are made. A series' readings (one a pass, some thousands in
+    a decade) are one task's group: they cross the exchange once, and each window is a slice of them.
     """
-    keys = [*series, "doy"]
-    own = obs.select(*series, F.col(value).alias("_v"), F.dayofyear("observed_at").alias("_d"), F.year("observed_at").alias("_y")).repartition(*series)
-    fed = own.filter(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf"))).withColumn("doy", F.explode(nearby_doys(F.col("_d"), window_days // 2)))
-    windows = fed.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_s"), F.size(F.collect_set("_y")).cast("long").alias("n_years"))
-    stats = windows.withColumn("median", quantile(F.col("_s"), 0.5))
-    deviations = F.sort_array(F.transform("_s", lambda v: F.abs(v - F.col("median"))))
-    stats = stats.select(*keys, "median", (quantile(deviations, 0.5) * MAD_TO_SIGMA).alias("sigma"), quantile(F.col("_s"), 0.1).alias("p10"), quantile(F.col("_s"), 0.9).alias("p90"), F.size("_s").cast("long").alias("n_samples"), "n_years")
-    days = own.select(*series).distinct().withColumn("doy", F.explode(F.sequence(F.lit(1), F.lit(DOYS))))
-    return days.join(stats, keys, "left").select(*keys, "median", "sigma", "p10", "p90", F.coalesce("n_samples", F.lit(0)).alias("n_samples"), F.coalesce("n_years", F.lit(0)).alias("n_years"))
-
-
-def quantile(ordered: Column, share: float) -> Column:
-    """Quantile of a sorted array by linear interpolation; null of an empty one."""
-    place = (F.size(ordered) - 1) * F.lit(share)
-    low, high = F.get(ordered, F.floor(place).cast("int")), F.get(ordered, F.ceil(place).cast("int"))
-    return low + (high - low) * (place - F.floor(place))
+    own = obs.select(*series, F.col(value).cast("double").alias("_v"), F.dayofyear("observed_at").alias("_d"), F.year("observed_at").alias("_y"))
+    if asked is None:
+        own = own.withColumn("_a", F.lit(None).cast("array<int>"))
+    else:
+        own = own.join(asked.groupBy(*series).agg(F.array_sort(F.collect_set(F.col("doy").cast("int"))).alias("_a")), [*series])
+
+    def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        value, doy, year = (np.asarray(table.column(c).fill_null(np.nan if c == "_v" else 0)) for c in ("_v", "_d", "_y"))
+        wanted = table.column("_a")[0].as_py()
+        days = np.arange(1, DOYS + 1) if wanted is None else np.array(wanted)
+        finite = np.isfinite(value)
+        found = _windows(doy[finite].astype(np.int64), year[finite].astype(np.int64), value[finite], days, window_days // 2)
+        columns = {c: pa.array([k.as_py()] * len(days), k.type) for c, k in zip(series, key, strict=True)} | {"doy": pa.array(days, pa.int32())}
+        stats = {c: pa.array(x, pa.float64(), mask=found[4] == 0) for c, x in zip(("median", "sigma", "p10", "p90"), found, strict=False)}
+        return pa.table(columns | stats | {"n_samples": pa.array(found[4]), "n_years": pa.array(found[5])})
+
+    kinds = ", ".join(f"{c} {obs.schema[c].dataType.simpleString()}" for c in series)
+    return own.groupBy(*series).applyInArrow(build, f"{kinds}, doy int, median double, sigma double, p10 double, p90 double, n_samples long, n_years long")
+
+
+def touched_windows(fresh: DataFrame, *, window_days: int = WINDOW_DAYS, series: tuple[str, ...] = ("zone_id", "indicator")) -> DataFrame:
+    """(series, doy): the windows that new readings change; a week of them changes 37, or 38 where it meets
+    the day that only leap years have."""
+    near = F.explode(nearby_doys(F.dayofyear("observed_at"), window_days // 2))
+    return fresh.select(*series, near.alias("doy")).distinct()
+
+
+def extended_baseline(before: DataFrame, obs: DataFrame, fresh: DataFrame, *, value: str = "mean", window_days: int = WINDOW_DAYS, series: tuple[str, ...] = ("zone_id", "indicator")) -> DataFrame:
+    """The baseline ``before`` with the windows that ``fresh`` readings change made anew from ``obs``, which holds old and fresh
+    ones; a new series gets its whole year. Other windows and other series' readings are not worked on again."""
+    changed = touched_windows(fresh, window_days=window_days, series=series)
+    new_series = fresh.select(*series).distinct().join(before.select(*series).distinct(), [*series], "left_anti")
+    asked = changed.unionByName(new_series.withColumn("doy", F.explode(F.sequence(F.lit(1), F.lit(DOYS))))).distinct()
+    made = seasonal_baseline(obs, value=value, window_days=window_days, series=series, asked=asked)
+    return before.join(asked, [*series, "doy"], "left_anti").select(*made.columns).unionByName(made)
 
 
 def history_days(obs: DataFrame, *, series: tuple[str, ...] = ("zone_id", "indicator")) -> DataFrame:

@@ -9,6 +9,7 @@ from tidewater.operators import baseline as B
 from tidewater.operators import rainfall as C
 from tidewater.plans.bindings import bound
 from tidewater.plans.registry import query
+from tidewater.sources.stored import stored
 
 #: Decimals that both engines keep: few for observations and many for rainfall, so that no exact decimal is a tie.
 R = lambda c, n=2: F.round(c, n)
@@ -33,10 +34,24 @@ def tiers(spark, d) -> DataFrame:
     return bound(spark, d, "zones").join(bound(spark, d, "bodies").select("body_id", "tier"), "body_id").select("zone_id", "tier")
 
 
+_BUILT: dict[tuple, DataFrame] = {}
+
+
+def built_baseline(spark, d) -> DataFrame:
+    """The seasonal baseline of the readings, built once in a session for all queries that look it up, and kept as a table;
+    anew where the readings' files have changed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/lineitem.parquet")
+    changed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    key = (spark.sparkContext.applicationId, d, changed)
+    if key not in _BUILT:
+        _BUILT[key] = stored(B.seasonal_baseline(bound(spark, d, "obs")), "baseline")
+    return _BUILT[key]
+
+
 def baseline_with_status(spark, d) -> DataFrame:
     """Every series and day of the year with its statistics, history and status."""
     obs = bound(spark, d, "obs")
-    full = B.seasonal_baseline(obs).join(B.history_days(obs).select("zone_id", "indicator", "history_days"), ["zone_id", "indicator"]).join(tiers(spark, d), "zone_id", "left")
+    full = built_baseline(spark, d).join(B.history_days(obs).select("zone_id", "indicator", "history_days"), ["zone_id", "indicator"]).join(tiers(spark, d), "zone_id", "left")
     status = B.window_status(F.col("n_samples"), F.col("history_days"), F.col("tier"))
     return full.withColumn("status", status)
 
@@ -59,6 +74,17 @@ def b3(spark, d):
     return r.select("zone_id", "indicator", F.col("doy").cast("long").alias("doy"), *[R(c).alias(c) for c in ("median", "sigma", "p10", "p90")], "n_samples", "n_years")
 
 
+@query("B3_extended_baseline", BASE + "\n---\nSELECT zone_id, indicator, CAST(doy AS BIGINT) AS doy, round(median, 2) AS median, round(sigma, 2) AS sigma, round(p10, 2) AS p10, round(p90, 2) AS p90, coalesce(n_samples, 0) AS n_samples, coalesce(n_years, 0) AS n_years FROM days LEFT JOIN stats USING (zone_id, indicator, doy)", uses=ALL)
+def b3_extended(spark, d):
+    """The baseline of all readings but each series' last week, extended by that week."""
+    obs = bound(spark, d, "obs")
+    ends = obs.groupBy("zone_id", "indicator").agg(F.date_sub(F.max("observed_at"), 7).alias("_end"))
+    dated = stored(obs.join(ends, ["zone_id", "indicator"]).select("zone_id", "indicator", "observed_at", "mean", (F.to_date("observed_at") > F.col("_end")).alias("fresh")), "readings")
+    before = stored(B.seasonal_baseline(dated.filter("NOT fresh")), "baseline-before")
+    r = B.extended_baseline(before, dated, dated.filter("fresh"))
+    return r.select("zone_id", "indicator", F.col("doy").cast("long").alias("doy"), *[R(c).alias(c) for c in ("median", "sigma", "p10", "p90")], "n_samples", "n_years")
+
+
 @query("B4_history_union", """s AS (SELECT zone_id, indicator, observed_at + INTERVAL 1 DAY AS observed_at, mean * 0.5e0 AS value FROM obs WHERE scene_id % 50 = 0)
 ---
 SELECT zone_id, indicator, observed_at, round(mean, 2) AS value, 'satellite' AS origin FROM obs WHERE mean IS NOT NULL AND observed_at < TIMESTAMP '2000-01-01'
