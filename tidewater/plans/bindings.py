@@ -14,8 +14,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 BINDINGS: dict[str, str] = {
     "obs": """SELECT l_suppkey AS zone_id, l_returnflag AS indicator, l_shipdate AS observed_at, l_orderkey AS scene_id, l_linenumber AS line,
         l_extendedprice * l_discount * 0.1414213562e0 AS mean, l_extendedprice * l_tax * 0.1732050807e0 AS p90, l_quantity * 2 AS valid_pixel_pct, l_quantity AS water_fraction_pct FROM lineitem""",
-    "quality": """SELECT l_suppkey AS zone_id, CASE WHEN l_returnflag = 'N' THEN l_returnflag || l_linestatus ELSE l_returnflag END AS indicator, l_shipdate AS observed_at,
-        l_extendedprice * l_discount * 0.1414213562e0 AS mean, l_quantity AS water_fraction_pct FROM lineitem""",
+    "quality": """SELECT l_suppkey AS zone_id, CASE WHEN l_returnflag = 'N' THEN l_returnflag || l_linestatus ELSE l_returnflag END AS indicator, l_shipdate AS observed_at, l_orderkey AS scene_id,
+        l_extendedprice * l_discount * 0.1414213562e0 AS mean, l_quantity * 2 AS valid_pixel_pct, l_quantity AS water_fraction_pct FROM lineitem""",
     "bodies": """SELECT CAST(n_nationkey AS BIGINT) AS body_id, n_name AS name, r_name AS district, CAST(1 + n_nationkey % 3 AS BIGINT) AS tier,
         0.5e0 + n_nationkey * 0.7e0 AS area_km2, CASE n_nationkey % 4 WHEN 0 THEN 'reservoir' WHEN 1 THEN 'river' WHEN 2 THEN 'basin' ELSE 'pond' END AS water_tag,
         n_nationkey % 5 = 0 AS drinking_water, n_nationkey % 2 = 0 AS urban FROM nation JOIN region ON n_regionkey = r_regionkey""",

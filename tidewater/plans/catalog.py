@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans import alerting, detection, fusion, monitoring, pixel_plans, registry_plans, seasonal, source_plans, streams
+from tidewater.plans import alerting, detection, fusion, monitoring, pixel_plans, registry_plans, reports, seasonal, source_plans, streams
 from tidewater.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
-_MODULES = (alerting, detection, fusion, monitoring, pixel_plans, registry_plans, seasonal, source_plans, streams)
+_MODULES = (alerting, detection, fusion, monitoring, pixel_plans, registry_plans, reports, seasonal, source_plans, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,12 +201,15 @@ def s17(spark, d):
     return S.report_rows(days, read, ["scene_id"], keep=("body_id",))
 
 
-@query("S18_geojson", POLY + """,
+S18_SQL = POLY + """,
 rg AS (SELECT id, '[[' || string_agg('[' || CAST(round(x, 1) AS VARCHAR) || ',' || CAST(round(y, 1) AS VARCHAR) || ']', ',' ORDER BY seq) || ',' || arg_min('[' || CAST(round(x, 1) AS VARCHAR) || ',' || CAST(round(y, 1) AS VARCHAR) || ']', seq) || ']]' AS g FROM vx GROUP BY 1),
 k AS (SELECT *, CASE WHEN votes > 2 THEN 'plume' WHEN votes = 2 THEN 'localised' ELSE 'zone' END AS kind, CASE WHEN votes > 2 THEN priority WHEN votes = 2 THEN valid_pct END AS area FROM candidates)
 ---
 SELECT candidate_id, '{"type":"Feature","id":"alr_' || candidate_id || '"' || coalesce(',"geometry":{"type":"Polygon","coordinates":' || g || '}', '') || ',"properties":{"zone_id":' || zone_id || ',"primary_indicator":"' || indicator || '","priority_score":' || priority || ',"geom_kind":"' || kind || '","affected_area":' || priority || coalesce(',"area":' || area, '') || '}}' AS feature
-FROM k LEFT JOIN rg ON rg.id = k.zone_id""", uses=("candidates",))
+FROM k LEFT JOIN rg ON rg.id = k.zone_id"""
+
+
+@query("S18_geojson", S18_SQL, uses=("candidates",))
 def s18(spark, d):
     shapes = G.outlines(polygons(spark, d), "id", digits=1).withColumnRenamed("id", "zone_id")
     votes, kind = F.col("votes"), F.when(F.col("votes") > 2, "plume").when(F.col("votes") == 2, "localised").otherwise("zone")
