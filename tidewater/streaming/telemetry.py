@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ def flatten(events: DataFrame, *, properties: str = "props") -> DataFrame:
     return events.withColumns({"k": F.coalesce(p["k"], F.lit(0)), "device": F.coalesce(p["device"], F.lit("unknown")), "sent_at": at})
 
 
+# The bands' bounds and words below are fixed values.
+
+
 def turbidity_band(ntu: Column, unit: Column) -> Column:
     """Turbidity in words; empty for a unit that is not NTU (none given counts as NTU), as a percentage is no NTU."""
     known = F.upper(F.trim(F.coalesce(unit, F.lit("NTU")))).isin("NTU", "")
@@ -46,9 +51,6 @@ def signal_band(rssi: Column) -> Column:
 
 #: Card labels of the device page and the keys of its JSON contract; fixed values.
 LABEL_KEYS = {"TURBIDITY": "turbidity", "TDS": "tds", "TEMPERATURE": "temperature", "TEMP": "temperature", "PH": "ph"}
-CARD = r'(?is)class="label"[^>]*>(.*?)</div>\s*<div[^>]*class="value"[^>]*>(.*?)</div>'
-STATUS = r'(?is)class="status"[^>]*>(.*?)</div>'
-NUMBER = r"-?\d+(?:\.\d+)?"
 
 
 def visible(fragment: Column) -> Column:
@@ -56,28 +58,85 @@ def visible(fragment: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(fragment, "<[^>]+>", " "), r"\s+", " "))
 
 
-def device_readings(pages: DataFrame, *, body: str = "body") -> DataFrame:
-    """``pages`` with ``readings`` (array of key, value, unit; of a repeated key the last) and ``device_status``.
+def bound_to(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
+def divisions(body: Column) -> Column:
+    """The page cut at its div tags: array of (kind, text), the class in lower case and what is visible up to the end tag."""
+    opened = F.slice(F.split(body, "(?i)<div(?=[\\s>])"), 2, 1 << 30)
+
+    def one(piece: Column) -> Column:
+        halves = F.split(piece, ">", 2)
+        tag, shown = F.lower(F.translate(halves[0], "'", '"')), F.split(F.get(halves, F.lit(1)), "(?i)</div", 2)[0]
+        named = F.get(F.split(tag, 'class="', 2), F.lit(1))
+        return F.struct(F.trim(F.substring_index(named, '"', 1)).alias("kind"), shown.alias("raw"))
 
-    A card is a label and a value; its first number counts, what follows it is the unit, as it stands. Known labels have
-    the contract's keys, others their own name in lower case with underscores. Cards without label or number are left
-    out; a page without any reading has null readings and no status. Units are never converted.
+    cards = F.filter(F.transform(opened, one), lambda d: d["kind"].isin("label", "value", "status"))
+    return F.transform(cards, lambda d: F.struct(d["kind"].alias("kind"), visible(d["raw"]).alias("text")))
+
+
+def leading_number(text: Column) -> Column:
+    """Struct (value, rest): the first number in a text, and what follows it. A number is digits from the first one on, with one
+    point that digits follow, and a minus sign right before them."""
+    figures = F.lit("0123456789")
+    run = lambda c: F.substring(c, F.lit(1), F.length(c) - F.length(F.ltrim(c, figures)))
+    begin = F.struct(text.alias("text"), F.regexp_replace(text, "^[^0-9]+", "").alias("rest"))
+    whole = bound_to(begin, lambda b: F.struct(F.substring(b["text"], F.length(b["text"]) - F.length(b["rest"]), F.lit(1)).alias("before"), (F.length(b["text"]) > F.length(b["rest"])).alias("some"), b["rest"].alias("rest"), run(b["rest"]).alias("whole")))
+    part = bound_to(whole, lambda w: F.struct(F.when(w["some"] & (w["before"] == "-"), -1.0).otherwise(1.0).alias("sign"), w["rest"].alias("rest"), w["whole"].alias("whole"), F.when(F.substring(w["rest"], F.length(w["whole"]) + 1, F.lit(1)) == ".", run(F.substring(w["rest"], F.length(w["whole"]) + 2, F.length(w["rest"])))).otherwise("").alias("part")))
+    said = bound_to(part, lambda p: F.struct(p["sign"].alias("sign"), p["rest"].alias("rest"), F.when(p["part"] != "", F.concat_ws(".", p["whole"], p["part"])).otherwise(p["whole"]).alias("said")))
+    return bound_to(said, lambda s: F.struct((s["sign"] * s["said"].try_cast("double")).alias("value"), F.trim(F.substring(s["rest"], F.length(s["said"]) + 1, F.length(s["rest"]))).alias("rest")))
+
+
+def device_readings(pages: DataFrame, *, body: str = "body", device: str = "device page") -> DataFrame:
+    """``pages`` with what a device answered: ``readings`` (array of key, value, unit; of a repeated key the last),
+    ``device_status``, ``device``, ``source`` (html or json), and ``payload``, a JSON answer as it stands.
+
+    On a page, a value that follows a label is a card; its first number counts, what follows it is the unit, as it stands.
+    Known labels have the contract's keys, others their own name in lower case with underscores. Cards without label or
+    number are left out; a page without any reading, and an answer that is neither a page nor a JSON object, has nulls. A JSON
+    object is passed on: its entries that are objects with a number as value are readings, its device, source and
+    device_status are its own. Units are never converted.
     """
-    labels, values = (F.regexp_extract_all(body, F.lit(CARD), F.lit(k)) for k in (1, 2))
     key = F.create_map(*[F.lit(x) for pair in LABEL_KEYS.items() for x in pair])
-
-    def card(label: Column, value: Column) -> Column:
-        name, raw = F.upper(visible(label)), visible(value)
-        number = F.regexp_extract(raw, NUMBER, 0)
-        unit = F.trim(F.regexp_extract(raw, f"(?s){NUMBER}(.*)", 1))
-        return F.struct(F.coalesce(F.try_element_at(key, name), F.regexp_replace(F.lower(name), " ", "_")).alias("key"), number.try_cast("double").alias("value"), F.when(unit != "", unit).alias("unit"))
-
-    cards = F.filter(F.zip_with(labels, values, card), lambda c: (c["key"] != "") & c["value"].isNotNull())
-    found = pages.withColumn("_cards", cards)
-    last = F.filter("_cards", lambda c, i: ~F.exists(F.slice("_cards", i + 2, F.size("_cards")), lambda later: later["key"] == c["key"]))
-    status = F.trim(F.regexp_replace(visible(F.regexp_extract(body, STATUS, 1)), r"(?i)^STATUS\s*:\s*", ""))
-    some = F.size("_cards") > 0
-    return found.withColumns({"readings": F.when(some, last), "device_status": F.when(some & (status != ""), status)}).drop("_cards")
+    text = F.trim(F.col(body), F.lit(" \t\r\n"))
+
+    def paired(d: Column, following: Column) -> Column:
+        right = (d["kind"] == "label") & (following["kind"] == "value") & (d["text"] != "")
+        return F.when(right, F.struct(F.upper(d["text"]).alias("name"), leading_number(following["text"]).alias("number")))
+
+    def reading(c: Column) -> Column:
+        named = F.coalesce(F.try_element_at(key, c["name"]), F.translate(F.lower(c["name"]), " ", "_"))
+        return F.struct(named.alias("key"), c["number"]["value"].alias("value"), F.nullif(c["number"]["rest"], F.lit("")).alias("unit"))
+
+    def entry(e: Column) -> Column:
+        held = F.when(e["value"].startswith("{"), e["value"])
+        return F.struct(e["key"].alias("key"), F.get_json_object(held, "$.value").try_cast("double").alias("value"), F.get_json_object(held, "$.unit").alias("unit"))
+
+    def latest(rows: Column) -> Column:
+        return F.filter(rows, lambda c, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda later: later["key"] == c["key"]))
+
+    def read(divs: Column) -> Column:
+        cards = F.filter(divs, lambda d: d["kind"] != "status")
+        pairs = bound_to(cards, lambda c: F.zip_with(c, F.slice(c, 2, 1 << 30), paired))
+        found = F.transform(F.filter(F.array_compact(pairs), lambda c: c["number"]["value"].isNotNull()), reading)
+        return F.struct(bound_to(found, latest).alias("readings"), F.get(F.filter(divs, lambda d: d["kind"] == "status"), F.lit(0))["text"].alias("status"))
+
+    def status(said: Column) -> Column:
+        own = F.trim(F.regexp_replace(said, "^[^:]*:", ""))
+        return F.nullif(F.when(F.lower(F.trim(F.substring_index(said, ":", 1))) == "status", own).otherwise(said), F.lit(""))
+
+    is_json = F.substring(text, 1, 1).isin("{", "[")
+    found = pages.withColumns({"_page": F.when(~is_json, bound_to(divisions(F.col(body)), read)), "_json": F.when(is_json & F.from_json(text, "map<string, string>").isNotNull() & text.startswith("{"), text)})
+    own = F.filter(F.transform(F.map_entries(F.from_json("_json", "map<string, string>")), entry), lambda r: r["value"].isNotNull())
+    page, given = F.coalesce(F.size("_page.readings"), F.lit(0)) > 0, F.col("_json").isNotNull()
+    field = lambda name: F.get_json_object("_json", f"$.{name}")
+    out = {
+        "readings": F.when(page, F.col("_page.readings")).otherwise(own), "device_status": F.when(page, status(F.col("_page.status"))).otherwise(field("device_status")), "device": F.when(page, device).otherwise(field("device")),
+        "source": F.when(page, "html").when(given, F.coalesce(field("source"), F.lit("json"))), "payload": F.col("_json"),
+    }
+    return found.withColumns(out).drop("_page", "_json")
 
 
 def episodes(candidates: DataFrame, *, days: int = 14) -> DataFrame:
