@@ -9,6 +9,7 @@ from tidewater.operators import detect as D
 from tidewater.operators import fuse as U
 from tidewater.plans.bindings import bound, table
 from tidewater.plans.registry import query
+from tidewater.sources.stored import stored
 
 R = lambda c, n=6: F.round(c, n)
 
@@ -93,18 +94,29 @@ def examples(spark, d) -> DataFrame:
 NAMES = [f"f_{k}" for k in U.WEIGHTS]
 
 
-@query("F8_learned_priority_model")
-def f8(spark, d):
+_FITTED: dict[tuple, object] = {}
+
+
+def fitted(spark, d):
+    """The learned model of a folder's examples, fitted once in a session."""
     from tidewater.operators.learned import fit_priority
 
-    return fit_priority(examples(spark, d), NAMES).metrics
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITTED:
+        _FITTED[key] = fit_priority(stored(examples(spark, d), "examples"), NAMES)
+    return _FITTED[key]
+
+
+@query("F8_learned_priority_model")
+def f8(spark, d):
+    return fitted(spark, d).metrics
 
 
 @query("F9_additive_attribution")
 def f9(spark, d):
-    from tidewater.operators.learned import attribute, fit_priority
+    from tidewater.operators.learned import attribute
 
-    parts = attribute(fit_priority(examples(spark, d), NAMES), scored(spark, d), NAMES, "candidate_id")
+    parts = attribute(fitted(spark, d), scored(spark, d), NAMES, "candidate_id")
     return parts.select("candidate_id", R("prediction", 4).alias("prediction"), R("base", 4).alias("base"), *[R(c, 4).alias(c) for c in parts.columns if c.startswith("a_")])
 
 
@@ -112,7 +124,7 @@ def f9(spark, d):
 def v7(spark, d):
     from tidewater.operators.learned import guarded_retrain
 
-    return guarded_retrain(examples(spark, d), NAMES)
+    return guarded_retrain(stored(examples(spark, d), "examples"), NAMES)
 
 
 @query("F10_active_model", "m AS (SELECT p_brand AS version, max(p_partkey) AS seen_at, count(*) FILTER (p_size > 45) > 0 AS ok FROM part GROUP BY 1)\n---\nSELECT version, version = coalesce((SELECT arg_max(version, seen_at) FROM m WHERE ok), 'weighted') AS active FROM m UNION ALL SELECT 'weighted', NOT EXISTS (SELECT 1 FROM m WHERE ok)")
