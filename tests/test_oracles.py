@@ -10,7 +10,7 @@ from tidewater.plans.bindings import TABLES
 from tidewater.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-SAMPLE = ["B2_robust_statistics", "C2_trailing_72h", "C4_sync_plan", "D4_hot_pixel_gate", "F2_spatial_expansion", "X2_multiple_phrase", "A2_episodes", "V1_verdict", "V4_precision", "Q9_keyset_page", "M2_dilation", "N1_reflectance", "G2_polygon_area", "G3_rasterise", "G3_rasterise_buffered", "G4_interior_point", "G8_tile_lookup", "S8_windowed_read", "S9_resample_bilinear", "S17_report_rows", "S18_geojson", "S19_map_polygons", "S2_scene_catalog", "S11_backfill_chunks", "S1_load_registry", "T1_streaming_weekly_rollup", "T2_exactly_once", "T3_stateful_episodes", "T4_device_page", "A4_follow_ups", "X4_wording_guard", "G15_slug", "D15_rainfall_gate", "A8_alert_feed", "A9_alert_payload", "X3_summary", "O2_open_alerts", "T6_reading_bands"]
+SAMPLE = ["B2_robust_statistics", "C2_trailing_72h", "C4_sync_plan", "D4_hot_pixel_gate", "F2_spatial_expansion", "X2_multiple_phrase", "A2_episodes", "V1_verdict", "V4_precision", "Q9_keyset_page", "M2_dilation", "N1_reflectance", "G2_polygon_area", "G3_rasterise", "G3_rasterise_buffered", "G4_interior_point", "G8_tile_lookup", "S8_windowed_read", "S9_resample_bilinear", "S17_report_rows", "S18_geojson", "S19_map_polygons", "S2_scene_catalog", "S11_backfill_chunks", "S1_load_registry", "T1_streaming_weekly_rollup", "T2_exactly_once", "T3_stateful_episodes", "T4_device_page", "A4_follow_ups", "X4_wording_guard", "G15_slug", "D15_rainfall_gate", "A8_alert_feed", "A9_alert_payload", "X3_summary", "O2_open_alerts", "T6_reading_bands", "S3_boa_offset", "N13_display_stretch", "M3_valid_mask", "M8_opening_and_closing", "M9_components", "M10_water_mask", "D5_dbscan_core_points", "D5_dbscan_clusters", "D6_cluster_stats", "D9_cluster_outline", "B3_extended_baseline", "B6_window_status", "S15_observation_table", "S18_feature_files", "S8_pruned_read", "T1_incremental_rollup", "T2_stage_input", "T3_closed_episodes"]
 
 
 def plain(v):
