@@ -1,7 +1,9 @@
 """Tiles, stitched rings and windows against hand-made cases."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,22 +38,17 @@ def ring_area(points):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_loops_join_shuffled_ways(seed):
+def test_rings_come_from_shuffled_pieces(seed):
     rng = random.Random(seed)
-    rings = [[(k, i) for i in range(rng.randint(1, 9))] for k in range(5)]
-    ways, number = [], 0
-    for ring in rings:
-        for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
-            ways.append((number, *((a, b) if rng.random() < 0.5 else (b, a))))
-            number += 1
-    dangling = [(number, rings[0][0], "out"), (number + 1, "out", "further"), (number + 2, "x", "y")]
-    rng.shuffle(ways)
-    found = osm.loops(dangling + ways)
-    assert sorted(len(f) for f in found) == sorted(len(r) for r in rings)
-    ends = {n: (a, b) for n, a, b in ways}
-    for loop in found:
-        walk = [ends[n][::-1] if back else ends[n] for n, back in loop]
-        assert all(p[1] == q[0] for p, q in zip(walk, walk[1:] + walk[:1], strict=True))
+    made = [[(40 * k + 9 * math.cos(2 * math.pi * i / n), 9 * math.sin(2 * math.pi * i / n)) for i in range(n)] for k in range(5) for n in [rng.randint(3, 9)]]
+    pieces = [(min(a, b), max(a, b)) for ring in made for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+    pieces += [(min(made[0][0], (11.0, 20.0)), max(made[0][0], (11.0, 20.0))), ((11.0, 20.0), (12.0, 30.0)), ((300.0, 1.0), (301.0, 2.0))]  # dangling
+    rng.shuffle(pieces)
+    ends = np.array([[*a, *b] for a, b in pieces])
+    found = osm.rings(ends, np.ones(len(ends), bool), np.zeros(len(ends), bool))
+    assert sorted(len(f) for f in found) == sorted(len(r) for r in made)
+    areas = sorted(ring_area([tuple(p) for p in f]) for f in found)
+    assert areas == pytest.approx(sorted(abs(ring_area(r)) for r in made)) and min(areas) > 0
 
 
 def test_elements_that_are_no_polygons_are_left_out(spark):
