@@ -157,6 +157,15 @@ def test_attribution_sums_to_the_model_and_rounds_stop_early(spark):
     assert 1 <= m["rounds"] <= 12 and m["mae"] < 20 and m["mae"] <= m["rmse"]
 
 
+def test_batches_of_trees_give_the_trees_of_all_rounds(spark):
+    data = examples(spark, 200).coalesce(2).persist()
+    whole, parts = (learned.fit_priority(data, NAMES, rounds=24, patience=6, rate=0.3, batch=b) for b in (24, 3))
+    for field in ("feature", "cut", "value"):
+        assert np.array_equal(getattr(whole, field), getattr(parts, field))
+    assert whole.metrics.collect() == parts.metrics.collect()
+    data.unpersist()
+
+
 def test_retrain_promotes_only_what_is_better(spark):
     data = examples(spark, 300, noise=0.0)
     (row,) = learned.guarded_retrain(data, NAMES, rounds=8).collect()
