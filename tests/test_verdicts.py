@@ -33,6 +33,24 @@ def test_a_district_miss_still_tries_the_area(spark):
     places = spark.createDataFrame([(7, 5.0, 5.0), (8, 50.0, 50.0), (9, 5.0, 6.0)], "zone_id long, px double, py double")
     pairs = alerts.matching_recipients(sent, people, places, areas, cell=4.0)
     assert sorted((r["alert_id"], r["recipient_id"]) for r in pairs.collect()) == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 1), (3, 2), (3, 3)]
+    members = alerts.audiences(people, places, areas, cell=4.0)
+    classes = alerts.reached(sent, members)
+    for some in (sent, sent.filter("alert_id <> 2"), sent.limit(0)):
+        wanted = sorted((r["alert_id"], r["recipient_id"]) for r in pairs.join(some.select("alert_id"), "alert_id", "left_semi").collect())
+        assert sorted((r["alert_id"], r["recipient_id"]) for r in alerts.expanded(some, classes, members).collect()) == wanted
+    assert classes.agg(F.sum("n_pairs")).first()[0] == pairs.count()
+
+
+def test_classes_count_many_alerts_and_recipients_once(spark):
+    sent = spark.range(600).select(F.col("id").alias("alert_id"), (F.col("id") % 2).alias("zone_id"), F.when(F.col("id") % 2 == 0, "east").alias("district"), F.when(F.col("id") % 3 == 0, "high").otherwise("low").alias("severity"))
+    people = spark.range(500).select(F.col("id").alias("recipient_id"), F.when(F.col("id") % 5 > 0, "east").alias("district"), F.lit("medium").alias("min_severity"), (F.col("id") % 2 == 0).alias("active"))
+    members = alerts.audiences(people)
+    classes = alerts.reached(sent, members).collect()
+    assert members.count() == 250 and members.select("audience").distinct().count() == 2
+    # high ones of the east reach both audiences, those without a district only the recipients without one
+    assert sorted((r["zone_id"], r["n_alerts"], r["n_recipients"], r["n_pairs"]) for r in classes) == [(0, 100, 50, 5000), (0, 100, 200, 20000), (1, 100, 50, 5000)]
+    assert alerts.reached(sent.limit(0), members).count() == 0 == alerts.reached(sent, alerts.audiences(people.limit(0))).count()
+    assert alerts.expanded(sent, alerts.reached(sent, members), members).count() == 30000
 
 
 def test_smoother_scales_weights_where_values_are_missing(spark):

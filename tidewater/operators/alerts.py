@@ -152,6 +152,53 @@ def matching_recipients(alerts: DataFrame, recipients: DataFrame, places: DataFr
     return pairs.unionByName(more.select(*pairs.columns))
 
 
+def audiences(recipients: DataFrame, places: DataFrame | None = None, areas: DataFrame | None = None, *, cell: float = 1000.0) -> DataFrame:
+    """Active recipients (recipient_id) with ``audience``, a digest that those share whom every alert reaches alike, and what
+    it is made of: district, ``least`` (rank of the least severity) and ``zones`` whose places lie in the recipient's area
+    (sorted; null without an area, empty where no place lies in it)."""
+    active = recipients.filter("active").select("recipient_id", "district", rank(F.col("min_severity")).cast("int").alias("least"))
+    if areas is None:
+        found = active.withColumn("zones", F.lit(None).cast("array<long>"))
+    else:
+        owners = areas.select("recipient_id").distinct().withColumn("_owner", F.lit(True))
+        asked = areas.join(active.select("recipient_id"), "recipient_id", "left_semi")
+        around = points_in(places.withColumnRenamed("zone_id", "pid"), asked, "recipient_id", cell=cell)
+        zones = around.groupBy("recipient_id").agg(F.sort_array(F.collect_set("pid")).alias("zones"))
+        found = active.join(owners, "recipient_id", "left").join(zones, "recipient_id", "left")
+        found = found.withColumn("zones", F.when(F.col("_owner"), F.coalesce("zones", F.array().cast(zones.schema["zones"].dataType)))).drop("_owner")
+    given = lambda text: F.coalesce(F.concat(F.lit("="), text), F.lit(""))
+    text = F.concat(given(F.col("district")), F.lit("|"), F.col("least").cast("string"), F.lit("|"), given(F.array_join("zones", ",")))
+    return found.select("recipient_id", F.md5(text).alias("audience"), "district", "least", "zones")
+
+
+def reached(alerts: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs of ``matching_recipients`` by class: alerts of one (zone_id, district, severity) and recipients of one
+    audience either all meet or none does. One row per pair of classes that meet, with n_alerts, n_recipients and n_pairs.
+
+    ``members`` is the result of ``audiences``. The rows grow with zones and with the places in areas, not with alerts or
+    recipients. Audiences without district and area, at most one for each rank of severity, are broadcast.
+    """
+    classes = alerts.groupBy("zone_id", "district", "severity").agg(F.count("*").alias("n_alerts"))
+    classes = classes.withColumn("_rank", rank(F.col("severity")))
+    groups = members.groupBy("audience").agg(*[F.first(c).alias(c) for c in ("district", "least", "zones")], F.count("*").alias("n_recipients"))
+    severe = F.col("_rank") >= F.col("least")
+    columns = ["zone_id", "district", "severity", "audience", "n_alerts", "n_recipients"]
+    home = classes.join(groups.filter("district IS NOT NULL").drop("zones"), "district").filter(severe)
+    everywhere = F.broadcast(groups.filter("district IS NULL AND zones IS NULL").drop("district", "zones"))
+    around = groups.withColumn("zone_id", F.explode("zones")).withColumnRenamed("district", "_d")
+    near = classes.join(around, "zone_id").filter(severe & ~F.coalesce(F.col("_d") == F.col("district"), F.lit(False)))
+    met = home.select(*columns).unionAll(classes.join(everywhere, severe).select(*columns)).unionAll(near.select(*columns))
+    return met.withColumn("n_pairs", F.col("n_alerts") * F.col("n_recipients"))
+
+
+def expanded(alerts: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """(alert, recipient_id) pairs of the given alerts, such as those since the last dispatch, from ``reached`` and
+    ``audiences``."""
+    met = classes.select(F.col("zone_id").alias("_z"), F.col("district").alias("_d"), F.col("severity").alias("_s"), "audience")
+    same = F.col("zone_id").eqNullSafe(F.col("_z")) & F.col("district").eqNullSafe(F.col("_d")) & F.col("severity").eqNullSafe(F.col("_s"))
+    return alerts.join(met, same).drop("_z", "_d", "_s").join(members.select("audience", "recipient_id"), "audience").drop("audience")
+
+
 def send_decisions(pairs: DataFrame, sent: DataFrame, *, enabled: bool = True, manual: bool = False) -> DataFrame:
     """Pairs with ``decision``: skipped if the switch is off; nothing new if sent before at this severity or above."""
     before = sent.groupBy("alert_id", "recipient_id").agg(F.max(rank(F.col("severity"))).alias("_r"))

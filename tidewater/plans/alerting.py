@@ -10,6 +10,7 @@ from tidewater.operators import geometry as G
 from tidewater.plans.bindings import bound, table
 from tidewater.plans.registry import query
 from tidewater.plans.registry_plans import INSIDE, POLY, polygons
+from tidewater.sources.stored import stored
 
 R = lambda c, n=6: F.round(c, n)
 SEV = "CASE WHEN priority >= 70 THEN 'high' WHEN priority >= 40 THEN 'medium' ELSE 'low' END"
@@ -121,16 +122,21 @@ PAIRS = f"""{EPISODES},
 pr AS (SELECT alert_id, recipient_id, severity FROM aa LEFT JOIN ip ON ip.id = aa.zone_id JOIN re ON (re.district = aa.district OR (re.district IS NULL AND NOT has_area) OR (has_area AND abs(px - cx) < 1500 AND abs(py - cy) < 1500)) WHERE active AND {RANK} >= list_position(['low', 'medium', 'high'], min_severity))"""
 
 
-def pairs(spark, d) -> DataFrame:
+def parties(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Alerts, recipients, places of the zones and areas of recipients."""
     places = bound(spark, d, "bodies").select(F.col("body_id").alias("c_nationkey"), "district")
     c = table(spark, d, "customer").join(places, "c_nationkey")
     recipients = c.select(F.col("c_custkey").alias("recipient_id"), F.when(F.col("c_custkey") % 3 != 0, F.col("district")).alias("district"), F.when(F.col("c_custkey") % 2 == 0, "high").otherwise("medium").alias("min_severity"), (F.col("c_acctbal") > 5000).alias("active"))
-    alerts = alertable(spark, d).join(places.withColumnRenamed("c_nationkey", "zone_id"), "zone_id").select(F.col("candidate_id").alias("alert_id"), "zone_id", "district", "severity")
+    alerts = alertable(spark, d).join(places.withColumnRenamed("c_nationkey", "zone_id"), "zone_id").select(F.col("candidate_id").alias("alert_id"), "zone_id", "district", "severity", "observed_at")
     corner = lambda *v: F.array(*[F.lit(x) for x in v])[F.col("seq")]
     centre = c.filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("recipient_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("seq"), (F.col("c_custkey") % 97 * 190).alias("cx"), (F.col("c_acctbal") * 1.2).alias("cy"))
     squares = centre.select("recipient_id", "seq", (F.col("cx") + corner(-1500.0, 1500.0, 1500.0, -1500.0)).alias("x"), (F.col("cy") + corner(-1500.0, -1500.0, 1500.0, 1500.0)).alias("y"))
     places = G.interior_points(polygons(spark, d), "id").withColumnRenamed("id", "zone_id")
-    return A.matching_recipients(alerts, recipients, places, squares).select("alert_id", "recipient_id", "severity")
+    return alerts, recipients, places, squares
+
+
+def pairs(spark, d) -> DataFrame:
+    return A.matching_recipients(*parties(spark, d)).select("alert_id", "recipient_id", "severity")
 
 
 @query("P1_recipients", PAIRS + "\n---\nSELECT * FROM pr", uses=("candidates", "bodies"))
@@ -147,6 +153,40 @@ def p2(spark, d):
     return A.send_decisions(p, sent)
 
 
+AUDIENCES = """zn AS (SELECT recipient_id, string_agg(id, ',' ORDER BY id) AS zones FROM re JOIN ip ON has_area AND abs(px - cx) < 1500 AND abs(py - cy) < 1500 WHERE active GROUP BY 1),
+au AS (SELECT recipient_id, md5(coalesce('=' || district, '') || '|' || list_position(['low', 'medium', 'high'], min_severity) || '|' || CASE WHEN has_area THEN '=' || coalesce(zones, '') ELSE '' END) AS audience FROM re LEFT JOIN zn USING (recipient_id) WHERE active)"""
+
+
+@query("P1_audiences", PAIRS + ",\n" + AUDIENCES + "\n---\nSELECT recipient_id, audience FROM au", uses=("candidates", "bodies"))
+def p1_audiences(spark, d):
+    _, recipients, places, squares = parties(spark, d)
+    return A.audiences(recipients, places, squares).select("recipient_id", "audience")
+
+
+@query("P1_reached_classes", PAIRS + ",\n" + AUDIENCES + """
+---
+SELECT aa.zone_id, aa.severity, audience, count(DISTINCT alert_id) AS n_alerts, count(DISTINCT recipient_id) AS n_recipients, count(*) AS n_pairs FROM pr JOIN aa USING (alert_id) JOIN au USING (recipient_id) GROUP BY 1, 2, 3""", uses=("candidates", "bodies"))
+def p1_reached(spark, d):
+    """All pairs of P1 as classes that meet; P1_audiences has the members, alerts carry their class."""
+    alerts, recipients, places, squares = parties(spark, d)
+    return A.reached(alerts, stored(A.audiences(recipients, places, squares), "audiences")).drop("district")
+
+
+@query("P2_new_dispatches", PAIRS + """,
+nw AS (SELECT candidate_id AS alert_id FROM al WHERE observed_at > (SELECT max(observed_at) FROM al) - INTERVAL 7 DAY)
+---
+SELECT *, CASE WHEN (alert_id + recipient_id) % 4 = 0 AND 2 >= list_position(['low', 'medium', 'high'], severity) THEN 'already sent' ELSE 'send' END AS decision FROM pr SEMI JOIN nw USING (alert_id)""", uses=("candidates", "bodies"))
+def p2_new(spark, d):
+    """A dispatch run: pairs of the alerts of the week since the last run alone are written out."""
+    alerts, recipients, places, squares = parties(spark, d)
+    latest = alerts.agg((F.max("observed_at") - F.expr("INTERVAL 7 DAYS")).alias("_since"))
+    new = alerts.join(F.broadcast(latest), F.col("observed_at") > F.col("_since")).drop("_since")
+    members = stored(A.audiences(recipients, places, squares), "audiences")
+    p = A.expanded(new, A.reached(new, members), members).select("alert_id", "recipient_id", "severity")
+    sent = p.filter("(alert_id + recipient_id) % 4 = 0").select("alert_id", "recipient_id", F.lit("medium").alias("severity"))
+    return A.send_decisions(p, sent)
+
+
 LABS = """lb AS (SELECT candidate_id, CASE candidate_id % 5 WHEN 0 THEN 'ndti' WHEN 1 THEN 'sediment' WHEN 2 THEN 'ndci' WHEN 3 THEN 'fai' ELSE 'mndwi' END AS ind, CAST(observed_at AS DATE) AS obs_on, CAST(observed_at AS DATE) + CAST(candidate_id % 17 - 8 AS INTEGER) AS smp_on,
 CASE WHEN candidate_id % 7 = 0 THEN 'n/a' ELSE CAST(priority AS VARCHAR) END AS turb, CASE WHEN candidate_id % 3 = 0 THEN CAST(valid_pct AS VARCHAR) END AS tss, CAST(area_km2 * 8 AS VARCHAR) AS chl FROM candidates),
 vd AS (SELECT *, date_diff('day', obs_on, smp_on) AS lag, CASE WHEN ind = 'ndti' THEN CASE WHEN TRY_CAST(turb AS DOUBLE) IS NOT NULL THEN 'turbidity' WHEN TRY_CAST(tss AS DOUBLE) IS NOT NULL THEN 'tss' END
