@@ -13,6 +13,7 @@ from tidewater.sources import catalog, osm
 
 def test_known_places_have_their_squares(spark):
     places = [("43QCA", 73.8567, 18.5204), ("31UDQ", 2.3522, 48.8566), ("18TWL", -74.0060, 40.7128), ("56HLH", 151.2093, -33.8688), (None, 10.0, 85.0)]
+    places += [("32VKN", 5.3221, 60.3913), ("31VDG", 2.9, 60.3), ("33XWG", 15.6356, 78.2232)]  # Bergen, west of it, Longyearbyen
     frame = spark.createDataFrame(places, "wanted string, lon double, lat double")
     assert all(r["tile"] == r["wanted"] for r in G.tile_names(frame).collect())
 
@@ -33,6 +34,33 @@ def test_tiles_cover_edges_overlaps_and_the_middle(spark):
     assert found == {k: tiles for k, (_, tiles) in boxes.items()}
 
 
+def test_zones_of_norway_and_svalbard(spark):
+    wanted = {(2.99, 60.0): 31, (3.0, 60.0): 32, (11.99, 56.0): 32, (12.0, 60.0): 33, (5.0, 55.99): 31, (5.0, 64.0): 31, (8.99, 72.0): 31, (9.0, 80.0): 33, (20.99, 83.9): 33, (21.0, 72.0): 35, (33.0, 75.0): 37, (42.0, 75.0): 38, (-0.01, 75.0): 30, (9.0, 71.99): 32, (180.0, 0.0): 60}
+    frame = spark.createDataFrame([(*at, z) for at, z in wanted.items()], "lon double, lat double, wanted int")
+    assert frame.filter(G.grid_zone(F.col("lon"), F.col("lat")) != F.col("wanted")).collect() == []
+
+
+def test_simplified_outlines_stay_near_and_keep_corners(spark):
+    rng = np.random.default_rng(3)
+    circle = [(1, 0, k, float(math.cos(k / 50 * math.pi)), float(math.sin(k / 50 * math.pi))) for k in range(100)]
+    side = np.linspace(0, 10, 40)[:-1]
+    square = [(x, 0.0) for x in side] + [(10.0, y) for y in side] + [(10 - x, 10.0) for x in side] + [(0.0, 10 - y) for y in side]
+    square = [(2, 0, k, float(x + rng.normal() * 1e-4), float(y + rng.normal() * 1e-4)) for k, (x, y) in enumerate(square)]
+    small = [(3, ring, k, x, y) for ring in (0, 1) for k, (x, y) in enumerate(((0.0, 0.0), (1e-4, 0.0), (1e-4, 1e-4), (0.0, 1e-4)))]
+    same = [(4, 0, k, 5.0, 5.0) for k in range(6)]
+    frame = spark.createDataFrame(circle + square + small + same, "id long, ring long, seq long, x double, y double")
+    out = {}
+    for r in G.simplified(frame, "id", tolerance=0.01).orderBy("seq").collect():
+        out.setdefault((r["id"], r["ring"]), []).append((r["x"], r["y"]))
+    assert 12 < len(out[1, 0]) < 40 and len(out[2, 0]) <= 5 and {(round(x, 2), round(y, 2)) for x, y in out[2, 0]} >= {(10.0, 0.0), (10.0, 10.0), (0.0, 10.0)}
+    assert len(out[3, 0]) == len(out[3, 1]) == 3 and len(out[4, 0]) == 3 and G.simplified(frame.limit(0), "id", tolerance=1.0).count() == 0
+    kept = np.array(out[1, 0])
+    for _, _, _, x, y in circle:
+        a, line = kept, np.roll(kept, -1, 0) - kept
+        at = np.clip(((np.array([x, y]) - a) * line).sum(1) / (line**2).sum(1), 0, 1)
+        assert np.hypot(*(np.array([x, y]) - a - at[:, None] * line).T).min() <= 0.01
+
+
 def ring_area(points):
     return sum(x * y2 - x2 * y for (x, y), (x2, y2) in zip(points, points[1:] + points[:1], strict=True)) / 2
 

@@ -26,6 +26,15 @@ def utm_zone(lon: Column) -> Column:
     return (F.floor((lon + 180) / 6) + 1).cast("long")
 
 
+def grid_zone(lon: Column, lat: Column) -> Column:
+    """The military grid's zone: 32 reaches west over southern Norway, and Svalbard has 31, 33, 35 and 37 alone."""
+    north = lat >= 72
+    zone = F.when((lat >= 56) & (lat < 64) & (lon >= 3) & (lon < 12), 32)
+    for least, most, number in ((0, 9, 31), (9, 21, 33), (21, 33, 35), (33, 42, 37)):
+        zone = zone.when(north & (lon >= least) & (lon < most), number)
+    return zone.otherwise(F.least(utm_zone(lon), F.lit(60))).cast("long")
+
+
 def utm_epsg(zone: Column, lat: Column) -> Column:
     return F.when(lat >= 0, 32600 + zone).otherwise(32700 + zone)
 
@@ -200,9 +209,8 @@ _COLUMNS, _ROWS, _BANDS = ("ABCDEFGH", "JKLMNPQR", "STUVWXYZ"), "ABCDEFGHJKLMNPQ
 
 
 def tile_names(points: DataFrame) -> DataFrame:
-    """Points (lon, lat) with the name of their 100 km square (zone, band, column, row), null beyond 80 S and 84 N. The
-    irregular zones of Norway and Svalbard are taken as regular."""
-    p = points.withColumn("_z", F.least(utm_zone(F.col("lon")), F.lit(60)))
+    """Points (lon, lat) with the name of their 100 km square (zone, band, column, row), null beyond 80 S and 84 N."""
+    p = points.withColumn("_z", grid_zone(F.col("lon"), F.col("lat")))
     e, n = to_utm(F.col("lon"), F.col("lat"), F.col("_z"))
     p = p.withColumn("_e", F.floor(e / 100_000)).withColumn("_n", F.floor(n / 100_000))
     letter = lambda letters, i: F.substring(F.lit(letters), (i + 1).cast("int"), F.lit(1))
@@ -213,12 +221,48 @@ def tile_names(points: DataFrame) -> DataFrame:
     return p.withColumn("tile", name).drop("_z", "_e", "_n")
 
 
-def covering_tiles(vertices: DataFrame, key: str, *, overlap: float = 9_800.0, sample: float = 5_000.0) -> DataFrame:
+def simplified(vertices: DataFrame, key: str, *, tolerance: float) -> DataFrame:
+    """Rings (key, seq, x, y, perhaps ring and hole) without the vertices that lie within ``tolerance`` of the line between
+    kept neighbours (Douglas and Peucker). The first vertex of a ring and the one farthest from it stay, and at least three.
+    A ring is one task's group; its sections wait on a list, so an outline of any length needs no deep recursion."""
+
+    def thin(ring: pd.DataFrame) -> pd.DataFrame:
+        ring = ring.sort_values("seq")
+        p = ring[["x", "y"]].to_numpy(float)
+        if len(p) <= 3:
+            return ring
+        closed = np.vstack([p, p[:1]])
+        far = int(np.argmax(((p - p[0]) ** 2).sum(1)))
+        keep = np.zeros(len(closed), bool)
+        keep[[0, far, len(p)]] = True
+        gap = np.full(len(closed), -1.0)
+        waiting = [(0, far), (far, len(p))]
+        while waiting:
+            a, b = waiting.pop()
+            if b - a < 2:
+                continue
+            line, off = closed[b] - closed[a], closed[a + 1 : b] - closed[a]
+            at = np.clip(off @ line / max(line @ line, 1e-300), 0, 1)
+            distance = np.hypot(*(off - at[:, None] * line).T)
+            most = int(np.argmax(distance))
+            gap[a + 1 + most] = distance[most]
+            if distance[most] > tolerance:
+                keep[a + 1 + most] = True
+                waiting += [(a, a + 1 + most), (a + 1 + most, b)]
+        while keep[:-1].sum() < 3:
+            keep[int(np.argmax(np.where(keep, -2.0, gap)))] = True
+        return ring[keep[:-1]]
+
+    return vertices.groupBy(*rings(vertices, key)).applyInPandas(thin, vertices.schema)
+
+
+def covering_tiles(vertices: DataFrame, key: str, *, overlap: float = 9_800.0, sample: float = 5_000.0, tolerance: float = 0.001) -> DataFrame:
     """(key, tile) for each tile that a polygon (vertices in degrees) needs.
 
     A tile is a 100 km square with a strip to its east and south, so a point is in the squares of itself and of the points
-    ``overlap`` to its west, its north and both. Points are the centroid, the vertices and a grid inside the polygon every
-    ``sample`` metres, from the box's corner in the zone of the centroid.
+    ``overlap`` to its west, its north and both. Points are the centroid, the vertices of the outline simplified by
+    ``tolerance`` degrees, and a grid inside the whole polygon every ``sample`` metres, from the box's corner in the zone of
+    the centroid.
     """
     centre = centroids(vertices, key).select(key, F.col("cx").alias("clon"), F.col("cy").alias("clat"))
     mean = vertices.groupBy(key).agg(F.avg("x").alias("mlon"), F.avg("y").alias("mlat"))
@@ -232,7 +276,8 @@ def covering_tiles(vertices: DataFrame, key: str, *, overlap: float = 9_800.0, s
     north = F.col("n0") + F.col("row") * sample
     lon, lat = from_utm(F.col("e0") + F.col("col") * sample, north, F.col("zone"), F.lit(False))
     inside = grid.select(key, lon.alias("lon"), lat.alias("lat"))
-    points = vertices.select(key, F.col("x").alias("lon"), F.col("y").alias("lat")).unionAll(centre.select(key, "clon", "clat")).unionAll(inside)
+    outline = simplified(vertices, key, tolerance=tolerance)
+    points = outline.select(key, F.col("x").alias("lon"), F.col("y").alias("lat")).unionAll(centre.select(key, "clon", "clat")).unionAll(inside)
     points = points.withColumn("zone", F.least(utm_zone(F.col("lon")), F.lit(60)))
     e, n = to_utm(F.col("lon"), F.col("lat"), F.col("zone"))
     shifts = F.array(*[F.struct(F.lit(de).alias("de"), F.lit(dn).alias("dn")) for de in (0.0, -overlap) for dn in (0.0, overlap)])
