@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import readmodels as M
 from tidewater.operators.alerts import SEVERITIES
+from tidewater.operators.alerts import episodes as episodes_of
 from tidewater.operators.baseline import first_rows
 from tidewater.plans.alerting import EPISODES, LABS, episodes, fields, verdicts
 from tidewater.plans.bindings import bound, table
 from tidewater.plans.detection import SCORED
 from tidewater.plans.registry import query
 from tidewater.plans.seasonal import ALL, seen
+from tidewater.sources.stored import stored
 
 R = lambda c, n=6: F.round(c, n)
 STAGE = "st AS (SELECT body_id, scene_id % 500 AS scene_id, list_extract(['ingested', 'masked', 'indicators', 'anomalies', 'scored', 'alerted'], CAST(scene_id % 7 % 6 + 1 AS INTEGER)) AS stage, CAST(scene_id % 7 % 6 AS BIGINT) AS k, sensed_at, cloud_pct, state FROM scenes)"
@@ -206,6 +208,29 @@ def j5(spark, d):
     return M.brief_series(alerts, scored).select("zone_id", "indicator", "last_at", "observed_at", "scene_id", "line", *[R(c).alias(c) for c in ("mean", "p10", "p90", "median", "z")])
 
 
+FLAGGED = """fl AS (SELECT *, coalesce(date_diff('day', lag(observed_at) OVER w, observed_at) > 14, true) AS fresh FROM scored WHERE abs(z) > 3 WINDOW w AS (PARTITION BY zone_id, indicator ORDER BY observed_at, scene_id, line)),
+fe AS (SELECT *, CAST(sum(CAST(fresh AS BIGINT)) OVER (PARTITION BY zone_id, indicator ORDER BY observed_at, scene_id, line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode FROM fl),
+al AS (SELECT zone_id, indicator, episode, min(observed_at) AS first_at, max(observed_at) AS last_at, count(*) AS n_flagged FROM fe GROUP BY 1, 2, 3)"""
+
+
+@query("J5_episode_briefs", SCORED + ",\n" + FLAGGED + """
+---
+SELECT zone_id, indicator, episode, first_at, last_at, n_flagged, count(*) AS n_points, count(mean) AS n_readings, round(max(mean), 6) AS highest, count(*) FILTER (mean > p90) AS n_above, count(*) FILTER (mean < p10) AS n_below, round(max(abs(z)), 6) AS max_abs_z, min(observed_at) AS since
+FROM al JOIN scored USING (zone_id, indicator) WHERE CAST(observed_at AS DATE) BETWEEN CAST(last_at AS DATE) - 360 AND CAST(last_at AS DATE) GROUP BY ALL""", uses=ALL)
+def j5_episodes(spark, d):
+    """Alerts are the episodes of flagged readings; each one's brief comes as the figures of its twelve months."""
+    from tidewater.operators.detect import temporal_scores
+
+    scored = stored(temporal_scores(seen(spark, d)), "scored")
+    placed = episodes_of(scored.filter("flagged").withColumn("candidate_id", F.struct("scene_id", "line")))
+    alerts = placed.groupBy("zone_id", "indicator", "episode").agg(F.min("observed_at").alias("first_at"), F.max("observed_at").alias("last_at"), F.count("*").alias("n_flagged"))
+    brief = M.brief_series(alerts, scored).groupBy("zone_id", "indicator", "episode", "first_at", "last_at", "n_flagged")
+    return brief.agg(
+        F.count("*").alias("n_points"), F.count("mean").alias("n_readings"), R(F.max("mean")).alias("highest"), F.count_if(F.col("mean") > F.col("p90")).alias("n_above"), F.count_if(F.col("mean") < F.col("p10")).alias("n_below"),
+        R(F.max(F.abs("z"))).alias("max_abs_z"), F.min("observed_at").alias("since"),
+    )
+
+
 JOBS = STAGE + """,
 jc AS (SELECT body_id, year(sensed_at) AS yr, count(DISTINCT scene_id) AS n_scenes, """ + ", ".join(f"count(DISTINCT CASE WHEN k >= {i} OR state = 'P' THEN scene_id END) AS {n}" for i, n in enumerate(M.STAGES[:5])) + " FROM st WHERE cloud_pct <= 60 GROUP BY 1, 2)"
 
