@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import alerts, detect
+from tidewater.operators import alerts, detect, readmodels
 from tidewater.sources import catalog
 
 
@@ -65,3 +65,10 @@ def test_feed_counts_all_that_was_chosen(spark):
     rows = spark.range(30).select("id", F.when(F.col("id") % 3 == 0, "open").otherwise("dismissed").alias("status"), F.lit("high").alias("severity"), (F.col("id") * 3).alias("priority"), F.lit("2020-01-01").alias("last_at"))
     page = alerts.feed(alerts.chosen(rows, min_severity="medium", min_priority=30), ties=["id"], limit=2, offset=1).collect()
     assert [(r["id"], r["total"]) for r in page] == [(24, 6), (21, 6)]
+
+
+def test_zone_states_by_their_windows(spark):
+    zones = spark.createDataFrame([(1,), (2,), (3,), (4,)], "zone_id long")
+    windows = spark.createDataFrame([(1, "building"), (1, "usable"), (1, "usable"), (2, "building"), (4, None), (9, "usable")], "zone_id long, status string")
+    out = {r["zone_id"]: (r["baseline"], r["n_usable"]) for r in readmodels.zone_states(zones, windows).collect()}
+    assert out == {1: ("usable", 2), 2: ("building", 0), 3: ("none", 0), 4: ("building", 0)}

@@ -11,7 +11,7 @@ from tests.test_oracles import FOLDER, plain
 from tidewater.plans.bindings import TABLES
 from tidewater.plans.catalog import QUERIES
 
-WHOLE = ("P1_recipients", "P2_send_decisions", "P1_audiences", "P1_reached_classes", "P2_new_dispatches", "A6_reference_scene", "Q7_series_payload", "J5_brief_series", "J5_episode_briefs", "S10_block_plan", "C8_rain_percentile_rank", "D11_water_extent_delta", "B3_seasonal_baseline")
+WHOLE = ("P1_recipients", "P2_send_decisions", "P1_audiences", "P1_reached_classes", "P2_new_dispatches", "A6_reference_scene", "Q7_series_payload", "J5_brief_series", "J5_episode_briefs", "Q2_body_states", "Q3_zone_states", "O2_gauges", "S10_block_plan", "C8_rain_percentile_rank", "D11_water_extent_delta", "B3_seasonal_baseline")
 
 
 @pytest.mark.parametrize("name", WHOLE)

@@ -33,6 +33,16 @@ def body_status(bodies: DataFrame, zones: DataFrame, alerts: DataFrame, baseline
     return joined.select("body_id", "name", F.coalesce("n_zones", F.lit(0)).alias("n_zones"), n_open.alias("n_open"), top.alias("max_rank"), "latest_mask", status.alias("status"))
 
 
+def zone_states(zones: DataFrame, baselines: DataFrame) -> DataFrame:
+    """``zones`` with ``baseline``: usable if any window (zone_id, status) of the zone is, building if it has windows, else
+    none; and how many of its windows are usable."""
+    usable = F.coalesce(F.col("status") == "usable", F.lit(False))
+    facts = baselines.groupBy("zone_id").agg(F.count_if(usable).alias("n_usable"), F.count("*").alias("_n"))
+    n = F.coalesce("n_usable", F.lit(0))
+    state = F.when(n > 0, "usable").when(F.col("_n") > 0, "building").otherwise("none")
+    return zones.join(facts, "zone_id", "left").withColumns({"baseline": state, "n_usable": n}).drop("_n")
+
+
 def page_after(frame: DataFrame, order: list[tuple[str, bool]], after: tuple | None, size: int) -> DataFrame:
     """The rows after a key in a mixed-direction order (column, descending), one more than a page to tell if it ends."""
     if after is not None:

@@ -13,7 +13,7 @@ from tidewater.plans.alerting import EPISODES, LABS, episodes, fields, verdicts
 from tidewater.plans.bindings import bound, table
 from tidewater.plans.detection import SCORED
 from tidewater.plans.registry import query
-from tidewater.plans.seasonal import ALL, seen
+from tidewater.plans.seasonal import ALL, BASE, baseline_with_status, seen
 from tidewater.sources.stored import stored
 
 R = lambda c, n=6: F.round(c, n)
@@ -51,6 +51,31 @@ def q3(spark, d):
     return bound(spark, d, "zones").join(opened, "zone_id", "left").select("zone_id", F.when(k == 0, "none").when(k == 1, "building").otherwise("usable").alias("baseline"), "open_alert")
 
 
+@query("Q2_body_states", BASE + ",\n" + EPISODES + """,
+oa AS (SELECT zone_id AS body_id, count(*) AS n_open, max(peak_rank) AS mr FROM ef WHERE last_at > TIMESTAMP '2001-06-01' AND zone_id % 3 > 0 GROUP BY 1), nz AS (SELECT body_id, count(*) AS n FROM zones GROUP BY 1), lm AS (SELECT body_id, max(sensed_at) AS m FROM scenes WHERE cloud_pct < 50 GROUP BY 1),
+ub AS (SELECT body_id, bool_or(status = 'usable') AS u FROM zones JOIN base USING (zone_id) GROUP BY 1)
+---
+SELECT b.body_id, b.name, coalesce(nz.n, 0) AS n_zones, coalesce(n_open, 0) AS n_open, coalesce(mr, 0) AS max_rank, lm.m AS latest_mask,
+CASE WHEN lm.m IS NULL THEN 'no_data' WHEN coalesce(mr, 0) >= 2 THEN 'alert' WHEN coalesce(n_open, 0) > 0 THEN 'watch' WHEN NOT coalesce(u, false) THEN 'baseline_building' ELSE 'normal' END AS status
+FROM bodies b LEFT JOIN nz USING (body_id) LEFT JOIN oa USING (body_id) LEFT JOIN lm USING (body_id) LEFT JOIN ub USING (body_id)""", uses=(*ALL, "candidates", "scenes"))
+def q2_states(spark, d):
+    """As Q2, with the state of the baselines that B3 builds."""
+    alerts = fields(spark, d).filter("last_at > '2001-06-01' AND zone_id % 3 > 0").select(F.col("zone_id").alias("body_id"), F.col("peak_rank").alias("rank"))
+    zones = bound(spark, d, "zones").select("zone_id", "body_id")
+    states = M.zone_states(zones, baseline_with_status(spark, d)).select("body_id", (F.col("baseline") == "usable").alias("usable"))
+    return M.body_status(bound(spark, d, "bodies"), zones, alerts, states, bound(spark, d, "scenes").filter("cloud_pct < 50"))
+
+
+@query("Q3_zone_states", BASE + ",\n" + EPISODES + """,
+bz AS (SELECT zone_id, count(*) FILTER (status = 'usable') AS nu, count(*) AS n FROM base GROUP BY 1), oz AS (SELECT zone_id, max(episode) AS open_alert FROM ef WHERE last_at > TIMESTAMP '2001-06-01' GROUP BY 1)
+---
+SELECT zone_id, CASE WHEN nu > 0 THEN 'usable' WHEN n > 0 THEN 'building' ELSE 'none' END AS baseline, coalesce(nu, 0) AS n_usable, open_alert FROM zones LEFT JOIN bz USING (zone_id) LEFT JOIN oz USING (zone_id)""", uses=(*ALL, "candidates"))
+def q3_states(spark, d):
+    opened = fields(spark, d).filter("last_at > '2001-06-01'").groupBy("zone_id").agg(F.max("episode").alias("open_alert"))
+    states = M.zone_states(bound(spark, d, "zones").select("zone_id"), baseline_with_status(spark, d))
+    return states.join(opened, "zone_id", "left").select("zone_id", "baseline", "n_usable", "open_alert")
+
+
 @query("Q4_observations", STAGE + "\n---\nSELECT s.scene_id, s.body_id, s.sensed_at, i.n AS bytes_read, CASE WHEN s.state = 'F' THEN s.cloud_pct < 40 ELSE s.cloud_pct <= 60 END AS usable FROM scenes s JOIN (SELECT l_orderkey AS scene_id, count(*) AS n FROM lineitem GROUP BY 1) i USING (scene_id)", uses=("scenes",))
 def q4(spark, d):
     i = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("scene_id")).agg(F.count("*").alias("bytes_read"))
@@ -278,6 +303,18 @@ def o2(spark, d):
     return M.gauges(opened, zones, baselines, verdicts(spark, d)).withColumn("value", R("value"))
 
 
+@query("O2_gauges", BASE + ",\n" + EPISODES + ",\n" + LABS + """
+---
+SELECT 'open_alerts' AS gauge, s.severity AS label, CAST(count(ef.episode) AS DOUBLE) AS value FROM (SELECT unnest(['low', 'medium', 'high']) AS severity, unnest([1, 2, 3]) AS r) s LEFT JOIN ef ON ef.peak_rank = s.r AND last_at > TIMESTAMP '2001-07-20' GROUP BY 2
+UNION ALL SELECT 'baseline_building_zones', '', (SELECT count(*) FROM zones) - (SELECT count(DISTINCT zone_id) FROM base WHERE status = 'usable')
+UNION ALL SELECT 'validation_precision', '', round(coalesce(count(*) FILTER (verdict = 'matched') / nullif(count(*) FILTER (verdict <> 'inconclusive'), 0), 0), 6) FROM ver""", uses=(*ALL, "candidates"))
+def o2_gauges(spark, d):
+    """Gauges with the state of the baselines that B3 builds."""
+    rank = F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("peak_rank").cast("int"))
+    opened = fields(spark, d).filter("last_at > '2001-07-20'").select(rank.alias("severity"))
+    return M.gauges(opened, bound(spark, d, "zones"), baseline_with_status(spark, d), verdicts(spark, d)).withColumn("value", R("value"))
+
+
 @query("O3_event_counters", "SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
 def o3(spark, d):
     return table(spark, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"))
