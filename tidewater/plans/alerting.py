@@ -169,7 +169,8 @@ SELECT aa.zone_id, aa.severity, audience, count(DISTINCT alert_id) AS n_alerts,
 def p1_reached(spark, d):
     """All pairs of P1 as classes that meet; P1_audiences has the members, alerts carry their class."""
     alerts, recipients, places, squares = parties(spark, d)
-    return A.reached(alerts, stored(A.audiences(recipients, places, squares), "audiences")).drop("district")
+    members = stored(A.audiences(recipients, places, squares), "audiences")
+    return A.reached(stored(alerts, "alerts"), members).drop("district")
 
 
 @query("P2_new_dispatches", PAIRS + """,
@@ -180,9 +181,9 @@ def p2_new(spark, d):
     """A dispatch run: pairs of the alerts of the week since the last run alone are written out."""
     alerts, recipients, places, squares = parties(spark, d)
     latest = alerts.agg((F.max("observed_at") - F.expr("INTERVAL 7 DAYS")).alias("_since"))
-    new = alerts.join(F.broadcast(latest), F.col("observed_at") > F.col("_since")).drop("_since")
+    new = stored(alerts.join(F.broadcast(latest), F.col("observed_at") > F.col("_since")).drop("_since"), "new-alerts")
     members = stored(A.audiences(recipients, places, squares), "audiences")
-    p = A.expanded(new, A.reached(new, members), members).select("alert_id", "recipient_id", "severity")
+    p = stored(A.expanded(new, A.reached(new, members), members).select("alert_id", "recipient_id", "severity"), "new-pairs")
     sent = p.filter("(alert_id + recipient_id) % 4 = 0").select("alert_id", "recipient_id", F.lit("medium").alias("severity"))
     return A.send_decisions(p, sent)
 
