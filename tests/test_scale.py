@@ -7,6 +7,9 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
+
+from tidewater.operators import geometry as G
 
 
 def same(spark, name, folder):
@@ -28,3 +31,40 @@ def test_values_on_the_threshold_and_rows_without_id_are_as_in_the_sql(spark, tm
     ids, kinds = pa.array([1, 2, 3, 4, 5, None], pa.int64()), pa.list_(pa.float32())
     pq.write_table(pa.table({"vec_id": ids, "embedding": pa.array(list(values), kinds), "label": pa.array([0] * 6, pa.int32())}), tmp_path / "embeddings.parquet")
     assert same(spark, name, tmp_path)
+
+
+def outlines(spark, n):
+    rows = [(k, s, float(k % 7 * 300 + x * (200 + 13 * k)), float(k % 5 * 250 + y * (150 + 29 * k))) for k in range(n) for s, (x, y) in enumerate([(0, 0), (1, 0), (1.2, 0.5), (0.6, 1), (0, 0.8)])]
+    return spark.createDataFrame(rows, "id long, seq long, x double, y double").coalesce(1)
+
+
+def test_outlines_are_dealt_out_before_they_become_cells(spark):
+    for cells in (G.rasterise(outlines(spark, 40), "id", step=50.0), G.rasterise_buffered(outlines(spark, 40), "id", step=50.0, buffer=120.0), G.partition(G.rasterise(outlines(spark, 40), "id", step=50.0).select("id", F.col("col").alias("x"), F.col("row").alias("y")), "id", k=4)):
+        assert cells.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_cells_are_not_broadcast_and_pairs_are_those_of_all_cells(spark):
+    cells = G.rasterise(outlines(spark, 25), "id", step=50.0)
+    pairs = G.overlaps(cells, "id", least=0.3)
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+    held = {}
+    for r in cells.collect():
+        held.setdefault(r["id"], set()).add((r["row"], r["col"]))
+    want = {(a, b): len(held[a] & held[b]) / len(held[a]) for a in held for b in held if a != b and len(held[a] & held[b]) / len(held[a]) >= 0.3}
+    assert {(r["candidate"], r["other"]): r["ratio"] for r in pairs.collect()} == want
+
+
+def test_a_point_meets_an_outline_once_and_in_its_box_alone(spark):
+    v = outlines(spark, 25)
+    points = spark.range(400).select(F.col("id").alias("pid"), (F.col("id") % 61 * 37).cast("double").alias("px"), (F.col("id") % 43 * 31 - 50).cast("double").alias("py"))
+    found = G.points_in(points, v, "id", cell=100.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Join") < (plan.index("Aggregate") if "Aggregate" in plan else len(plan))  # no counting of crossings after the join
+    e = [r for r in G.edges(v, "id").collect()]
+    at = [(p["pid"], p["px"], p["py"]) for p in points.collect()]
+    want = []
+    for pid, px, py in at:
+        for key in range(25):
+            crossed = [r for r in e if r["id"] == key and (r["y"] > py) != (r["y2"] > py) and px < (r["x2"] - r["x"]) * (py - r["y"]) / (r["y2"] - r["y"]) + r["x"]]
+            want += [(pid, key)] if len(crossed) % 2 else []
+    assert sorted((r["pid"], r["id"]) for r in found.collect()) == sorted(want)

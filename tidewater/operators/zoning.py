@@ -19,19 +19,20 @@ def centres(vertices: DataFrame, key: str, *, pixel: int = 20, most_cells: int =
     """
     size = G.areas(vertices, key).select(key, G.zone_count(F.col("area_km2")).alias("k"), G.coarse_step(F.col("area_km2"), most_cells=most_cells, start=pixel).alias("step"))
     scaled = vertices.join(size.select(key, "step"), key).withColumns({"x": F.col("x") / F.col("step"), "y": F.col("y") / F.col("step")}).drop("step")
-    cells = G.rasterise(scaled, key, step=1.0).join(size, key)
-    middles = cells.select(key, "k", ((F.col("col") + 0.5) * F.col("step")).alias("x"), ((F.col("row") + 0.5) * F.col("step")).alias("y"), F.lit(True).alias("cell"))
-    corners = vertices.join(size, key).select(key, "k", "x", "y", F.lit(False).alias("cell"))
+    cells = G.rasterise(scaled, key, step=1.0)
+    corners = vertices.join(size, key).select(F.col(key).alias("_of"), "k", "step", "x", "y")
 
-    def one(body: pd.DataFrame) -> pd.DataFrame:
-        inside = body[body["cell"]]
-        points = (inside if len(inside) >= 4 else body[~body["cell"]]).drop_duplicates(["x", "y"]).sort_values(["x", "y"])
-        zone = G.k_means(points[["x", "y"]].to_numpy(float), int(points["k"].iloc[0]), starts)
+    def one(cells: pd.DataFrame, corners: pd.DataFrame) -> pd.DataFrame:
+        step = corners["step"].iloc[0]
+        inside = pd.DataFrame({"x": (cells["col"] + 0.5) * step, "y": (cells["row"] + 0.5) * step})
+        points = (inside if len(inside) >= 4 else corners[["x", "y"]].drop_duplicates()).sort_values(["x", "y"])
+        zone = G.k_means(points[["x", "y"]].to_numpy(float), int(corners["k"].iloc[0]), starts)
         found = points.assign(zone=zone).groupby("zone").agg(cx=("x", "mean"), cy=("y", "mean"), n_cells=("x", "size")).reset_index()
-        return found.assign(**{key: body[key].iloc[0]})[[key, "zone", "cx", "cy", "n_cells"]]
+        return found.assign(**{key: corners["_of"].iloc[0]})[[key, "zone", "cx", "cy", "n_cells"]]
 
+    # cells stay where they were made, and each body's few vertices come to them
     kind = vertices.schema[key].dataType.simpleString()
-    return middles.unionAll(corners).groupBy(key).applyInPandas(one, f"{key} {kind}, zone long, cx double, cy double, n_cells long")
+    return cells.groupBy(key).cogroup(corners.groupBy("_of")).applyInPandas(one, f"{key} {kind}, zone long, cx double, cy double, n_cells long")
 
 
 def outlines(vertices: DataFrame, found: DataFrame, key: str) -> DataFrame:
