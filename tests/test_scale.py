@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
+from tidewater.operators import forest, tiles
 from tidewater.operators import geometry as G
 
 
@@ -68,3 +69,41 @@ def test_a_point_meets_an_outline_once_and_in_its_box_alone(spark):
             crossed = [r for r in e if r["id"] == key and (r["y"] > py) != (r["y2"] > py) and px < (r["x2"] - r["x"]) * (py - r["y"]) / (r["y2"] - r["y"]) + r["x"]]
             want += [(pid, key)] if len(crossed) % 2 else []
     assert sorted((r["pid"], r["id"]) for r in found.collect()) == sorted(want)
+
+
+def test_only_tiles_with_own_pixels_are_worked_on_and_cut_to_them(spark):
+    points = spark.range(50).select(F.col("id").alias("scene"), F.lit(1).cast("long").alias("row"), F.lit(2).cast("long").alias("col"), F.lit(True).alias("on"))
+
+    def work(t):
+        return {"row": np.array([t.flags("on").size]), "col": np.array([0])}
+
+    found = tiles.by_tile(points, "scene", 4, work, tiles.PLACE)
+    assert [(r["row"], r["n"]) for r in found.groupBy("row").agg(F.count("*").alias("n")).collect()] == [(81, 50)]
+
+
+def test_trees_are_those_of_the_plain_way_to_grow_them():
+    x = np.random.default_rng(5).normal(size=(300, 3)).round(1)
+    t = forest.Trees(7, 64)
+    t.grow(np.array([5, 6, 0, 1]), x, np.random.default_rng((1, 2)))
+    # the same draws, node by node
+    rng = np.random.default_rng((1, 2))
+    chosen = np.argsort(rng.random((4, 300)), axis=1)[:, :64]
+    nodes = {(tree, 0): x[rows] for tree, rows in sorted(zip([5, 6, 0, 1], chosen, strict=True), key=lambda p: p[0])}
+    for level in range(7):
+        order = sorted(nodes)
+        wide = np.array([nodes[k].max(0) > nodes[k].min(0) for k in order])
+        pick = np.argmax(np.where(wide, rng.random(wide.shape), -1), axis=1)
+        share = 1 - rng.random(len(order))
+        below = {}
+        for k, f, s, w in zip(order, pick, share, wide, strict=True):
+            rows = nodes[k]
+            if len(rows) < 2 or not w.any() or level == 6:
+                assert t.feature[k] == -1 and t.rest[k] == forest.expected_path(len(rows))
+                continue
+            cut = rows[:, f].min() + (rows[:, f].max() - rows[:, f].min()) * s
+            assert (t.feature[k], t.cut[k]) == (f, cut)
+            for side in (False, True):
+                part = rows[(rows[:, f] >= cut) == side]
+                if len(part):
+                    below[k[0], 2 * k[1] + 1 + side] = part
+        nodes = below
