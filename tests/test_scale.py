@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
-from tidewater.operators import forest, tiles
+from tidewater.operators import baseline, detect, forest, tiles
 from tidewater.operators import geometry as G
 
 
@@ -107,3 +107,25 @@ def test_trees_are_those_of_the_plain_way_to_grow_them():
                 if len(part):
                     below[k[0], 2 * k[1] + 1 + side] = part
         nodes = below
+
+
+def test_water_extent_deltas_equal_brute_force_and_copy_no_reading(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(z), int(d), int(d) % 366 + 1, None if rng.random() < 0.2 else float(rng.integers(0, 5))) for z, d in zip(rng.integers(0, 3, 150), rng.integers(0, 900, 150), strict=True)]
+    w = spark.createDataFrame(rows, "zone_id long, day int, doy int, v double").withColumn("observed_at", F.expr("timestamp'2000-01-01' + make_interval(0, 0, 0, day)"))
+    found = detect.extent_deltas(w)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for z, d, y, v in set(rows):
+        past = [b for a, e, x, b in rows if a == z and e < d and min(abs(x - y), 366 - abs(x - y)) <= 15]
+        known = [b for b in past if b is not None]
+        if past:
+            want.append((z, d, None if v is None or not known else v - float(np.median(known)), len(past)))
+    got = [tuple(r) for r in found.select("zone_id", F.expr("CAST(datediff(observed_at, timestamp'2000-01-01') AS INT)"), "delta", "n").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_series_are_dealt_out_before_their_windows_are_made(spark):
+    obs = spark.range(400).select((F.col("id") % 40).alias("zone_id"), F.lit("A").alias("indicator"), F.expr("timestamp'2000-01-01' + make_interval(0, 0, 0, CAST(id AS INT))").alias("observed_at"), F.col("id").cast("double").alias("mean"))
+    made = baseline.seasonal_baseline(obs.coalesce(1))
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 4

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.constants import DEFAULT_FLOOR, GATE_MIN_HISTORY, Z_FLAG, Z_HIGH
+from tidewater.constants import DEFAULT_FLOOR, DOYS, GATE_MIN_HISTORY, Z_FLAG, Z_HIGH
 from tidewater.operators.baseline import robust, robust_z
+from tidewater.operators.geometry import spread
 
 SEVERITIES = ("low", "medium", "high")
 
@@ -145,3 +148,44 @@ def localised(points: DataFrame, *, indicators: tuple[str, ...], top_share: floa
     best = F.row_number().over(Window.partitionBy("scene_id", "zone_id").orderBy(F.desc("_anchor.n_pixels"), place, "_rank"))
     winner = found.withColumn("_best", best).filter("_best = 1").select("scene_id", "zone_id", "indicator")
     return found.join(winner, keys).select(*keys, "cluster", "n_pixels", "area_km2", "mean_z", "max_z")
+
+
+#: Numbers of a matrix of passes that one step of ``extent_deltas`` works on.
+CELLS = 1 << 20
+
+
+def extent_deltas(water: DataFrame, *, window_days: int = 30) -> DataFrame:
+    """(zone_id, observed_at, delta, n) for each different (observed_at, v) of a zone that has earlier readings near its day of the
+    year: v less their median, and their number. ``water`` has zone_id, observed_at, doy and v.
+
+    A zone's readings (some a pass, some thousands in a decade) are one task's group and cross the exchange once.
+    """
+    half = window_days // 2
+
+    def each(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        value = np.asarray(table.column("v").fill_null(np.nan))
+        known = np.asarray(table.column("v").is_valid())
+        at, doy = (np.asarray(table.column(c).cast(pa.int64())) for c in ("observed_at", "doy"))
+        order = np.lexsort((value, ~known))  # numbers in order, then those that are missing
+        value, known, at, doy = value[order], known[order], at[order], doy[order]
+        _, asked = np.unique(np.stack((at, np.where(known, value, 0).view(np.int64), known)), axis=1, return_index=True)
+        delta, n = np.full(len(asked), np.nan), np.zeros(len(asked), np.int64)
+        some = np.zeros(len(asked), bool)
+        step = max(1, CELLS // max(1, len(value)))
+        for k in range(0, len(asked), step):
+            rows = asked[k : k + step]
+            apart = np.abs(doy[rows][:, None] - doy[None, :])
+            near = (at[None, :] < at[rows][:, None]) & (np.minimum(apart, DOYS - apart) <= half)
+            n[k : k + step] = near.sum(1)
+            upto = np.cumsum(near & known, axis=1, dtype=np.int32)
+            c = upto[:, -1]
+            low, high = ((upto > x[:, None]).argmax(1) for x in ((c - 1) // 2, c // 2))
+            delta[k : k + step] = value[rows] - (0.5 * value[low] + 0.5 * value[high])
+            some[k : k + step] = (c > 0) & known[rows]
+        made = n > 0
+        times = table.column("observed_at").take(pa.array(order[asked][made]))
+        return pa.table({"zone_id": pa.array([key[0].as_py()] * int(made.sum()), key[0].type), "observed_at": times, "delta": pa.array(delta[made], pa.float64(), mask=~some[made]), "n": pa.array(n[made])})
+
+    zone, at = (water.schema[c].dataType.simpleString() for c in ("zone_id", "observed_at"))
+    rows = water.filter("zone_id IS NOT NULL AND observed_at IS NOT NULL").select("zone_id", "observed_at", F.col("doy").cast("long").alias("doy"), F.col("v").cast("double").alias("v"))
+    return spread(rows, "zone_id").groupBy("zone_id").applyInArrow(each, f"zone_id {zone}, observed_at {at}, delta double, n long")

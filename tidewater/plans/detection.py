@@ -153,10 +153,7 @@ SELECT a.zone_id, a.observed_at, round(a.v - quantile_cont(b.v, 0.5), 6) AS delt
 JOIN w b ON a.zone_id = b.zone_id AND b.observed_at < a.observed_at AND least(abs(a.doy - b.doy), 366 - abs(a.doy - b.doy)) <= 15 GROUP BY a.zone_id, a.observed_at, a.v""", uses=("obs",))
 def d11(spark, d):
     w = bound(spark, d, "obs").select("zone_id", "observed_at", F.dayofyear("observed_at").alias("doy"), F.col("water_fraction_pct").alias("v"))
-    past = w.select("zone_id", F.col("observed_at").alias("at2"), F.explode(B.nearby_doys(F.col("doy"), 15)).alias("doy"), F.col("v").alias("v2"))
-    now = w.distinct()
-    r = now.join(past, ["zone_id", "doy"]).filter("at2 < observed_at").groupBy("zone_id", "observed_at", "v").agg(F.percentile("v2", 0.5).alias("m"), F.count("*").alias("n"))
-    return r.select("zone_id", "observed_at", R(F.col("v") - F.col("m")).alias("delta"), "n")
+    return D.extent_deltas(w).withColumn("delta", R("delta"))
 
 
 @query("D12_median_imputation", FEATURES + """,
