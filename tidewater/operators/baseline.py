@@ -93,6 +93,9 @@ def seasonal_baseline(obs: DataFrame, *, value: str = "mean", window_days: int =
         return pa.table(columns | stats | {"n_samples": pa.array(found[4]), "n_years": pa.array(found[5])})
 
     kinds = ", ".join(f"{c} {obs.schema[c].dataType.simpleString()}" for c in series)
+    # of our own number of partitions: a series has few bytes, but a year of windows
+    spark = own.sparkSession
+    own = own.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism), *series)
     return own.groupBy(*series).applyInArrow(build, f"{kinds}, doy int, median double, sigma double, p10 double, p90 double, n_samples long, n_years long")
 
 
