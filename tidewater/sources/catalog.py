@@ -14,9 +14,19 @@ ITEM_PROPERTIES = "`grid:code` string, `mgrs:utm_zone` int, `mgrs:latitude_band`
 BAND_ASSETS = {"B03": ("B03", "green"), "B04": ("B04", "red"), "B05": ("B05", "rededge1"), "B08": ("B08", "nir"), "B11": ("B11", "swir16"), "SCL": ("SCL", "scl")}
 
 
-def band_links(assets: Column) -> Column:
-    """Map from band to link, of the bands that the assets (JSON) have; an empty link is none."""
-    by_name = F.from_json(assets, "map<string, struct<href: string>>")
+#: The assets of an item: links by name.
+ITEM_ASSETS = "map<string, struct<href: string>>"
+
+
+def worked_out(frame: DataFrame, **columns: Column) -> DataFrame:
+    """The frame with the columns, each worked out once a row. A filter on what is made of a plain column is pushed below it with
+    a copy of its expression for every mention, which for parsed JSON is most of the work; it is not pushed below a generator."""
+    one = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    return frame.select("*", F.inline(one))
+
+
+def band_links(by_name: Column) -> Column:
+    """Map from band to link, of the bands that the assets (parsed as ``ITEM_ASSETS``) have; an empty link is none."""
     link = lambda names: F.coalesce(*[F.nullif(by_name[n]["href"], F.lit("")) for n in names])
     each = F.create_map(*[c for band, names in BAND_ASSETS.items() for c in (F.lit(band), link(names))])
     return F.map_filter(each, lambda _, href: href.isNotNull())
@@ -25,7 +35,7 @@ def band_links(assets: Column) -> Column:
 def scene_catalog(items: DataFrame, *, properties: str = "properties", assets: str = "assets") -> DataFrame:
     """Items with tile, cloud share (100 where unknown), EPSG code and links by band; items without a tile, a time or one
     of the bands are dropped."""
-    p = items.withColumn("_p", F.from_json(properties, ITEM_PROPERTIES))
+    p = worked_out(items, _p=F.from_json(properties, ITEM_PROPERTIES), _a=F.from_json(assets, ITEM_ASSETS))
     g = lambda name: F.col("_p")[name]
     parts = F.concat(F.format_string("%02d", g("mgrs:utm_zone")), g("mgrs:latitude_band"), g("mgrs:grid_square"))
     parts = F.when((g("mgrs:utm_zone") != 0) & (g("mgrs:latitude_band") != "") & (g("mgrs:grid_square") != ""), parts)
@@ -33,8 +43,8 @@ def scene_catalog(items: DataFrame, *, properties: str = "properties", assets: s
     given = F.coalesce(F.nullif(g("s2:mgrs_tile"), F.lit("")), F.nullif(g("tileId"), F.lit("")))
     tile = F.nullif(F.coalesce(code, parts, F.regexp_replace(given, "^T", "")), F.lit(""))
     epsg = F.coalesce(g("proj:epsg"), F.regexp_extract(g("proj:code"), "^EPSG:([0-9]+)$", 1).try_cast("int")).cast("long")
-    out = p.withColumn("tile", tile).withColumn("cloud_pct", F.coalesce(g("eo:cloud_cover"), F.lit(100.0))).withColumn("epsg", epsg).withColumn("boa_offset", boa_offset(F.col("_p"))).withColumn("links", band_links(F.col(assets)))
-    return out.filter(F.expr("tile IS NOT NULL AND at IS NOT NULL") & (F.size("links") == len(BAND_ASSETS))).drop("_p")
+    out = p.withColumn("tile", tile).withColumn("cloud_pct", F.coalesce(g("eo:cloud_cover"), F.lit(100.0))).withColumn("epsg", epsg).withColumn("boa_offset", boa_offset(F.col("_p"))).withColumn("links", band_links(F.col("_a")))
+    return out.filter(F.expr("tile IS NOT NULL AND at IS NOT NULL") & (F.size("links") == len(BAND_ASSETS))).drop("_p", "_a")
 
 
 def boa_offset(p: Column) -> Column:
