@@ -63,3 +63,9 @@ def test_an_appended_week_equals_a_full_build_and_makes_few_windows(spark):
 
 def test_no_readings(spark):
     assert baseline.seasonal_baseline(spark.createDataFrame([], OBS)).count() == 0
+
+
+def test_own_days_alone_have_the_windows_of_a_full_build(spark):
+    rows = made(7, [1, 2], range(0, 900, 11)) + [(3, "a", None, 1.0)]
+    full, own = (rows_of(baseline.seasonal_baseline(spark.createDataFrame(rows, OBS), own_days=k)) for k in (False, True))
+    assert own == {k: v for k, v in full.items() if k in {(z, i, at.timetuple().tm_yday) for z, i, at, _ in rows if at}}

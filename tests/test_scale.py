@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import baseline, detect, forest, tiles
 from tidewater.operators import geometry as G
+from tidewater.plans import reports
 
 
 def same(spark, name, folder):
@@ -138,3 +139,11 @@ def test_an_items_json_is_parsed_once_a_row(spark):
     plan = entry.queries()["S2_scene_catalog"](spark, str(folder))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") + plan.count("JsonToStructs") <= 4
     assert same(spark, "S2_scene_catalog", folder)
+
+
+def test_the_report_makes_its_rows_once(spark):
+    """No join with sums of its own rows, and no windows of days that have no readings."""
+    plan = reports.report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1
+    scenes = reports.report(spark, "/root/testdata/sf0.001").filter("mndwi_extent <> ''").groupBy("scene_id").agg(F.round(F.sum(F.col("mndwi_extent").cast("double")), 4).alias("sum"), F.min(F.col("water_extent_km2").cast("double")).alias("low"), F.max(F.col("water_extent_km2").cast("double")).alias("high"))
+    assert scenes.count() and scenes.filter("low <> high OR abs(low - sum) > 1e-4").count() == 0
