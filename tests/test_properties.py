@@ -6,6 +6,8 @@ import tempfile
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from tidewater.operators import alerts, detect, forest, fuse, learned
@@ -166,6 +168,35 @@ def test_batches_of_trees_give_the_trees_of_all_rounds(spark):
     data.unpersist()
 
 
+def test_no_more_trees_are_grown_than_it_takes_to_see_the_best(spark, monkeypatch):
+    grown, step = [], learned._step
+    monkeypatch.setattr(learned, "_step", lambda *a: grown.append(len(a[0])) or step(*a))
+    data = examples(spark, 300)
+    model = learned.fit_priority(data, NAMES, rounds=60, patience=2, rate=0.5)
+    kept = len(model.feature)
+    assert kept + 2 < 60 and grown == list(range(kept + 3))
+
+
+def test_trees_are_about_as_good_as_those_of_spark_ml(spark):
+    data = examples(spark, 600).persist()
+    whole = learned.fit_priority(data, NAMES, rounds=10, patience=10, share=1.0)
+    held = F.pmod(F.xxhash64(*NAMES, F.lit(42)), F.lit(5)) == 0
+    rows = VectorAssembler(inputCols=NAMES, outputCol="x").transform(data)
+    model = GBTRegressor(featuresCol="x", labelCol="target", maxDepth=3, maxIter=10, stepSize=0.05, seed=42).fit(rows.filter(~held))
+    theirs = model.evaluateEachIteration(rows.filter(held), "squared")[len(whole.feature) - 1] ** 0.5
+    assert whole.metrics.first()["rmse"] == pytest.approx(theirs, rel=0.15)
+    data.unpersist()
+
+
+def test_copies_of_examples_weigh_as_often_as_they_are_there(spark):
+    data = examples(spark, 200)
+    once, thrice = (learned.fit_priority(d, NAMES, rounds=4, share=1.0) for d in (data, data.unionAll(data).unionAll(data)))
+    assert np.array_equal(once.feature, thrice.feature) and np.allclose(once.value, thrice.value)
+    missing = data.withColumn("a", F.when(F.col("id") % 4 > 0, F.col("a")))
+    parts = learned.attribute(learned.fit_priority(missing, NAMES, rounds=4, share=1.0), missing, NAMES, "id").collect()
+    assert len(parts) == 200 and all(np.isfinite(r["prediction"]) for r in parts)
+
+
 def test_retrain_promotes_only_what_is_better(spark):
     data = examples(spark, 300, noise=0.0)
     (row,) = learned.guarded_retrain(data, NAMES, rounds=8).collect()
