@@ -197,6 +197,13 @@ def test_copies_of_examples_weigh_as_often_as_they_are_there(spark):
     assert len(parts) == 200 and all(np.isfinite(r["prediction"]) for r in parts)
 
 
+def test_alerts_of_one_district_meet_recipients_in_many_tasks(spark):
+    found = spark.range(400).select(F.col("id").alias("alert_id"), F.lit(1).cast("long").alias("zone_id"), F.lit("d").alias("district"), F.lit("high").alias("severity"))
+    recipients = spark.range(30).select(F.col("id").alias("recipient_id"), F.when(F.col("id") % 3 > 0, "d").alias("district"), F.lit("low").alias("min_severity"), F.lit(True).alias("active"))
+    pairs = alerts.matching_recipients(found, recipients).select("alert_id", "recipient_id", F.spark_partition_id().alias("part")).collect()
+    assert len(pairs) == 12000 == len({(p["alert_id"], p["recipient_id"]) for p in pairs}) and len({p["part"] for p in pairs}) > 4
+
+
 def test_retrain_promotes_only_what_is_better(spark):
     data = examples(spark, 300, noise=0.0)
     (row,) = learned.guarded_retrain(data, NAMES, rounds=8).collect()
