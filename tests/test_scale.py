@@ -147,3 +147,14 @@ def test_the_report_makes_its_rows_once(spark):
     assert plan.count("FlatMapGroupsInArrow") == 1
     scenes = reports.report(spark, "/root/testdata/sf0.001").filter("mndwi_extent <> ''").groupBy("scene_id").agg(F.round(F.sum(F.col("mndwi_extent").cast("double")), 4).alias("sum"), F.min(F.col("water_extent_km2").cast("double")).alias("low"), F.max(F.col("water_extent_km2").cast("double")).alias("high"))
     assert scenes.count() and scenes.filter("low <> high OR abs(low - sum) > 1e-4").count() == 0
+
+
+def test_new_dispatches_are_decided_where_their_pairs_are_made(spark):
+    """No pair is stored, nor shuffled to meet the log."""
+    folder = pathlib.Path("/root/testdata/sf0.01")
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    frame = entry.queries()["P2_new_dispatches"](spark, str(folder))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Join") < plan.index("Exchange") and "LeftOuter" not in plan
+    assert sum(spark.read.parquet(str(p)).count() for p in set(shared.iterdir()) - before) < len(same(spark, "P2_new_dispatches", folder))
