@@ -69,3 +69,26 @@ def test_own_days_alone_have_the_windows_of_a_full_build(spark):
     rows = made(7, [1, 2], range(0, 900, 11)) + [(3, "a", None, 1.0)]
     full, own = (rows_of(baseline.seasonal_baseline(spark.createDataFrame(rows, OBS), own_days=k)) for k in (False, True))
     assert own == {k: v for k, v in full.items() if k in {(z, i, at.timetuple().tm_yday) for z, i, at, _ in rows if at}}
+
+
+def test_looked_up_readings_and_counts_are_those_of_the_joined_baseline(spark):
+    """With series over many batches, null keys, values and days, and windows that go round the year."""
+    rows = [(k % 7 if k % 50 else None, "ab"[k % 2] if k % 41 else None, k * 83 % 2200 if k % 37 else None, float(k * 7919 % 1009) if k % 13 else None) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "zone_id long, indicator string, t long, mean double")
+    obs = frame.select("zone_id", "indicator", F.expr("timestamp_ntz'2000-01-01' + make_dt_interval(CAST(t AS INT))").alias("observed_at"), "mean")
+    known = obs.filter("observed_at IS NOT NULL")
+    base = baseline.seasonal_baseline(known).join(baseline.history_days(obs).drop("history_from", "history_to"), ["zone_id", "indicator"])
+    columns = ["zone_id", "indicator", "observed_at", "mean", *[F.round(c, 9).alias(c) for c in ("median", "sigma", "p10", "p90")], "n_samples", "n_years", "history_days"]
+    want = obs.withColumn("doy", F.dayofyear("observed_at")).join(base, ["zone_id", "indicator", "doy"], "left").select(*columns)
+    undated = F.col("observed_at").isNull()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        made = baseline.looked_up(baseline.dealt(obs, "zone_id"))
+        assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+        got = made.withColumn("history_days", F.when(~undated, F.col("history_days"))).select(*columns).collect()
+        counts = baseline.window_counts(known.filter("zone_id IS NOT NULL AND indicator IS NOT NULL")).select("zone_id", "indicator", F.posexplode("counts").alias("d", "n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(repr, got)) == sorted(map(repr, want.collect())) and len(got) == 3000
+    wanted = baseline.seasonal_baseline(known).filter("zone_id IS NOT NULL AND indicator IS NOT NULL").select("zone_id", "indicator", F.col("doy") - 1, "n_samples").collect()
+    assert sorted(map(tuple, counts)) == sorted(map(tuple, wanted))

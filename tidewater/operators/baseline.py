@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.constants import DEFAULT_FLOOR, DOYS, MAD_TO_SIGMA, MIN_HISTORY_DAYS, MIN_HISTORY_DAYS_OTHER, MIN_SAMPLES, WINDOW_DAYS
 
@@ -33,7 +37,7 @@ def robust(frame: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 #: Numbers of a matrix of windows that one step of ``_windows`` works on.
-CELLS = 1 << 21
+CELLS = 1 << 16
 
 
 def _quantile(ordered: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
@@ -44,15 +48,17 @@ def _quantile(ordered: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
     return first + (second - first) * (place - low)
 
 
-def _windows(doy: np.ndarray, year: np.ndarray, value: np.ndarray, asked: np.ndarray, half: int) -> list[np.ndarray]:
-    """median, sigma, p10, p90, n and number of years of the readings within ``half`` days of each day of ``asked``.
+def _windows(doy: np.ndarray, year: np.ndarray, value: np.ndarray, asked: np.ndarray, half: int, of: np.ndarray | int = 0, asked_of: np.ndarray | int = 0) -> list[np.ndarray]:
+    """median, sigma, p10, p90, n and number of years of the readings within ``half`` days of each day of ``asked``; of several
+    series, whose numbers are ``of`` and ``asked_of``, each by itself.
 
     In the order of the days, twice round the year, a window is one slice.
     """
-    order = np.lexsort((value, doy))
-    days = np.concatenate([doy[order] + k * DOYS for k in (-1, 0, 1)])
-    at = np.tile(order, 3)
-    begin, end = np.searchsorted(days, asked - half), np.searchsorted(days, asked + half, "right")
+    place, wanted = of * (4 * DOYS) + doy, asked_of * (4 * DOYS) + asked
+    days, at = np.concatenate([place + k * DOYS for k in (-1, 0, 1)]), np.tile(np.arange(len(doy)), 3)
+    order = np.argsort(days, kind="stable")
+    days, at = days[order], at[order]
+    begin, end = np.searchsorted(days, wanted - half), np.searchsorted(days, wanted + half, "right")
     n = end - begin
     out = [np.full(len(asked), np.nan) for _ in range(4)] + [n.astype(np.int64), np.zeros(len(asked), np.int64)]
     some = np.flatnonzero(n)
@@ -70,6 +76,12 @@ def _windows(doy: np.ndarray, year: np.ndarray, value: np.ndarray, asked: np.nda
     return out
 
 
+def dealt(frame: DataFrame, *keys: str) -> DataFrame:
+    """By the keys over a number of partitions of our own: a series has few bytes, but a year of windows."""
+    spark = frame.sparkSession
+    return frame.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def seasonal_baseline(obs: DataFrame, *, value: str = "mean", window_days: int = WINDOW_DAYS, series: tuple[str, ...] = ("zone_id", "indicator"), asked: DataFrame | None = None, own_days: bool = False) -> DataFrame:
     """Per series and day of the year 1 to 366: statistics of all observations within half the window; empty days too.
 
@@ -94,10 +106,107 @@ def seasonal_baseline(obs: DataFrame, *, value: str = "mean", window_days: int =
         return pa.table(columns | stats | {"n_samples": pa.array(found[4]), "n_years": pa.array(found[5])})
 
     kinds = ", ".join(f"{c} {obs.schema[c].dataType.simpleString()}" for c in series)
-    # of our own number of partitions: a series has few bytes, but a year of windows
-    spark = own.sparkSession
-    own = own.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism), *series)
-    return own.groupBy(*series).applyInArrow(build, f"{kinds}, doy int, median double, sigma double, p10 double, p90 double, n_samples long, n_years long")
+    return dealt(own, *series).groupBy(*series).applyInArrow(build, f"{kinds}, doy int, median double, sigma double, p10 double, p90 double, n_samples long, n_years long")
+
+
+def _starts(columns: list[pa.ChunkedArray]) -> np.ndarray:
+    """Rows, but the first, whose columns are not those of the row before; nulls are alike."""
+    other = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        a, b = c.slice(1), c.slice(0, max(0, len(c) - 1))
+        other |= np.asarray(pc.fill_null(pc.not_equal(a, b), False)) | (np.asarray(a.is_null()) != np.asarray(b.is_null()))
+    return np.flatnonzero(other) + 1
+
+
+def by_series(frame: DataFrame, series: tuple[str, ...], work: Callable[[pa.Table, np.ndarray], pa.Table], kind: T.StructType | str) -> DataFrame:
+    """What ``work`` makes of blocks of whole series, given a block and the rows at which its series begin.
+
+    ``frame`` is dealt out by the series or some of their columns. Series are small and many, and handing each to Python as a group of its
+    own costs ten times what is done with it; so they come in order, as many at once as a batch holds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def done(tables: list[pa.Table]) -> list[pa.RecordBatch]:
+            block = pa.concat_tables(tables).combine_chunks()
+            return work(block, np.concatenate([[0], _starts([block.column(c) for c in series])]).astype(np.int64)).combine_chunks().to_batches()
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not len(table):
+                continue
+            before = [held[-1].slice(len(held[-1]) - 1), table] if held else [table]
+            joined = pa.concat_tables([t.select(list(series)) for t in before])
+            starts = _starts([joined.column(c) for c in series]) - (len(joined) - len(table))
+            if len(starts):
+                yield from done([*held, table.slice(0, starts[-1])])
+                held = [table.slice(starts[-1])]
+            else:
+                held.append(table)
+        if held:
+            yield from done(held)
+
+    return frame.sortWithinPartitions(*series).mapInArrow(run, kind)
+
+
+def _history(table: pa.Table, starts: np.ndarray) -> pa.Array:
+    """Per series the whole days between its first and last observation."""
+    column = table.column("observed_at")
+    at = column.cast(pa.timestamp("us", getattr(column.type, "tz", None))).cast(pa.int64())
+    least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    first, last = np.minimum.reduceat(np.asarray(at.fill_null(most)), starts), np.maximum.reduceat(np.asarray(at.fill_null(least)), starts)
+    none = last == least
+    return pa.array(np.where(none, 0, np.where(none, 0, last) - np.where(none, 0, first)) // 86_400_000_000, pa.int64(), mask=none)
+
+
+def looked_up(obs: DataFrame, *, value: str = "mean", window_days: int = WINDOW_DAYS, series: tuple[str, ...] = ("zone_id", "indicator")) -> DataFrame:
+    """Readings with the ``seasonal_baseline`` of their day of the year (doy, median, sigma, p10, p90, n_samples, n_years) and
+    their series' history_days; nulls where the series or the day is null. ``obs`` is ``dealt`` out by the series or some of their columns.
+
+    Nothing is joined: a series' readings are in one task, which has all that its windows need, and only the windows of its
+    own days are made.
+    """
+    made = "doy int, median double, sigma double, p10 double, p90 double, n_samples long, n_years long, history_days long"
+    kind = T.StructType([*obs.schema.fields, *T._parse_datatype_string(made).fields])
+
+    def work(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        values, doy, year = (np.asarray(table.column(c).fill_null(fill)) for c, fill in (("_v", np.nan), ("_d", 0), ("_y", 0)))
+        doy, of = doy.astype(np.int64), np.repeat(np.arange(len(starts)), np.diff([*starts, len(table)]))
+        finite = np.isfinite(values) & (doy > 0)
+        days, at = np.unique(of * DOYS + np.maximum(doy - 1, 0), return_inverse=True)
+        found = [x[at] for x in _windows(doy[finite], year[finite].astype(np.int64), values[finite], days % DOYS + 1, window_days // 2, of[finite], days // DOYS)]
+        unkeyed = np.any([np.asarray(table.column(c).is_null()) for c in series], axis=0)
+        unknown = unkeyed | (doy == 0)
+        out = {"doy": pa.array(doy, pa.int32(), mask=doy == 0)}
+        out |= {c: pa.array(x, pa.float64(), mask=unknown | (found[4] == 0)) for c, x in zip(("median", "sigma", "p10", "p90"), found, strict=False)}
+        out |= {c: pa.array(x, pa.int64(), mask=unknown) for c, x in zip(("n_samples", "n_years"), found[4:], strict=True)}
+        out["history_days"] = _history(table, starts).take(pa.array(of, mask=unkeyed))
+        for c, x in out.items():
+            table = table.append_column(c, x)
+        return table.select(kind.names)
+
+    own = obs.select("*", F.col(value).cast("double").alias("_v"), F.dayofyear("observed_at").alias("_d"), F.year("observed_at").alias("_y"))
+    return by_series(own, series, work, kind)
+
+
+def window_counts(obs: DataFrame, *, value: str = "mean", window_days: int = WINDOW_DAYS, series: tuple[str, ...] = ("zone_id", "indicator")) -> DataFrame:
+    """Per series ``counts``, the n_samples of ``seasonal_baseline`` for the days 1 to 366 in order, and history_days: what a summary
+    of a build asks, without the statistics. A series is one row."""
+    half = window_days // 2
+
+    def work(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        values, doy = (np.asarray(table.column(c).fill_null(fill)) for c, fill in (("_v", np.nan), ("_d", 0)))
+        of, finite = np.repeat(np.arange(len(starts)), np.diff([*starts, len(table)])), np.isfinite(values) & (doy > 0)
+        n = np.bincount(of[finite] * DOYS + doy[finite] - 1, minlength=len(starts) * DOYS).reshape(-1, DOYS)
+        sums = np.cumsum(np.pad(n, ((0, 0), (half + 1, half)), mode="wrap"), axis=1)
+        counts = (sums[:, 2 * half + 1 :] - sums[:, :DOYS]).astype(np.int64).ravel()
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * DOYS, pa.int32()), pa.array(counts))
+        return table.select(list(series)).take(pa.array(starts)).append_column("counts", lists).append_column("history_days", _history(table, starts))
+
+    kind = T.StructType([*obs.select(*series).schema.fields, *T._parse_datatype_string("counts array<long>, history_days long").fields])
+    own = dealt(obs.select(*series, "observed_at", F.col(value).cast("double").alias("_v")), *series).withColumn("_d", F.dayofyear("observed_at"))
+    return by_series(own, series, work, kind)
 
 
 def touched_windows(fresh: DataFrame, *, window_days: int = WINDOW_DAYS, series: tuple[str, ...] = ("zone_id", "indicator")) -> DataFrame:

@@ -36,7 +36,7 @@ ROLLUP = """roll AS (SELECT zone_id, observed_at, coalesce(string_agg(DISTINCT i
 
 
 def rollup(spark, d) -> DataFrame:
-    return D.temporal_rollup(D.temporal_scores(seen(spark, d)), ["zone_id", "observed_at"], ("A", "N", "R"))
+    return D.temporal_rollup(D.temporal_scores(seen(spark, d, also=())), ["zone_id", "observed_at"], ("A", "N", "R"))
 
 
 @query("D2_temporal_rollup", f"{SCORED},\n{ROLLUP}\n---\nSELECT zone_id, observed_at, anomalous, round(max_abs_z, 6) AS max_abs_z, any_usable FROM roll", uses=ALL)

@@ -197,7 +197,7 @@ def j2(spark, d):
     runs = scenes.filter("state = 'F'").select("scene_id", F.lit("done").alias("run_status"))
     rain = bound(spark, d, "rain").select("body_id", F.col("date").alias("day"), R("mm_24h").alias("mm_24h"))
     of = lambda c, i: R(F.max(F.when(F.col("indicator") == i, F.col(c)))).alias(f"{c}_{i.lower()}")
-    read = temporal_scores(seen(spark, d)).groupBy("scene_id", "zone_id").agg(of("mean", "A"), of("mean", "N"), of("z", "A"), of("z", "N"), R(F.max(F.abs("z"))).alias("max_abs_z"), F.max("valid_pixel_pct").alias("zone_valid_pct"))
+    read = temporal_scores(seen(spark, d, also=("scene_id", "valid_pixel_pct"))).groupBy("scene_id", "zone_id").agg(of("mean", "A"), of("mean", "N"), of("z", "A"), of("z", "N"), R(F.max(F.abs("z"))).alias("max_abs_z"), F.max("valid_pixel_pct").alias("zone_valid_pct"))
     c = bound(spark, d, "candidates").withColumnRenamed("candidate_id", "scene_id")
     candidates = c.select("scene_id", "zone_id", F.when(F.col("votes") > 0, "low").alias("severity"), (F.col("votes") > 0).alias("alertable"))
     band = F.when(F.col("priority") >= 70, "high").when(F.col("priority") >= 40, "medium").otherwise("low")
