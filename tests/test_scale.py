@@ -158,3 +158,15 @@ def test_new_dispatches_are_decided_where_their_pairs_are_made(spark):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Join") < plan.index("Exchange") and "LeftOuter" not in plan
     assert sum(spark.read.parquet(str(p)).count() for p in set(shared.iterdir()) - before) < len(same(spark, "P2_new_dispatches", folder))
+
+
+@pytest.mark.parametrize("name", ["Q7_series_payload", "J5_brief_series", "J5_episode_briefs"])
+def test_readings_are_scored_once_and_only_what_is_asked_is_stored(spark, name):
+    folder = pathlib.Path("/root/testdata/sf0.001")
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    frame = entry.queries()[name](spark, str(folder))
+    (table,) = set(shared.iterdir()) - before
+    assert table.name.startswith("scored") and not {"direction", "reason", "n_samples", "n_years", "status"} & set(spark.read.parquet(str(table)).columns)
+    assert "InArrow" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert same(spark, name, folder)

@@ -116,7 +116,7 @@ def q7(spark, d):
     """Each point with its z, and each week with its mean, its highest z and its number of points."""
     from tidewater.operators.detect import temporal_scores
 
-    s = temporal_scores(seen(spark, d))
+    s = stored(temporal_scores(seen(spark, d)).select("zone_id", "indicator", "observed_at", "scene_id", "line", "mean", "z"), "scored")
     points = s.select(F.lit("point").alias("kind"), "zone_id", "indicator", F.col("observed_at").alias("at"), "scene_id", "line", R("mean").alias("mean"), R("z").alias("z"), F.lit(1).cast("long").alias("n"))
     weeks = s.groupBy("zone_id", "indicator", F.date_trunc("week", "observed_at").cast(points.schema["at"].dataType).alias("at")).agg(R(F.avg("mean")).alias("mean"), R(F.max("z")).alias("z"), F.count("*").alias("n"))
     return points.unionByName(weeks.withColumn("kind", F.lit("week")), allowMissingColumns=True)
@@ -228,9 +228,9 @@ def j5(spark, d):
     """The last flagged reading of each year as the alert."""
     from tidewater.operators.detect import temporal_scores
 
-    scored = temporal_scores(seen(spark, d))
+    scored = stored(temporal_scores(seen(spark, d)).select("zone_id", "indicator", "observed_at", "scene_id", "line", "mean", "p10", "p90", "median", "z", "flagged"), "scored")
     alerts = scored.filter("flagged").groupBy("zone_id", "indicator", F.year("observed_at")).agg(F.max("observed_at").alias("last_at")).select("zone_id", "indicator", "last_at")
-    return M.brief_series(alerts, scored).select("zone_id", "indicator", "last_at", "observed_at", "scene_id", "line", *[R(c).alias(c) for c in ("mean", "p10", "p90", "median", "z")])
+    return M.brief_series(alerts, scored.drop("flagged")).select("zone_id", "indicator", "last_at", "observed_at", "scene_id", "line", *[R(c).alias(c) for c in ("mean", "p10", "p90", "median", "z")])
 
 
 FLAGGED = """fl AS (SELECT *, coalesce(date_diff('day', lag(observed_at) OVER w, observed_at) > 14, true) AS fresh FROM scored WHERE abs(z) > 3 WINDOW w AS (PARTITION BY zone_id, indicator ORDER BY observed_at, scene_id, line)),
@@ -246,10 +246,10 @@ def j5_episodes(spark, d):
     """Alerts are the episodes of flagged readings; each one's brief comes as the figures of its twelve months."""
     from tidewater.operators.detect import temporal_scores
 
-    scored = stored(temporal_scores(seen(spark, d)), "scored")
+    scored = stored(temporal_scores(seen(spark, d)).select("zone_id", "indicator", "observed_at", "scene_id", "line", "mean", "p10", "p90", "z", "flagged"), "scored")
     placed = episodes_of(scored.filter("flagged").withColumn("candidate_id", F.struct("scene_id", "line")))
     alerts = placed.groupBy("zone_id", "indicator", "episode").agg(F.min("observed_at").alias("first_at"), F.max("observed_at").alias("last_at"), F.count("*").alias("n_flagged"))
-    brief = M.brief_series(alerts, scored).groupBy("zone_id", "indicator", "episode", "first_at", "last_at", "n_flagged")
+    brief = M.brief_series(alerts, scored.select("zone_id", "indicator", "observed_at", "mean", "p10", "p90", "z")).groupBy("zone_id", "indicator", "episode", "first_at", "last_at", "n_flagged")
     return brief.agg(
         F.count("*").alias("n_points"), F.count("mean").alias("n_readings"), R(F.max("mean")).alias("highest"), F.count_if(F.col("mean") > F.col("p90")).alias("n_above"), F.count_if(F.col("mean") < F.col("p10")).alias("n_below"),
         R(F.max(F.abs("z"))).alias("max_abs_z"), F.min("observed_at").alias("since"),
