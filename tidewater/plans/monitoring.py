@@ -197,14 +197,16 @@ def j2(spark, d):
     runs = scenes.filter("state = 'F'").select("scene_id", F.lit("done").alias("run_status"))
     rain = bound(spark, d, "rain").select("body_id", F.col("date").alias("day"), R("mm_24h").alias("mm_24h"))
     of = lambda c, i: R(F.max(F.when(F.col("indicator") == i, F.col(c)))).alias(f"{c}_{i.lower()}")
-    read = temporal_scores(seen(spark, d, also=("scene_id", "valid_pixel_pct"))).groupBy("scene_id", "zone_id").agg(of("mean", "A"), of("mean", "N"), of("z", "A"), of("z", "N"), R(F.max(F.abs("z"))).alias("max_abs_z"), F.max("valid_pixel_pct").alias("zone_valid_pct"))
+    chosen = stored(days(spark, d).select("body_id", "day", "scene_id", "cloud_pct"), "days")
+    scored = temporal_scores(seen(spark, d, also=("scene_id", "valid_pixel_pct"))).select("scene_id", "zone_id", "indicator", "mean", "z", "valid_pixel_pct")
+    read = scored.join(chosen.select("scene_id"), "scene_id", "left_semi").groupBy("scene_id", "zone_id").agg(of("mean", "A"), of("mean", "N"), of("z", "A"), of("z", "N"), R(F.max(F.abs("z"))).alias("max_abs_z"), F.max("valid_pixel_pct").alias("zone_valid_pct"))
     c = bound(spark, d, "candidates").withColumnRenamed("candidate_id", "scene_id")
     candidates = c.select("scene_id", "zone_id", F.when(F.col("votes") > 0, "low").alias("severity"), (F.col("votes") > 0).alias("alertable"))
     band = F.when(F.col("priority") >= 70, "high").when(F.col("priority") >= 40, "medium").otherwise("low")
     scores = c.filter("votes > 1").select("scene_id", "zone_id", band.alias("score_severity"), (F.col("priority") >= 40).alias("score_alertable"))
     alerts = episodes(spark, d).groupBy("zone_id", F.to_date("observed_at").alias("day")).agg(F.min(F.concat_ws("/", F.col("zone_id").cast("string"), "indicator", F.col("episode").cast("string"))).alias("alert_id"))
     zones = bound(spark, d, "zones").select("zone_id", "body_id")
-    return M.day_report(days(spark, d).select("body_id", "day", "scene_id", "cloud_pct"), zones, masks=masks, runs=runs, rain=rain, readings=read, candidates=candidates, scores=scores, alerts=alerts)
+    return M.day_report(chosen, zones, masks=masks, runs=runs, rain=rain, readings=read, candidates=candidates, scores=scores, alerts=alerts)
 
 
 @query("J3_day_status", DAYS + "\n---\nSELECT body_id, day, CASE WHEN scene_id % 11 = 0 THEN 'no scene' WHEN scene_id % 7 = 0 THEN 'not processed' WHEN scene_id % 5 = 0 THEN 'mask failed' WHEN cloud_pct > 60 THEN 'too cloudy' WHEN state = 'O' THEN 'masked only' WHEN state = 'P' THEN 'indicators running' ELSE 'observed' END AS status FROM dy", uses=("scenes",))
