@@ -192,3 +192,31 @@ def test_the_day_report_shuffles_zones_times_days_once(spark):
     assert not re.search(r"hashpartitioning\(scene_id#\d+L?, zone_id|hashpartitioning\(zone_id#\d+L?, day|hashpartitioning\(_p", plan)
     want = {(1, d, z, 0.5 if (d, z) == (0, 7) else None, "high" if (d, z) == (1, 8) else None, False if (d, z) == (1, 8) else None, "x" if (d, z) == (3, 8) else None, None, True if d == 0 else None, "done" if d == 1 else None) for d in range(4) for z in (7, 8)}
     assert got == want | {(2, 0, None, None, None, None, None, 1.5, None, None)} and made.count() == 9
+
+
+def test_trees_of_many_passes_are_grown_together_and_judge_as_pass_by_pass(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, trees, sample, lag, seed = 150, 40, 64, 0.05, 5
+    wide, water, rain, doy = rng.normal(size=(n, 2)).round(1), rng.normal(size=n), rng.gamma(1, 3, n), np.arange(n) * 5 % 365 + 1
+    wide[rng.random(wide.shape) < 0.4] = np.nan
+    calls, plain = [], forest.Trees.grow_all
+    monkeypatch.setattr(forest.Trees, "grow_all", lambda self, jobs: calls.append(len(jobs)) or plain(self, jobs))
+    found = forest.judged_series(wide, water, rain, doy, trees=trees, sample=sample, contamination=0.05, min_history=20, reach=15, lag=lag, seed=seed)
+    assert len(calls) < 20 and sum(calls) == n - 20
+    season, one, turn, paths = forest.SeasonalMedian(15), forest.Trees(trees, sample), 0, np.zeros((trees, n))
+    for k in range(n):
+        past = np.column_stack((wide[: k + 1], water[: k + 1] - season.median[doy[: k + 1]], rain[: k + 1]))
+        known = [c[:k][np.isfinite(c[:k])] for c in past.T]
+        past = np.where(np.isfinite(past), past, [np.median(c) if len(c) else 0.0 for c in known])
+        season.add(int(doy[k]), float(water[k]))
+        if k < 20:
+            continue
+        renewed = np.arange(trees) if k == 20 else np.arange(turn, turn + int(np.ceil(trees / max(1.0, lag * k)))) % trees
+        turn = (turn + len(renewed)) % trees
+        one.grow(renewed, past[:k], np.random.default_rng((seed, k)))
+        paths[renewed, :k], paths[:, k] = one.paths(renewed, past[:k]), one.paths(np.arange(trees), past[k:])[:, 0]
+        score = 2.0 ** -paths[:, : k + 1].mean(0)
+        if np.isfinite(wide[k]).any():
+            assert found[1][k] == score[k] and found[2][k] == (score[k] > np.quantile(score[:k], 0.95))
+        else:
+            assert np.isnan(found[1][k]) and found[4][k] == 2
