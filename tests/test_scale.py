@@ -220,3 +220,21 @@ def test_trees_of_many_passes_are_grown_together_and_judge_as_pass_by_pass(monke
             assert found[1][k] == score[k] and found[2][k] == (score[k] > np.quantile(score[:k], 0.95))
         else:
             assert np.isnan(found[1][k]) and found[4][k] == 2
+
+
+def test_covering_tiles_deals_outlines_out_and_hands_none_alone_to_python(spark):
+    v = outlines(spark, 60).select("id", "seq", (F.col("x") / 1e4).alias("x"), (F.col("y") / 1e4).alias("y"))
+    plan = G.covering_tiles(v, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan and plan.count("MapInArrow") == 2
+    assert G.simplified(v, "id", tolerance=0.001).select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_tile_names_are_those_of_the_columns_series(spark):
+    places = [(x * 7.3 - 179, y * 4.1 - 79.9) for x in range(49) for y in range(40)]
+    frame = spark.createDataFrame(places, "lon double, lat double").withColumn("z", G.grid_zone(F.col("lon"), F.col("lat")))
+    e, n = G.to_utm(F.col("lon"), F.col("lat"), F.col("z"))
+    by = {(r["lon"], r["lat"]): r for r in frame.withColumns({"e": F.floor(e / 100_000), "n": F.floor(n / 100_000)}).collect()}
+    for r in G.tile_names(frame).collect():
+        want = by[r["lon"], r["lat"]]
+        row = "ABCDEFGHJKLMNPQRSTUV"[(want["n"] + (5 if want["z"] % 2 == 0 else 0)) % 20]
+        assert r["tile"] == f"{want['z']:02d}" + "CDEFGHJKLMNPQRSTUVWX"[min(int((r["lat"] + 80) // 8), 19)] + "ABCDEFGHJKLMNPQRSTUVWXYZ"[(want["z"] - 1) % 3 * 8 + want["e"] - 1] + row

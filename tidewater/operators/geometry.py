@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewater.operators.baseline import first_rows
+from tidewater.operators.baseline import by_series, first_rows
 
 #: WGS84 and the UTM grid; the series coefficients follow from the third flattening (Krueger).
 _A, _F = 6378137.0, 1 / 298.257223563
@@ -39,31 +43,39 @@ def utm_epsg(zone: Column, lat: Column) -> Column:
     return F.when(lat >= 0, 32600 + zone).otherwise(32700 + zone)
 
 
-def to_utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
-    """Easting and northing in metres by the Krueger series, all in column functions."""
-    phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
-    t = F.sinh(F.atanh(F.sin(phi)) - _ECC * F.atanh(_ECC * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+#: The functions of the series for columns and for arrays.
+_COLUMN = SimpleNamespace(**{f: getattr(F, f) for f in ("sin", "cos", "sinh", "cosh", "asin", "atanh", "atan2", "sqrt", "radians", "degrees")}, where=lambda on, a, b: F.when(on, a).otherwise(b))
+_ARRAY = SimpleNamespace(**{f: getattr(np, f) for f in ("sin", "cos", "sinh", "cosh", "sqrt", "radians", "degrees", "where")}, asin=np.arcsin, atanh=np.arctanh, atan2=np.arctan2)
+Values = Column | np.ndarray
+
+
+def to_utm(lon: Values, lat: Values, zone: Values) -> tuple[Values, Values]:
+    """Easting and northing in metres by the Krueger series, of columns or of arrays."""
+    m = _COLUMN if isinstance(lon, Column) else _ARRAY
+    phi, lam = m.radians(lat), m.radians(lon - (zone * 6 - 183))
+    t = m.sinh(m.atanh(m.sin(phi)) - _ECC * m.atanh(_ECC * m.sin(phi)))
+    xi, eta = m.atan2(t, m.cos(lam)), m.atanh(m.sin(lam) / m.sqrt(1 + t * t))
     e, n = eta, xi
     for j, a in enumerate(_ALPHA, 1):
-        e = e + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        n = n + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return _E0 + _K0 * _R * e, _K0 * _R * n + F.when(lat < 0, _SOUTH).otherwise(0.0)
+        e = e + a * m.cos(2 * j * xi) * m.sinh(2 * j * eta)
+        n = n + a * m.sin(2 * j * xi) * m.cosh(2 * j * eta)
+    return _E0 + _K0 * _R * e, _K0 * _R * n + m.where(lat < 0, _SOUTH, 0.0)
 
 
-def from_utm(easting: Column, northing: Column, zone: Column, south: Column) -> tuple[Column, Column]:
-    """Longitude and latitude by the inverse series."""
-    xi = (northing - F.when(south, _SOUTH).otherwise(0.0)) / (_K0 * _R)
+def from_utm(easting: Values, northing: Values, zone: Values, south: Values) -> tuple[Values, Values]:
+    """Longitude and latitude by the inverse series, of columns or of arrays."""
+    m = _COLUMN if isinstance(easting, Column) else _ARRAY
+    xi = (northing - m.where(south, _SOUTH, 0.0)) / (_K0 * _R)
     eta = (easting - _E0) / (_K0 * _R)
     x, y = xi, eta
     for j, b in enumerate(_BETA, 1):
-        x = x - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        y = y - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(x) / F.cosh(y))
+        x = x - b * m.sin(2 * j * xi) * m.cosh(2 * j * eta)
+        y = y - b * m.cos(2 * j * xi) * m.sinh(2 * j * eta)
+    chi = m.asin(m.sin(x) / m.cosh(y))
     lat = chi
     for j, g in enumerate(_DELTA, 1):
-        lat = lat + g * F.sin(2 * j * chi)
-    return zone * 6 - 183 + F.degrees(F.atan2(F.sinh(y), F.cos(x))), F.degrees(lat)
+        lat = lat + g * m.sin(2 * j * chi)
+    return zone * 6 - 183 + m.degrees(m.atan2(m.sinh(y), m.cos(x))), m.degrees(lat)
 
 
 def rings(vertices: DataFrame, key: str) -> list[str]:
@@ -239,54 +251,102 @@ def intersecting(first: DataFrame, second: DataFrame, first_key: str, second_key
 
 #: Letters of the military grid; fixed values. Columns repeat every three zones, rows every 2000 km, from F in even zones.
 _COLUMNS, _ROWS, _BANDS = ("ABCDEFGH", "JKLMNPQR", "STUVWXYZ"), "ABCDEFGHJKLMNPQRSTUV", "CDEFGHJKLMNPQRSTUVWX"
+_SQUARES = 61 * 9600  # more than any square's number
+
+
+def _squares(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    """The number of each place's 100 km square, -1 beyond 80 S and 84 N and for places without a number."""
+    number = np.full(len(lon), -1, np.int64)
+    on = np.flatnonzero((lat >= -80) & (lat <= 84) & np.isfinite(lon))
+    lon, lat = lon[on], lat[on]
+    zone = np.minimum(np.floor((lon + 180) / 6) + 1, 60)
+    zone[(lat >= 56) & (lat < 64) & (lon >= 3) & (lon < 12)] = 32
+    for least, most, of in ((0, 9, 31), (9, 21, 33), (21, 33, 35), (33, 42, 37)):
+        zone[(lat >= 72) & (lon >= least) & (lon < most)] = of
+    e, n = to_utm(lon, lat, zone)
+    column = (zone - 1) % 3 * 8 + np.clip(np.floor(e / 100_000), 1, 8) - 1
+    row = (np.floor(n / 100_000) + np.where(zone % 2 == 0, 5, 0)) % 20
+    band = np.minimum(np.floor((lat + 80) / 8), 19)
+    number[on] = (((zone * 20 + band) * 24 + column) * 20 + row).astype(np.int64)
+    return number
+
+
+def _names(squares: np.ndarray) -> pa.Array:
+    """Names of squares by their number (zone, band, column, row), null for -1."""
+    found, at = np.unique(squares, return_inverse=True)
+    names = [None if x < 0 else f"{x // 9600:02d}{_BANDS[x // 480 % 20]}{''.join(_COLUMNS)[x // 20 % 24]}{_ROWS[x % 20]}" for x in found.tolist()]
+    return pa.array(names, pa.string()).take(pa.array(at))
+
+
+def _numbers(batch: pa.RecordBatch, *columns: str) -> list[np.ndarray]:
+    """Columns as arrays of doubles, NaN for null."""
+    return [np.asarray(batch.column(c).cast(pa.float64()).fill_null(np.nan)) for c in columns]
 
 
 def tile_names(points: DataFrame) -> DataFrame:
     """Points (lon, lat) with the name of their 100 km square (zone, band, column, row), null beyond 80 S and 84 N."""
-    p = points.withColumn("_z", grid_zone(F.col("lon"), F.col("lat")))
-    e, n = to_utm(F.col("lon"), F.col("lat"), F.col("_z"))
-    p = p.withColumn("_e", F.floor(e / 100_000)).withColumn("_n", F.floor(n / 100_000))
-    letter = lambda letters, i: F.substring(F.lit(letters), (i + 1).cast("int"), F.lit(1))
-    column = letter("".join(_COLUMNS), (F.col("_z") - 1) % 3 * 8 + F.col("_e") - 1)
-    row = letter(_ROWS, (F.col("_n") + F.when(F.col("_z") % 2 == 0, 5).otherwise(0)) % 20)
-    band = letter(_BANDS, F.least(F.floor((F.col("lat") + 80) / 8), F.lit(19)))
-    name = F.when(F.col("lat").between(-80, 84), F.concat(F.format_string("%02d", "_z"), band, column, row))
-    return p.withColumn("tile", name).drop("_z", "_e", "_n")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("tile", _names(_squares(*_numbers(batch, "lon", "lat"))))
+
+    return points.mapInArrow(named, T.StructType([*points.schema.fields, T.StructField("tile", T.StringType())]))
 
 
 def simplified(vertices: DataFrame, key: str, *, tolerance: float) -> DataFrame:
     """Rings (key, seq, x, y, perhaps ring and hole) without the vertices that lie within ``tolerance`` of the line between
     kept neighbours (Douglas and Peucker). The first vertex of a ring and the one farthest from it stay, and at least three.
-    A ring is one task's group; its sections wait on a list, so an outline of any length needs no deep recursion."""
-
-    def thin(ring: pd.DataFrame) -> pd.DataFrame:
-        ring = ring.sort_values("seq")
-        p = ring[["x", "y"]].to_numpy(float)
-        if len(p) <= 3:
-            return ring
-        closed = np.vstack([p, p[:1]])
-        far = int(np.argmax(((p - p[0]) ** 2).sum(1)))
-        keep = np.zeros(len(closed), bool)
-        keep[[0, far, len(p)]] = True
-        gap = np.full(len(closed), -1.0)
-        waiting = [(0, far), (far, len(p))]
-        while waiting:
-            a, b = waiting.pop()
-            if b - a < 2:
-                continue
+    Its sections wait on a list, so an outline of any length needs no deep recursion; rings come to a task in blocks of whole ones."""
+
+    def farthest(closed: np.ndarray, x: list[float], y: list[float], a: int, b: int) -> tuple[float, int]:
+        """The vertex between a and b that is farthest from the line between them; a handful is faster without arrays."""
+        if b - a > 16:
             line, off = closed[b] - closed[a], closed[a + 1 : b] - closed[a]
             at = np.clip(off @ line / max(line @ line, 1e-300), 0, 1)
             distance = np.hypot(*(off - at[:, None] * line).T)
             most = int(np.argmax(distance))
-            gap[a + 1 + most] = distance[most]
-            if distance[most] > tolerance:
-                keep[a + 1 + most] = True
-                waiting += [(a, a + 1 + most), (a + 1 + most, b)]
-        while keep[:-1].sum() < 3:
-            keep[int(np.argmax(np.where(keep, -2.0, gap)))] = True
-        return ring[keep[:-1]]
+            return float(distance[most]), a + 1 + most
+        dx, dy, found = x[b] - x[a], y[b] - y[a], (-1.0, a)
+        long2 = max(dx * dx + dy * dy, 1e-300)
+        for k in range(a + 1, b):
+            ex, ey = x[k] - x[a], y[k] - y[a]
+            at = min(max((ex * dx + ey * dy) / long2, 0.0), 1.0)
+            distance = math.hypot(ex - at * dx, ey - at * dy)
+            if distance > found[0]:
+                found = distance, k
+        return found
+
+    def kept(p: np.ndarray) -> list[bool]:
+        size = len(p)
+        if size <= 3:
+            return [True] * size
+        closed = np.concatenate((p, p[:1]))
+        x, y = closed.T.tolist()
+        far = max(range(size), key=lambda k: (x[k] - x[0]) ** 2 + (y[k] - y[0]) ** 2)
+        keep, gap = [False] * size, [-1.0] * size
+        keep[0] = keep[far] = True
+        waiting = [(0, far), (far, size)]
+        while waiting:
+            a, b = waiting.pop()
+            if b - a < 2:
+                continue
+            distance, most = farthest(closed, x, y, a, b)
+            gap[most] = distance
+            if distance > tolerance:
+                keep[most] = True
+                waiting += [(a, most), (most, b)]
+        while sum(keep) < 3:
+            keep[max(range(size), key=lambda k: -2.0 if keep[k] else gap[k])] = True
+        return keep
+
+    def thin(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        of = np.repeat(np.arange(len(starts)), np.diff([*starts, len(table)]))
+        table = table.take(pa.array(np.lexsort((np.asarray(table.column("seq")), of))))
+        p = np.column_stack([np.asarray(table.column(c), float) for c in ("x", "y")])
+        keep = [k for a, b in zip(starts, [*starts[1:], len(p)], strict=True) for k in kept(p[a:b])]
+        return table.filter(pa.array(keep, pa.bool_()))
 
-    return vertices.groupBy(*rings(vertices, key)).applyInPandas(thin, vertices.schema)
+    return by_series(spread(vertices, key), tuple(rings(vertices, key)), thin, vertices.schema)
 
 
 def covering_tiles(vertices: DataFrame, key: str, *, overlap: float = 9_800.0, sample: float = 5_000.0, tolerance: float = 0.001) -> DataFrame:
@@ -297,28 +357,35 @@ def covering_tiles(vertices: DataFrame, key: str, *, overlap: float = 9_800.0, s
     ``tolerance`` degrees, and a grid inside the whole polygon every ``sample`` metres, from the box's corner in the zone of
     the centroid.
     """
+    vertices = spread(vertices, key)  # once, before anything else: all that follows is done where an outline's vertices are
     centre = centroids(vertices, key).select(key, F.col("cx").alias("clon"), F.col("cy").alias("clat"))
     mean = vertices.groupBy(key).agg(F.avg("x").alias("mlon"), F.avg("y").alias("mlat"))
-    centre = mean.join(centre, key).select(key, F.coalesce("clon", "mlon").alias("clon"), F.coalesce("clat", "mlat").alias("clat")).withColumn("zone", utm_zone(F.col("clon")))
+    centre = mean.join(centre.hint("merge"), key).select(key, F.coalesce("clon", "mlon").alias("clon"), F.coalesce("clat", "mlat").alias("clat")).withColumn("zone", utm_zone(F.col("clon")))
+    flat = vertices.join(centre.hint("merge"), key)
     e, n = to_utm(F.col("x"), F.col("y"), F.col("zone"))
-    n = n - F.when(F.col("y") < 0, _SOUTH).otherwise(0.0)
-    flat = vertices.join(centre.hint("merge"), key).withColumn("e", e).withColumn("n", n)
+    flat = flat.withColumn("e", e).withColumn("n", n - F.when(F.col("y") < 0, _SOUTH).otherwise(0.0))
     corner = flat.groupBy(key).agg(F.min("e").alias("e0"), F.min("n").alias("n0"))
     moved = flat.join(corner.hint("merge"), key).withColumn("x", F.col("e") - F.col("e0") + sample / 2).withColumn("y", F.col("n") - F.col("n0") + sample / 2)
     grid = rasterise(moved.select(*vertices.columns), key, step=sample).join(corner.hint("merge"), key).join(centre.hint("merge"), key)
-    north = F.col("n0") + F.col("row") * sample
-    lon, lat = from_utm(F.col("e0") + F.col("col") * sample, north, F.col("zone"), F.lit(False))
-    inside = grid.select(key, lon.alias("lon"), lat.alias("lat"))
-    outline = simplified(vertices, key, tolerance=tolerance)
-    points = outline.select(key, F.col("x").alias("lon"), F.col("y").alias("lat")).unionAll(centre.select(key, "clon", "clat")).unionAll(inside)
-    points = points.withColumn("zone", F.least(utm_zone(F.col("lon")), F.lit(60)))
-    e, n = to_utm(F.col("lon"), F.col("lat"), F.col("zone"))
-    shifts = F.array(*[F.struct(F.lit(de).alias("de"), F.lit(dn).alias("dn")) for de in (0.0, -overlap) for dn in (0.0, overlap)])
-    shifted = points.withColumn("e", e).withColumn("n", n - F.when(F.col("lat") < 0, _SOUTH).otherwise(0.0)).withColumn("s", F.explode(shifts))
-    lon, lat = from_utm(F.col("e") + F.col("s.de"), F.col("n") + F.col("s.dn"), F.col("zone"), F.lit(False))
-    at = shifted.select(key, lon.alias("lon"), lat.alias("lat"))
-    # a filter would be pushed below the projections, with all their expressions written out in it
-    return tile_names(at).select(key, "tile").distinct().select(key, F.explode(F.array_compact(F.array("tile"))).alias("tile"))
+    grid = grid.select(key, "zone", (F.col("e0") + F.col("col") * sample).alias("a"), (F.col("n0") + F.col("row") * sample).alias("b"))
+    places = simplified(vertices, key, tolerance=tolerance).select(key, "x", "y").unionAll(centre.select(key, "clon", "clat"))
+    points = places.select(key, F.lit(None).cast("long").alias("zone"), F.col("x").alias("a"), F.col("y").alias("b")).unionAll(grid)
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            zone, a, b = _numbers(batch, "zone", "a", "b")
+            lon, lat = from_utm(a, b, zone, False)
+            lon, lat = np.where(np.isnan(zone), a, lon), np.where(np.isnan(zone), b, lat)
+            zone = np.minimum(np.floor((lon + 180) / 6) + 1, 60)
+            e, n = to_utm(lon, lat, zone)
+            n = n - np.where(lat < 0, _SOUTH, 0.0)
+            squares = np.stack([_squares(*from_utm(e + de, n + dn, zone, False)) for de in (0.0, -overlap) for dn in (0.0, overlap)])
+            keys = batch.column(key).dictionary_encode()
+            number = np.tile(np.asarray(keys.indices, np.int64), 4) * _SQUARES + squares.reshape(-1)
+            number = np.unique(number[squares.reshape(-1) >= 0])
+            yield pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(number // _SQUARES)), _names(number % _SQUARES)], [key, "tile"])
+
+    return points.mapInArrow(needed, T.StructType([vertices.schema[key], T.StructField("tile", T.StringType())])).distinct()
 
 
 def overlaps(cells: DataFrame, key: str, *, least: float) -> DataFrame:
