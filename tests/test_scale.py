@@ -238,3 +238,31 @@ def test_tile_names_are_those_of_the_columns_series(spark):
         want = by[r["lon"], r["lat"]]
         row = "ABCDEFGHJKLMNPQRSTUV"[(want["n"] + (5 if want["z"] % 2 == 0 else 0)) % 20]
         assert r["tile"] == f"{want['z']:02d}" + "CDEFGHJKLMNPQRSTUVWX"[min(int((r["lat"] + 80) // 8), 19)] + "ABCDEFGHJKLMNPQRSTUVWXYZ"[(want["z"] - 1) % 3 * 8 + want["e"] - 1] + row
+
+
+def test_send_decisions_are_those_by_a_log_and_no_pair_is_shuffled(spark):
+    from tidewater.operators import alerts
+    from tidewater.plans import alerting
+
+    folder = "/root/testdata/sf0.001"
+    frame = entry.queries()["P2_send_decisions"](spark, folder)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "LeftOuter" not in plan and "Exchange" not in plan[: plan.index("Join")]
+    p = alerting.pairs(spark, folder)
+    log = p.filter("(alert_id + recipient_id) % 4 = 0").select("alert_id", "recipient_id", F.lit("medium").alias("severity"))
+    want = alerts.send_decisions(p, log)
+    assert want.count() and sorted(map(tuple, frame.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_places_without_alerts_meet_no_area(spark):
+    """What is asked by area grows with the zones that have alerts, not with all places."""
+    from tidewater.operators import alerts
+
+    of = lambda rows, kind: spark.createDataFrame(rows, kind)
+    sent = of([(1, 3, "x", "high")], "alert_id long, zone_id long, district string, severity string")
+    people = of([(k, None, "low", True) for k in range(4)], "recipient_id long, district string, min_severity string, active boolean")
+    places = of([(z, 5.0, 5.0) for z in range(50)], "zone_id long, px double, py double")
+    areas = of([(k, s, x, y) for k in range(4) for s, (x, y) in enumerate([(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)])], "recipient_id long, seq long, x double, y double")
+    pairs = alerts.matching_recipients(sent, people, places, areas, cell=4.0)
+    assert sorted((r["alert_id"], r["recipient_id"]) for r in pairs.collect()) == [(1, k) for k in range(4)]
+    assert "LeftSemi, zone_id" in re.sub(r"\(?(zone_id)#\d+L?", r"\1", pairs._jdf.queryExecution().optimizedPlan().toString()).replace("LeftSemi, (", "LeftSemi, ")
