@@ -266,3 +266,29 @@ def test_places_without_alerts_meet_no_area(spark):
     pairs = alerts.matching_recipients(sent, people, places, areas, cell=4.0)
     assert sorted((r["alert_id"], r["recipient_id"]) for r in pairs.collect()) == [(1, k) for k in range(4)]
     assert "LeftSemi, zone_id" in re.sub(r"\(?(zone_id)#\d+L?", r"\1", pairs._jdf.queryExecution().optimizedPlan().toString()).replace("LeftSemi, (", "LeftSemi, ")
+
+
+def test_zone_centres_are_dealt_out_whatever_the_number_of_partitions(spark):
+    from tidewater.operators import zoning
+
+    spark.conf.set("spark.sql.shuffle.partitions", "32")  # that which spread would choose by itself
+    try:
+        made = zoning.centres(outlines(spark, 40), "id", pixel=20)
+        assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+        cells = G.rasterise(outlines(spark, 40).groupBy("id", "seq").agg(F.max("x").alias("x"), F.max("y").alias("y")).repartition(32, "id"), "id", step=50.0)
+        assert cells.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_k_means_by_lines_leaves_each_cell_with_its_nearest_centre():
+    rng = np.random.default_rng(6)
+    grid = np.array([(x * 10.0, y * 10.0) for x in range(12) for y in range(90) if (x - 6) ** 2 + (y - 40) ** 2 / 30 < 70 and (x, y % 17) != (5, 3)])
+    for points in (grid, rng.permutation(grid), rng.random((300, 2)), np.repeat(rng.random((3, 2)), 4, axis=0)):
+        zone = G.k_means(points, 5, 10)
+        k = zone.max() + 1
+        assert sorted(set(zone.tolist())) == list(range(k)) and k == min(5, len(np.unique(points, axis=0)))
+        centres = np.array([points[zone == z].mean(0) for z in range(k)])
+        away = ((points[:, None] - centres) ** 2).sum(2)
+        assert (away[np.arange(len(points)), zone] <= away.min(1) * (1 + 1e-9) + 1e-9).all()
+    assert len(G._lines(*grid.T)[0]) < 60

@@ -17,6 +17,7 @@ def centres(vertices: DataFrame, key: str, *, pixel: int = 20, most_cells: int =
     Cells are ``pixel`` metres wide, doubled until a body has at most about ``most_cells`` of them, so what one task holds is
     bounded whatever the body's size. A body of fewer cells than the least number of zones gives its vertices instead.
     """
+    vertices = G.spread(vertices, key)
     size = G.areas(vertices, key).select(key, G.zone_count(F.col("area_km2")).alias("k"), G.coarse_step(F.col("area_km2"), most_cells=most_cells, start=pixel).alias("step"))
     scaled = vertices.join(size.select(key, "step"), key).withColumns({"x": F.col("x") / F.col("step"), "y": F.col("y") / F.col("step")}).drop("step")
     cells = G.rasterise(scaled, key, step=1.0)
