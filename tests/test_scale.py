@@ -292,3 +292,18 @@ def test_k_means_by_lines_leaves_each_cell_with_its_nearest_centre():
         away = ((points[:, None] - centres) ** 2).sum(2)
         assert (away[np.arange(len(points)), zone] <= away.min(1) * (1 + 1e-9) + 1e-9).all()
     assert len(G._lines(*grid.T)[0]) < 60
+
+
+def test_outlines_are_cut_into_strips_only_where_points_are(spark):
+    """The strips grow with the points' extent, not with the outlines' height; strips of many edges count like those of few."""
+    tall = [(k, s, float(x * 40 + k), float(y * 1e6)) for k in range(5) for s, (x, y) in enumerate([(0, 0), (1, 0), (1.2, 0.5), (0.6, 1), (0, 0.8)])]
+    comb = [(9, s, 20.0 + 2 * s, 90.0 if s % 2 else 5.0) for s in range(20)] + [(9, 20, 60.0, 0.0), (9, 21, 20.0, 0.0)]
+    v = spark.createDataFrame(tall + comb, "id long, seq long, x double, y double")
+    points = spark.range(400).select(F.col("id").alias("pid"), (F.col("id") % 61 * 1.3).alias("px"), (F.col("id") % 43 * 2.1 - 5).alias("py"))
+    found = G.points_in(points, v, "id", cell=10.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_high" in plan and "_east" in plan
+    e = G.edges(v, "id").collect()
+    want = [(p["pid"], k) for p in points.collect() for k in (0, 1, 2, 3, 4, 9) if sum(r["id"] == k and (r["y"] > p["py"]) != (r["y2"] > p["py"]) and p["px"] < (r["x2"] - r["x"]) * (p["py"] - r["y"]) / (r["y2"] - r["y"]) + r["x"] for r in e) % 2]
+    assert any(k == 9 for _, k in want) and sorted((r["pid"], r["id"]) for r in found.collect()) == sorted(want)
+    assert same(spark, "G5_point_in_polygon", pathlib.Path("/root/testdata/sf0.001")) is not None
